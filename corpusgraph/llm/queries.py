@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linededup, neardup, packing, quality, sharding, urlfilter
+from . import decontam, langid, licenses, linededup, lm, neardup, packing, quality, sharding, urlfilter
 from .scratch import documents
 
 
@@ -32,6 +32,10 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir)).drop("_hash")
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_jump_sharding, op3_mixture_packing, op4_host_trust, op5_hyperminhash, op7_license_scan, op8_decontamination, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_jump_sharding, op3_mixture_packing, op4_host_trust, op5_hyperminhash, op6_deleted_interpolation, op7_license_scan, op8_decontamination, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
