@@ -165,7 +165,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["digest", "shingles"])
 
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
-    chosen = rows.join(wanted, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")), "left_semi").select("_text")
+    # what is wanted grows with the documents, so that the join is a shuffle at every size
+    chosen = rows.join(wanted.hint("merge"), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")), "left_semi").select("_text")
     return chosen.mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
 
 

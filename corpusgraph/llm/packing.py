@@ -155,5 +155,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     looked at.
     """
     tokens = stash(tokenize(docs, tokenizer or tokenizer_path(), key, text, source), "tokens")
-    placed = tokens.join(plan(tokens.select("_row", "_key", "_source", "n"), sequence, window, weights), "_row")
+    # both sides grow with the input, so that the join is a shuffle at every size
+    placed = tokens.join(plan(tokens.select("_row", "_key", "_source", "n"), sequence, window, weights).hint("merge"), "_row")
     return cut(placed, docs.schema[key].dataType.simpleString(), sequence).withColumnRenamed("_key", key)

@@ -2,10 +2,628 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring as S
+from ..functions import text as T
+from ..operators import graph as G
+from ..operators import library as L
+from ..operators import mining as M
+from . import bindings as B
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+YEAR = 2004
+TOKENS = ["widget", "bolts", "nation"]
+RULES = [("red", "colour"), ("blue", "colour"), ("small", "size"), ("large", "size"), ("ring", "shape")]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def joined(c, sep: str = "|"):
+    """An array as one string, for comparison."""
+    return F.array_join(c, sep)
+
+
+# Text
+
+@query("t01_name_normalize", "select s_suppkey as id, trim(regexp_replace(lower(regexp_replace(s_name, '[\\s_\\-/,;:.()\\[\\]{}''\"]+', ' ', 'g')), '\\s+', ' ', 'g')) as norm from supplier union all select p_partkey + 1000000, lower(trim(p_name)) from part")
+def t01(spark, d):
+    s = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), T.name_key(F.col("s_name")).alias("norm"))
+    return s.unionByName(B.table(spark, d, "part").select((F.col("p_partkey") + 1000000).alias("id"), T.name_key(F.col("p_name")).alias("norm")))
+
+
+@query("t02_title_normalize", f"with {B.PAPERS} select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(title, '<[^>]+>', ' ', 'g')), '[-–—‑/\\\\_+|~]', ' ', 'g'), '[.,;:!?''\"`()\\[\\]{{}}<>*#&@$%^=]', '', 'g'), '\\s+', ' ', 'g')) as norm from papers")
+def t02(spark, d):
+    return B.papers(spark, d).select("doc_id", T.title_key(F.col("title")).alias("norm"))
+
+
+@query("t03_doi_normalize", "select p_partkey, '10.1000/' || lower(p_brand) || '.' || p_partkey as doi from part")
+def t03(spark, d):
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("https://doi.org/", "HTTP://DX.DOI.ORG/", "doi:", "", "https://doi.org/doi:")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return B.table(spark, d, "part").select("p_partkey", T.doi_key(F.concat(prefix, F.lit(" 10.1000/").substr(2, 8), F.col("p_brand"), F.lit("."), F.col("p_partkey"))).alias("doi"))
+
+
+@query("t06_paragraphs", "select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '')) as n from documents")
+def t06(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("long").alias("n"))
+
+
+@query("t07_sentences")
+def t07(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("t08_html_clean", "select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(html,'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&nbsp;',' '),'&middot;','·'),'&copy;','©'),'&amp;','&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as body from pages")
+def t08(spark, d):
+    return B.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("body"))
+
+
+@query("t11_cut_references", "select doc_id, length(regexp_replace(text, '\\s+$', '')) as n from documents")
+def t11(spark, d):
+    body = F.concat(F.regexp_replace("text", r"\s+$", ""), F.lit("\nReferences\n[1] x"))
+    return B.table(spark, d, "documents").select("doc_id", F.length(T.cut_references(body)).cast("long").alias("n"))
+
+
+@query("t13_topic_tokens")
+def t13(spark, d):
+    return B.papers(spark, d).select("doc_id", joined(T.topic_tokens(F.col("title"))).alias("tokens"))
+
+
+@query("t16_seed_terms", f"with {B.PAPERS} select doc_id, array_to_string(list_slice(list_transform(list_sort(list_transform(list_distinct(t), lambda x: {{'p': list_position(t, x), 'x': x}})), lambda y: y.x), 1, 8), '|') as terms from (select doc_id, regexp_extract_all(title, '[A-Za-z0-9]{{4,}}|[一-鿿]{{2,}}') as t from papers)")
+def t16(spark, d):
+    return B.papers(spark, d).select("doc_id", joined(T.seed_terms(F.col("title"))).alias("terms"))
+
+
+@query("t17_stem")
+def t17(spark, d):
+    words = B.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return words.select("word", T.stem(F.concat("word", F.lit("ings"))).alias("stem"), joined(T.plural_variants(F.col("word"))).alias("variants"))
+
+
+@query("t20_citation_indices", "select event_id, case when event_id % 3 = 0 then (event_id % 7 + 1) || '|' || (event_id % 7 + 3) when event_id % 3 = 1 then (event_id % 5) || '|' || (event_id % 5 + 1) || '|' || (event_id % 5 + 2) else '' end as cited from events")
+def t20(spark, d):
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, F.format_string("see [%d,%d].", e % 7 + 3, e % 7 + 1)).when(e % 3 == 1, F.format_string("as in [%d-%d]", e % 5, e % 5 + 2)).otherwise(F.lit("reversed [9-3], wide [1-900]"))
+    return B.table(spark, d, "events").select("event_id", joined(T.citation_indices(text)).alias("cited"))
+
+
+@query("t24_evidence_tier", "select p_partkey, case when p_name like 'small%' then 'review' when p_name like 'red%' then 'primary_in_vitro' else 'primary' end as tier from part")
+def t24(spark, d):
+    title = F.when(F.col("p_name").startswith("small"), F.lit("A Review of rings")).when(F.col("p_name").startswith("red"), F.lit("Cell culture of widgets")).otherwise("p_name")
+    return B.table(spark, d, "part").select("p_partkey", T.evidence_tier(title).alias("tier"))
+
+
+@query("t37_cjk", "select lang, count(*) as n, count(*) filter (regexp_matches(text, '[㐀-鿿豈-﫿]')) as cjk from documents group by lang")
+def t37(spark, d):
+    return B.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(T.has_cjk(F.col("text"))).alias("cjk"))
+
+
+@query("t38_redact")
+def t38(spark, d):
+    hidden = T.redact(F.col("text"))
+    return B.table(spark, d, "documents").filter(hidden != F.col("text")).select("doc_id", F.md5(hidden.cast("binary")).alias("digest"))
+
+
+@query("t43_colour", "select p_partkey, cast(('0x' || substr(md5(p_name), 1, 6))::bigint % 12 as integer) as colour from part")
+def t43(spark, d):
+    return B.table(spark, d, "part").select("p_partkey", T.colour_index(F.col("p_name"), 12).alias("colour"))
+
+
+# Filters
+
+@query("p01_like_any", f"with {B.PAPERS} select paper_key, title from papers where lower(title) like '%ing%' or lower(paper_key) like '%src1%'")
+def p01(spark, d):
+    return B.papers(spark, d).filter(L.like_any("ing", ["title"]) | L.like_any("SRC1", ["paper_key"])).select("paper_key", "title")
+
+
+@query("p03_year_bucket", f"with {B.WORKS} select 'range' as bucket, count(*) as n from works where pub_year between 1996 and 1998 union all select 'unknown', count(*) from works where pub_year is null")
+def p03(spark, d):
+    w = B.works(spark, d)
+    known = w.filter(L.year_filter(F.col("pub_year"), 1996, 1998)).agg(F.lit("range").alias("bucket"), F.count("*").alias("n"))
+    return known.unionByName(w.filter(L.year_filter(F.col("pub_year"), unknown=True)).agg(F.lit("unknown").alias("bucket"), F.count("*").alias("n")))
+
+
+@query("p07_activity_log", f"with {B.LOG} select id, paper_id, event, details from log where event = 'error' and (details like '%9%' or cast(paper_id as varchar) like '%9%') order by ts desc, id desc limit 100")
+def p07(spark, d):
+    rows = B.log(spark, d).filter((F.col("event") == "error") & L.like_any("9", ["details", "paper_id"]))
+    return rows.orderBy(F.desc("ts"), F.desc("id")).limit(100).select("id", "paper_id", "event", "details")
+
+
+@query("p09_relevance_gate", "select doc_id, (case when contains(lower(text), 'tion') then 1 else 0 end) + (case when contains(lower(text), 'ment') then 1 else 0 end) as hits, length(text) < 30 or ((case when contains(lower(text), 'tion') then 1 else 0 end) + (case when contains(lower(text), 'ment') then 1 else 0 end)) >= 2 as kept from documents")
+def p09(spark, d):
+    hits = S.keyword_hits(F.col("text"), ["tion", "ment"])
+    return B.table(spark, d, "documents").select("doc_id", hits.alias("hits"), ((F.length("text") < 30) | (hits >= 2)).alias("kept"))
+
+
+@query("p11_required_filter", "select doc_id from documents where (contains(lower(text), 'the') or contains(lower(text), 'der')) and (4 * cast(contains(lower(text), 'tion') as int) + 6 * cast(contains(lower(text), 'entier') as int)) / 10.0 >= 0.4")
+def p11(spark, d):
+    ratio = S.topic_overlap(F.array(F.lit("tion"), F.lit("entier")), F.col("text"))
+    return B.table(spark, d, "documents").filter(T.contains_any(F.col("text"), ["the", "der"]) & (ratio >= 0.4)).select("doc_id")
+
+
+@query("p12_completeness", f"with {B.WORKS} select p_partkey, array_to_string(list_filter([case when h < 10 then 'affiliations' end, case when pub_year is null then 'publication' end, case when p_partkey % 4 = 0 then 'doi' end], lambda x: x is not null), '|') as missing from works")
+def p12(spark, d):
+    missing = F.array_compact(F.array(F.when(F.col("h") < 10, "affiliations"), F.when(F.col("pub_year").isNull(), "publication"), F.when(F.col("p_partkey") % 4 == 0, "doi")))
+    return B.works(spark, d).select("p_partkey", joined(missing).alias("missing"))
+
+
+@query("p16_pending_anti", "select doc_id from documents where not exists (select 1 from events where event_type = 'purchase' and user_id = doc_id)")
+def p16(spark, d):
+    papers = B.table(spark, d, "documents").select("doc_id")
+    return L.pending(papers, B.log(spark, d).withColumnRenamed("paper_id", "doc_id"), "doc_id", "purchase")
+
+
+# Joins
+
+@query("j01_quality_left", "select d.doc_id, d.source, l.quality, coalesce(l.toxic, 0) as toxic from documents d left join labels l using (doc_id)")
+def j01(spark, d):
+    docs = B.table(spark, d, "documents").select("doc_id", "source")
+    return docs.join(B.table(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+
+
+@query("j03_tag_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+def j03(spark, d):
+    o = B.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    has = B.table(spark, d, "customer").join(o.filter("o_orderpriority = '1-URGENT'"), "c_custkey", "left_semi")
+    return has.join(o.filter("o_orderstatus = 'P'"), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("j05_child_count", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders from customer")
+def j05(spark, d):
+    o = B.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return L.with_child_count(B.table(spark, d, "customer").select("c_custkey"), o, "c_custkey", "n_orders")
+
+
+_GRAPH = f"with {B.NODES}, {B.EDGES}"
+
+
+@query("j06_edge_labels", f"{_GRAPH} select relation_type, s.name as source_name, t.name as target_name, confidence, support from edges join nodes s on s.node_id = source_node join nodes t on t.node_id = target_node where confidence >= 0.6")
+def j06(spark, d):
+    return G.edge_labels(B.edges(spark, d).filter("confidence >= 0.6"), B.nodes(spark, d)).select("relation_type", "source_name", "target_name", "confidence", "support")
+
+
+@query("j07_dangling", f"{_GRAPH} select relation_type, count(*) as n, count(*) filter (s.name is null) as dangling from edges left join (select * from nodes where node_type <> 'place') s on s.node_id = source_node group by 1")
+def j07(spark, d):
+    named = G.edge_labels(B.edges(spark, d), B.nodes(spark, d).filter("node_type != 'place'"), dangling=True)
+    return named.groupBy("relation_type").agg(F.count("*").alias("n"), F.count_if(F.col("source_name").isNull()).alias("dangling"))
+
+
+@query("j10_ego_network", f"{_GRAPH} select direction, relation_type, e.node_id, node_type, name from (select 'out' as direction, relation_type, target_node as node_id from edges where source_node = 41 union all select 'in', relation_type, source_node from edges where target_node = 41 and source_node <> 41) e join nodes using (node_id)")
+def j10(spark, d):
+    return G.ego(B.edges(spark, d), B.nodes(spark, d), F.lit(41)).select("direction", "relation_type", "node_id", "node_type", "name")
+
+
+@query("j11_induced_subgraph", f"{_GRAPH} select relation_type, source_node, target_node from edges where source_node in (select node_id from nodes where name like 'red%' or node_type = 'organization') and target_node in (select node_id from nodes where name like 'red%' or node_type = 'organization')")
+def j11(spark, d):
+    chosen = B.nodes(spark, d).filter(F.col("name").startswith("red") | (F.col("node_type") == "organization"))
+    return G.induced(B.edges(spark, d), chosen).select("relation_type", "source_node", "target_node")
+
+
+@query("j12_fuzzy_title", """with t as (select c_custkey as id, c_mktsegment || ' customer ' || (c_custkey % 97) || ' of nation ' || c_nationkey as title from customer),
+ n as (select id, lower(title) as t, list_distinct(string_split(lower(title), ' ')) as w from t)
+ select a.id as a, b.id as b from n a join n b on a.id < b.id where contains(a.t, b.t) or contains(b.t, a.t) or len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.95""")
+def j12(spark, d):
+    title = F.concat_ws(" ", "c_mktsegment", F.lit("customer"), F.col("c_custkey") % 97, F.lit("of nation"), "c_nationkey")
+    return L.similar_titles(B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), title.alias("title")), "id", "title", least=0.95)
+
+
+@query("j13_library_dupes", f"with {B.PAPERS}, t as (select doc_id, paper_key, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(title, '<[^>]+>', ' ', 'g')), '[-–—‑/\\\\_+|~]', ' ', 'g'), '[.,;:!?''\"`()\\[\\]{{}}<>*#&@$%^=]', '', 'g'), '\\s+', ' ', 'g')) as norm from papers) select paper_key, case when doc_id % 10 = 0 then 'key' when doc_id % 10 = 1 and exists (select 1 from t b where b.doc_id % 2 = 0 and b.doc_id = a.doc_id - 1) then 'doi' when norm <> '' and exists (select 1 from t b where b.doc_id % 2 = 0 and b.norm = a.norm) then 'title' end as reason from t a where doc_id % 2 = 1 or doc_id % 10 = 0")
+def j13(spark, d):
+    p = B.papers(spark, d)
+    library = p.filter("doc_id % 2 = 0").select("paper_key", F.concat(F.lit("https://doi.org/10.1/"), F.col("doc_id")).alias("doi"), "title")
+    own = F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit("10.1/"), F.col("doc_id") - 1))
+    fresh = p.filter("doc_id % 2 = 1 or doc_id % 10 = 0").select("paper_key", own.alias("doi"), "title")
+    return L.duplicates(fresh, library).select("paper_key", "reason")
+
+
+_QUARTILE = "case cast(substr(venue, 7) as int) % 5 when 1 then 'Q1' when 2 then 'Q2' when 3 then 'Q3' when 4 then 'Q4' end"
+
+
+def _quartiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"brand#{n}", f"Q{n % 5}") for n in range(1, 61) if n % 5], "venue_key string, quartile string")
+
+
+@query("j17_quartile_lookup", f"with {B.WORKS} select p_partkey, {_QUARTILE} as quartile from works")
+def j17(spark, d):
+    w = B.works(spark, d).withColumn("venue_key", F.lower("venue"))
+    return w.join(F.broadcast(_quartiles(spark)), "venue_key", "left").select("p_partkey", "quartile")
+
+
+@query("j18_evidence_owner", f"with {B.LOG} select paper_id, min(id) as pos from log where event = 'click' group by paper_id")
+def j18(spark, d):
+    log = B.log(spark, d)
+    return M.first_owner(log.filter("event = 'click'").select(F.col("id").alias("pos"), "id"), log.select("id", "paper_id"), "paper_id")
+
+
+@query("j19_materials", "select o_custkey as paper_key, count(distinct o_orderkey) as n_hyperedges, count(*) as n_measurements, round(sum(l_quantity), 2) as quantity from orders join lineitem on l_orderkey = o_orderkey group by 1")
+def j19(spark, d):
+    o, line = B.table(spark, d, "orders"), B.table(spark, d, "lineitem")
+    return o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("paper_key")).agg(F.count_distinct("o_orderkey").alias("n_hyperedges"), F.count("*").alias("n_measurements"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("j20_bind_citations", "select event_id, n, 'M' || n as material, n <= 5 as valid from (select event_id, unnest([event_id % 7 + 1, event_id % 7 + 3]) as n from events) where n <= 5 union all select event_id, n, null, false from (select event_id, unnest([event_id % 7 + 1, event_id % 7 + 3]) as n from events) where n > 5")
+def j20(spark, d):
+    e = F.col("event_id")
+    texts = B.table(spark, d, "events").select("event_id", F.format_string("[%d, %d]", e % 7 + 1, e % 7 + 3).alias("text"))
+    materials = spark.range(1, 6).select(F.col("id").cast("int").alias("ordinal"), F.concat(F.lit("M"), F.col("id")).alias("material"))
+    return M.bind_citations(texts, "event_id", "text", materials).select("event_id", F.col("n").cast("long").alias("n"), "material", "valid")
+
+
+# Aggregates
+
+@query("a01_facets", "select 'source' as facet, source as value, count(*) as n from documents group by 2 union all select 'lang', lang, count(*) from documents group by 2")
+def a01(spark, d):
+    return L.facets(B.table(spark, d, "documents"), ["source", "lang"])
+
+
+@query("a02_tag_counts", "select n_name as folder, count(c_custkey) as n from nation left join (select * from customer where c_mktsegment = 'BUILDING' and c_nationkey < 20) on c_nationkey = n_nationkey group by 1")
+def a02(spark, d):
+    c = B.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' and c_nationkey < 20")
+    return B.table(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy(F.col("n_name").alias("folder")).agg(F.count("c_custkey").alias("n"))
+
+
+@query("a03_stats", "select count(*) as papers, count(distinct source) as sources, count(distinct text) as texts, count(*) filter (n_chars > 2000) as long_texts, min(n_chars) as shortest, max(n_chars) as longest from documents")
+def a03(spark, d):
+    return B.table(spark, d, "documents").agg(F.count("*").alias("papers"), F.count_distinct("source").alias("sources"), F.count_distinct("text").alias("texts"), F.count_if(F.col("n_chars") > 2000).alias("long_texts"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+@query("a05_overview", f"{_GRAPH} select 'node' as kind, node_type as name, count(*) as n from nodes group by 2 union all select 'edge', relation_type, count(*) from edges group by 2")
+def a05(spark, d):
+    n = B.nodes(spark, d).groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("name")).agg(F.count("*").alias("n"))
+    return n.unionByName(B.edges(spark, d).groupBy(F.lit("edge").alias("kind"), F.col("relation_type").alias("name")).agg(F.count("*").alias("n")))
+
+
+@query("a07_stage_counts", "select case when event_type in ('error', 'signup') then 'human_review' else event_type end as stage, count(*) as n, count(distinct user_id) as papers, max(ts) as last_ts from events group by 1")
+def a07(spark, d):
+    stage = F.when(F.col("event_type").isin("error", "signup"), "human_review").otherwise(F.col("event_type"))
+    return B.table(spark, d, "events").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("papers"), F.max("ts").alias("last_ts"))
+
+
+@query("a09_having_groups", "select count(*) as n_groups from (select l_partkey, l_discount from lineitem group by 1, 2 having count(*) > 1)")
+def a09(spark, d):
+    return B.table(spark, d, "lineitem").groupBy("l_partkey", "l_discount").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n_groups"))
+
+
+@query("a10_quantified_ratio", "select o_orderpriority, count(*) as n, round(count(*) filter (exists (select 1 from lineitem where l_orderkey = o_orderkey and l_discount >= 0.05)) / count(*), 6) as ratio from orders group by 1")
+def a10(spark, d):
+    held = B.table(spark, d, "lineitem").filter("l_discount >= 0.05").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("q", F.lit(1))
+    return B.table(spark, d, "orders").join(held, "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.count("q") / F.count("*"), 6).alias("ratio"))
+
+
+@query("a13_unmatched_venues", f"with {B.WORKS}, top as (select venue, count(*) as n from works group by 1 order by n desc, venue limit 20) select venue, n from top where {_QUARTILE} is null order by n desc, venue limit 5")
+def a13(spark, d):
+    top = B.works(spark, d).groupBy("venue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "venue").limit(20)
+    return top.withColumn("venue_key", F.lower("venue")).join(F.broadcast(_quartiles(spark)), "venue_key", "left_anti").select("venue", "n").orderBy(F.desc("n"), "venue").limit(5)
+
+
+@query("a15_channels", f"with {B.NODES}, {B.HYPEREDGES}, {B.MEMBERS}, shape as (select hyperedge_id, string_agg(role || ':' || node_type, ',' order by role || ':' || node_type) as role_profile from members join nodes using (node_id) group by 1) select hyperedge_type, role_profile, count(*) as support_count, count(distinct paper_key) as paper_count, round(avg(coalesce(nullif(confidence, 0.0), 0.5)), 6) as confidence from hyperedges join shape using (hyperedge_id) group by 1, 2")
+def a15(spark, d):
+    return G.channels(B.hyperedges(spark, d), B.members(spark, d), B.nodes(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("a17_support", f"{_GRAPH} select relation_type, sum(support) as support, max(support) as largest, count(*) as n from edges group by 1")
+def a17(spark, d):
+    return B.edges(spark, d).groupBy("relation_type").agg(F.sum("support").alias("support"), F.max("support").alias("largest"), F.count("*").alias("n"))
+
+
+@query("a19_support_hist", f"{_GRAPH} select support, count(*) as n from edges group by 1")
+def a19(spark, d):
+    return M.support_histogram(B.edges(spark, d))
+
+
+@query("a21_graph_health", f"{_GRAPH}, ends as (select source_node as node_id from edges union all select target_node from edges), deg as (select node_id, count(*) as degree from ends group by 1) select node_type, count(*) as n, count(*) filter (degree is null) as isolated, coalesce(max(degree), 0) as largest, round(avg(coalesce(degree, 0)), 6) as mean from nodes left join deg using (node_id) group by 1")
+def a21(spark, d):
+    n = B.nodes(spark, d)
+    return G.degrees(B.edges(spark, d), n).join(n.select("node_id", "node_type"), "node_id").groupBy("node_type").agg(F.count("*").alias("n"), F.count_if(F.col("degree") == 0).alias("isolated"), F.max("degree").alias("largest"), F.round(F.avg("degree"), 6).alias("mean"))
+
+
+@query("a22_audit", f"{_GRAPH} select 'same_name' as rule, count(*) as n from (select name from nodes group by 1 having count(*) > 1) union all select 'hubs', count(*) from (select target_node from edges group by 1 having count(*) >= 8) union all select 'weak', count(*) from edges where confidence < 0.6")
+def a22(spark, d):
+    e = B.edges(spark, d)
+    rule = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count("*").alias("n"))
+    same = B.nodes(spark, d).groupBy("name").agg(F.count("*").alias("c")).filter("c > 1")
+    hubs = e.groupBy("target_node").agg(F.count("*").alias("c")).filter("c >= 8")
+    return rule("same_name", same).unionByName(rule("hubs", hubs)).unionByName(rule("weak", e.filter("confidence < 0.6")))
+
+
+@query("a26_candidate_clusters", "select p_name, p_partkey, p_size, duplicates from (select *, row_number() over (partition by p_name order by p_size desc, p_partkey) as rn, count(*) over (partition by p_name) - 1 as duplicates from part) where rn = 1")
+def a26(spark, d):
+    return M.best_of_cluster(B.table(spark, d, "part"), ["p_name"], [F.desc("p_size"), F.asc("p_partkey")]).select("p_name", "p_partkey", "p_size", "duplicates")
+
+
+# Ranking
+
+_QUALITY = f"""with {B.WORKS}, f as (select *, {_QUARTILE} as quartile from works), s as (select *,
+ case quartile when 'Q1' then 0.95 when 'Q2' then 0.8 when 'Q3' then 0.65 when 'Q4' then 0.5 else 0.6 end as v, least(1.0, 0.4 + 0.58 * greatest(0, least(h, 80)) / 80) as hf,
+ case when citation_count is null then 0.5 else least(1.0, 0.35 + 0.22 * log10(citation_count + 1)) end as cf,
+ case when pub_year is null then 0.5 when {YEAR} - pub_year <= 0 then 1.0 else 0.7 * exp(-ln(2) * ({YEAR} - pub_year) / 4) + 0.3 * greatest(0, 1 - ({YEAR} - pub_year) / 25) end as t from f),
+ q as (select p_partkey, title, venue, pub_year, round(0.6 * (0.5 * v + 0.3 * hf + 0.2 * cf) + 0.4 * t, 6) as quality from s)"""
+
+
+def _assessed(spark: SparkSession, d: str) -> DataFrame:
+    w = B.works(spark, d).withColumn("venue_key", F.lower("venue")).join(F.broadcast(_quartiles(spark)), "venue_key", "left")
+    a = S.authority(S.venue_factor(F.col("quartile"), F.col("venue"), F.lit("journal")), S.h_factor(F.col("h")), S.citation_factor(F.col("citation_count")))
+    return w.select("p_partkey", "title", "venue", "pub_year", F.round(S.quality(a, S.timeliness(F.col("pub_year"), YEAR)), 6).alias("quality"))
+
+
+@query("m06_quality_route", f"{_QUALITY} select p_partkey, quality, case when quality >= 0.8 then 'direct' when quality >= 0.5 then 'flagged' else 'human' end as decision from q")
+def m06(spark, d):
+    return _assessed(spark, d).select("p_partkey", "quality", S.route(F.col("quality")).alias("decision"))
+
+
+@query("w01_ranked_page", f"{_QUALITY} select p_partkey, title, pub_year, quality from q order by quality desc nulls last, pub_year desc nulls last, p_partkey limit 50 offset 10")
+def w01(spark, d):
+    return L.page(_assessed(spark, d), "quality", "p_partkey", year="pub_year", limit=50, offset=10).select("p_partkey", "title", "pub_year", "quality")
+
+
+@query("w02_latest_run", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
+def w02(spark, d):
+    return L.latest(B.table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("w03_topk_quota", f"with {B.HYPEREDGES} select hyperedge_type, hyperedge_id, confidence, rank_in_type from (select *, row_number() over (partition by hyperedge_type order by confidence desc, hyperedge_id desc) as rank_in_type from hyperedges) where rank_in_type <= case hyperedge_type when 'event' then 120 when 'mechanism' then 40 when 'reaction' then 40 else 30 end")
+def w03(spark, d):
+    return M.top_by_type(B.hyperedges(spark, d), "hyperedge_type", "confidence", "hyperedge_id", M.QUOTA, M.QUOTA["relation"]).select("hyperedge_type", "hyperedge_id", "confidence", "rank_in_type")
+
+
+_PATTERNS = f"""{_GRAPH}, p as (select e.*, s.name as source_name, t.name as target_name,
+ case when contains(lower(s.name), 'widget') then 12 else 0 end + case when contains(lower(t.name), 'widget') then 12 else 0 end
+ + case when contains(lower(s.name), 'bolt') then 10 else 0 end + case when contains(lower(t.name), 'bolt') then 10 else 0 end
+ + case when contains(lower(s.name), 'nation') then 12 else 0 end + case when contains(lower(t.name), 'nation') then 12 else 0 end as relevance
+ from edges e join nodes s on s.node_id = source_node join nodes t on t.node_id = target_node where confidence >= 0.6)"""
+
+
+@query("w04_pattern_rank", f"{_PATTERNS} select relation_type, source_node, target_node, source_name, target_name, relevance, support, confidence from p order by relevance desc, support desc, confidence desc, relation_type, source_node, target_node limit 200")
+def w04(spark, d):
+    p = M.ranked(M.patterns(B.edges(spark, d), B.nodes(spark, d), TOKENS), 200)
+    return p.select("relation_type", "source_node", "target_node", "source_name", "target_name", "relevance", "support", "confidence")
+
+
+@query("w07_low_support", f"{_GRAPH} select relation_type, source_node, target_node, support from edges where support < 2 and relation_type not in ('is_a', 'cites', 'published_in', 'authored_by', 'developed_by') order by support, confidence desc, source_node, target_node limit 40")
+def w07(spark, d):
+    return M.low_support(B.edges(spark, d), 2, 40).select("relation_type", "source_node", "target_node", "support")
+
+
+@query("w08_select_final", "select p_partkey, p_size from part order by cast(p_retailprice >= 950 as int) desc, p_size desc, p_partkey limit 30")
+def w08(spark, d):
+    return M.select_final(B.table(spark, d, "part"), F.col("p_retailprice") >= 950, "p_size", "p_partkey", 30).select("p_partkey", "p_size")
+
+
+@query("w09_chunk_pack")
+def w09(spark, d):
+    lines = B.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return M.pack_paragraphs(lines, "doc_id", "text", 1200, 12)
+
+
+@query("w13_cite_suffix", "select p_partkey, replace(p_name, ' ', '') || case when n = 0 then '' when n <= 26 then chr(cast(96 + n as int)) else '-' || n end as cite_key from (select *, row_number() over (partition by replace(p_name, ' ', '') order by p_partkey) - 1 as n from part)")
+def w13(spark, d):
+    return M.suffixes(B.table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("stem")), "stem", ["p_partkey"]).select("p_partkey", "cite_key")
+
+
+@query("w14_first_appearance", "select l_orderkey, l_suppkey, row_number() over (partition by l_orderkey order by p, l_suppkey) as number from (select l_orderkey, l_suppkey, min(l_linenumber * 1000000 + l_partkey) as p from lineitem group by 1, 2)")
+def w14(spark, d):
+    return M.number_by_appearance(B.table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"], "l_suppkey").select("l_orderkey", "l_suppkey", "number")
+
+
+# Sets and attributes
+
+@query("u01_type_diff", "select distinct p_type as type_key from part where p_size > 49 except select p_type from part where p_partkey < 5")
+def u01(spark, d):
+    p = B.table(spark, d, "part")
+    return p.filter("p_size > 49").select(F.col("p_type").alias("type_key")).distinct().join(p.filter("p_partkey < 5").select(F.col("p_type").alias("type_key")), "type_key", "left_anti")
+
+
+@query("u04_valid_refs", f"{_GRAPH} select c_custkey, exists (select 1 from nodes where node_id = c_custkey) as valid from customer")
+def u04(spark, d):
+    known = B.nodes(spark, d).select(F.col("node_id").alias("c_custkey")).distinct().withColumn("k", F.lit(True))
+    return B.table(spark, d, "customer").join(known, "c_custkey", "left").select("c_custkey", F.coalesce("k", F.lit(False)).alias("valid"))
+
+
+@query("n03_attr_merge", "select l_orderkey as key, name, array_to_string(list_sort(list_distinct(list(value))), '|') as value, count(distinct value) as n_values from (select l_orderkey, 'flag' as name, l_returnflag as value from lineitem union all select l_orderkey, 'status', l_linestatus from lineitem) group by 1, 2")
+def n03(spark, d):
+    line = B.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "key")
+    pairs = line.select("key", F.lit("flag").alias("name"), F.col("l_returnflag").alias("value")).unionByName(line.select("key", F.lit("status").alias("name"), F.col("l_linestatus").alias("value")))
+    return G.merge_attributes(pairs, "key")
+
+
+@query("n02_json_props", "select event_type, count(*) as n, sum(cast(json_extract(props, '$.k') as bigint)) as total from events group by 1")
+def n02(spark, d):
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return B.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+
+
+# Scores
+
+@query("m09_token_score", "select p_partkey, case when contains(lower(p_name), 'widget') then 6 else 0 end + case when contains(lower(p_name), 'bolts') or contains(lower(p_name), 'bolt') then 5 else 0 end as score from part")
+def m09(spark, d):
+    return B.table(spark, d, "part").select("p_partkey", S.token_score(F.array(F.lit("widget"), F.lit("bolts")), F.col("p_name")).alias("score"))
+
+
+@query("m12_hyperedge_score", f"with {B.HYPEREDGES} select hyperedge_id, round(case when label = 'O' then 6.0 else 0 end + case when hyperedge_type = 'event' then 1.5 else 0 end + case when label = 'F' then 2.0 else 0 end - case when hyperedge_type = 'relation' and label = 'P' then 3.0 else 0 end + 0.01 * confidence, 6) as score from hyperedges")
+def m12(spark, d):
+    h = B.hyperedges(spark, d)
+    score = S.hyperedge_score(S.token_score_of(["o"], F.col("label"), 3), F.lit(0), F.col("hyperedge_type"), F.col("label"), S.keyword_hits(F.col("label"), ["F"]), F.lit(0), F.col("confidence"), ["P"])
+    return h.select("hyperedge_id", F.round(score, 6).alias("score"))
+
+
+_DIMENSIONS = """select 'papers' as dimension, least(1.0, count(*) / 500.0) as score, 0.3 as weight, true as required from documents
+ union all select 'knowledge', least(1.0, count(distinct p_name) / 100.0), 0.3, true from part
+ union all select 'conditions', count(*) filter (l_discount > 0.05) / count(*), 0.2, false from lineitem
+ union all select 'comparison', least(1.0, count(*) / 10.0), 0.2, false from (select l_partkey from lineitem group by 1 having count(*) > 45)"""
+
+
+@query("m13_sufficiency", f"with dims as ({_DIMENSIONS}), a as (select sum(score * weight) / sum(weight) as mean, bool_or(required and score < 0.6) as gated, coalesce(string_agg(case when score < 0.6 then dimension end, ',' order by dimension), '') as unmet from dims) select round(case when gated then least(mean, 0.599) else mean end, 6) as score, gated, unmet, case when round(case when gated then least(mean, 0.599) else mean end, 6) >= 0.6 then 'sufficient' when 1 >= 3 then 'exhausted' else 'insufficient' end as decision from a")
+def m13(spark, d):
+    line = B.table(spark, d, "lineitem")
+    dim = lambda df, name, score, weight, required: df.agg(F.lit(name).alias("dimension"), score.cast("double").alias("score"), F.lit(weight).alias("weight"), F.lit(required).alias("required"))
+    compared = line.groupBy("l_partkey").agg(F.count("*").alias("n")).filter("n > 45")
+    dims = dim(B.table(spark, d, "documents"), "papers", F.least(F.lit(1.0), F.count("*") / 500.0), 0.3, True)
+    dims = dims.unionByName(dim(B.table(spark, d, "part"), "knowledge", F.least(F.lit(1.0), F.count_distinct("p_name") / 100.0), 0.3, True))
+    dims = dims.unionByName(dim(line, "conditions", F.count_if(F.col("l_discount") > 0.05) / F.count("*"), 0.2, False))
+    dims = dims.unionByName(dim(compared, "comparison", F.least(F.lit(1.0), F.count("*") / 10.0), 0.2, False))
+    return M.verdict(dims, 0.6, 1, 3)
+
+
+@query("m17_candidate_score", "select p_partkey, round(3.0 * least(p_size % 6, 4) + 2.5 * (p_partkey % 4) / 4 + 1.5 * least(p_partkey % 9, 6) / 6 - p_partkey % 3 - p_partkey % 2, 6) as score from part")
+def m17(spark, d):
+    k = F.col("p_partkey")
+    return B.table(spark, d, "part").select("p_partkey", F.round(S.candidate_score(F.col("p_size") % 6, (k % 4) / 4, k % 9, k % 3, k % 2), 6).alias("score"))
+
+
+@query("m19_chain_level", "select l_orderkey, count(*) as steps, case when count(*) filter (l_returnflag = 'R') >= 2 then 'L4' when count(*) filter (l_returnflag = 'R') = 1 then 'L3' when count(*) filter (l_returnflag = 'A') > 0 then 'L2' else 'L1' end as level from (select *, lag(l_returnflag) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as before from lineitem) where before is null or before <> l_returnflag group by 1")
+def m19(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    chain = B.table(spark, d, "lineitem").withColumn("before", F.lag("l_returnflag").over(w)).filter("before is null or before != l_returnflag")
+    mech = F.count_if(F.col("l_returnflag") == "R")
+    level = F.when(mech >= 2, "L4").when(mech == 1, "L3").when(F.count_if(F.col("l_returnflag") == "A") > 0, "L2").otherwise("L1")
+    return chain.groupBy("l_orderkey").agg(F.count("*").alias("steps"), level.alias("level"))
+
+
+# Graph
+
+@query("g01_relation_canonical", "select l_shipdate, l_orderkey, l_linenumber, case l_returnflag when 'A' then 'accepts' when 'R' then 'returns' else l_returnflag end as relation from lineitem where l_orderkey < 2000")
+def g01(spark, d):
+    synonyms = F.broadcast(spark.createDataFrame([("a", "accepts"), ("r", "returns")], "key string, canonical string"))
+    line = B.table(spark, d, "lineitem").filter("l_orderkey < 2000")
+    return line.join(synonyms, T.squeeze(F.lower("l_returnflag")) == F.col("key"), "left").select("l_shipdate", "l_orderkey", "l_linenumber", F.coalesce("canonical", "l_returnflag").alias("relation"))
+
+
+@query("g02_node_merge", "select 'material' as node_type, lower(p_name) as normalized_name, arg_min(p_name, p_partkey) as name, count(*) as n_mentions, count(distinct p_brand) as n_papers, min(p_partkey) as first_seen, max(p_partkey) as last_seen, max(least(1.0, p_size / 50.0)) as confidence from part group by 2")
+def g02(spark, d):
+    m = B.table(spark, d, "part").select(F.lit("material").alias("node_type"), F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("confidence"), F.col("p_brand").alias("paper_key"), F.col("p_partkey").alias("seq"))
+    return G.merge_nodes(m).select("node_type", "normalized_name", "name", "n_mentions", F.size("papers").cast("long").alias("n_papers"), "first_seen", "last_seen", "confidence")
+
+
+@query("g03_edge_merge", "select 'supplied_by' as relation_type, l_partkey as source_node, l_suppkey as target_node, max(1 - l_discount) as confidence, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) as attributes, count(distinct l_orderkey) as support from lineitem group by 2, 3")
+def g03(spark, d):
+    e = B.table(spark, d, "lineitem").select(F.lit("supplied_by").alias("relation_type"), F.col("l_partkey").alias("source_node"), F.col("l_suppkey").alias("target_node"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_returnflag").alias("attributes"), F.lit(None).cast("string").alias("evidence_tier"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("paper_key"))
+    return G.merge_edges(e).drop("evidence_tier")
+
+
+@query("g05_fingerprint", "select count(*) as n, count(distinct list_sort(list)) as shapes from (select l_orderkey, list(l_partkey % 5 || ':' || l_returnflag) as list from lineitem group by 1)")
+def g05(spark, d):
+    members = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_partkey") % 5).alias("n"), F.col("l_returnflag").alias("role"))).alias("m"))
+    none = F.array().cast("array<struct<x:int>>")
+    return members.select(G.fingerprint(F.lit("x"), F.lit(""), F.lit(None).cast("string"), F.col("m"), none, none).alias("f")).agg(F.count("*").alias("n"), F.count_distinct("f").alias("shapes"))
+
+
+@query("g07_nullsafe_dedup", "select min(event_id) as event_id, user_id, nullif(event_type, 'view') as event_type from events group by user_id, nullif(event_type, 'view')")
+def g07(spark, d):
+    e = B.table(spark, d, "events").select("event_id", "user_id", F.nullif("event_type", F.lit("view")).alias("event_type"))
+    return G.distinct_rows(e, ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type")
+
+
+@query("g10_repoint", f"{_GRAPH}, k as (select lower(name) as n, min(node_id) as keep from nodes where node_type = 'material' group by 1), m as (select node_id, keep from nodes join k on lower(name) = n where node_type = 'material'), r as (select relation_type, coalesce(a.keep, source_node) as source_node, coalesce(b.keep, target_node) as target_node, confidence from edges left join m a on a.node_id = source_node left join m b on b.node_id = target_node) select relation_type, source_node, target_node, max(confidence) as confidence from r where source_node <> target_node group by 1, 2, 3")
+def g10(spark, d):
+    n = B.nodes(spark, d).filter("node_type = 'material'").withColumn("k", F.lower("name"))
+    mapping = n.join(n.groupBy("k").agg(F.min("node_id").alias("keep")), "k").filter("node_id != keep").select(F.col("node_id").alias("drop"), "keep")
+    e = B.edges(spark, d).select("relation_type", "source_node", "target_node", "confidence", F.lit("").alias("attributes"), F.lit(None).cast("string").alias("evidence_tier"), F.lit(0).alias("seq"), F.lit("").alias("paper_key"))
+    return G.repoint(e, mapping).select("relation_type", "source_node", "target_node", "confidence")
+
+
+@query("g11_keepers", "select p_partkey as \"drop\", first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey) as keep from part qualify p_partkey <> first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey)")
+def g11(spark, d):
+    n = B.table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), "p_name", F.col("p_size").alias("support"), F.col("p_retailprice").alias("confidence"))
+    return G.keepers(n, ["p_name"])
+
+
+@query("g13_orphans", f"with {B.HYPEREDGES}, {B.MEMBERS} select hyperedge_id, hyperedge_type from hyperedges where hyperedge_id not in (select hyperedge_id from members)")
+def g13(spark, d):
+    return G.orphans(B.hyperedges(spark, d), B.members(spark, d)).select("hyperedge_id", "hyperedge_type")
+
+
+@query("g14_domains", f"{_GRAPH}, w as (select node_id, name, unnest(['red', 'blue', 'small', 'large', 'ring']) as word, unnest(['colour', 'colour', 'size', 'size', 'shape']) as domain from nodes) select distinct domain, node_id from w where contains(lower(name), word) union select n.name, source_node from edges join nodes n on n.node_id = target_node where relation_type in ('is_a', 'part_of')")
+def g14(spark, d):
+    return G.domains(B.nodes(spark, d), B.edges(spark, d), RULES)
+
+
+@query("g17_components", f"{_GRAPH}, recursive_edges as (select source_node as a, target_node as b from edges where confidence >= 0.85 and relation_type <> 'supplied_by' union all select target_node, source_node from edges where confidence >= 0.85 and relation_type <> 'supplied_by') select node_id, coalesce((select min(r.n_regionkey) * 4 + 3 from nation r where r.n_nationkey * 4 + 2 = node_id or r.n_nationkey in (select s_nationkey from supplier where s_suppkey * 4 + 1 = node_id) or r.n_regionkey * 4 + 3 = node_id), -1) as region from nodes")
+def g17(spark, d):
+    n, e = B.nodes(spark, d), B.edges(spark, d).filter("relation_type != 'supplied_by'")
+    c = G.components(n, e)
+    area = n.filter("node_type = 'area'").join(c, "node_id").select("component", F.col("node_id").alias("region"))
+    return c.join(area, "component", "left").select("node_id", F.coalesce("region", F.lit(-1).cast("long")).alias("region"))
+
+
+@query("g18_bfs", f"{_GRAPH}, d0 as (select 0 as node_id), d1 as (select distinct target_node as node_id from edges where source_node in (select node_id from d0)), d2 as (select distinct target_node as node_id from edges where source_node in (select node_id from d1)), d3 as (select distinct target_node as node_id from edges where source_node in (select node_id from d2)) select node_id, min(depth) as depth from (select node_id, 0 as depth from d0 union all select node_id, 1 from d1 union all select node_id, 2 from d2 union all select node_id, 3 from d3) group by 1")
+def g18(spark, d):
+    return G.reach(B.edges(spark, d), spark.range(1).select(F.col("id").alias("node_id")), 3)
+
+
+@query("g19_evidence_mining", f"{_PATTERNS}, r as (select *, row_number() over (order by relevance desc, support desc, confidence desc, relation_type, source_node, target_node) as n from p) select printf('P-%04d', n) as pattern_id, relation_type, source_name, target_name, relevance, support, confidence from r where n <= 200")
+def g19(spark, d):
+    top = M.ranked(M.patterns(B.edges(spark, d), B.nodes(spark, d), TOKENS), 200)
+    order = Window.orderBy(F.desc("relevance"), F.desc("support"), F.desc("confidence"), "relation_type", "source_node", "target_node")
+    # two hundred rows by now
+    return top.withColumn("_n", F.row_number().over(order)).select(F.format_string("P-%04d", "_n").alias("pattern_id"), "relation_type", "source_name", "target_name", "relevance", "support", "confidence")
+
+
+@query("a18_coverage", f"{_PATTERNS}, h as (select count(*) as n from orders where o_orderpriority = '1-URGENT') select round(least(1.0, greatest((count(*) + any_value(h.n)) / 100000.0, avg(support) / 3.0)), 3) as coverage from p, h")
+def a18(spark, d):
+    p = M.patterns(B.edges(spark, d), B.nodes(spark, d), TOKENS).agg(F.count("*").alias("n"), F.avg("support").alias("s"))
+    h = B.hyperedges(spark, d).filter("hyperedge_type = 'event'").agg(F.count("*").alias("m"))
+    # two single rows
+    return p.crossJoin(h).select(M.coverage(F.col("n"), F.col("m"), F.col("s"), 100000).alias("coverage"))
+
+
+# Writes and checks
+
+@query("k01_upsert", "select coalesce(n.c_custkey, o.c_custkey) as c_custkey, case when n.c_custkey is not null then n.c_acctbal else o.c_acctbal end as c_acctbal, coalesce(n.c_name, o.c_name) as c_name from (select c_custkey, c_acctbal, c_name from customer where c_custkey % 3 <> 0) o full join (select c_custkey, c_acctbal + 1 as c_acctbal, case when c_custkey % 4 = 0 then c_name || '*' end as c_name from customer where c_custkey % 2 = 0) n on n.c_custkey = o.c_custkey")
+def k01(spark, d):
+    c = B.table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name")
+    new = c.filter("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("*"))).alias("c_name"))
+    return L.upsert(c.filter("c_custkey % 3 != 0"), new, "c_custkey", ["c_name"])
+
+
+@query("k06_insert_ignore", "select p_name, p_partkey from (select *, row_number() over (partition by p_name order by cast(p_partkey >= 1000 as int), p_partkey) as rn from part) where rn = 1")
+def k06(spark, d):
+    p = B.table(spark, d, "part").select("p_name", "p_partkey")
+    return L.insert_ignore(p.filter("p_partkey < 1000"), p.filter("p_partkey >= 1000"), ["p_name"])
+
+
+@query("k10_cascade_delete", "select 'orders' as \"table\", count(*) as before, count(*) filter (k % 10 <> 0) as after from (select o_custkey as k from orders) union all select 'customer', count(*), count(*) filter (c_custkey % 10 <> 0) from customer")
+def k10(spark, d):
+    tables = {"orders": B.table(spark, d, "orders").withColumnRenamed("o_custkey", "k"), "customer": B.table(spark, d, "customer").withColumnRenamed("c_custkey", "k")}
+    gone = tables["customer"].filter("k % 10 = 0").select("k")
+    return L.cascade_delete("k", gone, tables)[1]
+
+
+@query("q06_fact_check", "select l_orderkey * 10 + l_linenumber as claim_id, case when l_suppkey % 7 = 0 then 'fabricated' else 'number' end as issue from lineitem where l_orderkey < 3000 and (l_suppkey % 7 = 0 or l_quantity <> 10)")
+def q06(spark, d):
+    line = B.table(spark, d, "lineitem").filter("l_orderkey < 3000")
+    claims = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.format_string("yield %d", F.col("l_quantity").cast("int") + 100).alias("text"), F.col("l_suppkey").alias("evidence_id"))
+    evidence = B.table(spark, d, "supplier").filter("s_suppkey % 7 != 0").select(F.col("s_suppkey").alias("evidence_id"), F.lit("a yield of 110 percent").alias("sentence"))
+    return M.fact_check(claims, evidence).select("claim_id", "issue")
+
+
+@query("x02_tags_of", "select c_custkey, coalesce(string_agg(distinct o_orderpriority, '|' order by o_orderpriority), '') as tags from customer left join orders on o_custkey = c_custkey group by 1")
+def x02(spark, d):
+    tags = B.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("tag"))
+    return L.tags_of(B.table(spark, d, "customer").select("c_custkey"), tags, "c_custkey").select("c_custkey", joined(F.col("tags")).alias("tags"))
+
+
+@query("x01_sidecar_state", "select user_id, k from (select user_id, cast(json_extract(props, '$.k') as bigint) as k, event_type, row_number() over (partition by user_id, cast(json_extract(props, '$.k') as bigint) order by event_id desc) as rn from events) where rn = 1 and event_type <> 'error'")
+def x01(spark, d):
+    e = B.table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id", F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
+    return L.apply_commands(e, ["user_id", "k"], "event_id")
