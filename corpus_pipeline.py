@@ -11,22 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import decontam, langid, linededup, neardup, packing
-from corpusgraph.llm.scratch import stash
+from corpusgraph.llm.scratch import stash, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those without text or letters go."""
     model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), "doc_id", "text", "lang")
-    told = docs.withColumn("_p", langid.predict(model, F.col("text")))
-    return told.filter(F.col("_p.lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return docs.filter(langid.predict(model, F.col("text"))["lang_pred"] != langid.UNKNOWN)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the least doc_id."""
     judged = neardup.classes(docs, threshold=80)
-    dropped = judged.filter("not kept").select(F.col("doc_id").alias("_id"), "_hash").distinct()
+    key, text = unused(docs, "_id"), unused(docs, "_hash")
+    dropped = judged.filter("not kept").select(F.col("doc_id").alias(key), F.col("_hash").alias(text)).distinct()
     # as many rows as there are copies, so that the join is a shuffle at every size
-    return docs.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    return docs.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,14 +7,14 @@ removed; what is removed keeps its offsets in the original text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stash
+from .scratch import stash, unused
 
 #: Units of fewer words stay: headings, menu entries and licence lines repeat for good reasons.
 MIN_WORDS = 16
@@ -40,7 +40,7 @@ def units(docs: DataFrame, key: str, text: str, unit: str = "line", min_words: i
                     split = part.lower().split()
                     if len(split) >= min_words:
                         home.append(row), index.append(i), start.append(at), end.append(at + len(part)), words.append(len(split))
-                        digest.append(xxhash.xxh3_128_digest(" ".join(split)))
+                        digest.append(hashlib.md5(" ".join(split).encode(), usedforsecurity=False).digest())
                     at += len(part) + len(mark)
             cols = [batch.column("_key").take(pa.array(home, pa.int64())), pa.array(index, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.int64()), pa.array(digest, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["_key", "unit", "start", "end", "n_words", "digest"])
@@ -88,7 +88,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str =
 
     A document that loses every unit keeps an empty text.
     """
-    gone = repeated(docs, key, text, unit, min_words).groupBy(F.col(key).alias("_k")).agg(F.collect_set("unit").alias("_gone"))
-    joined = docs.join(gone, F.col(key).eqNullSafe(F.col("_k")), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without(F.when(F.col("_gone").isNotNull(), F.col(text)), F.col("_gone"), unit))
+    own, places = unused(docs, "_key"), unused(docs, "_gone")
+    gone = repeated(docs, key, text, unit, min_words).groupBy(F.col(key).alias(own)).agg(F.collect_set("unit").alias(places))
+    joined = docs.join(gone, F.col(key).eqNullSafe(F.col(own)), "left")
+    kept = F.when(F.col(places).isNull(), F.col(text)).otherwise(without(F.when(F.col(places).isNotNull(), F.col(text)), F.col(places), unit))
     return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns])

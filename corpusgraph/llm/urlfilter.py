@@ -81,7 +81,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     """A row for each row of ``pages``: key, host, path, rule, verdict, trust, distrust.
 
     A null url, or one without ://, has an empty host and path; no rule fits
-    it, and the empty host is never a seed, so it is allowed.  A null html has
+    it, and the empty host is never a seed, so it is allowed.  Trust and distrust
+    are shown with six decimals.  A null html has
     no links.  Keys may be null or repeat.  An empty table gives no rows;
     other columns are not looked at.
     """
@@ -96,4 +97,4 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     score = propagate(both, seeds).groupBy("host").pivot("kind", ["trust", "distrust"]).agg((F.sum("score") / (1 - DAMPING)))
     scored = ruled.join(score, "host", "left").fillna(0.0, ["trust", "distrust"])
     method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return scored.select(F.col("_key").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", method).alias("verdict"), "trust", "distrust")
+    return scored.select(F.col("_key").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", method).alias("verdict"), F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
