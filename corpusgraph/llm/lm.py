@@ -30,6 +30,8 @@ from .text import hash_word, mix, word_hashes
 
 #: Bytes of text in a block, and of all text for one hash range.
 BLOCK, RANGE = 8 << 20, 16 << 20
+#: Blocks at least: of a single one, nothing would be left to learn the weights from when it is deleted.
+FEWEST = 16
 #: Context-frequency buckets are powers of two up to this one.
 BUCKETS = 24
 #: Held-out events are summed up in cells of this width in ln(count) and ln(probability).
@@ -159,7 +161,7 @@ def count(docs: DataFrame, key: str, text: str, parts: int, part: int) -> DataFr
     """
     kind = docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks, ranges = max(1, -(-size // BLOCK)), max(1, -(-size // RANGE))
+    blocks, ranges = max(FEWEST, -(-size // BLOCK)), max(1, -(-size // RANGE))
     out = held_out(F.col(key), parts, part)
     rows = docs.select(F.pmod(F.xxhash64(F.col(key), F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("_key"), out.alias("held_out"), F.col(text).alias("_text"))
 

@@ -70,7 +70,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         return start
     rank = start
     for i in range(rounds):
-        moved = rank.join(steps, (rank["kind"] == steps["kind"]) & (rank["host"] == steps["src"])).select(steps["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("p")).alias("score"))
+        moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("p")).alias("score"))
         rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % EVERY == EVERY - 1:
             rank = stash(rank, "rank")
