@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..operators import graph as G
 from ..operators import library as L
 from ..operators import mining as M
+from ..sources import records as R
+from ..streaming import monitor as W
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -627,3 +629,41 @@ def x02(spark, d):
 def x01(spark, d):
     e = B.table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id", F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
     return L.apply_commands(e, ["user_id", "k"], "event_id")
+
+
+# Sources and arrivals
+
+@query("s05_inverted_index", "select p_partkey, p_name || ' ' || p_name as abstract from part")
+def s05(spark, d):
+    words = F.split(F.concat_ws(" ", "p_name", "p_name"), " ")
+    places = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda x: x.isNotNull()).alias("value")))
+    return B.table(spark, d, "part").select("p_partkey", R.abstract_of(F.map_from_entries(places)).alias("abstract"))
+
+
+@query("s01_merged_hits", "with h as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as rn from orders), u as (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from h where rn = 1) select o_custkey, o_orderkey from u where n <= 3")
+def s01(spark, d):
+    hits = B.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("k"), "o_orderkey").alias("paper_key"), F.concat(F.lit(" 10.1/"), F.upper("o_orderpriority")).alias("doi"))
+    return R.merged_hits(hits, "o_custkey", ["o_orderkey"], 3).select("o_custkey", "o_orderkey")
+
+
+@query("d02_pub_date", "select event_id, case when event_id % 3 = 0 then year(ts) || '-01-01' else strftime(ts, '%Y-%m-%d') end as pub_date from events")
+def d02(spark, d):
+    t = F.col("ts")
+    day = F.when(F.col("event_id") % 3 != 0, F.dayofmonth(t).cast("string"))
+    return B.table(spark, d, "events").select("event_id", R.pub_date(F.year(t), F.date_format(t, "MMMM"), day).alias("pub_date"))
+
+
+@query("r01_poll", "select event_id from events where ts >= timestamp '2024-01-15 00:00:00' and event_id % 5 <> 0")
+def r01(spark, d):
+    e = B.table(spark, d, "events").select("event_id", "ts")
+    return W.poll(e, e.filter("event_id % 5 = 0"), "2024-01-15 00:00:00", "event_id", "ts")[0].select("event_id")
+
+
+@query("r07_tumbling", "select date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as \"end\", event_type, count(*) as n from events group by 1, 2, 3")
+def r07(spark, d):
+    return W.windowed(B.table(spark, d, "events"), "ts", "1 day", by=("event_type",))
+
+
+@query("r07_sessions", "with g as (select user_id, ts, case when ts > lag(ts) over w + interval 6 hour or lag(ts) over w is null then 1 else 0 end as first from events window w as (partition by user_id order by ts)), s as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as k from g) select min(ts) as start, max(ts) + interval 6 hour as \"end\", user_id, count(*) as n from s group by user_id, k")
+def r07_sessions(spark, d):
+    return W.sessions(B.table(spark, d, "events"), "ts", "6 hours", "user_id")
