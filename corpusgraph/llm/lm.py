@@ -9,7 +9,8 @@ predicted from the counts of all others.
 Counts cover all training documents and stay distributed.  A block of
 documents sends its distinct words and bigrams once, as sorted hashes with
 their counts, to the hash ranges that sum them up; a range answers with the
-totals that differ from the block's own.  Words are told apart by 64 bits of
+totals that differ from the block's own, in the order in which they were sent,
+so that no hash travels back.  Words are told apart by 64 bits of
 hash, bigrams by 56.
 """
 
@@ -68,6 +69,20 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(_unplane(data[12 : 12 + n * a], n, a), dtype=np.uint64), _unplane(data[12 + n * a :], n, b)
 
 
+def reply(differs: np.ndarray, totals: np.ndarray) -> bytes:
+    """A bit for each hash that was sent, and the totals of those whose bit is set."""
+    width = _width(totals)
+    return np.array([len(differs), len(totals), width], dtype="<u4").tobytes() + np.packbits(differs).tobytes() + _planes(totals, width)
+
+
+def apply_reply(data: bytes, total: np.ndarray) -> None:
+    """Writes the totals of a reply over those of the hashes that were sent."""
+    n, changed, width = np.frombuffer(data[:12], dtype="<u4").tolist()
+    body = 12 + -(-n // 8)
+    differs = np.unpackbits(np.frombuffer(data[12:body], dtype=np.uint8), count=n).astype(bool)
+    total[differs] = _unplane(data[body:], changed, width)
+
+
 def tokens(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts with an end after each, their bigram hashes, each text's bounds, and whether a token is of a training text."""
     hashes, bounds, _, _ = word_hashes(texts)
@@ -110,15 +125,15 @@ def merge(blocks: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> tupl
         own = slice(edges[i], edges[i + 1])
         pick = other[own]
         if pick.any():
-            out[block] = encode(hashes[own][pick], total[where[own][pick]])
+            out[block] = reply(pick, total[where[own][pick]])
     return int((total > 0).sum()), out
 
 
-def _totals(found: np.ndarray, own: np.ndarray, answers: list[bytes]) -> np.ndarray:
+def _totals(found: np.ndarray, own: np.ndarray, kind: int, ranges: int, answers: list[tuple[int, bytes]]) -> np.ndarray:
     total = own.copy()
-    for data in answers:
-        hashes, counts = decode(data)
-        total[np.searchsorted(found, hashes)] = counts
+    edges = np.searchsorted(_range_of(found, kind, ranges), np.arange(ranges + 1))
+    for r, data in answers:
+        apply_reply(data, total[edges[r] : edges[r + 1]])
     return total
 
 
@@ -181,6 +196,7 @@ def count(docs: DataFrame, key: str, text: str, parts: int, part: int) -> DataFr
     def answer(table: pa.Table) -> pa.Table:
         what, home, data = (table.column(c).to_pylist() for c in ("kind", "block", "data"))
         block, kinds, totals, vocabulary = [], [], [], []
+        own_range = table.column("range")[0].as_py()
         for k in (WORD, BIGRAM):
             mine = [i for i, x in enumerate(what) if x == k]
             if not mine:
@@ -189,8 +205,8 @@ def count(docs: DataFrame, key: str, text: str, parts: int, part: int) -> DataFr
             for b, d in by.items():
                 block.append(b), kinds.append(k), totals.append(d), vocabulary.append(None)
             if k == WORD:
-                block.append(-1 - table.column("range")[0].as_py()), kinds.append(k), totals.append(None), vocabulary.append(known)
-        return pa.table({"block": pa.array(block, pa.int32()), "kind": pa.array(kinds, pa.int32()), "data": pa.array(totals, pa.binary()), "vocabulary": pa.array(vocabulary, pa.int64())})
+                block.append(-1 - own_range), kinds.append(k), totals.append(None), vocabulary.append(known)
+        return pa.table({"block": pa.array(block, pa.int32()), "range": pa.array([own_range] * len(block), pa.int32()), "kind": pa.array(kinds, pa.int32()), "data": pa.array(totals, pa.binary()), "vocabulary": pa.array(vocabulary, pa.int64())})
 
     schema = f"_key {kind}, held_out boolean, n_tokens long, n_known long, words binary, bigrams binary, bucket int, two int, one int, events long, vocabulary long"
 
@@ -201,12 +217,12 @@ def count(docs: DataFrame, key: str, text: str, parts: int, part: int) -> DataFr
             train = ~mine.column("held_out").to_numpy()
             word, pair, edges, own = tokens(mine.column("_text"), train)
             data = defaultdict(list)
-            for k, d in zip(answers.column("kind").to_pylist(), answers.column("data").to_pylist(), strict=True):
+            for k, r, d in zip(answers.column("kind").to_pylist(), answers.column("range").to_pylist(), answers.column("data").to_pylist(), strict=True):
                 if d is not None:
-                    data[k].append(d)
+                    data[k].append((r, d))
             w, at_w, mine_w = _local(word, own)
             p, at_p, mine_p = _local(pair, own)
-            all_w, all_p = _totals(w, mine_w, data[WORD]), _totals(p, mine_p, data[BIGRAM])
+            all_w, all_p = _totals(w, mine_w, WORD, ranges, data[WORD]), _totals(p, mine_p, BIGRAM, ranges, data[BIGRAM])
             count_w, count_p = all_w[at_w].astype("<u8"), all_p[at_p].astype("<u8")
             first = np.zeros(len(word), dtype=bool)
             first[edges[:-1]] = True
@@ -236,7 +252,7 @@ def count(docs: DataFrame, key: str, text: str, parts: int, part: int) -> DataFr
 
     key_type = to_arrow_type(docs.schema[key].dataType)
     sent = rows.groupBy("block").applyInArrow(send, "range int, kind int, block int, data binary")
-    totals = sent.groupBy("range").applyInArrow(answer, "block int, kind int, data binary, vocabulary long")
+    totals = sent.groupBy("range").applyInArrow(answer, "block int, range int, kind int, data binary, vocabulary long")
     return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(resolve, schema)
 
 
