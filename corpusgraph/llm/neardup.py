@@ -91,26 +91,42 @@ def sketch_of(shingles: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray, sizes: np.ndarray, threshold: int = THRESHOLD) -> list[np.ndarray]:
-    """The band keys of each sketch; sets at the edge of a level have those of both."""
+def prefix(own: np.ndarray, threshold: int) -> np.ndarray:
+    """The least hashes of a sorted set, as many as it takes for two sets that reach the threshold to share one."""
+    return own[: len(own) + -threshold * len(own) // 100 + 1]
+
+
+def band_keys(shingles: list[np.ndarray], sketch: np.ndarray, threshold: int = THRESHOLD) -> list[np.ndarray]:
+    """The band keys of each set, for every level from its own to that of its largest partner.
+
+    The larger set's level has a band without differences for both.  Where
+    that band is empty it says nothing about the sets, so its keys are then
+    those of the band with each hash of the prefix.
+    """
+    sizes = np.array([len(x) for x in shingles], dtype=np.int64)
     levels = [*_levels(threshold), (1 << 62, BANDS)]
     tops = np.array([n for n, _ in levels])
     own = np.searchsorted(tops, sizes)
-    near = np.searchsorted(tops, -(-sizes * 100 // threshold))
+    most = np.searchsorted(tops, sizes * 100 // threshold)
     keys: list[list[np.ndarray]] = [[] for _ in sizes]
     with np.errstate(over="ignore"):
         for k, (_, bands) in enumerate(levels):
-            rows = np.flatnonzero((sizes > 0) & ((own == k) | (near == k)))
+            rows = np.flatnonzero((sizes > 0) & (own <= k) & (k <= most))
             if not len(rows):
                 continue
-            edges = np.linspace(0, REGISTERS, bands + 1).astype(int) if k < len(levels) - 1 else np.arange(bands + 1) * ROWS
+            small = k < len(levels) - 1
+            edges = np.linspace(0, REGISTERS, bands + 1).astype(int) if small else np.arange(bands + 1) * ROWS
             for b in range(bands):
                 part = sketch[rows, edges[b] : edges[b + 1]].astype(np.uint64)
-                key = np.full(len(rows), (k + 1) * 1000 + b, dtype=np.uint64)
+                name = np.uint64((k + 1) * 1000 + b)
+                key = np.full(len(rows), name, dtype=np.uint64)
                 for j in range(part.shape[1]):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, j])
-                for row, value in zip(rows[part.any(axis=1)].tolist(), key[part.any(axis=1)].view(np.int64), strict=True):
+                filled = part.any(axis=1)
+                for row, value in zip(rows[filled].tolist(), key[filled].view(np.int64), strict=True):
                     keys[row].append(value)
+                for row in rows[~filled].tolist() if small else ():
+                    keys[row].extend(mix(prefix(shingles[row], threshold) * np.uint64(0x9E3779B97F4A7C15) + name).view(np.int64))
     return [np.array(k, dtype=np.int64) for k in keys]
 
 
@@ -146,7 +162,7 @@ def sketches(docs: DataFrame, key: str, text: str, threshold: int = THRESHOLD) -
                 own = list(sets_of(batch.column("_text")))
                 sizes = np.array([len(x) for x in own], dtype=np.int64)
                 sketch = sketch_of(own)
-                keys = band_keys(sketch, sizes, threshold)
+                keys = band_keys(own, sketch, threshold)
                 cols = [batch.column("_key"), batch.column("_hash"), pa.array(sizes), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())]
                 cols += [pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["_key", "_hash", "n", "digest", "registers", "keys"])

@@ -60,6 +60,36 @@ def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(made, 85)
 
 
+@pytest.mark.parametrize("threshold", [85, 80])
+def test_linked_sets_of_every_size_share_a_key(threshold):
+    """Any two sets of up to 130 shingles at the threshold, and ones that one contains; 20 draws of each."""
+    rng = np.random.default_rng(7)
+    lost = []
+    for n in range(1, 131):
+        made, sizes = [], []
+        for m in range(n, min(130, n * 100 // threshold) + 1):
+            common = -(-threshold * (n + m) // (100 + threshold))
+            for both in {n, common} if common <= n else ():
+                for _ in range(20):
+                    pool = rng.integers(0, 1 << 63, size=n + m - both, dtype=np.uint64) << np.uint64(1)
+                    made += [np.sort(pool[:n]), np.sort(pool[n - both :])]
+                    sizes.append((n, m, both))
+        keys = neardup.band_keys(made, neardup.sketch_of(made), threshold)
+        lost += [s for s, a, b in zip(sizes, keys[::2], keys[1::2], strict=True) if not set(a.tolist()) & set(b.tolist())]
+    assert not lost
+
+
+def test_short_documents_with_words_appended(spark):
+    made = []
+    for at, (n, m) in enumerate([(6, 7), (15, 18), (18, 22), (22, 27), (27, 33), (33, 41), (41, 51), (51, 63)]):
+        w = [f"v{at}x{i}" for i in range(m + 4)]
+        made += [(2 * at, " ".join(w[: n + 4])), (2 * at + 1, " ".join(w))]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for threshold in (80, 85):
+        got = neardup.classes(df, threshold=threshold).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(made, threshold)
+
+
 def test_edges(clashing, docs, empty, same):
     same(neardup.classes(clashing), neardup.classes(docs))
     assert neardup.classes(empty).count() == 0
