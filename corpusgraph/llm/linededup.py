@@ -7,7 +7,9 @@ removed; what is removed keeps its offsets in the original text.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .scratch import stash, unused
 
-#: Units of fewer words stay: headings, menu entries and licence lines repeat for good reasons.
+#: Units of fewer words stay by themselves: headings, menu entries and licence lines repeat for good reasons.
 MIN_WORDS = 16
+#: They go where a run of consecutive units with so many words repeats.
+RUN_WORDS = 50
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 
 
@@ -26,29 +30,57 @@ def normalise(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
-def units(docs: DataFrame, key: str, text: str, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """_key, unit, start, end, n_words, digest of each unit that is long enough; offsets are in characters."""
+def _windows(words: list[int], least: int, run: int) -> Iterator[tuple[int, int]]:
+    """First and last of the shortest stretches from each unit on, and up to each unit, that have ``run`` words and a unit of fewer than ``least``."""
+    total = [0, *itertools.accumulate(words)]
+    short = [0, *itertools.accumulate(n < least for n in words)]
+    found = set()
+    for i in range(len(words)):
+        j = bisect.bisect_left(total, total[i] + run)
+        if j < len(total):
+            found.add((i, j))
+        j = bisect.bisect_right(total, total[i + 1] - run) - 1
+        if j >= 0:
+            found.add((j, i + 1))
+    return ((i, j) for i, j in sorted(found) if short[j] > short[i])
+
+
+def units(docs: DataFrame, key: str, text: str, unit: str = "line", min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
+    """_key, _hash (of the text), unit, start, end, n_words, digest, run; offsets are in characters.
+
+    A row for each unit that is long enough by itself.  With ``run_words``
+    also one for each shorter unit that has a word, and one for each stretch of
+    consecutive units that _windows names, whose digest is that of its units and
+    whose run lists them; units without words are passed over.
+    """
     mark = SEPARATORS[unit]
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            home, index, start, end, words, digest = [], [], [], [], [], []
-            for row, t in enumerate(batch.column("_text")):
-                at = 0
-                for i, part in enumerate((t.as_py() or "").split(mark)):
-                    split = part.lower().split()
-                    if len(split) >= min_words:
-                        home.append(row), index.append(i), start.append(at), end.append(at + len(part)), words.append(len(split))
-                        digest.append(hashlib.md5(" ".join(split).encode(), usedforsecurity=False).digest())
-                    at += len(part) + len(mark)
-            cols = [batch.column("_key").take(pa.array(home, pa.int64())), pa.array(index, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.int64()), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["_key", "unit", "start", "end", "n_words", "digest"])
-
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, unit int, start long, end long, n_words long, digest binary")
-
-
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                home, index, start, end, words, digest, runs = [], [], [], [], [], [], []
+                for row, t in enumerate(batch.column("_text")):
+                    at, base = 0, len(home)
+                    for i, part in enumerate((t.as_py() or "").split(mark)):
+                        split = part.lower().split()
+                        if split and (run_words is not None or len(split) >= min_words):
+                            home.append(row), index.append(i), start.append(at), end.append(at + len(part)), words.append(len(split)), runs.append(None)
+                            digest.append(hashlib.md5(" ".join(split).encode(), usedforsecurity=False).digest())
+                        at += len(part) + len(mark)
+                    for i, j in _windows(words[base:], min_words, run_words) if run_words is not None else ():
+                        i, j = base + i, base + j
+                        home.append(row), index.append(index[i]), start.append(start[i]), end.append(end[j - 1]), words.append(sum(words[i:j])), runs.append(index[i:j])
+                        digest.append(hashlib.md5(b"run" + b"".join(digest[i:j]), usedforsecurity=False).digest())
+                home = pa.array(home, pa.int64())
+                cols = [batch.column("_key").take(home), batch.column("_hash").take(home), pa.array(index, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.int64()), pa.array(digest, pa.binary()), pa.array(runs, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, ["_key", "_hash", "unit", "start", "end", "n_words", "digest", "run"])
+
+    return docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, _hash long, unit int, start long, end long, n_words long, digest binary, run array<int>")
+
+
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
     """Units to remove: key, unit, start, end, n_words, digest, first_key, first_unit.
 
     Units are ranked by key, then by place; a null key ranks last.  Rows with
@@ -56,15 +88,33 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str
     place in them repeat nothing among each other.  Null and empty texts have no units.  An empty table
     gives no rows; other columns are not looked at.
 
+    A unit of fewer than ``min_words`` words goes where it belongs to a run of
+    consecutive units, of ``run_words`` words together, that stood before; a run
+    does not repeat one that it overlaps.  None leaves all shorter units.
+
     Only digests that occur twice are joined back, and the grouped side has
     one row for each; a digest that is very frequent is summed up before the
     shuffle, and its join is split by adaptive execution.
     """
-    found = stash(units(docs, key, text, unit, min_words), "units")
+    found = stash(units(docs, key, text, unit, min_words, run_words), "units")
     rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("unit").alias("unit"))
-    groups = found.groupBy("digest").agg(F.min(rank).alias("_first"), F.max(rank).alias("_last")).filter("_first != _last").select("digest", "_first")
-    later = found.join(groups, "digest").filter(rank != F.col("_first"))
-    return later.select(F.col("_key").alias(key), "unit", "start", "end", "n_words", F.hex("digest").alias("digest"), F.col("_first.key").alias(f"first_{key}"), F.col("_first.unit").alias("first_unit"))
+    long = found.filter(F.col("run").isNull() & (F.col("n_words") >= min_words))
+    groups = long.groupBy("digest").agg(F.min(rank).alias("_first"), F.max(rank).alias("_last")).filter("_first != _last").select("digest", "_first")
+    later = long.join(groups, "digest").filter(rank != F.col("_first"))
+    out = [F.col("_key").alias(key), "unit", "start", "end", "n_words", F.hex("digest").alias("digest"), F.col("_first.key").alias(f"first_{key}"), F.col("_first.unit").alias("first_unit")]
+    if run_words is None:
+        return later.select(*out)
+    place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("run").alias("run"))
+    runs = found.filter(F.col("run").isNotNull()).select("_key", "_hash", "digest", "run")
+    groups = runs.groupBy("digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first != _last").select("digest", "_first")
+    apart = ~F.col("_key").eqNullSafe(F.col("_first.key")) | (F.element_at("run", 1) > F.element_at("_first.run", -1))
+    units_of = F.explode(F.arrays_zip(F.col("run").alias("unit"), F.col("_first.run").alias("first")))
+    again = runs.join(groups, "digest").filter(apart).select("_key", "_hash", F.col("_first.none").alias("none"), F.col("_first.key").alias("key"), units_of.alias("_u"))
+    again = again.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.col("_u.unit").alias("_at")).agg(F.min(F.struct("none", "key", F.col("_u.first").alias("unit"))).alias("_first"))
+    short = found.filter(F.col("run").isNull() & (F.col("n_words") < min_words))
+    # both sides grow with the input, so that the join is a shuffle at every size
+    shorter = short.join(again.hint("merge"), (F.col("_hash") == F.col("_h")) & (F.col("unit") == F.col("_at")) & F.col("_key").eqNullSafe(F.col("_k")))
+    return later.select(*out).unionByName(shorter.select(*out))
 
 
 def without(text: Column, gone: Column, unit: str = "line") -> Column:
@@ -83,13 +133,13 @@ def without(text: Column, gone: Column, unit: str = "line") -> Column:
     return cut(text, gone)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
     """``docs`` with its repeated units taken out of ``text``; other columns and all rows stay.
 
     A document that loses every unit keeps an empty text.
     """
     own, places = unused(docs, "_key"), unused(docs, "_gone")
-    gone = repeated(docs, key, text, unit, min_words).groupBy(F.col(key).alias(own)).agg(F.collect_set("unit").alias(places))
+    gone = repeated(docs, key, text, unit, min_words, run_words).groupBy(F.col(key).alias(own)).agg(F.collect_set("unit").alias(places))
     joined = docs.join(gone, F.col(key).eqNullSafe(F.col(own)), "left")
     kept = F.when(F.col(places).isNull(), F.col(text)).otherwise(without(F.when(F.col(places).isNotNull(), F.col(text)), F.col(places), unit))
     return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -55,6 +55,25 @@ def test_paragraphs(spark):
     assert [(r.doc_id, r.unit) for r in got] == [(2, 1)]
 
 
+def test_runs_of_short_lines(spark):
+    """A passage in lines of 13 words goes with its last line; headings, shorter runs and runs that overlap themselves stay."""
+    line = [" ".join(f"p{i}x{j}" for j in range(13)) for i in range(5)]
+    passage = "\n".join(line)
+    rows = [
+        (1, f"Head\n{passage}\nown", "x"),
+        (2, f"Head\nother\n{line[0].upper()}\n\n" + "\n".join(line[1:]) + "\nrest", "x"),
+        (3, "\n".join(line[:3]) + "\nHead", "x"),
+        (4, "tick\n" * 60 + "end", "x"),
+        (None, f"{LONG}\nmid\n{OTHER}", "x"),
+        (5, f"{LONG}\nmid\n{OTHER}", "x"),
+    ]
+    got = linededup.repeated(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.unit, r.first_doc_id, r.first_unit) for r in got), key=str) == sorted([(2, 2, 1, 1), (2, 4, 1, 2), (2, 5, 1, 3), (2, 6, 1, 4), (2, 7, 1, 5), (None, 0, 5, 0), (None, 1, 5, 1), (None, 2, 5, 2)], key=str)
+    texts = {r[0]: r[1] for r in rows}
+    assert all(hashlib.md5(linededup.normalise(texts[r.doc_id][r.start : r.end]).encode()).hexdigest().upper() == r.digest for r in got)
+    assert {r.doc_id: r.text for r in linededup.dedup(frame(spark, rows)).collect()} == {**texts, 2: "Head\nother\n\nrest", None: ""}
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, LONG, "x"), (1, LONG, "x"), (2, LONG, "x")]
     assert {r.doc_id for r in linededup.repeated(frame(spark, rows)).collect()} == {2}
