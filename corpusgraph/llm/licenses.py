@@ -1,15 +1,15 @@
 """Licence scans by a positional index of rare words.
 
-A file's licence words are ranked by their inverse document frequency over all
-files; the highest are looked up in the postings of licence templates, whose
-relative positions must agree; an agreeing template counts when its mandatory
-phrase stands at its place.
+Licence words are ranked by their inverse document frequency over all files;
+wherever the highest of a template's mandatory phrase stands in a file, the
+template counts when its phrase stands there and enough of its words agree in
+position.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +43,8 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-#: Distinct words of a file that are looked up, of the highest IDF; share of a template's IDF that must agree in position.
-PROBES, AGREE = 24, 0.7
+#: Share of a template's IDF that must agree in position.
+AGREE = 0.7
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -65,37 +65,32 @@ class Index:
         for (_, whole, phrase), _t in zip(templates, words, strict=True):
             w, p = whole.split(), phrase.split()
             self.phrase.append(next((i, len(p)) for i in range(len(w)) if w[i : i + len(p)] == p))
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.words):
-            for at, w in enumerate(ws):
-                self.postings[w].append((t, at))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each hash, -1 for other words."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def match(self, places: np.ndarray, numbers: np.ndarray, idf: np.ndarray) -> dict[str, float]:
-        """Label to score of a file whose licence words (numbers) stand at places."""
-        own = {}
-        for at, w in zip(places.tolist(), numbers.tolist(), strict=True):
-            own[at] = w
-        probes = set(sorted(set(own.values()), key=lambda w: (-idf[w], w))[:PROBES])
-        agree: Counter = Counter()
-        for at, w in own.items():
-            if w in probes:
-                for t, k in self.postings[w]:
-                    agree[t, at - k] += idf[w]
+    def rarest(self, idf: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """The word of highest IDF in each template's mandatory phrase, with the templates and places it has them by."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, (at, n) in enumerate(self.phrase):
+            k = max(range(at, at + n), key=lambda k: (idf[self.words[t][k]], -k))
+            out[self.words[t][k]].append((t, k))
+        return out
+
+    def match(self, places: np.ndarray, numbers: np.ndarray, idf: np.ndarray, probes: dict[int, list[tuple[int, int]]]) -> dict[str, float]:
+        """Label to score of a file whose licence words (numbers) stand at places; probes are those of ``rarest``."""
+        own = dict(zip(places.tolist(), numbers.tolist(), strict=True))
         found: dict[str, float] = {}
-        for (t, start), weight in agree.items():
-            words = self.words[t]
-            if weight < AGREE * sum(idf[w] for w in words if w in probes):
-                continue
-            at, n = self.phrase[t]
-            if all(own.get(start + i) == words[i] for i in range(at, at + n)):
-                score = sum(idf[w] for i, w in enumerate(words) if own.get(start + i) == w) / sum(idf[w] for w in words)
-                if score >= AGREE:
-                    found[self.labels[t]] = max(found.get(self.labels[t], 0.0), score)
+        for place, w in own.items():
+            for t, k in probes.get(w, ()):
+                words, start = self.words[t], place - k
+                at, n = self.phrase[t]
+                if all(own.get(start + i) == words[i] for i in range(at, at + n)):
+                    score = sum(idf[w] for i, w in enumerate(words) if own.get(start + i) == w) / sum(idf[w] for w in words)
+                    if score >= AGREE:
+                        found[self.labels[t]] = max(found.get(self.labels[t], 0.0), score)
         return found
 
 
@@ -130,6 +125,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     index = Index(templates)
     frequency, n = document_frequency(docs, text, index)
     idf = np.array([math.log((n + 1) / (f + 1)) + 1e-3 for f in frequency])
+    probes = index.rarest(idf)
+    probed = np.isin(np.arange(len(index.vocabulary)), list(probes))
     base = [([np.uint64(hash_word(w)) for w in phrase.split()], label) for phrase, label in BASE]
     kind = docs.schema[key].dataType.simpleString()
 
@@ -158,9 +155,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
             hit = np.flatnonzero(number >= 0)
             doc = np.searchsorted(bounds, hit, side="right") - 1
             edges = np.searchsorted(doc, np.arange(rows + 1))
-            for d in np.flatnonzero(np.diff(edges) > 1).tolist():
+            looked_up = np.bincount(doc[probed[number[hit]]], minlength=rows)
+            for d in np.flatnonzero(looked_up).tolist():
                 a, b = edges[d], edges[d + 1]
-                for label, s in index.match(hit[a:b] - bounds[d], number[hit[a:b]], idf).items():
+                for label, s in index.match(hit[a:b] - bounds[d], number[hit[a:b]], idf, probes).items():
                     labels[d].add(label)
                     score[d] = max(score[d], s)
             none = first < 0

@@ -38,6 +38,16 @@ def test_base_and_labels(spark, rows):
     assert {k: got[10_000 + k].labels for k, _, _ in EXTRA} == {k: x for k, _, x in EXTRA}
 
 
+def test_every_template_of_a_long_file(spark):
+    """Third-party notices with all templates, and the words of all others around each one."""
+    vocabulary = " ".join(sorted({w for t in licenses.TEMPLATES for w in t[1].split()}))
+    made = [(0, " x ".join(t[1] for t in licenses.TEMPLATES))] + [(i, f"{vocabulary} x {t[1]} x {vocabulary}") for i, t in enumerate(licenses.TEMPLATES, 1)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[0] == {t[0] for t in licenses.TEMPLATES}
+    for i, t in enumerate(licenses.TEMPLATES, 1):
+        assert t[0] in got[i], t
+
+
 def test_edges(clashing, docs, empty, same):
     same(licenses.scan(clashing), licenses.scan(docs))
     assert licenses.scan(empty).count() == 0
