@@ -13,6 +13,7 @@ cut into full sequences, so that only the last sequence is padded.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ SEQUENCE = 2048
 WINDOW = 64
 END = 1
 BUCKETS, BLOCKS = 256, 4096
+#: White space that tiktoken's backtracking may not bear.
+LONG_SPACE = re.compile(r"\s{10000}")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,8 +45,11 @@ def encoder(path: str):
 
     The vocabulary of the file is run by tiktoken, which gives the ids that
     the tokenizers library gives (tests compare them) in a quarter of the time.
+    Its pattern gives up on very long white space, so texts with that are left
+    to the library itself.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
@@ -53,19 +59,33 @@ def encoder(path: str):
     # fixed value: the pre-tokenising pattern of this vocabulary
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: bpe.encode_to_numpy(text, disallowed_special=())
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+
+    def encode(text: str) -> np.ndarray:
+        if LONG_SPACE.search(text):
+            return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return bpe.encode_to_numpy(text, disallowed_special=())
+
+    return encode
+
+
+def width(path: str) -> str:
+    """The type of a stored id: 16 bits where they hold every id of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        return "<u2" if max(END, *json.load(f)["model"]["vocab"].values()) < 1 << 16 else "<u4"
 
 
 def tokenize(docs: DataFrame, path: str, key: str, text: str, source: str) -> DataFrame:
     """_row, _key, _source, n, ids (little-endian 16-bit; 32-bit where the vocabulary is larger) of each document with END."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, stored = docs.schema[key].dataType.simpleString(), width(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [np.append(encode(t or ""), END).astype("<u2") for t in part.column("_text").to_pylist()]
+                ids = [np.append(encode(t or ""), END).astype(stored) for t in part.column("_text").to_pylist()]
                 sizes = pa.array([len(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_key"), part.column("_source"), sizes, pa.array([x.tobytes() for x in ids], pa.binary())], ["_row", "_key", "_source", "n", "ids"])
 
@@ -116,8 +136,8 @@ def plan(counts: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, weig
     return placed.select("_row", "window", (F.col("_base") + F.col("_upto") - F.col("n")).alias("_at"))
 
 
-def cut(placed: DataFrame, kind: str, sequence: int) -> DataFrame:
-    """One row for each piece of a document that lies in one sequence; ids are little-endian 32-bit."""
+def cut(placed: DataFrame, kind: str, sequence: int, stored: str = "<u2") -> DataFrame:
+    """One row for each piece of a document that lies in one sequence; ids come as ``stored`` and are little-endian 32-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,7 +150,7 @@ def cut(placed: DataFrame, kind: str, sequence: int) -> DataFrame:
                 seq = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts) + first[doc]
                 begin = np.maximum(at[doc], seq * sequence)
                 length = np.minimum(at[doc] + n[doc], (seq + 1) * sequence) - begin
-                ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u2").astype("<u4")
+                ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=stored).astype("<u4")
                 ends = np.zeros(len(doc) + 1, dtype=np.int32)
                 np.cumsum(length * 4, out=ends[1:])
                 pieces = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
@@ -154,7 +174,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     share to the others.  An empty table gives no rows; other columns are not
     looked at.
     """
-    tokens = stash(tokenize(docs, tokenizer or tokenizer_path(), key, text, source), "tokens")
+    path = tokenizer or tokenizer_path()
+    tokens = stash(tokenize(docs, path, key, text, source), "tokens")
     # both sides grow with the input, so that the join is a shuffle at every size
     placed = tokens.join(plan(tokens.select("_row", "_key", "_source", "n"), sequence, window, weights).hint("merge"), "_row")
-    return cut(placed, docs.schema[key].dataType.simpleString(), sequence).withColumnRenamed("_key", key)
+    return cut(placed, docs.schema[key].dataType.simpleString(), sequence, width(path)).withColumnRenamed("_key", key)

@@ -1,3 +1,4 @@
+import json
 from collections import defaultdict
 
 import numpy as np
@@ -57,6 +58,21 @@ def test_special_strings_are_text(spark):
     check(packing.pack(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")).collect(), rows, 2048)
 
 
+def test_very_long_white_space(spark):
+    rows = [(0, " " * 1_000_000), (1, "a" + "\n" * 1_000_000 + "b"), (2, "word " * 9), (3, "b" * 100_000)]
+    check(packing.pack(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")).collect(), rows, 2048)
+
+
+def test_ids_above_16_bits(spark, tmp_path):
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = {w: i + 70_000 for w, i in spec["model"]["vocab"].items()}
+    (tmp_path / "wide.json").write_text(json.dumps(spec), encoding="utf-8")
+    df = spark.createDataFrame([(0, "some words, more words", "s")], "doc_id long, text string, source string")
+    ids = [np.frombuffer(packing.pack(df, tokenizer=t).first().ids, dtype="<u4")[:-1].tolist() for t in (None, str(tmp_path / "wide.json"))]
+    assert ids[1] == [i + 70_000 for i in ids[0]]
+
+
 def test_windows_keep_the_mixture(spark):
     rows = [(i, "word " * 30, "abc"[min(i % 6, 2)]) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
