@@ -45,8 +45,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL names whole lines of MIN_WORDS alone
-    return linededup.repeated(documents(spark, sf_dir), run_words=None)
+    return linededup.repeated(documents(spark, sf_dir)).drop("_hash")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

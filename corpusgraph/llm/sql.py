@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from . import linededup, quality, urlfilter
 
-# fixed values: the characters that str.split takes for white space
-_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+_GAP = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def line_dedup() -> str:
-    return f"""with p as (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null),
- u as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as unit, unnest(list_transform(parts, lambda x: length(x))) as size from p),
- placed as (select doc_id, unit::int as unit, line, size, coalesce(sum(size + 1) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0)::bigint as start,
-  list_filter(regexp_split_to_array(lower(line), '{_WHITE}'), lambda x: x <> '') as words from u),
- d as (select doc_id, unit, start, start + size as "end", len(words) as n_words, upper(md5(array_to_string(words, ' '))) as digest from placed where len(words) >= {linededup.MIN_WORDS}),
- f as (select *, first_value(doc_id) over w as first_doc_id, first_value(unit) over w as first_unit from d window w as (partition by digest order by doc_id nulls last, unit))
- select doc_id, unit, start, "end", n_words, digest, first_doc_id, first_unit from f where doc_id is distinct from first_doc_id or unit <> first_unit"""
+    place = "partition by rid order by k"
+    return f"""with r as (select row_number() over () as rid, * from (select distinct doc_id, text from documents where text is not null)),
+ c as (select rid, unnest(regexp_extract_all(text, '{_GAP}*{_WORD}')) as chunk, unnest(range(len(regexp_extract_all(text, '{_WORD}')))) as k from r),
+ w as (select *, regexp_extract(chunk, '{_WORD}') as word, sum(length(chunk)) over ({place}) as upto, contains(chunk, chr(10)) and k > 0 as breaks from c),
+ o as (select *, k = 0 or breaks as opens, k = 0 or breaks or regexp_matches(word, '^\\p{{Lu}}') or regexp_matches(lag(word) over ({place}), '[.!?]$') as cuts from w),
+ p as (select rid, k, upto, word, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, sum(opens::int) over ({place}) as line, sum(cuts::int) over ({place}) as unit from o),
+ u as (select rid, unit, any_value(line) as line, min(k) as first, max(k) + 1 as upto, min(upto - length(word)) as "start", max(upto) as "end", string_agg(low, ' ' order by k) as words from p group by 1, 2),
+ l as (select rid, min(unit) as i, max(unit) as j from u group by rid, line having max(upto) - min(first) >= {linededup.MIN_WORDS}),
+ ahead as (select a.rid, a.unit as i, b.unit as j from u a asof join u b on a.rid = b.rid and a.first + {linededup.RUN_WORDS} <= b.upto),
+ behind as (select a.rid, b.unit as i, a.unit as j from u a asof join u b on a.rid = b.rid and a.upto - {linededup.RUN_WORDS} >= b.first),
+ s as (select * from l union select * from ahead union select * from behind),
+ d as (select s.rid, i, j, min("start") as "start", max("end") as "end", md5(string_agg(words, ' ' order by unit)) as digest from s join u on u.rid = s.rid and unit between i and j group by 1, 2, 3),
+ f as (select d.*, doc_id, first_value(doc_id) over w as first_doc_id, first_value(d.rid) over w as first_rid, first_value("end") over w as first_end from d join r using (rid) window w as (partition by digest order by doc_id nulls last, rid, "start")),
+ again as (select * from f where rid <> first_rid or "start" >= first_end),
+ parted as (select *, case when "start" < max("end") over (partition by rid order by "start", "end" rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from again),
+ named as (select *, sum(fresh) over (partition by rid order by "start", "end" rows between unbounded preceding and current row) as part from parted)
+ select any_value(doc_id) as doc_id, min("start")::bigint as "start", max("end")::bigint as "end", min(first_doc_id) as first_doc_id from named group by rid, part"""
 
 
 def host_trust() -> str:

@@ -1,8 +1,9 @@
 """Vectorised word hashing over Arrow string columns.
 
 A batch of texts is one byte buffer, so words are found and hashed for all of
-its documents at once with numpy.  Work is cut into slices of at most
-``SLICE`` bytes at white space, which bounds the memory of a very long text.
+its documents at once with numpy.  Work is cut into slices of about ``SLICE``
+bytes at white space, which bounds the memory of a very long text; a longer
+word is a slice of its own and is hashed piece by piece.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(raw: np.ndarray, at: np.ndarray, sep: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of at most SLICE bytes that end where a text ends or behind a separator."""
+    """Byte ranges of at most SLICE bytes that end where a text ends or behind a separator; longer only where a single word is."""
     out, lo, end = [], int(at[0]), int(at[-1])
     while lo < end:
         hi = min(lo + SLICE, end)
@@ -63,7 +64,11 @@ def slices(raw: np.ndarray, at: np.ndarray, sep: np.ndarray) -> list[tuple[int,
             if k > lo:
                 hi = k
             else:
+                stop = int(at[np.searchsorted(at, hi, side="left")])
                 gaps = np.flatnonzero(sep[raw[lo:hi]])
+                while not len(gaps) and hi < stop:
+                    lower, hi = hi, min(hi + SLICE, stop)
+                    gaps = lower - lo + np.flatnonzero(sep[raw[lower:hi]])[:1]
                 hi = lo + int(gaps[-1]) + 1 if len(gaps) else hi
         out.append((lo, hi))
         lo = hi
@@ -87,6 +92,8 @@ def spans(raw: np.ndarray, at: np.ndarray, lo: int, hi: int, sep: np.ndarray) ->
 def hash_spans(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of part[s:e] for each span."""
     up, down = _tables()
+    if len(part) > SLICE:
+        return np.array([_hash_long(part[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
     with np.errstate(over="ignore"):
         total = np.empty(len(part) + 1, dtype=np.uint64)
         total[0] = 0
@@ -94,6 +101,18 @@ def hash_spans(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _hash_long(word: np.ndarray) -> int:
+    """What hash_spans gives a word, without an array of its length."""
+    up, _ = _tables()
+    total, shift, step = 0, 1, pow(int(_MULT), SLICE, 1 << 64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(word), SLICE):
+            piece = word[lo : lo + SLICE]
+            total += shift * int(np.sum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)]))
+            shift = shift * step % (1 << 64)
+        return int(mix(np.array([(total + len(word)) % (1 << 64)], dtype=np.uint64))[0])
+
+
 def word_hashes(texts: pa.Array, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts in order.
 
