@@ -29,6 +29,8 @@ SEQUENCE = 2048
 WINDOW = 64
 END = 1
 BUCKETS, BLOCKS = 256, 4096
+#: Pieces in a batch of the result, which has offsets of 32 bits.
+PIECES = 4096
 #: White space that tiktoken's backtracking may not bear.
 LONG_SPACE = re.compile(r"\s{10000}")
 
@@ -43,27 +45,28 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def encoder(path: str):
     """The byte-level BPE of a tokenizer file as an encoder from text to an array of ids.
 
-    The vocabulary of the file is run by tiktoken, which gives the ids that
-    the tokenizers library gives (tests compare them) in a quarter of the time.
-    Its pattern gives up on very long white space, so texts with that are left
-    to the library itself.
+    Ids are those of the tokenizers library with add_special_tokens=False, so
+    that an added token's literal in a text is that token.  The vocabulary of
+    the file is run by tiktoken, which gives the same ids (tests compare them)
+    in a quarter of the time; texts with an added token, or with white space so
+    long that its pattern gives up, are left to the library itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        spec = json.load(f)
+    added = [t["content"] for t in spec["added_tokens"]]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(chars[c] for c in word): i for word, i in vocab.items() if all(c in chars for c in word) and word != "<|endoftext|>"}
-    # fixed value: the pre-tokenising pattern of this vocabulary
+    ranks = {bytes(chars[c] for c in word): i for word, i in spec["model"]["vocab"].items() if all(c in chars for c in word) and word not in added}
+    # fixed value: the pre-tokenising pattern of byte-level vocabularies, which their files do not spell out
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
 
     def encode(text: str) -> np.ndarray:
-        if LONG_SPACE.search(text):
+        if LONG_SPACE.search(text) or any(t in text for t in added):
             return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return bpe.encode_to_numpy(text, disallowed_special=())
 
@@ -73,7 +76,8 @@ def encoder(path: str):
 def width(path: str) -> str:
     """The type of a stored id: 16 bits where they hold every id of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
-        return "<u2" if max(END, *json.load(f)["model"]["vocab"].values()) < 1 << 16 else "<u4"
+        spec = json.load(f)
+    return "<u2" if max(END, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])) < 1 << 16 else "<u4"
 
 
 def tokenize(docs: DataFrame, path: str, key: str, text: str, source: str) -> DataFrame:
@@ -150,16 +154,19 @@ def cut(placed: DataFrame, kind: str, sequence: int, stored: str = "<u2") -> Dat
                 seq = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts) + first[doc]
                 begin = np.maximum(at[doc], seq * sequence)
                 length = np.minimum(at[doc] + n[doc], (seq + 1) * sequence) - begin
-                ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=stored).astype("<u4")
-                ends = np.zeros(len(doc) + 1, dtype=np.int32)
-                np.cumsum(length * 4, out=ends[1:])
-                pieces = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-                take = pa.array(doc)
-                whole_of = {c: batch.column(c).take(take) for c in ("_key", "_source", "window")}
-                yield pa.RecordBatch.from_arrays(
-                    [whole_of["_key"], pa.array(begin - at[doc]), pa.array(length), pieces, pa.array(n[doc]), pa.array(seq), pa.array(begin - seq * sequence), whole_of["_source"], whole_of["window"]],
-                    ["_key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source", "window"],
-                )
+                ids = np.concatenate([np.frombuffer(x.as_buffer(), dtype=stored) for x in batch.column("ids")])
+                edges = np.append(0, np.cumsum(length))
+                step = max(1, min(PIECES, (1 << 28) // sequence))
+                for a in range(0, len(doc), step):
+                    z = min(a + step, len(doc))
+                    ends = ((edges[a : z + 1] - edges[a]) * 4).astype(np.int32)
+                    pieces = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends), pa.py_buffer(ids[edges[a] : edges[z]].astype("<u4"))])
+                    own, seqs = doc[a:z], seq[a:z]
+                    whole_of = {c: batch.column(c).take(pa.array(own)) for c in ("_key", "_source", "window")}
+                    yield pa.RecordBatch.from_arrays(
+                        [whole_of["_key"], pa.array(begin[a:z] - at[own]), pa.array(length[a:z]), pieces, pa.array(n[own]), pa.array(seqs), pa.array(begin[a:z] - seqs * sequence), whole_of["_source"], whole_of["window"]],
+                        ["_key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source", "window"],
+                    )
 
     return placed.mapInArrow(run, f"_key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string, window long")
 
