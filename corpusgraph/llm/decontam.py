@@ -3,10 +3,15 @@
 A random walk (CGK) embeds a string so that edit distance becomes Hamming
 distance; sampled positions of several embeddings are the keys of a
 locality-sensitive hash of all benchmark items.  Windows of an item's size are
-read at every place of a document where three of the item's rarest and longest
-words stand at their offsets, embedded and looked up among all items; a match is
-verified by its exact edit distance.  The number of embeddings is chosen so that simulated edits at the
-threshold reach the target recall.
+read at the places of a document that the edit limit leaves possible, embedded
+and looked up among all items; a match is verified by its exact edit distance.
+
+An item is cut into pieces of PIECE characters.  Each edit spoils one piece at
+most, so as many pieces as there are more than edits stand in any match, each
+within the edits of its place: windows begin only where so many pieces agree,
+which loses none.  The number of embeddings is chosen so that simulated edits at
+the limit, with windows that begin where such pieces say, reach the target
+recall.
 """
 
 from __future__ import annotations
@@ -20,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .text import hash_spans, spans, word_hashes
+from .scratch import unused
 
-#: Edits allowed, as a share of the item's characters; recall aimed at; words of an item that propose windows.
-EDITS, RECALL, ANCHORS = 0.1, 0.99, 16
+#: Edits allowed, as a share of the item's characters, and the recall aimed at.
+EDITS, RECALL = 0.1, 0.99
+#: Characters of a piece; an item of fewer than two pieces' length is cut into two.
+PIECE = 8
 #: Positions in a key, keys of an embedding, embeddings at most, keys that a match shares.
-SAMPLED, TABLES, MOST, AGREE = 5, 24, 8, 2
+SAMPLED, TABLES, MOST, AGREE = 4, 24, 24, 2
+#: Characters of a document that are read at once, and windows that are embedded at once.
+STEP, WINDOWS = 1 << 20, 4096
 #: Characters of benchmark items that are searched for in one pass over the documents.
 AT_ONCE = 4_000_000
-_BREAK = np.ones(256, dtype=bool)
-_BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def normalise(text: str) -> str:
@@ -113,36 +120,55 @@ def align(pattern: str, text: str) -> tuple[int, int, int]:
     return distance, end - back, end
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def grams(points: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n consecutive characters, whose upper bits are well mixed; put together from halves that overlap."""
+    many = len(points) - n + 1
+    if many < 1:
+        return np.zeros(0, np.uint64)
+    out, size = points.astype(np.uint64) + np.uint64(1), 1
+    with np.errstate(over="ignore"):
+        while size < n:
+            step = min(size, n - size)
+            left = out[:-step] * np.uint64(0x9E3779B97F4A7C15)
+            out = (left ^ (left >> np.uint64(31))) + out[step:]
+            size += step
+        return out * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Index:
-    """Benchmark items by window proposals and by LSH key."""
+    """Benchmark items by piece and by LSH key."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL):
+    def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, recall: float = RECALL):
         self.edits = edits
         self.items = [(k, normalise(t or "")) for k, t in items]
-        self.sizes = [size_class(len(t)) for _, t in self.items]
-        found = []
-        for _, t in self.items:
-            raw = np.frombuffer(t.encode(), dtype=np.uint8)
-            begin, end = spans(raw, np.array([0, len(raw)]), 0, len(raw), _BREAK) if len(raw) else (np.zeros(0, int),) * 2
-            found.append((hash_spans(raw, begin, end).tolist(), begin.tolist(), (end - begin).tolist()))
-        spread = Counter(w for words, _, _ in found for w in set(words))
-        proposals = []
-        for n, (words, begin, size) in enumerate(found):
-            few = min(ANCHORS, max(4, len(words) * 3 // 5))
-            for i in sorted(range(len(words)), key=lambda i: (spread[words[i]], -size[i], i))[:few]:
-                proposals.append((words[i], n, begin[i]))
-        proposals.sort()
-        self.words = np.array([p[0] for p in proposals], dtype=np.uint64)
-        self.offer_item, self.offer_at = np.array([p[1] for p in proposals], dtype=np.int64), np.array([p[2] for p in proposals], dtype=np.int64)
-        self.slack = np.array([4 * (int(len(t) * edits) + 1) for _, t in self.items], dtype=np.int64)
-        anchors = np.bincount(self.offer_item, minlength=len(self.items))
-        self.need = np.maximum(np.minimum(2, anchors), np.where(anchors >= 8, 3, 0))
-        self.quick = np.zeros(1 << 16, dtype=bool)
-        self.quick[(self.words & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.seeds = list(range(self.calibrate(recall)))
+        self.sizes = np.array([size_class(len(t)) for _, t in self.items], dtype=np.int64)
+        self.slack = np.array([int(len(t) * edits) for _, t in self.items], dtype=np.int64)
+        usable = [any(c.isalnum() for c in t) for _, t in self.items]
+        pieces = []
+        self.need = np.ones(len(self.items), dtype=np.int64)
+        for n, (_, t) in enumerate(self.items):
+            if usable[n]:
+                # more pieces than edits, of PIECE characters where that leaves some
+                many = max(int(self.slack[n]) + 1, len(t) // PIECE, min(2, len(t)))
+                self.need[n] = many - int(self.slack[n])
+                size = len(t) // many
+                found = grams(codes(t), size)
+                pieces += [(size, int(found[i * size]), n, i * size) for i in range(many)]
+        self.by_size = {}
+        for size in sorted({p[0] for p in pieces}):
+            own = sorted(p[1:] for p in pieces if p[0] == size)
+            hashes = np.array([p[0] for p in own], dtype=np.uint64)
+            quick = np.zeros(1 << 20, dtype=bool)
+            quick[(hashes >> np.uint64(44)).astype(np.int64)] = True
+            self.by_size[size] = (quick, hashes, np.array([p[1] for p in own]), np.array([p[2] for p in own]))
+        self.seeds = list(range(self.calibrate([t for (_, t), use in zip(self.items, usable, strict=True) if use], recall)))
         by = defaultdict(list)
-        for n, size in enumerate(self.sizes):
-            if len(self.items[n][1]):
+        for n, size in enumerate(self.sizes.tolist()):
+            if usable[n]:
                 by[size].append(n)
         found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for size, members in by.items():
@@ -153,21 +179,27 @@ class Index:
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owner = self.keys[order], self.owner[order]
 
-    def calibrate(self, recall: float) -> int:
-        """Embeddings needed for the recall, by random edits at the threshold of up to 200 items."""
+    def calibrate(self, texts: list[str], recall: float) -> int:
+        """Embeddings needed for the recall, by random edits at the limit of every item; the window begins where the first piece that is left says."""
         rng = np.random.default_rng(11)
         by = defaultdict(list)
-        for t in [t for _, t in self.items if len(t) >= 16][:200]:
-            s = list(t)
-            for _ in range(int(len(t) * self.edits)):
-                at, what = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
-                if what == 0:
-                    s[at] = "x"
-                elif what == 1 and len(s) > 1:
-                    del s[at]
-                else:
-                    s.insert(at, "x")
-            by[size_class(len(t))].append((t, "".join(s)))
+        for t in texts:
+            for _ in range(max(1, 200 // len(texts))):
+                s, moved = list(t), []
+                for _ in range(int(len(t) * self.edits)):
+                    at, what = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
+                    if what == 0:
+                        s[at] = "x"
+                    elif what == 1 and len(s) > 1:
+                        del s[at]
+                        moved.append((at, -1))
+                    else:
+                        s.insert(at, "x")
+                        moved.append((at, 1))
+                shift = sum(d for at, d in moved if at < PIECE)
+                shown = "".join(s)
+                shown = shown[shift:] if shift > 0 else "x" * -shift + shown
+                by[size_class(len(t))].append((t, shown))
         missed = []
         for size, pairs in by.items():
             same = [(keys([p[0] for p in pairs], size, e) == keys([p[1] for p in pairs], size, e)).sum(axis=1) for e in range(MOST)]
@@ -175,35 +207,36 @@ class Index:
         if not missed:
             return 1
         lost = np.array(missed).mean(axis=0)
-        return next((e + 1 for e in range(MOST) if lost[e] <= 1 - recall), MOST)
-
-    def windows(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of words that propose windows."""
-        at = np.flatnonzero(self.quick[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-        near = np.minimum(np.searchsorted(self.words, hashes[at]), max(0, len(self.words) - 1))
-        return at[self.words[near] == hashes[at]] if len(self.words) else at[:0]
-
-    def proposals(self, hashes: np.ndarray, hits: np.ndarray, bounds: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, items and byte starts of the windows that words at ``hits`` propose.
-
-        Three of an item's anchors, two where it has less than eight, have to
-        propose starts that are as near as the allowed edits.
-        """
-        low, high = np.searchsorted(self.words, hashes[hits]), np.searchsorted(self.words, hashes[hits], side="right")
-        many = high - low
-        offer = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        place = np.repeat(hits, many)
-        item, row = self.offer_item[offer], np.searchsorted(bounds, place, side="right") - 1
-        start = np.maximum(begins[place] - self.offer_at[offer], 0)
-        order = np.lexsort((start, item, row))
-        row, item, start = row[order], item[order], start[order]
-        keep = self.need[item] == 1
-        for k in range(2, int(self.need.max(initial=1)) + 1):
-            ahead = k - 1
-            near = (self.need[item[ahead:]] == k) & (row[ahead:] == row[:-ahead]) & (item[ahead:] == item[:-ahead]) & (start[ahead:] - start[:-ahead] <= self.slack[item[ahead:]])
-            for j in range(k):
-                keep[j : len(keep) - ahead + j] |= near
-        return row[keep], item[keep], start[keep]
+        enough = np.flatnonzero(lost <= 1 - recall)
+        if not len(enough):
+            raise ValueError(f"{MOST} embeddings reach a recall of {1 - lost[-1]:.3f}, below {recall}")
+        return int(enough[0]) + 1
+
+    def proposals(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places in ``points`` at which enough of an item's pieces let it begin."""
+        item, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, (quick, hashes, owner, offset) in self.by_size.items():
+            found = grams(points, size)
+            at = np.flatnonzero(quick[(found >> np.uint64(44)).astype(np.int64)])
+            low, high = np.searchsorted(hashes, found[at]), np.searchsorted(hashes, found[at], side="right")
+            many = high - low
+            which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            item.append(owner[which])
+            start.append(np.repeat(at, many) - offset[which])
+        item, start = np.concatenate(item), np.concatenate(start)
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        # in a match, places differ by twice the edits at most
+        ahead = self.need[item] - 1
+        last = np.minimum(np.arange(len(item)) + ahead, max(0, len(item) - 1))
+        whole = (item[last] == item) & (start[last] - start <= 2 * self.slack[item]) & (np.arange(len(item)) + ahead < len(item))
+        marks = np.zeros(len(item) + 1, dtype=np.int64)
+        np.add.at(marks, np.flatnonzero(whole), 1)
+        np.add.at(marks, last[whole] + 1, -1)
+        keep = np.cumsum(marks[:-1]) > 0
+        item, start = item[keep], start[keep]
+        fresh = np.append(True, (item[1:] != item[:-1]) | (start[1:] != start[:-1])) if len(item) else np.zeros(0, bool)
+        return item[fresh], start[fresh]
 
     def match(self, strings: list[str], sizes: list[int]) -> Iterator[tuple[int, int]]:
         """(string, item) for each pair that shares AGREE keys."""
@@ -224,66 +257,66 @@ class Index:
                     yield members[r], n
 
 
+def places(text: str) -> list[int]:
+    """Where in ``text`` each character of its normalised form comes from."""
+    out: list[int] = []
+    open_gap = -1
+    for k, c in enumerate(text):
+        if c.isspace():
+            open_gap = k if out and open_gap < 0 else open_gap
+            continue
+        if open_gap >= 0:
+            out.append(open_gap)
+            open_gap = -1
+        out += [k] * len(c.lower())
+    return out
+
+
 def _search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, start, end, distance) in characters of each row's text."""
-    hashes, bounds, begins, _ = word_hashes(texts, _BREAK)
-    hits = index.windows(hashes)
-    rows, items, starts = index.proposals(hashes, hits, bounds, begins)
-    sizes_of = np.array(index.sizes, dtype=np.int64)
-    strings, sizes, where = [], [], []
-    low: dict[int, bytes] = {}
-
-    def flush() -> Iterator[tuple[int, int, int, int, int]]:
-        checked: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for i, n in index.match(strings, sizes):
-            row, at = where[i]
-            item = index.items[n][1]
-            slack = int(len(item) * index.edits) + 1
-            raw = low[row]
-            reach = 4 * (len(item) + 2 * slack)
-            lo = max(0, at - 4 * slack)
-            piece = raw[lo : at + reach].decode("utf-8", "ignore")
-            skip = len(raw[lo:at].decode("utf-8", "ignore"))
-            chars, places = [], []
-            for k, c in enumerate(piece):
-                c = " " if c.isspace() else c.lower()
-                if c == " " and (not chars or chars[-1] == " "):
-                    continue
-                for x in c:
-                    chars.append(x)
-                    places.append(k)
-            first = int(np.searchsorted(places, skip))
-            view = slice(max(0, first - slack), first + len(item) + 2 * slack)
-            shown, places = "".join(chars[view]), places[view]
-            distance, a, b = align(item, shown)
-            if distance <= len(item) * index.edits and b > a:
-                base = len(raw[:lo].decode("utf-8", "ignore"))
-                found = (distance, base + places[a], base + places[b - 1] + 1)
-                old = checked[row, n]
+    reach = max((len(t) for _, t in index.items), default=0)
+    low: dict[int, str] = {}
+    offered: set[tuple[int, int, int]] = set()
+    best: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    held = 0
+
+    def flush() -> None:
+        chosen = sorted({(row, b, int(index.sizes[n])) for row, b, n in offered})
+        matched = sorted({(*chosen[i][:2], n) for i, n in index.match([low[row][b : b + size] for row, b, size in chosen], [size for _, _, size in chosen])})
+        for row, b, n in matched:
+            item, slack, old = index.items[n][1], int(index.slack[n]), best[row, n]
+            # what no count of pieces lets begin here is beyond the edit limit
+            if (row, b, n) not in offered or any(f[1] <= b < f[2] - slack and f[0] == 0 for f in old):
+                continue
+            first = max(0, b - 2 * slack - 1)
+            distance, x, y = align(item, low[row][first : b + len(item) + 3 * slack + 1])
+            if distance <= len(item) * index.edits and y > x:
+                found = (distance, first + x, first + y)
                 if not any(f[1] < found[2] and found[1] < f[2] and f[0] <= distance for f in old):
-                    checked[row, n] = [f for f in old if not (f[1] < found[2] and found[1] < f[2])] + [found]
-        for (row, n), all_found in checked.items():
-            for distance, a, b in all_found:
-                yield row, n, a, b, distance
-        strings.clear(), sizes.clear(), where.clear()
-
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else rows
-    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True) if len(rows) else ():
-        row, mine = int(rows[lo]), slice(lo, hi)
-        if len(strings) > 4096:
-            yield from flush()
-            low.clear()
-        low[row] = (texts[row].as_py() or "").encode()
-        edge = begins[bounds[row] : bounds[row + 1]]
-        near = np.searchsorted(edge, starts[mine])
-        left, right = edge[np.maximum(near - 1, 0)], edge[np.minimum(near, len(edge) - 1)]
-        at = np.where(np.abs(left - starts[mine]) <= np.abs(right - starts[mine]), left, right)
-        for a, size in sorted(set(zip(at.tolist(), sizes_of[items[mine]].tolist(), strict=True))):
-            piece = low[row][a : a + 4 * size + 64].decode("utf-8", "ignore")
-            strings.append(normalise(piece)[:size])
-            sizes.append(size)
-            where.append((row, a))
-    yield from flush()
+                    best[row, n] = [f for f in old if not (f[1] < found[2] and found[1] < f[2])] + [found]
+        low.clear(), offered.clear()
+
+    for row, text in enumerate(texts):
+        whole = normalise(text.as_py() or "")
+        points = codes(whole)
+        for lo in range(0, len(points), STEP):
+            items, starts = index.proposals(points[lo : lo + STEP + 2 * reach])
+            for a in range(0, len(items), WINDOWS):
+                low[row] = whole
+                begin = np.maximum(starts[a : a + WINDOWS] + lo, 0).tolist()
+                offered.update((row, b, n) for b, n in zip(begin, items[a : a + WINDOWS].tolist(), strict=True))
+                held += len(whole)
+                if len(offered) >= WINDOWS or held >= 8 * STEP:
+                    flush()
+                    held = 0
+    flush()
+    home: list[int] = []
+    last = -1
+    for (row, n), all_found in sorted(best.items()):
+        if all_found and row != last:
+            home, last = places(texts[row].as_py()), row
+        for distance, x, y in all_found:
+            yield row, n, home[x], home[y - 1] + 1, distance
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = EDITS, recall: float = RECALL) -> DataFrame:
@@ -296,43 +329,51 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     items are reported each under its own id, rows with equal keys each.  An
     empty table on either side gives no rows; other columns are not looked at.
 
-    Items reach the tasks in slices of at most AT_ONCE characters, one pass
-    over the documents for each, so that what is sent has a bound.
+    Items reach the tasks in slices of at most AT_ONCE characters (an item
+    that is longer is a slice), one pass over the documents for each, so that
+    what is sent has a bound.  Raises where the target recall is not reached.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item].dataType)
-    schema = f"_key {kind}, _item {item_kind}, start long, end long, distance int"
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    out = spark.createDataFrame([], schema)
-    part, size = [], 0
-    slices = []
-    for r in benchmark.filter(F.col(item_text).isNotNull()).select(item, item_text).orderBy(item, item_text).toLocalIterator():
-        part.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= AT_ONCE:
-            slices.append(Index(part, edits, recall))
-            part, size = [], 0
-    if part:
-        slices.append(Index(part, edits, recall))
+    schema = f"_key {kind}, _hash long, _item {item_kind}, start long, end long, distance int"
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+
+    def search(part: list[tuple[object, str]]) -> DataFrame:
+        index = Index(part, edits, recall)
 
-    def search(index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = sorted(_search(index, batch.column("_text")))
-                cols = [batch.column("_key").take(pa.array([f[0] for f in found], pa.int64())), pa.array([index.items[f[1]][0] for f in found], item_type)]
+                own = pa.array([f[0] for f in found], pa.int64())
+                cols = [batch.column("_key").take(own), batch.column("_hash").take(own), pa.array([index.items[f[1]][0] for f in found], item_type)]
                 cols += [pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32())]
                 if found:
-                    yield pa.RecordBatch.from_arrays(cols, ["_key", "_item", "start", "end", "distance"])
+                    yield pa.RecordBatch.from_arrays(cols, ["_key", "_hash", "_item", "start", "end", "distance"])
 
         return rows.mapInArrow(run, schema)
 
-    for index in slices:
-        out = search(index) if len(slices) == 1 else out.unionByName(search(index))
+    out, part, size = None, [], 0
+    for r in benchmark.filter(F.col(item_text).isNotNull()).select(item, item_text).orderBy(item, item_text).toLocalIterator():
+        if part and size + len(r[1]) > AT_ONCE:
+            out = search(part) if out is None else out.unionByName(search(part))
+            part, size = [], 0
+        part.append((r[0], r[1]))
+        size += len(r[1])
+    if part:
+        out = search(part) if out is None else out.unionByName(search(part))
+    out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnRenamed("_key", key).withColumnRenamed("_item", item)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents in which ``find`` finds an item; a null key always stays."""
-    found = find(docs, benchmark, key, text, **options).select(key).distinct()
-    return docs.join(found, key, "left_anti")
+    """``docs`` without the rows in whose own text ``find`` finds an item; all columns stay.
+
+    Of rows with one key, or none, only those with a passage go, repeated rows
+    alike.  Null and empty texts stay, as does everything where either table is
+    empty.
+    """
+    own, mark = unused(docs, "_id"), unused(docs, "_hash")
+    found = find(docs, benchmark, key, text, **options).select(F.col(key).alias(own), F.col("_hash").alias(mark)).distinct()
+    # as many rows as there are contaminated documents, so that the join is a shuffle at every size
+    return docs.join(found.hint("merge"), F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(mark)), "left_anti")

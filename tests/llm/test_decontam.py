@@ -75,7 +75,7 @@ def test_planted_passages(spark):
 def test_filter(spark):
     docs, bench, texts, want = frames(spark)
     kept = {r.doc_id for r in decontam.decontaminate(docs, bench).collect()}
-    assert kept == (set(texts) - {k for k, _ in want}) | {None}
+    assert kept == set(texts) - {k for k, _ in want}
 
 
 def test_embedding_keeps_equal_strings_equal_and_near_ones_near():
@@ -102,3 +102,73 @@ def test_edges(spark, docs, clashing, empty, same):
     assert decontam.find(docs, bench.limit(0)).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
     assert decontam.decontaminate(clashing, bench).columns == clashing.columns
+
+
+def worst(text, share, seed):
+    """One edit inside each of the longest words."""
+    rng, parts = random.Random(seed), text.split(" ")
+    for i in sorted(range(len(parts)), key=lambda i: -len(parts[i]))[: int(len(text) * share)]:
+        k = rng.randrange(len(parts[i]))
+        parts[i] = parts[i][:k] + "q" + parts[i][k + 1 :]
+    return " ".join(parts)
+
+
+def recall(items, edit):
+    """Share of items found, edited, in one text each."""
+    import pyarrow as pa
+
+    index = decontam.Index(list(enumerate(items)))
+    texts = pa.array([f"{sentence(20)} {edit(t, i)} {sentence(20)}" for i, t in enumerate(items)])
+    found = {(r, n) for r, n, *_ in decontam._search(index, texts)}
+    return sum((i, i) in found for i in range(len(items))) / len(items)
+
+
+def test_recall_at_the_limit():
+    items = [sentence(RNG.randrange(20, 60)) for _ in range(60)]
+    assert recall(items, lambda t, i: edited(t, 0.1, i)) >= 0.95
+    assert recall(items, lambda t, i: worst(t, 0.09, i)) >= 0.95
+    short = [sentence(8) for _ in range(60)]
+    assert recall(short, lambda t, i: edited(t, 0.1, i)) >= 0.95
+    capitals = ["Été à l'Œuvre ÉCOLE Übung Ärger Ñandú Привет Мир Ωμέγα " + sentence(10) for _ in range(10)]
+    assert recall(capitals, lambda t, i: edited(t.upper() if i % 2 else t, 0.03, i)) == 1
+
+
+def test_pieces_lose_nothing():
+    """Every place within the edit limit is proposed: against the exact distance at all places."""
+    items = [sentence(RNG.randrange(3, 12)) for _ in range(30)]
+    index = decontam.Index(list(enumerate(items)))
+    for i, t in enumerate(items):
+        text = f"{sentence(4)} {edited(t, 0.1, i)} {sentence(4)}"
+        n, start = index.proposals(decontam.codes(text))
+        for k, other in enumerate(items):
+            d, a, _ = decontam.align(other, text)
+            if d <= index.slack[k]:
+                assert any(k == m and abs(a - s) <= index.slack[k] for m, s in zip(n.tolist(), start.tolist(), strict=True))
+
+
+def test_grams():
+    points = np.random.default_rng(1).integers(97, 103, 4000).astype(np.uint32)
+    for n in range(1, 14):
+        windows = np.lib.stride_tricks.sliding_window_view(points, n)
+        assert len(np.unique(decontam.grams(points, n))) == len(np.unique(windows, axis=0))
+    assert len(decontam.grams(points[:3], 4)) == 0
+
+
+def test_only_the_row_with_the_passage_goes(spark):
+    clean, passage = sentence(30), ITEMS[0][1]
+    rows = [(1, clean), (1, passage), (None, passage), (None, clean), (2, None), (3, "z" * 1_200_000 + " " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontam.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(1, clean), (None, clean), (2, None)}
+    got = decontam.find(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).filter("doc_id = 3").collect()
+    assert [(r.start, r.distance) for r in got] == [(1_200_001, 0)]
+
+
+def test_a_target_that_cannot_be_reached_raises(monkeypatch):
+    monkeypatch.setattr(decontam, "MOST", 1)
+    monkeypatch.setattr(decontam, "AGREE", 20)
+    try:
+        decontam.Index([(0, sentence(30))])
+        raise AssertionError("no error")
+    except ValueError:
+        pass
