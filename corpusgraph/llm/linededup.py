@@ -27,6 +27,8 @@ from .text import buffer_of, mix, word_hashes
 MIN_WORDS = 16
 #: Words of the stretches of units that are compared, whatever lines they stand in.
 RUN_WORDS = 40
+#: A digest with more than the HOT-th part of all repeats is joined by broadcast.
+HOT = 1000
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 _ROWS = 256
@@ -118,13 +120,20 @@ def units(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS, run_
 def later(docs: DataFrame, key: str, text: str, min_words: int, run_words: int | None) -> DataFrame:
     """_key, _hash, start, end, first_key, first_start of all stretches that stood before, where none includes another that it touches."""
     found = stash(units(docs, key, text, min_words, run_words), "units")
-    # both sides of the first join grow with the input, so that it is a shuffle at every size
-    twice = found.groupBy("d1", "d2").agg(F.count("*").alias("_n")).filter("_n > 1").select("d1", "d2")
-    again = stash(found.join(twice.hint("merge"), ["d1", "d2"], "left_semi"), "repeats")
+    counts = stash(found.groupBy("d1", "d2").agg(F.count("*").alias("_n")).filter("_n > 1"), "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    # less than HOT digests can have more than their share; these rows are not shuffled
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT > total).select("d1", "d2", F.lit(True).alias("_hot")))
+    marked = found.join(hot, ["d1", "d2"], "left")
+    # both sides of the joins of other digests grow with the input, so that they are shuffles at every size
+    cold = marked.filter("_hot is null").join(counts.select("d1", "d2").hint("merge"), ["d1", "d2"], "left_semi")
+    again = stash(cold.unionByName(marked.filter("_hot")), "repeats")
     rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("start").alias("start"), F.col("end").alias("end"))
-    groups = again.groupBy("d1", "d2").agg(F.min(rank).alias("_first"), F.max(rank).alias("_last")).filter("_first != _last").select("d1", "d2", "_first")
+    groups = stash(again.groupBy("d1", "d2", "_hot").agg(F.min(rank).alias("_first"), F.max(rank).alias("_last")).filter("_first != _last").select("d1", "d2", "_hot", "_first"), "firsts")
+    cold = again.filter("_hot is null").drop("_hot").join(groups.filter("_hot is null").drop("_hot").hint("merge"), ["d1", "d2"])
+    named = cold.unionByName(again.filter("_hot").drop("_hot").join(F.broadcast(groups.filter("_hot").drop("_hot")), ["d1", "d2"]))
     same = F.col("_key").eqNullSafe(F.col("_first.key")) & (F.col("_hash") == F.col("_first.hash"))
-    apart = again.join(groups.hint("merge"), ["d1", "d2"]).filter(~same | (F.col("start") >= F.col("_first.end")))
+    apart = named.filter(~same | (F.col("start") >= F.col("_first.end")))
     return apart.select("_key", "_hash", "start", "end", F.col("_first.key").alias("first_key"), F.col("_first.start").alias("first_start"))
 
 
@@ -145,7 +154,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     ``min_words`` of 1 would compare its lines.
 
     A digest that is very frequent is summed up before the shuffle, and its
-    join is split by adaptive execution.
+    rows are joined where they are: of such digests there are less than HOT.
     """
     found = later(docs, key, text, min_words, run_words)
     own = Window.partitionBy("_key", "_hash").orderBy("start", "end")
