@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .langid import held_out
-from .scratch import stash
+from .scratch import stash, unused
 from .text import hash_word, mix, word_hashes
 
 #: Bytes of text in a block, and of all text for one hash range.
@@ -167,6 +168,20 @@ def learn(cells: list[tuple[int, int, int, float]], n: int, v: int) -> np.ndarra
     return weights
 
 
+def numbered(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that tell its rows apart, repeated ones too, and stay the same when a task runs again.
+
+    Files' rows have their file and place; of any other frame ``columns`` are
+    written down once, under row numbers.
+    """
+    row = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        return docs, docs.select(*row) and row
+    except AnalysisException:
+        name = unused(docs, "_place")
+        return stash(docs.select(*columns, F.monotonically_increasing_id().alias(name)), "numbered"), [F.col(name)]
+
+
 def count(docs: DataFrame, key: str, text: str, parts: int, part: int) -> DataFrame:
     """Each row's counts under the training documents, with the held-out events of its block.
 
@@ -178,7 +193,8 @@ def count(docs: DataFrame, key: str, text: str, parts: int, part: int) -> DataFr
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, ranges = max(FEWEST, -(-size // BLOCK)), max(1, -(-size // RANGE))
     out = held_out(F.col(key), parts, part)
-    rows = docs.select(F.pmod(F.xxhash64(F.col(key), F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("_key"), out.alias("held_out"), F.col(text).alias("_text"))
+    docs, row = numbered(docs, [key, text])
+    rows = docs.select(F.pmod(F.xxhash64(*row), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("_key"), out.alias("held_out"), F.col(text).alias("_text"))
 
     def send(table: pa.Table) -> pa.Table:
         train = ~table.column("held_out").to_numpy()

@@ -38,6 +38,55 @@ def test_blocks_and_ranges_change_no_count(docs, monkeypatch):
     assert counted() == before
 
 
+def test_scores(docs, rows, monkeypatch):
+    """score by brute force, for weights that depend on the context's bucket."""
+    some = np.random.default_rng(3).dirichlet([1, 1, 1], lm.BUCKETS + 1)
+    some[0] = [0, 0.7, 0.3]
+    monkeypatch.setattr(lm, "learn", lambda cells, n, v: some)
+    train = [toks(r[1]) for r in rows if not (r[0] is not None and held_out(r[0], 7, 2))]
+    one, two = Counter(t for d in train for t in d), Counter(p for d in train for p in zip(["\x01", *d[:-1]], d, strict=True))
+    n, v, context = sum(one.values()), len(one), {**one, "\x01": len(train)}
+    want = []
+    for key, text, *_ in rows:
+        total, before = 0.0, "\x01"
+        for t in toks(text):
+            seen = context.get(before, 0)
+            a, b, c = some[min(seen.bit_length(), lm.BUCKETS)]
+            total += math.log10(a * (two[before, t] / seen if seen else 0) + b * one[t] / n + c / (v + 1))
+            before = t
+        want.append((str(key), total))
+    got = sorted((str(r.doc_id), r.score) for r in lm.score(docs).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-6)
+
+
+def test_weights_are_those_of_plain_em():
+    """On cells of held-out events, against a loop over single events."""
+    cells = [(3, -4, 5, 10), (3, -1000, 2, 4), (3, -2, 3, 7), (1, -1000, 4, 5), (1, -3, 1, 2)]
+    n, v = 1000, 50
+    got = lm.learn([(a, b, c, float(e)) for a, b, c, e in cells], n, v)
+    for bucket in (1, 3):
+        events = [(min(1, math.exp((b + 0.5) * lm.CELL)) if b > -1000 else 0.0, math.exp((c + 0.5) * lm.CELL) / n) for a, b, c, e in cells if a == bucket for _ in range(e)]
+        w = [0.4, 0.4, 0.2]
+        for _ in range(lm.ROUNDS):
+            sums = [1.0, 1.0, 1.0]
+            for p in events:
+                parts = [w[0] * p[0], w[1] * p[1], w[2] / (v + 1)]
+                sums = [s + x / sum(parts) for s, x in zip(sums, parts, strict=True)]
+            w = [s / sum(sums) for s in sums]
+        assert np.allclose(got[bucket], w)
+
+
+def test_repeated_rows_are_dealt_to_all_blocks(spark, tmp_path):
+    """Rows of a file and of any other frame get numbers of their own."""
+    rows = spark.createDataFrame([(None, None)] * 300 + [(1, "a b")] * 300, "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "t"))
+    for frame in (rows, spark.read.parquet(str(tmp_path / "t"))):
+        named, place = lm.numbered(frame, ["doc_id", "text"])
+        assert named.select(*place).distinct().count() == 600
+    assert lm.score(spark.read.parquet(str(tmp_path / "t"))).count() == 600
+
+
 def test_it_is_a_distribution_that_beats_its_base(spark):
     """On text with an order, held-out perplexity falls well below the unigram's."""
     rng = np.random.default_rng(2)
