@@ -128,10 +128,9 @@ def certify(scored: DataFrame, good: DataFrame, key: str, stratum: str, risk: fl
     grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff")) for r, cuts in GRID.items() for i, c in enumerate(cuts)]))
     held = scored.join(good.select(key), key, "left_semi").select(stratum, "_scores", grid.alias("g"))
     cells = held.groupBy(stratum, "g.rule", "g.step", "g.cutoff").agg(F.count("*").alias("n"), F.count_if(F.element_at("_scores", F.col("g.rule")) > F.col("g.cutoff")).alias("k"))
-    strata = Window.partitionBy(F.lit(0))
-    # one row for each stratum, rule and cutoff
-    tests = F.size(F.collect_set(F.struct(F.coalesce(F.col(stratum), F.lit("")))).over(strata)) * len(GRID)
-    tested = cells.withColumn("_p", binomial_tail(F.col("k"), F.col("n"), F.lit(risk / len(GRID)))).withColumn("_ok", (F.col("_p") <= F.lit(delta) / tests).cast("int"))
+    cells = stash(cells, "cells")
+    tests = cells.agg(F.count_distinct(F.coalesce(F.col(stratum), F.lit("")))).first()[0] * len(GRID)
+    tested = cells.withColumn("_p", binomial_tail(F.col("k"), F.col("n"), F.lit(risk / len(GRID)))).withColumn("_ok", (F.col("_p") <= delta / max(tests, 1)).cast("int"))
     chain = Window.partitionBy(stratum, "rule").orderBy("step")
     passed = tested.withColumn("_all", F.min("_ok").over(chain)).filter("_all = 1")
     return passed.groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))

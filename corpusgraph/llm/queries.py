@@ -12,43 +12,53 @@ from .scratch import documents
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. Null and letterless texts are ``und``; repeated rows and equal texts get equal answers; no documents, no rows."""
     return langid.identify(documents(spark, sf_dir))
 
 
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law ``key``. Null texts have size 1; a null key is a key, and its rows share a shard; ties in a shard are ordered by text checksum."""
     return sharding.assign_shards(documents(spark, sf_dir), shards=8)
 
 
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 2048 tokens. Null and empty texts are the end id alone; repeated rows and null keys are documents each."""
     pieces = packing.pack(documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
 
 
 def op4_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page. A null url has an empty host, which no rule fits; repeated rows are judged alike."""
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document. Null, empty and blank texts are linked with nothing; a null key ranks behind all others."""
     return neardup.classes(documents(spark, sf_dir)).drop("_hash")
 
 
 def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document. Null and empty texts are their end token; repeated rows are documents each; a null key is not held out."""
     return lm.score(documents(spark, sf_dir))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document. Null and empty texts have no words, labels or score."""
     return licenses.scan(documents(spark, sf_dir))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages of every document. Null and empty texts and items match nothing; equal items are found each; rows with equal keys are searched each."""
     return decontam.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("_hash")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that stood before. Null and empty texts have none; rows of equal key and text are one document; a null key ranks last."""
     return linededup.repeated(documents(spark, sf_dir)).drop("_hash")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every document. A null text has no words and fails; a null language is a stratum; keys without an agreeing label teach nothing."""
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

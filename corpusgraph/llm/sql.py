@@ -46,13 +46,11 @@ def host_trust() -> str:
         "edges as (select src, dst, count(*)::double as n from named where src <> '' and dst <> '' and src <> dst group by 1, 2)",
         "both_ways as (select 'trust' as kind, src, dst, n from edges union all select 'distrust', dst, src, n from edges)",
         "steps as materialized (select kind, src, dst, n / sum(n) over (partition by kind, src) as p from both_ways)",
-        f"r0 as (select kind, host, {1 - urlfilter.DAMPING} as score from seeds)",
+        f"walk as (select 0 as i, kind, host, {1 - urlfilter.DAMPING} as score from seeds union all select i + 1, w.kind, dst, sum({urlfilter.DAMPING} * score * p) from walk w join steps s on s.kind = w.kind and s.src = w.host where i < {urlfilter.MOST} group by i, w.kind, dst)",
+        f"t as (select host, coalesce(sum(score) filter (kind = 'trust'), 0) / {1 - urlfilter.DAMPING} as trust, coalesce(sum(score) filter (kind = 'distrust'), 0) / {1 - urlfilter.DAMPING} as distrust from walk group by 1)",
     ]
-    for i in range(1, urlfilter.ROUNDS + 1):
-        steps.append(f"r{i} as materialized (select kind, host, sum(score) as score from (select s.kind, s.dst as host, {urlfilter.DAMPING} * r.score * s.p as score from r{i - 1} r join steps s on s.kind = r.kind and s.src = r.host union all select * from r0) group by 1, 2)")
-    steps.append(f"t as (select host, coalesce(sum(score) filter (kind = 'trust'), 0) / {1 - urlfilter.DAMPING} as trust, coalesce(sum(score) filter (kind = 'distrust'), 0) / {1 - urlfilter.DAMPING} as distrust from r{urlfilter.ROUNDS} group by 1)")
     steps.append("s as (select ruled.*, coalesce(trust, 0) as tr, coalesce(distrust, 0) as di from ruled left join t using (host))")
-    return "with " + ",\n ".join(steps) + f"\n select page_id, host, path, rule, coalesce(said, case when di >= {urlfilter.THRESHOLD} and di > tr then 'block' else 'allow' end) as verdict, round(tr, 6) as trust, round(di, 6) as distrust from s"
+    return "with recursive " + ",\n ".join(steps) + f"\n select page_id, host, path, rule, coalesce(said, case when di >= {urlfilter.THRESHOLD} and di > tr then 'block' else 'allow' end) as verdict, round(tr, 6) as trust, round(di, 6) as distrust from s"
 
 
 def quality_rules() -> str:

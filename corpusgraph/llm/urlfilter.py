@@ -16,7 +16,9 @@ from .scratch import stash
 
 #: (verdict, host with its path); the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS, EVERY = 0.85, 12, 4
+DAMPING, EVERY = 0.85, 4
+#: Walks go on until no score changes by more than PRECISION of a seed's weight in EVERY steps; MOST steps leave less than that in any graph.
+PRECISION, MOST = 1e-8, 120
 #: A host is blocked at this share of the distrust that a seed starts from.
 THRESHOLD = 0.1
 #: A host is a seed when this share of its pages falls under rules of one kind.
@@ -55,25 +57,29 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.select("src", dst.alias("dst")).filter("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, precision: float = PRECISION) -> DataFrame:
     """kind, host, score: both walks, in one frame, from seeds (kind, host).
 
     ``edges`` has kind, src, dst, n.  Every seed restarts with weight 1, so a
     score does not shrink as the web grows.  A step is a join on the source
     and a sum at the target, which is summed up before the shuffle; lineage
-    is cut every few steps.
+    is cut every few steps, and scores that only grow are compared there.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("_out"))
     steps = stash(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("_out")).alias("p")), "links")
     start = seeds.select("kind", "host", F.lit(1.0 - damping).alias("score"))
     if not steps.take(1):
         return start
-    rank = start
-    for i in range(rounds):
+    rank = before = start
+    for i in range(MOST):
         moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("p")).alias("score"))
         rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % EVERY == EVERY - 1:
             rank = stash(rank, "rank")
+            grown = F.max(F.col("score") - F.coalesce("_was", F.lit(0.0)))
+            if (rank.join(before.withColumnRenamed("score", "_was"), ["kind", "host"], "left").agg(grown).first()[0] or 0.0) <= precision:
+                break
+            before = rank
     return rank
 
 

@@ -52,7 +52,7 @@ def walk(pages, kind, reverse):
         out[a] = out.get(a, 0) + n
     start = {h: 1 - urlfilter.DAMPING for h in seeds}
     rank = dict(start)
-    for _ in range(urlfilter.ROUNDS):
+    for _ in range(urlfilter.MOST):
         new = dict(start)
         for (a, b), n in edges.items():
             if a in rank:
@@ -75,6 +75,14 @@ def test_against_a_dense_walk(spark):
     assert by[11] == "block" and by[14] == by[15] == by[5] == "allow"
 
 
+def test_a_long_chain_is_walked_to_its_end(spark):
+    """Distrust of 0.85^14 reaches the host that is 14 links behind a blocked one, and no further host."""
+    pages = [(0, "http://bad.net/", None)] + [(i, f"http://h{i}.io/", f'<a href="http://{"bad.net" if i == 1 else f"h{i - 1}.io"}/">') for i in range(1, 20)]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i].distrust == round(0.85**i, 6) for i in got)
+    assert [i for i in sorted(got) if got[i].verdict == "block"] == list(range(15))
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert urlfilter.judge(empty).count() == 0
