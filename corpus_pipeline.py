@@ -15,13 +15,27 @@ from corpusgraph.llm.scratch import stash, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: those without text or letters go."""
+    """Documents whose language can be told; a null lang becomes the language that is predicted.
+
+    Documents with a null text, or one without letters, are rejected; where no
+    document has a language to learn from, all others stay as they are.
+    Repeated rows and null keys are treated alike; an empty table stays empty.
+    """
     model = langid.fit(docs.filter(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), "doc_id", "text", "lang")
-    return docs.filter(langid.predict(model, F.col("text"))["lang_pred"] != langid.UNKNOWN)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    told = unused(docs, "_told")
+    judged = docs.withColumn(told, langid.predict(model, F.col("text"))["lang_pred"]).filter(F.col(told) != langid.UNKNOWN)
+    return judged.select(*[F.coalesce("lang", told).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least doc_id."""
+    """One document of each near-duplicate group, the one with the least doc_id.
+
+    A null doc_id ranks last; rows with that same key, or repeated rows, stay
+    together.  Texts without a word are no duplicates of each other, so null
+    and empty ones stay; an empty table stays empty.
+    """
     judged = neardup.classes(docs, threshold=80)
     key, text = unused(docs, "_id"), unused(docs, "_hash")
     dropped = judged.filter("not kept").select(F.col("doc_id").alias(key), F.col("_hash").alias(text)).distinct()
@@ -30,17 +44,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document has."""
+    """All documents, without the lines and passages that an earlier document has.
+
+    Rows of equal key and text are one document and lose the same; null and
+    empty texts stay as they are, and so does an empty table.
+    """
     return linededup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Each row is judged by its own text, whatever its key; null and empty texts
+    stay, and all rows where the benchmark is empty.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences.
+
+    Null and empty texts are the end id alone; repeated rows and null keys are
+    documents each; an empty table gives no pieces.
+    """
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window")
 
