@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "h
 STEM_SUFFIXES = ("izations", "ization", "isations", "isation", "ations", "ation", "ings", "ing")
 TIER_RULES = (
     ("commentary", r"^(comment|corrigendum|erratum|editorial|retraction|addendum)"),
-    ("review", r"^.{0,84}review|^a systematic review"),
+    ("review", r"(?s)^.{0,84}review|^a systematic review"),
     ("clinical", r"clinical trial|case series|case report|randomized|cohort|meta-analysis"),
     ("primary_in_vivo", r"in vivo|rat |mice|mouse|rabbit|canine|porcine|animal"),
     ("primary_in_vitro", r"in vitro|cell culture|osteoblast|cells? "),
@@ -22,7 +25,13 @@ TIER_RULES = (
 REFERENCE_HEADINGS = (r"(?m)^\s*References\s*$", r"(?m)^\s*Bibliography\s*$", r"(?m)^\s*REFERENCES\s*$", r"(?m)^\s*参考\s*文\s*献\s*$", r"(?m)^\s*References\s*[\[\(].*")
 CJK = "[一-鿿]"
 REFERENCE_ID = r"^(P|E|H|MS|OP|GAP|OC|FC)-\d{1,6}(-\d{1,4})?$"
-SECRETS = r"(?i)(api[_-]?key|token|secret|password|authorization)(\s*[=:]\s*)[^\s,;]+"
+SECRETS = r"\b(sk-[A-Za-z0-9_\-]{8,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})\b"
+SECRET_KEYS = ("api_key", "apikey", "token", "password", "secret", "authorization", "key")
+NAME_SEPARATORS = r"[\s_\-/\\.,;:'\"()\[\]{}]+"
+ABBREVIATIONS = (
+    "e.g", "i.e", "etc", "vs", "al", "Fig", "Figs", "Eq", "et", "cf", "Dr", "Mr", "Ms", "Prof", "Inc", "Ltd", "Co",
+    "No", "vol", "pp", "eds", "Eds", "St", "Mt", "U.S", "U.K", "a.m", "p.m",
+)
 
 
 def squeeze(c: Column) -> Column:
@@ -30,16 +39,24 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at the ends, line breaks included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def name_key(c: Column) -> Column:
     """The key of a node name: separators and punctuation are spaces, lower case."""
-    return squeeze(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s_\-‐-―/,;:.()\[\]{}'\"]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"(?U){NAME_SEPARATORS}", " ")))
 
 
 def unescape(c: Column) -> Column:
-    """The HTML entities that occur in titles."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """All HTML entities as characters; only texts with an ampersand reach Python."""
+
+    @F.arrow_udf("string")
+    def resolved(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(resolved(F.when(c.contains("&"), c)), c)
 
 
 def title_key(c: Column) -> Column:
@@ -64,22 +81,33 @@ def journal_key(c: Column) -> Column:
     return squeeze(F.regexp_replace(words, r"\b(the|journal of the)\b", " "))
 
 
+def plain_space(c: Column) -> Column:
+    """Line breaks as \\n, one space for spaces and tabs, none at the ends."""
+    return strip(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), r"[ \t]+", " "))
+
+
 def paragraphs(c: Column) -> Column:
     """Blocks between blank lines, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(plain_space(c), r"(?U)\n\s*\n"), strip), lambda x: x != "")
 
 
 def sentences(c: Column) -> Column:
-    """Split behind . ! ? and their CJK forms; an abbreviation's full stop does not end a sentence."""
-    parts = F.split(squeeze(F.coalesce(c, F.lit(""))), r"(?<=[.!?])\s+|(?<=[。！？])")
-    short = r"(?<!\w)(e\.g|i\.e|etc|vs|al|Figs?|Eq|et|cf|Dr|Mr|Ms|Prof|Inc|Ltd|Co|No|vol|pp|[eE]ds|St|Mt|U\.S|U\.K|a\.m|p\.m)\.\s*$"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Split behind . ! ? before white space and behind their CJK forms; an abbreviation's full stop ends no sentence.
+
+    A part opens a sentence where the part before it ends in no abbreviation,
+    so the sentences are slices of the parts.
+    """
+    blocks = F.filter(F.transform(F.split(plain_space(c), r"(?<=[。！？])(?U)\s*"), strip), lambda x: x != "")
+    parts = F.filter(F.transform(F.flatten(F.transform(blocks, lambda b: F.split(b, r"(?<=[.!?])(?U)\s+"))), strip), lambda x: x != "")
+    short = rf"(?U)(?<!\w)({'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS)})\.\s*$"
+    marked = F.transform(parts, lambda p: F.struct(p.alias("p"), p.rlike(short).alias("open")))
+    starts = lambda m: F.filter(F.transform(m, lambda x, i: F.when((i == 0) | ~F.get(m, i - 1)["open"], i)), lambda i: i.isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.when(acc["open"] == "", x).otherwise(F.concat(acc["open"], F.lit(" "), x))
-        return F.when(joined.rlike(short), F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(joined)).alias("done"), F.lit("").alias("open")))
+    def build(m: Column, at: Column) -> Column:
+        return F.transform(at, lambda s, k: F.array_join(F.transform(F.slice(m, s + 1, F.coalesce(F.get(at, k + 1), F.size(m)) - s), lambda x: x["p"]), " "))
 
-    return F.aggregate(F.filter(parts, lambda x: x != ""), start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    # each array is bound once, so that no part is looked at twice
+    return F.get(F.transform(F.array(marked), lambda m: F.get(F.transform(F.array(starts(m)), lambda at: build(m, at)), F.lit(0))), F.lit(0))
 
 
 def html_text(c: Column) -> Column:
@@ -174,15 +202,22 @@ def looks_english(c: Column) -> Column:
     return F.coalesce(latin > F.greatest(F.lit(20), 2 * cjk), F.lit(False))
 
 
-def redact(c: Column) -> Column:
-    """Values of secrets as ***."""
-    return F.regexp_replace(c, SECRETS, "$1$2***")
+def truncate(c: Column, limit: int = 500) -> Column:
+    """Head and tail of a long text, with its length between them."""
+    text = F.coalesce(c, F.lit(""))
+    n, head = F.length(text), limit // 2
+    return F.when(n <= limit, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("…["), n.cast("string"), F.lit("字符]…"), F.substring(text, n - (limit - head) + 1, F.lit(limit - head))))
+
+
+def redact(c: Column, limit: int = 500) -> Column:
+    """A text cut to the limit, with *** for tokens that look like secrets."""
+    return F.regexp_replace(truncate(c, limit), SECRETS, "***")
 
 
-def truncate(c: Column, most: int, tail: int = 0) -> Column:
-    """Head and tail of a long text."""
-    cut = F.concat(F.substring(c, 1, most - tail), F.lit("…"), F.substring(c, F.length(c) - tail + 1, F.lit(tail)) if tail else F.lit(""))
-    return F.when(F.length(c) > most, cut).otherwise(c)
+def redact_fields(fields: Column) -> Column:
+    """A map of texts; values under names of secrets are hidden whole."""
+    secret = lambda k: F.lower(k).rlike("|".join(SECRET_KEYS))
+    return F.transform_values(fields, lambda k, v: F.when(secret(k), F.lit("***")).otherwise(F.when(v.isNotNull(), redact(v))))
 
 
 def slug(c: Column, most: int = 60) -> Column:

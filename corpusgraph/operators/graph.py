@@ -81,8 +81,8 @@ def repoint(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def keepers(nodes: DataFrame, group: list[str]) -> DataFrame:
-    """Drop, keep for each group: most papers, then confidence, then the least id stays."""
-    order = Window.partitionBy(*group).orderBy(F.desc("support"), F.desc("confidence"), F.asc("node_id"))
+    """Drop, keep for each group: most papers, then confidence, then the highest id stays."""
+    order = Window.partitionBy(*group).orderBy(F.desc("support"), F.desc("confidence"), F.desc("node_id"))
     ranked = nodes.withColumn("keep", F.first("node_id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return ranked.filter("node_id != keep").select(F.col("node_id").alias("drop"), "keep")
 
@@ -145,9 +145,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = frontier
     for d in range(1, depth + 1):
         ahead = edges.join(frontier.select(F.col("node_id").alias("source_node")), "source_node", "left_semi").select(F.col("target_node").alias("node_id")).distinct()
-        frontier = ahead.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(d))
-        if d % 3 == 0:
-            frontier = materialised(frontier)
+        frontier = materialised(ahead.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -101,22 +101,28 @@ def duplicates(fresh: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def similar_titles(titles: DataFrame, key: str, title: str, least: float = 0.7) -> DataFrame:
-    """Pairs of similar titles: one contains the other, or the shared words are 70 % of the shorter one's.
-
-    Titles of ten characters and more are blocked by their words.  A title is
-    looked up under all words but the most frequent that it could spare: to
-    share 70 % of the shorter title's words, two titles share one of the
-    rarest 30 % plus one, so no match is lost.  A title that another contains
-    may begin and end within words, so three words are looked up at least; one
-    of less than three words has to share a whole word.
+    """Pairs of similar titles: one contains the other, or the shared words are 70 % of the smaller set of words.
+
+    Titles are compared in lower case with a space for all but letters and
+    digits of ASCII; those of less than ten characters match nothing.
+    Candidates lose no match: a smaller set shares one of the rarest words
+    that it cannot spare; a title within another has all words but its first
+    and last whole in it, so the rarest of them is looked up; a title of one or
+    two words is looked up by its first ten characters.
     """
-    norm = titles.select(F.col(key).alias("_k"), T.title_key(F.col(title)).alias("_t")).filter(F.length("_t") >= 10)
-    words = norm.select("_k", "_t", F.array_distinct(F.split("_t", " ")).alias("_w"))
-    each = words.select("_k", "_t", "_w", F.explode("_w").alias("word"))
-    freq = each.groupBy("word").agg(F.count("*").alias("_f"))
-    ranked = each.join(freq, "word").withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_f", "word")))
-    probe = ranked.filter(F.col("_n") <= F.greatest(F.lit(3), F.size("_w") - F.ceil(F.size("_w") * least) + 1))
-    pairs = probe.select(F.col("_k").alias("a"), F.col("_t").alias("_ta"), F.col("_w").alias("_wa"), "word").join(each.select(F.col("_k").alias("b"), F.col("_t").alias("_tb"), F.col("_w").alias("_wb"), "word"), "word").filter("a != b")
+    norm = titles.select(F.col(key).alias("_k"), F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")).alias("_t")).filter(F.length("_t") >= 10)
+    words = norm.withColumn("_o", F.split("_t", " ")).withColumn("_w", F.array_distinct("_o"))
+    each = words.select("_k", "_t", "_w", "_o", F.explode("_w").alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count("*").alias("_f")), "word").withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_f", "word")))
+    spared = F.col("_n") <= F.size("_w") - F.ceil(F.size("_w") * least) + 1
+    inner = F.array_contains(F.slice("_o", 2, F.greatest(F.lit(1), F.size("_o") - 2)), F.col("word")) & (F.size("_o") >= 3)
+    first = F.min(F.when(inner, F.col("_n"))).over(Window.partitionBy("_k", "_t"))
+    probe = ranked.withColumn("_in", F.coalesce(F.col("_n") == first, F.lit(False))).filter(spared | F.col("_in"))
+    side = lambda df, n, *more: df.select(F.col("_k").alias(n), F.col("_t").alias(f"_t{n}"), F.col("_w").alias(f"_w{n}"), *more)
+    by_word = side(probe, "a", "word").join(side(each, "b", "word"), "word").filter((F.size("_wa") <= F.size("_wb")) | F.contains(F.col("_tb"), F.col("_ta")))
+    grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - 9), lambda i: F.substring(F.col("_t"), i, F.lit(10)))).alias("word")
+    by_gram = side(words.filter(F.size("_o") < 3), "a", F.substring("_t", 1, 10).alias("word")).join(side(words, "b", grams).distinct(), "word")
+    pairs = by_word.unionByName(by_gram).filter("a != b")
     overlap = F.size(F.array_intersect("_wa", "_wb")) / F.least(F.size("_wa"), F.size("_wb"))
     near = F.contains(F.col("_ta"), F.col("_tb")) | F.contains(F.col("_tb"), F.col("_ta")) | (overlap >= least)
     return pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

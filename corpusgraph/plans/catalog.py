@@ -49,10 +49,14 @@ def joined(c, sep: str = "|"):
 
 # Text
 
-@query("t01_name_normalize", "select s_suppkey as id, trim(regexp_replace(lower(regexp_replace(s_name, '[\\s_\\-/,;:.()\\[\\]{}''\"]+', ' ', 'g')), '\\s+', ' ', 'g')) as norm from supplier union all select p_partkey + 1000000, lower(trim(p_name)) from part")
+_NAME = "trim(lower(regexp_replace({}, '[\\s_\\-/\\\\.,;:''\"()\\[\\]{{}}]+', ' ', 'g')))"
+
+
+@query("t01_name_normalize", f"select doc_id as id, {_NAME.format('text')} as norm from documents union all select event_id + 10000000, {_NAME.format("props || '\\\\-_x—' || event_type")} from events")
 def t01(spark, d):
-    s = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), T.name_key(F.col("s_name")).alias("norm"))
-    return s.unionByName(B.table(spark, d, "part").select((F.col("p_partkey") + 1000000).alias("id"), T.name_key(F.col("p_name")).alias("norm")))
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.name_key(F.col("text")).alias("norm"))
+    odd = F.concat("props", F.lit("\\-_x—"), "event_type")
+    return docs.unionByName(B.table(spark, d, "events").select((F.col("event_id") + 10000000).alias("id"), T.name_key(odd).alias("norm")))
 
 
 @query("t02_title_normalize", f"with {B.PAPERS} select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(title, '<[^>]+>', ' ', 'g')), '[-–—‑/\\\\_+|~]', ' ', 'g'), '[.,;:!?''\"`()\\[\\]{{}}<>*#&@$%^=]', '', 'g'), '\\s+', ' ', 'g')) as norm from papers")
@@ -66,14 +70,26 @@ def t03(spark, d):
     return B.table(spark, d, "part").select("p_partkey", T.doi_key(F.concat(prefix, F.lit(" 10.1000/").substr(2, 8), F.col("p_brand"), F.lit("."), F.col("p_partkey"))).alias("doi"))
 
 
-@query("t06_paragraphs", "select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '')) as n from documents")
+_ENDS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_SPACED = _ENDS.format("regexp_replace(regexp_replace({}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g')")
+
+
+@query("t06_paragraphs", f"select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array({_SPACED.format("replace(text, '. ', '.' || chr(13) || chr(10) || chr(9) || chr(13) || '  ')")}, '\\n\\s*\\n'), lambda x: {_ENDS.format('x')}), lambda x: x <> ''), '|') as blocks from documents where doc_id is not null")
 def t06(spark, d):
-    return B.table(spark, d, "documents").select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("long").alias("n"))
+    broken = F.replace("text", F.lit(". "), F.lit(".\r\n\t\r  "))
+    return B.table(spark, d, "documents").select("doc_id", joined(T.paragraphs(broken)).alias("blocks"))
 
 
-@query("t07_sentences")
+@query("t07_sentences", f"""with t as (select doc_id, {_SPACED.format("replace(replace(replace(text, 'to', 'et al.'), ', ', '。'), 'The ', 'e.g. ')")} as text from documents),
+ b as (select doc_id, unnest(string_split(regexp_replace(text, '([。！？])\\s*', '\\1' || chr(1), 'g'), chr(1))) as block, generate_subscripts(string_split(regexp_replace(text, '([。！？])\\s*', '\\1' || chr(1), 'g'), chr(1)), 1) as i from t),
+ p as (select doc_id, i, unnest(string_split(regexp_replace({_ENDS.format('block')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as part, generate_subscripts(string_split(regexp_replace({_ENDS.format('block')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) as j from b),
+ q as (select doc_id, row_number() over (partition by doc_id order by i, j) as n, {_ENDS.format('part')} as part from p where {_ENDS.format('part')} <> ''),
+ r as (select *, case when n = 1 or not regexp_matches(lag(part) over w, '(^|[^\\pL\\pN_])({"|".join(a.replace(".", "[.]") for a in T.ABBREVIATIONS)})\\.\\s*$') then 1 else 0 end as opens from q window w as (partition by doc_id order by n)),
+ s as (select *, sum(opens) over (partition by doc_id order by n) as k from r)
+ select doc_id, cast(k - 1 as int) as pos, string_agg(part, ' ' order by n) as sentence from s group by doc_id, k""")
 def t07(spark, d):
-    return B.table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    odd = F.replace(F.replace(F.replace("text", F.lit("to"), F.lit("et al.")), F.lit(", "), F.lit("。")), F.lit("The "), F.lit("e.g. "))
+    return B.table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(odd)).alias("pos", "sentence"))
 
 
 @query("t08_html_clean", "select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(html,'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&nbsp;',' '),'&middot;','·'),'&copy;','©'),'&amp;','&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as body from pages")
@@ -121,10 +137,13 @@ def t37(spark, d):
     return B.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(T.has_cjk(F.col("text"))).alias("cjk"))
 
 
-@query("t38_redact")
+@query("t38_redact", """with t as (select doc_id, 'key sk-abcdefgh' || doc_id || ' ' || text || ' AKIA' || lpad(cast(doc_id as varchar), 16, '0') || ' ghp_' || repeat('a1', 12) || '.' as t from documents),
+ c as (select doc_id, case when length(t) <= 500 then t else substr(t, 1, 250) || '…[' || length(t) || '字符]…' || right(t, 250) end as t from t)
+ select doc_id, regexp_replace(t, '\\b(sk-[A-Za-z0-9_\\-]{8,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})\\b', '***', 'g') as shown, '***' as hidden, 'x***' as open from c""")
 def t38(spark, d):
-    hidden = T.redact(F.col("text"))
-    return B.table(spark, d, "documents").filter(hidden != F.col("text")).select("doc_id", F.md5(hidden.cast("binary")).alias("digest"))
+    text = F.concat(F.lit("key sk-abcdefgh"), "doc_id", F.lit(" "), "text", F.lit(" AKIA"), F.lpad(F.col("doc_id").cast("string"), 16, "0"), F.lit(" ghp_" + "a1" * 12 + "."))
+    fields = T.redact_fields(F.create_map(F.lit("My_API_KEY"), text, F.lit("note"), F.lit("x***")))
+    return B.table(spark, d, "documents").select("doc_id", T.redact(text).alias("shown"), fields["My_API_KEY"].alias("hidden"), fields["note"].alias("open"))
 
 
 @query("t43_colour", "select p_partkey, cast(('0x' || substr(md5(p_name), 1, 6))::bigint % 12 as integer) as colour from part")
@@ -222,12 +241,14 @@ def j11(spark, d):
     return G.induced(B.edges(spark, d), chosen).select("relation_type", "source_node", "target_node")
 
 
-@query("j12_fuzzy_title", """with t as (select c_custkey as id, c_mktsegment || ' customer ' || (c_custkey % 97) || ' of nation ' || c_nationkey as title from customer),
- n as (select id, lower(title) as t, list_distinct(string_split(lower(title), ' ')) as w from t)
- select a.id as a, b.id as b from n a join n b on a.id < b.id where contains(a.t, b.t) or contains(b.t, a.t) or len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.95""")
+@query("j12_fuzzy_title", """with t as (select c_custkey as id, c_mktsegment || ' customer ' || (c_custkey % 97) || ' of nation ' || c_nationkey as title from customer union all select p_partkey + 10000000, case when p_partkey % 40 = 0 then left(p_name, 11) else p_name || ' / ' || p_partkey end from part),
+ n as (select id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as t from t), w as (select id, t, list_distinct(string_split(t, ' ')) as w from n where length(t) >= 10)
+ select a.id as a, b.id as b from w a join w b on a.id < b.id where contains(a.t, b.t) or contains(b.t, a.t) or len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.95""")
 def j12(spark, d):
     title = F.concat_ws(" ", "c_mktsegment", F.lit("customer"), F.col("c_custkey") % 97, F.lit("of nation"), "c_nationkey")
-    return L.similar_titles(B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), title.alias("title")), "id", "title", least=0.95)
+    part = F.when(F.col("p_partkey") % 40 == 0, F.substring("p_name", 1, 11)).otherwise(F.concat_ws(" / ", "p_name", "p_partkey"))
+    titles = B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), title.alias("title")).unionByName(B.table(spark, d, "part").select((F.col("p_partkey") + 10000000).alias("id"), part.alias("title")))
+    return L.similar_titles(titles, "id", "title", least=0.95)
 
 
 @query("j13_library_dupes", f"with {B.PAPERS}, t as (select doc_id, paper_key, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(title, '<[^>]+>', ' ', 'g')), '[-–—‑/\\\\_+|~]', ' ', 'g'), '[.,;:!?''\"`()\\[\\]{{}}<>*#&@$%^=]', '', 'g'), '\\s+', ' ', 'g')) as norm from papers) select paper_key, case when doc_id % 10 = 0 then 'key' when doc_id % 10 = 1 and exists (select 1 from t b where b.doc_id % 2 = 0 and b.doc_id = a.doc_id - 1) then 'doi' when norm <> '' and exists (select 1 from t b where b.doc_id % 2 = 0 and b.norm = a.norm) then 'title' end as reason from t a where doc_id % 2 = 1 or doc_id % 10 = 0")
@@ -319,9 +340,11 @@ def a13(spark, d):
     return top.withColumn("venue_key", F.lower("venue")).join(F.broadcast(_quartiles(spark)), "venue_key", "left_anti").select("venue", "n").orderBy(F.desc("n"), "venue").limit(5)
 
 
-@query("a15_channels", f"with {B.NODES}, {B.HYPEREDGES}, {B.MEMBERS}, shape as (select hyperedge_id, string_agg(role || ':' || node_type, ',' order by role || ':' || node_type) as role_profile from members join nodes using (node_id) group by 1) select hyperedge_type, role_profile, count(*) as support_count, count(distinct paper_key) as paper_count, round(avg(coalesce(nullif(confidence, 0.0), 0.5)), 6) as confidence from hyperedges join shape using (hyperedge_id) group by 1, 2")
+@query("a15_channels", f"with {B.NODES}, {B.HYPEREDGES}, {B.MEMBERS}, shape as (select hyperedge_id, string_agg(role || ':' || node_type, ',' order by role || ':' || node_type) as role_profile from members join nodes using (node_id) group by 1) select hyperedge_type, role_profile, count(*) as support_count, count(distinct paper_key) as paper_count, round(avg(coalesce(nullif(confidence, 0.0), 0.5)) * count(*), 3) as confidence_sum from hyperedges join shape using (hyperedge_id) group by 1, 2")
 def a15(spark, d):
-    return G.channels(B.hyperedges(spark, d), B.members(spark, d), B.nodes(spark, d)).withColumn("confidence", F.round("confidence", 6))
+    found = G.channels(B.hyperedges(spark, d), B.members(spark, d), B.nodes(spark, d))
+    # a mean may end in a tie at its last decimal; the sum of thousandths does not
+    return found.withColumn("confidence_sum", F.round(F.col("confidence") * F.col("support_count"), 3)).drop("confidence")
 
 
 @query("a17_support", f"{_GRAPH} select relation_type, sum(support) as support, max(support) as largest, count(*) as n from edges group by 1")
@@ -504,10 +527,10 @@ def m19(spark, d):
 
 # Graph
 
-@query("g01_relation_canonical", "select l_shipdate, l_orderkey, l_linenumber, case l_returnflag when 'A' then 'accepts' when 'R' then 'returns' else l_returnflag end as relation from lineitem where l_orderkey < 2000")
+@query("g01_relation_canonical", "select l_shipdate, l_orderkey, l_linenumber, case l_returnflag when 'A' then 'accepts' when 'R' then 'returns' else l_returnflag end as relation from lineitem")
 def g01(spark, d):
     synonyms = F.broadcast(spark.createDataFrame([("a", "accepts"), ("r", "returns")], "key string, canonical string"))
-    line = B.table(spark, d, "lineitem").filter("l_orderkey < 2000")
+    line = B.table(spark, d, "lineitem")
     return line.join(synonyms, T.squeeze(F.lower("l_returnflag")) == F.col("key"), "left").select("l_shipdate", "l_orderkey", "l_linenumber", F.coalesce("canonical", "l_returnflag").alias("relation"))
 
 
@@ -544,7 +567,7 @@ def g10(spark, d):
     return G.repoint(e, mapping).select("relation_type", "source_node", "target_node", "confidence")
 
 
-@query("g11_keepers", "select p_partkey as \"drop\", first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey) as keep from part qualify p_partkey <> first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey)")
+@query("g11_keepers", "select p_partkey as \"drop\", first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey desc) as keep from part qualify p_partkey <> first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey desc)")
 def g11(spark, d):
     n = B.table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), "p_name", F.col("p_size").alias("support"), F.col("p_retailprice").alias("confidence"))
     return G.keepers(n, ["p_name"])
@@ -560,12 +583,14 @@ def g14(spark, d):
     return G.domains(B.nodes(spark, d), B.edges(spark, d), RULES)
 
 
-@query("g17_components", f"{_GRAPH}, recursive_edges as (select source_node as a, target_node as b from edges where confidence >= 0.85 and relation_type <> 'supplied_by' union all select target_node, source_node from edges where confidence >= 0.85 and relation_type <> 'supplied_by') select node_id, coalesce((select min(r.n_regionkey) * 4 + 3 from nation r where r.n_nationkey * 4 + 2 = node_id or r.n_nationkey in (select s_nationkey from supplier where s_suppkey * 4 + 1 = node_id) or r.n_regionkey * 4 + 3 = node_id), -1) as region from nodes")
+def _spread(i: int) -> str:
+    """A round of labels for the oracle: the least one among a node and its neighbours."""
+    return f"l{i} as materialized (select node_id, min(label) as label from (select * from l{i - 1} union all select b, label from both_ways join l{i - 1} on a = node_id) group by 1)"
+
+
+@query("g17_components", f"{_GRAPH}, both_ways as materialized (select source_node as a, target_node as b from edges where confidence >= 0.85 union select target_node, source_node from edges where confidence >= 0.85), l0 as (select node_id, node_id as label from nodes), {', '.join(map(_spread, range(1, 25)))} select node_id, label as component from l24")
 def g17(spark, d):
-    n, e = B.nodes(spark, d), B.edges(spark, d).filter("relation_type != 'supplied_by'")
-    c = G.components(n, e)
-    area = n.filter("node_type = 'area'").join(c, "node_id").select("component", F.col("node_id").alias("region"))
-    return c.join(area, "component", "left").select("node_id", F.coalesce("region", F.lit(-1).cast("long")).alias("region"))
+    return G.components(B.nodes(spark, d), B.edges(spark, d).filter("confidence >= 0.85"))
 
 
 @query("g18_bfs", f"{_GRAPH}, d0 as (select 0 as node_id), d1 as (select distinct target_node as node_id from edges where source_node in (select node_id from d0)), d2 as (select distinct target_node as node_id from edges where source_node in (select node_id from d1)), d3 as (select distinct target_node as node_id from edges where source_node in (select node_id from d2)) select node_id, min(depth) as depth from (select node_id, 0 as depth from d0 union all select node_id, 1 from d1 union all select node_id, 2 from d2 union all select node_id, 3 from d3) group by 1")
@@ -611,9 +636,9 @@ def k10(spark, d):
     return L.cascade_delete("k", gone, tables)[1]
 
 
-@query("q06_fact_check", "select l_orderkey * 10 + l_linenumber as claim_id, case when l_suppkey % 7 = 0 then 'fabricated' else 'number' end as issue from lineitem where l_orderkey < 3000 and (l_suppkey % 7 = 0 or l_quantity <> 10)")
+@query("q06_fact_check", "select l_orderkey * 10 + l_linenumber as claim_id, case when l_suppkey % 7 = 0 then 'fabricated' else 'number' end as issue from lineitem where l_suppkey % 7 = 0 or l_quantity <> 10")
 def q06(spark, d):
-    line = B.table(spark, d, "lineitem").filter("l_orderkey < 3000")
+    line = B.table(spark, d, "lineitem")
     claims = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.format_string("yield %d", F.col("l_quantity").cast("int") + 100).alias("text"), F.col("l_suppkey").alias("evidence_id"))
     evidence = B.table(spark, d, "supplier").filter("s_suppkey % 7 != 0").select(F.col("s_suppkey").alias("evidence_id"), F.lit("a yield of 110 percent").alias("sentence"))
     return M.fact_check(claims, evidence).select("claim_id", "issue")
