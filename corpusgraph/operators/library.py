@@ -143,3 +143,14 @@ def tags_of(papers: DataFrame, tags: DataFrame, key: str) -> DataFrame:
 def apply_commands(commands: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The state that a log of add and remove commands leaves."""
     return latest(commands, keys, [seq]).filter("action = 'add'").select(*keys)
+
+
+def project_markdown(projects: DataFrame, sections: DataFrame) -> DataFrame:
+    """One Markdown text for each project (project_id, title, topic) of its sections (project_id, position, section_key, heading, content) in order."""
+    body = F.coalesce(F.nullif(T.strip(F.coalesce("content", F.lit(""))), F.lit("")), F.lit("（本节尚未生成）"))
+    part = F.concat(F.lit("## "), F.coalesce(F.nullif("heading", F.lit("")), "section_key"), F.lit("\n\n"), body, F.lit("\n"))
+    texts = sections.select("project_id", F.struct("position", part.alias("text")).alias("s")).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "\n").alias("_body"), F.count("*").alias("section_count"))
+    head = F.concat(F.lit("# "), F.coalesce(F.nullif("title", F.lit("")), F.lit("未命名项目")), F.lit("\n"))
+    topic = F.when(F.coalesce("topic", F.lit("")) != "", F.concat(F.lit("\n> 主题："), "topic", F.lit("\n"))).otherwise("")
+    whole = F.concat(head, topic, F.coalesce(F.concat(F.lit("\n"), "_body"), F.lit("")))
+    return projects.join(texts, "project_id", "left").select("project_id", "title", F.concat(F.lit("writing_project_"), F.col("project_id").cast("string"), F.lit(".md")).alias("filename"), F.lit("text/markdown; charset=utf-8").alias("mime"), whole.alias("content"), F.coalesce("section_count", F.lit(0)).alias("section_count"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,31 +13,20 @@ from ..operators import mining as M
 from ..sources import records as R
 from ..streaming import monitor as W
 from . import bindings as B
+from . import citing, graphs, papers, study  # noqa: F401
+from .registry import QUERIES, SQL, Query, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 YEAR = 2004
 TOKENS = ["widget", "bolts", "nation"]
 RULES = [("red", "colour"), ("blue", "colour"), ("small", "size"), ("large", "size"), ("ring", "shape")]
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def joined(c, sep: str = "|"):
