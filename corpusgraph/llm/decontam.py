@@ -17,7 +17,7 @@ recall.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ EDITS, RECALL = 0.1, 0.99
 PIECE = 8
 #: Positions in a key, keys of an embedding, embeddings at most, keys that a match shares.
 SAMPLED, TABLES, MOST, AGREE = 4, 24, 24, 2
+#: Places of an item, among those no further apart than its edits, at which windows are embedded: where most pieces agree.
+PLACES = 2
 #: Characters of a document that are read at once, and windows that are embedded at once.
 STEP, WINDOWS = 1 << 20, 4096
 #: Characters of benchmark items that are searched for in one pass over the documents.
@@ -149,7 +151,7 @@ class Index:
         self.slack = np.array([int(len(t) * edits) for _, t in self.items], dtype=np.int64)
         usable = [any(c.isalnum() for c in t) for _, t in self.items]
         pieces = []
-        self.need = np.ones(len(self.items), dtype=np.int64)
+        self.need = np.zeros(len(self.items), dtype=np.int64)
         for n, (_, t) in enumerate(self.items):
             if usable[n]:
                 # more pieces than edits, of PIECE characters where that leaves some
@@ -165,7 +167,7 @@ class Index:
             quick = np.zeros(1 << 20, dtype=bool)
             quick[(hashes >> np.uint64(44)).astype(np.int64)] = True
             self.by_size[size] = (quick, hashes, np.array([p[1] for p in own]), np.array([p[2] for p in own]))
-        self.seeds = list(range(self.calibrate([t for (_, t), use in zip(self.items, usable, strict=True) if use], recall)))
+        self.seeds = list(range(self.calibrate(recall)))
         by = defaultdict(list)
         for n, size in enumerate(self.sizes.tolist()):
             if usable[n]:
@@ -179,37 +181,40 @@ class Index:
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owner = self.keys[order], self.owner[order]
 
-    def calibrate(self, texts: list[str], recall: float) -> int:
-        """Embeddings needed for the recall, by random edits at the limit of every item; the window begins where the first piece that is left says."""
+    def calibrate(self, recall: float) -> int:
+        """Embeddings needed for the recall, by random edits at the limit of every item, with windows where ``proposals`` has them."""
         rng = np.random.default_rng(11)
+        usable = [n for n, need in enumerate(self.need.tolist()) if need]
         by = defaultdict(list)
-        for t in texts:
-            for _ in range(max(1, 200 // len(texts))):
-                s, moved = list(t), []
-                for _ in range(int(len(t) * self.edits)):
+        found: list[np.ndarray] = []
+        for n in usable:
+            item = self.items[n][1]
+            for _ in range(max(1, 200 // len(usable))):
+                s = list(item)
+                for _ in range(int(self.slack[n])):
                     at, what = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
                     if what == 0:
                         s[at] = "x"
                     elif what == 1 and len(s) > 1:
                         del s[at]
-                        moved.append((at, -1))
                     else:
                         s.insert(at, "x")
-                        moved.append((at, 1))
-                shift = sum(d for at, d in moved if at < PIECE)
-                shown = "".join(s)
-                shown = shown[shift:] if shift > 0 else "x" * -shift + shown
-                by[size_class(len(t))].append((t, shown))
-        missed = []
-        for size, pairs in by.items():
-            same = [(keys([p[0] for p in pairs], size, e) == keys([p[1] for p in pairs], size, e)).sum(axis=1) for e in range(MOST)]
-            missed += (np.cumsum(np.stack(same, axis=1), axis=1) < AGREE).tolist()
-        if not missed:
+                pad = "." * int(self.slack[n] + 1)
+                shown = pad + "".join(s) + pad
+                items, starts = self.proposals(codes(shown))
+                size = int(self.sizes[n])
+                by[size] += [(len(found), item, shown[max(b, 0) : max(b, 0) + size]) for b in starts[items == n].tolist()]
+                found.append(np.zeros(MOST, dtype=bool))
+        for size, trials in by.items():
+            same = [(keys([t[1] for t in trials], size, e) == keys([t[2] for t in trials], size, e)).sum(axis=1) for e in range(MOST)]
+            for (trial, _, _), hit in zip(trials, np.cumsum(np.stack(same, axis=1), axis=1) >= AGREE, strict=True):
+                found[trial] |= hit
+        if not found:
             return 1
-        lost = np.array(missed).mean(axis=0)
-        enough = np.flatnonzero(lost <= 1 - recall)
+        share = np.array(found).mean(axis=0)
+        enough = np.flatnonzero(share >= recall)
         if not len(enough):
-            raise ValueError(f"{MOST} embeddings reach a recall of {1 - lost[-1]:.3f}, below {recall}")
+            raise ValueError(f"{MOST} embeddings reach a recall of {share[-1]:.3f}, below {recall}")
         return int(enough[0]) + 1
 
     def proposals(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +240,17 @@ class Index:
         np.add.at(marks, last[whole] + 1, -1)
         keep = np.cumsum(marks[:-1]) > 0
         item, start = item[keep], start[keep]
-        fresh = np.append(True, (item[1:] != item[:-1]) | (start[1:] != start[:-1])) if len(item) else np.zeros(0, bool)
-        return item[fresh], start[fresh]
+        if not len(item):
+            return item, start
+        first = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (start[1:] != start[:-1])))
+        votes = np.diff(np.append(first, len(item)))
+        item, start = item[first], start[first]
+        cell = start // (self.slack[item] + 1)
+        order = np.lexsort((start, -votes, cell, item))
+        item, start, cell = item[order], start[order], cell[order]
+        head = np.append(True, (item[1:] != item[:-1]) | (cell[1:] != cell[:-1]))
+        place = np.arange(len(item)) - np.maximum.accumulate(np.where(head, np.arange(len(item)), 0))
+        return item[place < PLACES], start[place < PLACES]
 
     def match(self, strings: list[str], sizes: list[int]) -> Iterator[tuple[int, int]]:
         """(string, item) for each pair that shares AGREE keys."""
@@ -257,8 +271,10 @@ class Index:
                     yield members[r], n
 
 
-def places(text: str) -> list[int]:
+def places(text: str) -> Sequence[int]:
     """Where in ``text`` each character of its normalised form comes from."""
+    if len(normalise(text)) == len(text.lower()) == len(text):
+        return range(len(text))
     out: list[int] = []
     open_gap = -1
     for k, c in enumerate(text):
@@ -285,8 +301,8 @@ def _search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
         matched = sorted({(*chosen[i][:2], n) for i, n in index.match([low[row][b : b + size] for row, b, size in chosen], [size for _, _, size in chosen])})
         for row, b, n in matched:
             item, slack, old = index.items[n][1], int(index.slack[n]), best[row, n]
-            # what no count of pieces lets begin here is beyond the edit limit
-            if (row, b, n) not in offered or any(f[1] <= b < f[2] - slack and f[0] == 0 for f in old):
+            # what no count of pieces lets begin here is beyond the edit limit; what begins near a match is that match
+            if (row, b, n) not in offered or any(abs(f[1] - b) <= slack for f in old):
                 continue
             first = max(0, b - 2 * slack - 1)
             distance, x, y = align(item, low[row][first : b + len(item) + 3 * slack + 1])
@@ -310,7 +326,7 @@ def _search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
                     flush()
                     held = 0
     flush()
-    home: list[int] = []
+    home: Sequence[int] = ()
     last = -1
     for (row, n), all_found in sorted(best.items()):
         if all_found and row != last:
