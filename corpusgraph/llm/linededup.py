@@ -10,7 +10,6 @@ offsets in the original text.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,16 +35,20 @@ _ROWS = 256
 
 @lru_cache(maxsize=1)
 def _capitals() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c)) == "Lu" for c in range(min(sys.maxunicode, 0x1FFFF) + 1)])
+    table = np.array([unicodedata.category(chr(c)) == "Lu" for c in range(0x20000)])
+    return table
 
 
 def capitalised(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether a capital letter begins at each byte place."""
-    padded = np.append(raw, np.zeros(3, np.uint8))
-    a, b, c, d = (padded[at + i].astype(np.int64) for i in range(4))
-    point = np.select([a < 0x80, a < 0xE0, a < 0xF0], [a, (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63], (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63)
     table = _capitals()
-    return table[np.minimum(point, len(table) - 1)]
+    out = table[raw[at]]
+    wide = np.flatnonzero(raw[at] >= 0x80)
+    # a character ends within the text, so what is read behind it is of no account
+    a, b, c, d = (raw[np.minimum(at[wide] + i, len(raw) - 1)].astype(np.int64) for i in range(4))
+    point = np.where(a < 0xE0, (a & 31) << 6 | b & 63, np.where(a < 0xF0, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63))
+    out[wide] = table[np.minimum(point, len(table) - 1)]
+    return out
 
 
 def _prefix_sums(values: np.ndarray, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +88,8 @@ def stretches(texts: pa.Array, min_words: int, run_words: int | None) -> tuple[n
         behind = np.searchsorted(first, upto - run_words, side="right") - 1
         fits = (behind >= 0) & (home[np.maximum(behind, 0)] == home)
         spans.append(np.stack([behind[fits], unit[fits] + 1]))
-    low, high = np.unique(np.concatenate(spans, axis=1), axis=1)
+    both = np.concatenate(spans, axis=1)
+    low, high = np.divmod(np.unique(both[0] * (len(first) + 1) + both[1]), len(first) + 1)
     a, b = first[low], upto[high - 1]
     digest = []
     with np.errstate(over="ignore"):
@@ -118,33 +122,30 @@ def units(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS, run_
 
 
 def later(docs: DataFrame, key: str, text: str, min_words: int, run_words: int | None) -> DataFrame:
-    """_key, _hash, start, end, first_key, first_start of all stretches that stood before, where none includes another that it touches."""
+    """_key, _hash, start, end of all stretches that stood before, less those that overlap their first occurrence."""
     found = stash(units(docs, key, text, min_words, run_words), "units")
     counts = stash(found.groupBy("d1", "d2").agg(F.count("*").alias("_n")).filter("_n > 1"), "counts")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     # less than HOT digests can have more than their share; these rows are not shuffled
     hot = F.broadcast(counts.filter(F.col("_n") * HOT > total).select("d1", "d2", F.lit(True).alias("_hot")))
     marked = found.join(hot, ["d1", "d2"], "left")
-    # both sides of the joins of other digests grow with the input, so that they are shuffles at every size
+    # both sides of the other joins grow with the input, so that they are shuffles at every size
     cold = marked.filter("_hot is null").join(counts.select("d1", "d2").hint("merge"), ["d1", "d2"], "left_semi")
-    again = stash(cold.unionByName(marked.filter("_hot")), "repeats")
+    again = stash(cold.unionByName(marked.filter("_hot")).drop("_hot"), "repeats")
     rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("start").alias("start"), F.col("end").alias("end"))
-    groups = stash(again.groupBy("d1", "d2", "_hot").agg(F.min(rank).alias("_first"), F.max(rank).alias("_last")).filter("_first != _last").select("d1", "d2", "_hot", "_first"), "firsts")
-    cold = again.filter("_hot is null").drop("_hot").join(groups.filter("_hot is null").drop("_hot").hint("merge"), ["d1", "d2"])
-    named = cold.unionByName(again.filter("_hot").drop("_hot").join(F.broadcast(groups.filter("_hot").drop("_hot")), ["d1", "d2"]))
-    same = F.col("_key").eqNullSafe(F.col("_first.key")) & (F.col("_hash") == F.col("_first.hash"))
-    apart = named.filter(~same | (F.col("start") >= F.col("_first.end")))
-    return apart.select("_key", "_hash", "start", "end", F.col("_first.key").alias("first_key"), F.col("_first.start").alias("first_start"))
+    firsts = again.groupBy("d1", "d2").agg(F.min(rank).alias("f")).select("d1", "d2", F.col("f.key").alias("_k"), F.col("f.hash").alias("_h"), F.col("f.end").alias("_e"))
+    own = [again["d1"] == firsts["d1"], again["d2"] == firsts["d2"], again["_hash"] == F.col("_h"), again["_key"].eqNullSafe(F.col("_k")), again["start"] < F.col("_e")]
+    return again.join(firsts.hint("merge"), own, "left_anti").select("_key", "_hash", "start", "end")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
-    """Passages to remove: key, _hash (of the text), start, end, first_key (named like key).
+    """Passages to remove: key, _hash (of the text), start, end.
 
     A line of ``min_words`` words and more, and a stretch of consecutive units
     that has ``run_words`` words, is repeated where its words, in lower case,
-    stood before; stretches that overlap are one passage, and first_key is the
-    least key that one of them stood in.  A stretch does not repeat one that it
-    overlaps.  None for ``run_words`` leaves all but whole lines.
+    stood before; stretches that overlap are one passage.  A stretch does not
+    repeat one that it overlaps.  None for ``run_words`` leaves all but whole
+    lines.
 
     Ranked by key, then text hash, then place; a null key ranks last.  Rows
     with equal key and text are one document, treated alike; rows with the
@@ -161,8 +162,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     parted = found.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
     parted = parted.withColumn("_part", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = parted.groupBy("_key", "_hash", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_key").alias("_f"))
-    return merged.select(F.col("_key").alias(key), "_hash", F.col("start").cast("long"), F.col("end").cast("long"), F.col("_f").alias(f"first_{key}"))
+    merged = parted.groupBy("_key", "_hash", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.select(F.col("_key").alias(key), "_hash", F.col("start").cast("long"), F.col("end").cast("long"))
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:

@@ -26,7 +26,7 @@ def line_dedup() -> str:
  again as (select * from f where rid <> first_rid or "start" >= first_end),
  parted as (select *, case when "start" < max("end") over (partition by rid order by "start", "end" rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from again),
  named as (select *, sum(fresh) over (partition by rid order by "start", "end" rows between unbounded preceding and current row) as part from parted)
- select any_value(doc_id) as doc_id, min("start")::bigint as "start", max("end")::bigint as "end", min(first_doc_id) as first_doc_id from named group by rid, part"""
+ select any_value(doc_id) as doc_id, min("start")::bigint as "start", max("end")::bigint as "end" from named group by rid, part"""
 
 
 def host_trust() -> str:
