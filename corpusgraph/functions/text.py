@@ -39,6 +39,37 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+LOCAL_LABEL = r"(?i)^\s*(?:compound|compd|product|intermediate|entry|item|stage|step|substrate|analyte)\s*[A-Za-z]{0,4}\d+[A-Za-z]{0,4}\s*$"
+PURE_CODE = r"^\s*\(?[A-Za-z]{0,4}\d+[A-Za-z]{0,4}\)?\s*$"
+LOCAL_CODE = r"(?i)\b(compound|compd|product|intermediate|entry|item|stage|step|substrate|analyte)\s*[A-Za-z]{0,4}\d+[A-Za-z]{0,4}\b"
+REPORTING_PREFIXES = (
+    "these results", "these findings", "these data", "these observations", "our results", "our data", "our findings", "our observations",
+    "the results", "the findings", "the data", "the observation", "the histological", "histological analysis", "immunohistochemical",
+    "the present study", "this study", "this paper", "this review", "this framework", "in this study", "we found", "we observed", "we demonstrated",
+    "we show", "we demonstrate", "here, we demonstrate", "we have demonstrated", "we described", "we summarize", "we propose", "it was found",
+    "analysis showed", "analysis revealed", "results showed", "results demonstrated", "results indicated", "findings showed", "findings suggest",
+    "findings demonstrate", "data showed", "data revealed", "taken together", "collectively", "the aim of", "the goal of",
+)
+REPORT_VERBS = (
+    r"\b(show(s|ed)?|suggest(s|ed)?|indicat(es|ed)?|demonstrat(es|ed)?|reveal(s|ed)?|found|observed|describe(s|d)?|summariz(e|es|ed)?|"
+    r"propose(s|d)?|highlight(s|ed)?|aim(s|ed)?|was found|were found|were developed|was investigated)\b"
+)
+REQUIREMENT_STOP_WORDS = (
+    "the a an of and or for with to in on by this that these those is are be as at from write section paragraph paper please summarise summarize "
+    "review describe discuss should must need using use cite citing cited citation citations least source sources reference references highlight "
+    "emphasise emphasize focus include including provide given only 请 写 段落 本节 这一节 要求 必须 需要 以及 并且 使用 基于 关于 内容 部分 引用 强调 突出 重点"
+).split()
+INSTRUCTION_MARKERS = "只写 仅写 只要写 强调 突出 引用 不少于 不少 至少 不超过 最多 尽量 注意 避免 重点 围绕 结合 给出 列出 说明 阐述 梳理 对比 要求 请".split()
+BOILERPLATE = "学术论文 论文主题 检索规划 检索 规划 一节 小节 本节 该节 写作要求 用户在节点上的指令 节点指令 只围绕 不要规划 整篇 材料 证据做 做检索 论文的".split()
+REQUIREMENT_PUNCTUATION = r"[，。；：、！？,.;:!?()（）\[\]【】\"'“”‘’/\\|<>《》—\-]+"
+CITE_COUNTS = (
+    r"引[用靠]?\s*(?:不[少低]于|至少|不少|≥|>=)?\s*(\d{1,3})",
+    r"(?:不[少低]于|至少|≥|>=)\s*(\d{1,3})\s*(?:条|篇|个|项)",
+    r"(?i)(?:cite|citing|reference)\s+(?:at\s+least\s+)?(\d{1,3})",
+    r"(?i)at\s+least\s+(\d{1,3})",
+)
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends, line breaks included."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -226,18 +257,6 @@ def slug(c: Column, most: int = 60) -> Column:
     return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, most)
 
 
-def quantity(c: Column) -> Column:
-    """struct<value_text, value_num, unit> of a value with its unit."""
-    number = F.regexp_extract(c, r"^\s*([-+]?[0-9]*\.?[0-9]+)\s*([^0-9\s].*)?$", 1)
-    unit = F.regexp_extract(c, r"^\s*([-+]?[0-9]*\.?[0-9]+)\s*([^0-9\s].*)?$", 2)
-    return F.struct(F.trim(c).alias("value_text"), number.try_cast("double").alias("value_num"), F.nullif(F.trim(unit), F.lit("")).alias("unit"))
-
-
-def initials(given: Column) -> Column:
-    """A. B. of given names."""
-    return F.array_join(F.transform(F.filter(F.split(F.coalesce(given, F.lit("")), r"[\s.\-]+"), lambda x: x != ""), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lit("."))), " ")
-
-
 def colour_index(c: Column, colours: int) -> Column:
     """A stable colour number of a name."""
     return (F.conv(F.substring(F.md5(c.cast("binary")), 1, 6), 16, 10).cast("long") % colours).cast("int")
@@ -249,9 +268,86 @@ def is_reference_id(c: Column) -> Column:
 
 
 def is_local_label(c: Column) -> Column:
-    """Names such as "compound 5a" or "5a" that mean something in one paper only."""
-    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return low.rlike(r"^(compound|complex|product|substrate|intermediate|ligand|catalyst)s?\s+\d+[a-z]{0,2}$") | low.rlike(r"^\d{1,3}[a-z]{0,2}$")
+    """Names such as "compound 5a" or "(5a)" that mean something in one paper only."""
+    name = strip(F.coalesce(c, F.lit("")))
+    return (name != "") & (name.rlike(LOCAL_LABEL) | name.rlike(PURE_CODE))
+
+
+def strip_local_codes(c: Column) -> Column:
+    """A name without the codes behind its general words."""
+    return squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), LOCAL_CODE, "$1"))
+
+
+def descriptive_alias(aliases: Column) -> Column:
+    """The first alias that describes a thing, without the code at its end; null where none does."""
+
+    def bare(a: Column) -> Column:
+        cut = strip(F.regexp_replace(strip(a), r"\s+[A-Za-z]{0,4}\d+[A-Za-z]{0,4}$", ""))
+        fits = (F.length(strip(a)) >= 5) & ~is_local_label(a) & (F.length(cut) >= 5) & ~is_local_label(cut)
+        return F.when(fits, cut)
+
+    return F.get(F.filter(F.transform(F.coalesce(aliases, F.array().cast("array<string>")), bare), lambda x: x.isNotNull()), F.lit(0))
+
+
+def is_reporting_phrase(c: Column) -> Column:
+    """Names that report instead of naming: empty ones, single Latin letters, known openings, a verb of reporting among the first seven words."""
+    text = strip(F.coalesce(c, F.lit("")))
+    low = F.lower(text)
+    head = F.array_join(F.slice(F.split(low, r"(?U)\s+"), 1, 7), " ")
+    opens = low.rlike("^(" + "|".join(REPORTING_PREFIXES) + ")")
+    return (text == "") | ((F.length(text) < 2) & ~text.rlike(CJK)) | opens | head.rlike(REPORT_VERBS)
+
+
+def requirement_tokens(c: Column) -> Column:
+    """What an instruction asks for, without the words of instructing: distinct tokens in order."""
+    text = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), REQUIREMENT_PUNCTUATION, " ")
+    for word in (*INSTRUCTION_MARKERS, *BOILERPLATE):
+        text = F.replace(text, F.lit(word), F.lit(" "))
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"([a-z][a-z0-9\-]{{2,}}|{CJK}{{2,}})"), F.lit(1)), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
+    noise = "|".join((*INSTRUCTION_MARKERS, *BOILERPLATE))
+    return F.array_distinct(F.filter(found, lambda t: (t != "") & ~t.isin(*REQUIREMENT_STOP_WORDS) & ~t.rlike(noise) & ~(t.rlike(CJK) & (F.length(t) > 8))))
+
+
+def cited_count(c: Column) -> Column:
+    """How many citations an instruction asks for, 1 to 200, by the first pattern that says so; 0 where none does."""
+    text = F.coalesce(c, F.lit(""))
+    numbers = [F.regexp_extract(text, p, 1).try_cast("int") for p in CITE_COUNTS]
+    return F.coalesce(*[F.when(n.between(1, 200), n) for n in numbers], F.lit(0))
+
+
+def venue_key(c: Column) -> Column:
+    """A venue in lower case with single spaces."""
+    return squeeze(F.lower(F.coalesce(c, F.lit(""))))
+
+
+def attribute_key(c: Column) -> Column:
+    """An attribute's name as an identifier; "attr" where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"(?U)\s+", "_"), "[^a-z0-9_一-鿿]+", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("attr"))
+
+
+def clean_attributes(attributes: Column) -> Column:
+    """Array of struct<key, value_text, value_num, unit>, sorted by key; empty values go, a number with a unit is split."""
+    number = r"^\s*(-?\d+(?:\.\d+)?)\s*([%a-zA-Zµμ°/×]+)\s*$"
+
+    def one(e: Column) -> Column:
+        value = e["value"]
+        unit = F.nullif(F.regexp_extract(value, number, 2), F.lit(""))
+        num = F.when(unit.isNotNull(), F.regexp_extract(value, number, 1).try_cast("double"))
+        return F.struct(attribute_key(e["key"]).alias("key"), value.alias("value_text"), num.alias("value_num"), unit.alias("unit"))
+
+    some = F.map_filter(F.coalesce(attributes, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & (strip(v) != ""))
+    return F.array_sort(F.transform(F.map_entries(some), one))
+
+
+def quantity_text(key: Column, operator: Column, value_text: Column, value_num: Column, unit: Column, qualifier: Column) -> Column:
+    """A condition or measurement (without an operator) as text: key, operator, value, unit, and the qualifier in brackets."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    number = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value_num), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    value = F.when(said(value_text) != "", said(value_text)).otherwise(F.coalesce(number, F.lit("")))
+    core = F.array_join(F.filter(F.array(said(key), said(operator), value), lambda x: x != ""), " ")
+    with_unit = F.when(said(unit) != "", F.trim(F.concat(core, F.lit(" "), said(unit)))).otherwise(core)
+    return F.when(said(qualifier) == "", with_unit).when(with_unit == "", said(qualifier)).otherwise(F.concat(with_unit, F.lit("（"), said(qualifier), F.lit("）")))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
