@@ -214,6 +214,8 @@ def predict(model: Model, text: Column) -> Column:
         langs, score = model.predict(texts) if model.langs else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
+    # a deterministic function would be run again by each filter on its result
+    of = of.asNondeterministic()
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return F.when(lettered, of(F.when(lettered, text).otherwise(""))).otherwise(none)
