@@ -127,11 +127,10 @@ def later(docs: DataFrame, key: str, text: str, min_words: int, run_words: int |
     counts = stash(found.groupBy("d1", "d2").agg(F.count("*").alias("_n")).filter("_n > 1"), "counts")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     # less than HOT digests can have more than their share; these rows are not shuffled
-    hot = F.broadcast(counts.filter(F.col("_n") * HOT > total).select("d1", "d2", F.lit(True).alias("_hot")))
-    marked = found.join(hot, ["d1", "d2"], "left")
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT > total).select("d1", "d2"))
     # both sides of the other joins grow with the input, so that they are shuffles at every size
-    cold = marked.filter("_hot is null").join(counts.select("d1", "d2").hint("merge"), ["d1", "d2"], "left_semi")
-    again = stash(cold.unionByName(marked.filter("_hot")).drop("_hot"), "repeats")
+    cold = found.join(hot, ["d1", "d2"], "left_anti").join(counts.select("d1", "d2").hint("merge"), ["d1", "d2"], "left_semi")
+    again = stash(cold.unionByName(found.join(hot, ["d1", "d2"], "left_semi")), "repeats")
     rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("start").alias("start"), F.col("end").alias("end"))
     firsts = again.groupBy("d1", "d2").agg(F.min(rank).alias("f")).select("d1", "d2", F.col("f.key").alias("_k"), F.col("f.hash").alias("_h"), F.col("f.end").alias("_e"))
     own = [again["d1"] == firsts["d1"], again["d2"] == firsts["d2"], again["_hash"] == F.col("_h"), again["_key"].eqNullSafe(F.col("_k")), again["start"] < F.col("_e")]
