@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints", "corpusgraph")
-    path = f"{base}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import stash
 
 
 def merge_nodes(mentions: DataFrame) -> DataFrame:
@@ -116,27 +100,33 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(ends.groupBy("node_id").agg(F.count("*").alias("degree")), "node_id", "left").fillna(0, ["degree"])
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, component: the least node id that each node reaches.
+def link_components(links: DataFrame) -> DataFrame:
+    """node, label: the least node of each node's component, for all nodes of ``links`` (a, b).
 
-    Large-star and small-star steps: rounds grow with the logarithm of the
-    graph, not with its diameter.
+    Large-star and small-star steps alternate until every node points at the
+    least of its component, so that rounds grow with the logarithm of the
+    graph, not with its diameter; each step is a sum by node and a join with it.
     """
-    links = edges.select(F.greatest("source_node", "target_node").alias("u"), F.least("source_node", "target_node").alias("v")).filter("u != v").distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     before = None
     while True:
-        both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = materialised(small.filter("u != v").distinct())
-        state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        edges = stash(small.filter("u != v").distinct(), "stars")
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
         before = state
-    top = links.select(F.col("u").alias("node_id"), F.col("v").alias("_c"))
-    return nodes.select("node_id").distinct().join(top, "node_id", "left").select("node_id", F.coalesce("_c", "node_id").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, component: the least node id that each node reaches."""
+    found = link_components(edges.select(F.col("source_node").alias("a"), F.col("target_node").alias("b")))
+    return nodes.select("node_id").distinct().join(found, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("label", "node_id").alias("component"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -145,7 +135,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = frontier
     for d in range(1, depth + 1):
         ahead = edges.join(frontier.select(F.col("node_id").alias("source_node")), "source_node", "left_semi").select(F.col("target_node").alias("node_id")).distinct()
-        frontier = materialised(ahead.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = stash(ahead.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import audits as A
 from ..operators import graph as G
+from ..operators import hyperedges as H
 from ..operators import library as L
 from ..operators import mining as M
+from ..operators import study as D
+from ..operators import surface as U
 from ..sources import records as R
 from ..streaming import monitor as W
 from . import bindings as B
@@ -100,7 +104,7 @@ def t16(spark, d):
     return B.papers(spark, d).select("doc_id", joined(T.seed_terms(F.col("title"))).alias("terms"))
 
 
-@query("t17_stem")
+@query("t17_stem", "select word, case when length(word) > 3 then word else word || 'ing' end as stem, word || '|' || case when word like '%ies' and length(word) > 4 then left(word, -3) || 'y' when word like '%es' and length(word) > 3 then left(word, -2) when word like '%s' and length(word) > 3 then left(word, -1) else word || 's' end as variants from (select distinct unnest(string_split(p_name, ' ')) as word from part)")
 def t17(spark, d):
     words = B.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     return words.select("word", T.stem(F.concat("word", F.lit("ings"))).alias("stem"), joined(T.plural_variants(F.col("word"))).alias("variants"))
@@ -170,10 +174,13 @@ def p11(spark, d):
     return B.table(spark, d, "documents").filter(T.contains_any(F.col("text"), ["the", "der"]) & (ratio >= 0.4)).select("doc_id")
 
 
-@query("p12_completeness", f"with {B.WORKS} select p_partkey, array_to_string(list_filter([case when h < 10 then 'affiliations' end, case when pub_year is null then 'publication' end, case when p_partkey % 4 = 0 then 'doi' end], lambda x: x is not null), '|') as missing from works")
+@query("p12_completeness", f"with {B.WORKS} select p_partkey, array_to_string(list_filter([case when p_partkey % 11 = 0 or p_partkey % 9 = 0 then 'authors' end, case when p_partkey % 7 <> 0 and (p_partkey % 11 = 0 or h < 10) then 'affiliations' end, case when p_partkey % 2 <> 0 and p_partkey % 3 <> 0 or pub_year is null then 'publication' end, case when p_partkey % 7 <> 0 and p_partkey % 4 = 0 then 'doi' end], lambda x: x is not null), '|') as missing from works")
 def p12(spark, d):
-    missing = F.array_compact(F.array(F.when(F.col("h") < 10, "affiliations"), F.when(F.col("pub_year").isNull(), "publication"), F.when(F.col("p_partkey") % 4 == 0, "doi")))
-    return B.works(spark, d).select("p_partkey", joined(missing).alias("missing"))
+    k, w = F.col("p_partkey"), B.works(spark, d)
+    person = F.struct(F.when(k % 9 == 0, " ").otherwise("Ada").alias("name"), F.when(F.col("h") < 10, F.array().cast("array<string>")).otherwise(F.array(F.lit("Home"))).alias("affiliations"))
+    source = F.when(k % 7 == 0, "NCPSSD").otherwise("x")
+    missing = A.missing_metadata(source, F.when(k % 11 != 0, F.array(person)), F.when(k % 2 == 0, F.col("venue")), F.when(k % 3 == 0, "journal"), F.col("pub_year"), F.when(k % 4 != 0, "10.1/x"))
+    return w.select("p_partkey", joined(missing).alias("missing"))
 
 
 @query("p16_pending_anti", "select doc_id from documents where not exists (select 1 from events where event_type = 'purchase' and user_id = doc_id)")
@@ -187,14 +194,13 @@ def p16(spark, d):
 @query("j01_quality_left", "select d.doc_id, d.source, l.quality, coalesce(l.toxic, 0) as toxic from documents d left join labels l using (doc_id)")
 def j01(spark, d):
     docs = B.table(spark, d, "documents").select("doc_id", "source")
-    return docs.join(B.table(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    return A.with_quality(docs, B.table(spark, d, "labels"), "doc_id").select("doc_id", "source", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
 @query("j03_tag_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def j03(spark, d):
     o = B.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    has = B.table(spark, d, "customer").join(o.filter("o_orderpriority = '1-URGENT'"), "c_custkey", "left_semi")
-    return has.join(o.filter("o_orderstatus = 'P'"), "c_custkey", "left_anti").select("c_custkey")
+    return A.holding(B.table(spark, d, "customer"), "c_custkey", [o.filter("o_orderpriority = '1-URGENT'")], [o.filter("o_orderstatus = 'P'")]).select("c_custkey")
 
 
 @query("j05_child_count", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders from customer")
@@ -256,8 +262,9 @@ def _quartiles(spark: SparkSession) -> DataFrame:
 
 @query("j17_quartile_lookup", f"with {B.WORKS} select p_partkey, {_QUARTILE} as quartile from works")
 def j17(spark, d):
-    w = B.works(spark, d).withColumn("venue_key", F.lower("venue"))
-    return w.join(F.broadcast(_quartiles(spark)), "venue_key", "left").select("p_partkey", "quartile")
+    w = B.works(spark, d)
+    table = _quartiles(spark).select("venue_key", "quartile").withColumn("ordinal", F.lit(1)).withColumn("venue_key", T.journal_key(F.col("venue_key")))
+    return w.join(H.quartiles(w.select("venue"), table), "venue", "left").select("p_partkey", "quartile")
 
 
 @query("j18_evidence_owner", f"with {B.LOG} select paper_id, min(id) as pos from log where event = 'click' group by paper_id")
@@ -266,10 +273,14 @@ def j18(spark, d):
     return M.first_owner(log.filter("event = 'click'").select(F.col("id").alias("pos"), "id"), log.select("id", "paper_id"), "paper_id")
 
 
-@query("j19_materials", "select o_custkey as paper_key, count(distinct o_orderkey) as n_hyperedges, count(*) as n_measurements, round(sum(l_quantity), 2) as quantity from orders join lineitem on l_orderkey = o_orderkey group by 1")
+@query("j19_materials", "with k as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as m from lineitem) select o_custkey as paper_key, o_orderkey as hyperedge_id, coalesce(string_agg(l_returnflag, '|' order by l_linenumber, l_partkey, l_returnflag) filter (n <= 3), '') as conditions, coalesce(string_agg(l_partkey, '|' order by l_linenumber, l_partkey) filter (m <= 3), '') as measurements from orders left join k on l_orderkey = o_orderkey group by 1, 2")
 def j19(spark, d):
     o, line = B.table(spark, d, "orders"), B.table(spark, d, "lineitem")
-    return o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("paper_key")).agg(F.count_distinct("o_orderkey").alias("n_hyperedges"), F.count("*").alias("n_measurements"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    h = o.select(F.col("o_orderkey").alias("hyperedge_id"), F.col("o_orderstatus").alias("label"), F.col("o_custkey").alias("paper_key"))
+    fact = lambda c: line.select(F.col("l_orderkey").alias("hyperedge_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"), c.cast("string").alias("text"))
+    found = A.materials(B.table(spark, d, "customer").select(F.col("c_custkey").alias("paper_key")), h, fact(F.col("l_returnflag")), fact(F.col("l_partkey")), most=3)
+    per = F.explode("evidence").alias("e")
+    return found.select("paper_key", per).select("paper_key", "e.hyperedge_id", joined(F.col("e.conditions")).alias("conditions"), joined(F.col("e.measurements")).alias("measurements"))
 
 
 @query("j20_bind_citations", "select event_id, n, 'M' || n as material, n <= 5 as valid from (select event_id, unnest([event_id % 7 + 1, event_id % 7 + 3]) as n from events) where n <= 5 union all select event_id, n, null, false from (select event_id, unnest([event_id % 7 + 1, event_id % 7 + 3]) as n from events) where n > 5")
@@ -289,8 +300,9 @@ def a01(spark, d):
 
 @query("a02_tag_counts", "select n_name as folder, count(c_custkey) as n from nation left join (select * from customer where c_mktsegment = 'BUILDING' and c_nationkey < 20) on c_nationkey = n_nationkey group by 1")
 def a02(spark, d):
-    c = B.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' and c_nationkey < 20")
-    return B.table(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy(F.col("n_name").alias("folder")).agg(F.count("c_custkey").alias("n"))
+    placed = B.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' and c_nationkey < 20").select(F.col("c_nationkey").alias("folder_id"))
+    folders = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("folder_id"), F.col("n_name").alias("folder"))
+    return U.folder_counts(folders, placed).select("folder", "n")
 
 
 @query("a03_stats", "select count(*) as papers, count(distinct source) as sources, count(distinct text) as texts, count(*) filter (n_chars > 2000) as long_texts, min(n_chars) as shortest, max(n_chars) as longest from documents")
@@ -298,33 +310,32 @@ def a03(spark, d):
     return B.table(spark, d, "documents").agg(F.count("*").alias("papers"), F.count_distinct("source").alias("sources"), F.count_distinct("text").alias("texts"), F.count_if(F.col("n_chars") > 2000).alias("long_texts"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
 
 
-@query("a05_overview", f"{_GRAPH} select 'node' as kind, node_type as name, count(*) as n from nodes group by 2 union all select 'edge', relation_type, count(*) from edges group by 2")
+@query("a05_overview", f"{_GRAPH}, {B.HYPEREDGES} select 'node' as kind, node_type as name, count(*) as n from nodes group by 2 union all select 'edge', relation_type, count(*) from edges group by 2 union all select 'status', label, count(*) from hyperedges group by 2 union all select 'decision', hyperedge_type, count(*) from hyperedges group by 2")
 def a05(spark, d):
-    n = B.nodes(spark, d).groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("name")).agg(F.count("*").alias("n"))
-    return n.unionByName(B.edges(spark, d).groupBy(F.lit("edge").alias("kind"), F.col("relation_type").alias("name")).agg(F.count("*").alias("n")))
+    return U.type_maps(node=(B.nodes(spark, d), "node_type"), edge=(B.edges(spark, d), "relation_type"), status=(B.hyperedges(spark, d), "label"), decision=(B.hyperedges(spark, d), "hyperedge_type"))
 
 
 @query("a07_stage_counts", "select case when event_type in ('error', 'signup') then 'human_review' else event_type end as stage, count(*) as n, count(distinct user_id) as papers, max(ts) as last_ts from events group by 1")
 def a07(spark, d):
     stage = F.when(F.col("event_type").isin("error", "signup"), "human_review").otherwise(F.col("event_type"))
-    return B.table(spark, d, "events").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("papers"), F.max("ts").alias("last_ts"))
+    log = B.table(spark, d, "events").withColumn("node", stage).withColumnRenamed("user_id", "paper_key")
+    return U.stage_counts(log).withColumnRenamed("node", "stage")
 
 
 @query("a09_having_groups", "select count(*) as n_groups from (select l_partkey, l_discount from lineitem group by 1, 2 having count(*) > 1)")
 def a09(spark, d):
-    return B.table(spark, d, "lineitem").groupBy("l_partkey", "l_discount").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n_groups"))
+    return A.comparable_groups(B.table(spark, d, "lineitem"), ["l_partkey", "l_discount"])
 
 
 @query("a10_quantified_ratio", "select o_orderpriority, count(*) as n, round(count(*) filter (exists (select 1 from lineitem where l_orderkey = o_orderkey and l_discount >= 0.05)) / count(*), 6) as ratio from orders group by 1")
 def a10(spark, d):
-    held = B.table(spark, d, "lineitem").filter("l_discount >= 0.05").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("q", F.lit(1))
-    return B.table(spark, d, "orders").join(held, "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.count("q") / F.count("*"), 6).alias("ratio"))
+    held = B.table(spark, d, "lineitem").filter("l_discount >= 0.05").select(F.col("l_orderkey").alias("o_orderkey"))
+    return A.share_with(B.table(spark, d, "orders"), held, "o_orderkey", "o_orderpriority")
 
 
 @query("a13_unmatched_venues", f"with {B.WORKS}, top as (select venue, count(*) as n from works group by 1 order by n desc, venue limit 20) select venue, n from top where {_QUARTILE} is null order by n desc, venue limit 5")
 def a13(spark, d):
-    top = B.works(spark, d).groupBy("venue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "venue").limit(20)
-    return top.withColumn("venue_key", F.lower("venue")).join(F.broadcast(_quartiles(spark)), "venue_key", "left_anti").select("venue", "n").orderBy(F.desc("n"), "venue").limit(5)
+    return A.unmatched_venues(B.works(spark, d), _quartiles(spark), 20, 5)
 
 
 @query("a15_channels", f"with {B.NODES}, {B.HYPEREDGES}, {B.MEMBERS}, shape as (select hyperedge_id, string_agg(role || ':' || node_type, ',' order by role || ':' || node_type) as role_profile from members join nodes using (node_id) group by 1) select hyperedge_type, role_profile, count(*) as support_count, count(distinct paper_key) as paper_count, round(avg(coalesce(nullif(confidence, 0.0), 0.5)) * count(*), 3) as confidence_sum from hyperedges join shape using (hyperedge_id) group by 1, 2")
@@ -336,7 +347,7 @@ def a15(spark, d):
 
 @query("a17_support", f"{_GRAPH} select relation_type, sum(support) as support, max(support) as largest, count(*) as n from edges group by 1")
 def a17(spark, d):
-    return B.edges(spark, d).groupBy("relation_type").agg(F.sum("support").alias("support"), F.max("support").alias("largest"), F.count("*").alias("n"))
+    return A.support_by_relation(B.edges(spark, d))
 
 
 @query("a19_support_hist", f"{_GRAPH} select support, count(*) as n from edges group by 1")
@@ -350,13 +361,41 @@ def a21(spark, d):
     return G.degrees(B.edges(spark, d), n).join(n.select("node_id", "node_type"), "node_id").groupBy("node_type").agg(F.count("*").alias("n"), F.count_if(F.col("degree") == 0).alias("isolated"), F.max("degree").alias("largest"), F.round(F.avg("degree"), 6).alias("mean"))
 
 
-@query("a22_audit", f"{_GRAPH} select 'same_name' as rule, count(*) as n from (select name from nodes group by 1 having count(*) > 1) union all select 'hubs', count(*) from (select target_node from edges group by 1 having count(*) >= 8) union all select 'weak', count(*) from edges where confidence < 0.6")
+_AUDIT_NODES = "n as (select p_partkey as node_id, p_type as node_type, case p_size % 6 when 0 then 'Biomaterial ' when 1 then 'Excellent ' || p_name when 2 then 'mRNA of ' || p_name else p_name end as name, p_size / 50.0 as confidence, p_size % 7 as n_aliases, p_size % 4 = 0 as once, case when p_size % 5 = 0 then '5 kPa' else p_name end as attributes, p_size % 12 as n_papers from part), e as (select case when l_linenumber % 3 = 0 then 'promotes' else 'uses' end as relation_type, 1 - l_discount * 5 as confidence, case when l_linenumber % 2 = 0 then l_returnflag || ' by ' || l_partkey || ' mg' end as predicate, case when l_suppkey % 2 = 0 then 's' || l_partkey || l_returnflag end as evidence from lineitem)"
+
+
+def _rule(rule: str, what: str, of: str) -> str:
+    return f"select '{rule}' as rule, cast({what} as double) as value from {of}"
+
+
+_RULES = [
+    ("nodes", "count(*)", "n"), ("events", "0", "(select 1)"), ("events_cut_short", "0", "(select 1)"), ("umbrella_names", "count(*)", "n where trim(lower(name)) = 'biomaterial'"), ("graded_names", "count(*)", "n where name like 'Excellent %'"),
+    ("node_confidence_least", "round(min(confidence), 6)", "n"), ("node_confidence_mean", "round(avg(confidence), 6)", "n"), ("node_confidence_most", "round(max(confidence), 6)", "n"), ("seen_once", "count(*)", "n where once"), ("rna_as_chemical", "count(*)", "n where node_type = 'Chemical'"),
+    ("vesicle_as_material", "0", "(select 1)"), ("cell_type_as_line", "0", "(select 1)"), ("many_aliases", "count(*)", "n where n_aliases >= 5"), ("quantities_in_attributes", "count(*)", "n where attributes = '5 kPa'"), ("hubs", "count(*)", "n where n_papers >= 8"),
+    ("edges", "count(*)", "e"), ("predicates", "count(predicate)", "e"), ("cjk_predicates", "0", "(select 1)"), ("long_predicates", "0", "(select 1)"), ("edge_confidence_least", "round(min(confidence), 6)", "e"), ("edge_confidence_mean", "round(avg(confidence), 6)", "e"), ("edge_confidence_most", "round(max(confidence), 6)", "e"),
+    ("weak_strong_edges", "count(*)", "e where confidence < 0.72 and relation_type = 'promotes'"), ("quantities_in_predicates", "count(predicate)", "e"), ("from_comments", "sum(case when n_papers > 0 then 1 else 0 end)", "n"), ("from_reviews", "sum(case when n_papers > 1 then 1 else 0 end)", "n"), ("relation:promotes", "count(*)", "e where relation_type = 'promotes'"), ("relation:uses", "count(*)", "e where relation_type = 'uses'"),
+    ("names_of_several_types", "count(*)", "(select trim(lower(name)) from n group by 1 having count(distinct node_type) > 1)"), ("reused_sentences", "count(*)", "(select evidence from e where evidence is not null group by 1 having count(*) > 1)"), ("repeated_predicates", "count(*)", "(select relation_type, predicate from e where predicate is not null group by 1, 2 having count(*) > 1)"),
+]
+
+
+@query("a22_audit", f"with {_AUDIT_NODES} " + " union all ".join(_rule(*r) for r in _RULES))
 def a22(spark, d):
-    e = B.edges(spark, d)
-    rule = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count("*").alias("n"))
-    same = B.nodes(spark, d).groupBy("name").agg(F.count("*").alias("c")).filter("c > 1")
-    hubs = e.groupBy("target_node").agg(F.count("*").alias("c")).filter("c >= 8")
-    return rule("same_name", same).unionByName(rule("hubs", hubs)).unionByName(rule("weak", e.filter("confidence < 0.6")))
+    s, k = F.col("p_size"), F.col("l_linenumber")
+    name = F.when(s % 6 == 0, "Biomaterial ").when(s % 6 == 1, F.concat(F.lit("Excellent "), "p_name")).when(s % 6 == 2, F.concat(F.lit("mRNA of "), "p_name")).otherwise(F.col("p_name"))
+    some = lambda n: F.slice(F.array(*[F.lit(f"k{i}") for i in range(12)]), 1, n)
+    nodes = B.table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_type").alias("node_type"), name.alias("name"), (s / 50).alias("confidence"), some(s % 7).alias("aliases"), F.lit(1).alias("first_seen"), F.when(s % 4 == 0, 1).otherwise(2).alias("last_seen"), F.when(s % 5 == 0, "5 kPa").otherwise(F.col("p_name")).alias("attributes"), some(s % 12).alias("papers"))
+    predicate = F.when(k % 2 == 0, F.concat("l_returnflag", F.lit(" by "), "l_partkey", F.lit(" mg")))
+    edges = B.table(spark, d, "lineitem").select(F.when(k % 3 == 0, "promotes").otherwise("uses").alias("relation_type"), (1 - F.col("l_discount") * 5).alias("confidence"), predicate.alias("predicate"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("s"), "l_partkey", "l_returnflag")).alias("evidence"))
+    papers = spark.createDataFrame([("k0", "Erratum to a review"), ("k1", "A Review of things"), ("k2", "Plain")], "paper_key string, title string")
+    return A.audit(nodes, edges, papers)
+
+
+@query("a20_attributes", "select 'empty' as metric, p_type as name, count(*) filter (p_size % 4 = 0) as n from part group by 2 union all select 'value', v.name, count(*) from part, (values ('int'), ('num{value,unit}'), ('str'), ('list'), ('float')) v(name) where p_size % 4 <> 0 group by 2 union all select 'key', v.name, count(*) from part, (values ('a'), ('b'), ('c'), ('c.d'), ('e'), ('c.f')) v(name) where p_size % 4 <> 0 group by 2")
+def a20(spark, d):
+    s = F.col("p_size")
+    text = F.concat(F.lit('{"a": '), s.cast("string"), F.lit(', "b": {"value": 5, "unit": "K"}, "c": {"d": "x", "f": 1.5}, "e": [1, 2]}'))
+    nodes = B.table(spark, d, "part").select(F.col("p_type").alias("node_type"), F.when(s % 4 != 0, text).when(s % 8 == 0, "{}").otherwise("broken").alias("attributes"))
+    return A.attribute_audit(nodes)
 
 
 @query("a26_candidate_clusters", "select p_name, p_partkey, p_size, duplicates from (select *, row_number() over (partition by p_name order by p_size desc, p_partkey) as rn, count(*) over (partition by p_name) - 1 as duplicates from part) where rn = 1")
@@ -440,15 +479,16 @@ def w14(spark, d):
 
 # Sets and attributes
 
-@query("u01_type_diff", "select distinct p_type as type_key from part where p_size > 49 except select p_type from part where p_partkey < 5")
+@query("u01_type_diff", "select p_type || '/' || p_size as type_key from part where p_partkey % 2 = 0 except select p_type || '/' || p_size from part where p_partkey % 2 = 1")
 def u01(spark, d):
-    p = B.table(spark, d, "part")
-    return p.filter("p_size > 49").select(F.col("p_type").alias("type_key")).distinct().join(p.filter("p_partkey < 5").select(F.col("p_type").alias("type_key")), "type_key", "left_anti")
+    p = B.table(spark, d, "part").select(F.concat_ws("/", "p_type", "p_size").alias("type_key"), "p_partkey")
+    half = F.col("p_partkey") % 2 == 0
+    return A.type_difference(p.filter(half), p.filter(~half))
 
 
 @query("u04_valid_refs", f"{_GRAPH} select c_custkey, exists (select 1 from nodes where node_id = c_custkey) as valid from customer")
 def u04(spark, d):
-    known = B.nodes(spark, d).select(F.col("node_id").alias("c_custkey")).distinct().withColumn("k", F.lit(True))
+    known = D.valid_references(nodes=B.nodes(spark, d).select(F.col("node_id").alias("id"))).select(F.col("id").cast("long").alias("c_custkey"), F.lit(True).alias("k"))
     return B.table(spark, d, "customer").join(known, "c_custkey", "left").select("c_custkey", F.coalesce("k", F.lit(False)).alias("valid"))
 
 
@@ -527,17 +567,20 @@ def g02(spark, d):
     return G.merge_nodes(m).select("node_type", "normalized_name", "name", "n_mentions", F.size("papers").cast("long").alias("n_papers"), "first_seen", "last_seen", "confidence")
 
 
-@query("g03_edge_merge", "select 'supplied_by' as relation_type, l_partkey as source_node, l_suppkey as target_node, max(1 - l_discount) as confidence, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) as attributes, count(distinct l_orderkey) as support from lineitem group by 2, 3")
+@query("g03_edge_merge", "select 'supplied_by' as relation_type, l_partkey as source_node, l_suppkey as target_node, max(1 - l_discount) as confidence, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) as attributes, arg_max(l_linestatus, l_orderkey * 100 + l_linenumber) filter (l_linenumber % 2 = 0) as evidence_tier, count(distinct l_orderkey) as support from lineitem group by 2, 3")
 def g03(spark, d):
-    e = B.table(spark, d, "lineitem").select(F.lit("supplied_by").alias("relation_type"), F.col("l_partkey").alias("source_node"), F.col("l_suppkey").alias("target_node"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_returnflag").alias("attributes"), F.lit(None).cast("string").alias("evidence_tier"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("paper_key"))
-    return G.merge_edges(e).drop("evidence_tier")
+    tier = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus"))
+    e = B.table(spark, d, "lineitem").select(F.lit("supplied_by").alias("relation_type"), F.col("l_partkey").alias("source_node"), F.col("l_suppkey").alias("target_node"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_returnflag").alias("attributes"), tier.alias("evidence_tier"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("paper_key"))
+    return G.merge_edges(e)
 
 
-@query("g05_fingerprint", "select count(*) as n, count(distinct list_sort(list)) as shapes from (select l_orderkey, list(l_partkey % 5 || ':' || l_returnflag) as list from lineitem group by 1)")
+@query("g05_fingerprint", "with m as (select l_orderkey, list_sort(list(l_partkey % 5 || ':' || l_returnflag)) as m from lineitem group by 1) select l_orderkey, min(l_orderkey) over (partition by m) as first_order from m")
 def g05(spark, d):
-    members = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_partkey") % 5).alias("n"), F.col("l_returnflag").alias("role"))).alias("m"))
-    none = F.array().cast("array<struct<x:int>>")
-    return members.select(G.fingerprint(F.lit("x"), F.lit(""), F.lit(None).cast("string"), F.col("m"), none, none).alias("f")).agg(F.count("*").alias("n"), F.count_distinct("f").alias("shapes"))
+    none = F.array().cast("array<struct<key:string>>")
+    members = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_partkey") % 5).alias("node_id"), F.col("l_returnflag").alias("role"))).alias("m"))
+    prints = members.select("l_orderkey", H.identity(F.lit("x"), F.lit(""), F.lit(None).cast("string"), F.col("m"), none, none, none).alias("f"))
+    first = prints.groupBy("f").agg(F.min("l_orderkey").alias("first_order"))
+    return prints.join(first, "f").select("l_orderkey", "first_order")
 
 
 @query("g07_nullsafe_dedup", "select min(event_id) as event_id, user_id, nullif(event_type, 'view') as event_type from events group by user_id, nullif(event_type, 'view')")
