@@ -36,7 +36,7 @@ ABBREVIATIONS = (
 
 def squeeze(c: Column) -> Column:
     """One space for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 LOCAL_LABEL = r"(?i)^\s*(?:compound|compd|product|intermediate|entry|item|stage|step|substrate|analyte)\s*[A-Za-z]{0,4}\d+[A-Za-z]{0,4}\s*$"

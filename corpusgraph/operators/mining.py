@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from .graph import edge_labels
 
 # How many hyperedges of each type evidence holds.
 QUOTA = {"event": 120, "relation": 30, "mechanism": 40, "reaction": 40}
+# marks behind which, and before which, sentences are joined without a space
+CJK_TAIL, CJK_HEAD = tuple("。！？；，、：）》」"), "，。！？；：、）"
 LOW_VALUE = ("is_a", "cites", "published_in", "authored_by", "developed_by")
 
 
@@ -98,19 +103,56 @@ def select_final(df: DataFrame, qualified: Column, score: str, ident: str, limit
     return df.withColumn("_q", qualified.cast("int")).orderBy(F.desc("_q"), F.desc(score), F.asc(ident)).limit(limit).drop("_q")
 
 
+def pack_parts(parts: list[list[str]], size: int) -> list[list[str]]:
+    """Paragraphs, each a list of its sentences, in chunks of at most ``size`` characters.
+
+    A paragraph of one sentence is taken whole where it fits.  Sentences of a
+    longer one are joined up to the size, with a space unless a CJK mark ends
+    the first or begins the second; a sentence that is longer itself is cut.
+    """
+    whole: list[str] = []
+    for sentences in parts:
+        held = ""
+        for s in sentences:
+            if len(s) > size:
+                whole += [held] * bool(held) + [s[i : i + size] for i in range(0, len(s), size)]
+                held = ""
+                continue
+            if held and len(held) + len(s) > size:
+                whole.append(held)
+                held = ""
+            held += s if not held or held.endswith((" ", "\n", *CJK_TAIL)) or s[:1] in CJK_HEAD else f" {s}"
+        whole += [held] * bool(held)
+    chunks: list[list[str]] = []
+    total = 0
+    for text in whole:
+        if not chunks or total + len(text) > size:
+            chunks.append([])
+            total = 0
+        chunks[-1].append(text)
+        total += len(text)
+    return chunks
+
+
 def pack_paragraphs(df: DataFrame, key: str, text: str, size: int, most: int) -> DataFrame:
-    """Paragraphs packed in order into chunks of at most ``size`` characters, a long one cut; chunks beyond ``most`` are counted."""
-    cut = F.flatten(F.transform(T.paragraphs(F.col(text)), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, p: Column) -> Column:
-        fits = (acc["open"] == "") | (F.length(acc["open"]) + 2 + F.length(p) <= size)
-        longer = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
-        return F.when(fits, F.struct(acc["done"].alias("done"), longer.alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), p.alias("open")))
-
-    chunks = F.aggregate(cut, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
-    packed = df.select(key, chunks.alias("_c"))
-    return packed.select(key, F.size("_c").alias("n_chunks"), F.greatest(F.lit(0), F.size("_c") - most).alias("n_dropped"), F.posexplode_outer(F.slice("_c", 1, most)).alias("chunk", "chunk_text"))
+    """Key, n_chunks, n_dropped, chunk, paragraphs: paragraphs packed in order into chunks of at most ``size`` characters (200 at least); a long one is split at sentences.
+
+    Chunks beyond ``most`` are counted and left out.  Packing is a running sum
+    that starts again, which no window function expresses; it runs on Arrow
+    batches.
+    """
+    size = max(200, size)
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = [pack_parts(p or [], size) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunks, pa.list_(pa.list_(pa.string())))], ["_key", "_c"])
+
+    parts = F.transform(T.paragraphs(F.col(text)), lambda p: F.when(F.length(p) > size, T.sentences(p)).otherwise(F.array(p)))
+    rows = df.select(F.col(key).alias("_key"), parts.alias("_p")).mapInArrow(run, f"_key {kind}, _c array<array<string>>").withColumnRenamed("_key", key)
+    return rows.select(key, F.size("_c").alias("n_chunks"), F.greatest(F.lit(0), F.size("_c") - most).alias("n_dropped"), F.posexplode_outer(F.slice("_c", 1, most)).alias("chunk", "paragraphs"))
 
 
 def number_by_appearance(df: DataFrame, document: str, order: list[str], key: str) -> DataFrame:
