@@ -17,7 +17,7 @@ from ..operators import surface as U
 from ..sources import records as R
 from ..streaming import monitor as W
 from . import bindings as B
-from . import citing, graphs, papers, services, study  # noqa: F401
+from . import citing, graphs, papers, services, study, writing  # noqa: F401
 from .registry import QUERIES, SQL, Query, query
 
 YEAR = 2004
