@@ -8,7 +8,14 @@ from ..sources import services as V
 from . import bindings as B
 from .registry import query
 
-_ODD, _NONE = F.col("p_partkey") % 2 == 1, F.lit(None).cast("string")
+
+
+def _odd():
+    return F.col("p_partkey") % 2 == 1
+
+
+def _none():
+    return F.lit(None).cast("string")
 
 
 def _answers(spark, d, answer):
@@ -38,10 +45,10 @@ def s03(spark, d):
 
 def _alex(spark, d):
     place = lambda name, url: _s(pdf_url=url, source=_s(display_name=name, type="journal", issn_l="1-2"))
-    people = F.array(_s(author=_s(id="A1", display_name=F.col("p_brand"), orcid=F.concat(F.lit("o"), F.col("p_size"))), institutions=F.array(_s(display_name=F.col("p_type")), _s(display_name=_NONE))), _s(author=_s(id="A2", display_name="Ada", orcid=_NONE), institutions=F.array(_s(display_name=_NONE))))
+    people = F.array(_s(author=_s(id="A1", display_name=F.col("p_brand"), orcid=F.concat(F.lit("o"), F.col("p_size"))), institutions=F.array(_s(display_name=F.col("p_type")), _s(display_name=_none()))), _s(author=_s(id="A2", display_name="Ada", orcid=_none()), institutions=F.array(_s(display_name=_none()))))
     index = F.map_from_arrays(F.array(F.lit("world"), F.lit("hello")), F.array(F.array(F.lit(1), F.lit(3)), F.array(F.lit(0), F.lit(2))))
-    work = _s(id=F.concat(F.lit("https://openalex.org/W"), F.col("p_partkey"), F.lit("/")), doi=F.concat(F.lit("https://doi.org/10.1/"), F.col("p_partkey")), title=F.concat("p_name", F.lit(" ")), publication_year=1990 + F.col("p_size"), publication_date=F.when(_ODD, "1999-01-02"), cited_by_count=F.col("p_size"),
-              primary_location=place(F.col("p_name"), "http://first"), best_oa_location=F.when(_ODD, place(F.col("p_brand"), "http://best")), authorships=people, open_access=_s(is_oa=_ODD), abstract_inverted_index=index)
+    work = _s(id=F.concat(F.lit("https://openalex.org/W"), F.col("p_partkey"), F.lit("/")), doi=F.concat(F.lit("https://doi.org/10.1/"), F.col("p_partkey")), title=F.concat("p_name", F.lit(" ")), publication_year=1990 + F.col("p_size"), publication_date=F.when(_odd(), "1999-01-02"), cited_by_count=F.col("p_size"),
+              primary_location=place(F.col("p_name"), "http://first"), best_oa_location=F.when(_odd(), place(F.col("p_brand"), "http://best")), authorships=people, open_access=_s(is_oa=_odd()), abstract_inverted_index=index)
     return V.openalex(_answers(spark, d, work))
 
 
@@ -53,7 +60,7 @@ def s04(spark, d):
 
 
 def _ref(spark, d):
-    message = _s(DOI=F.concat(F.lit("10.1/"), F.col("p_partkey")), title=F.array("p_name"), author=F.array(_s(given="Ada", family=F.col("p_brand"), ORCID="http://orcid.org/1", affiliation=F.array(_s(name=F.col("p_type"))))), **{"container-title": F.array(F.lit("Organic Letters")), "type": F.when(_ODD, "journal-article").otherwise("book"), "published-online": _s(**{"date-parts": F.array(F.when(_ODD, F.array(1980 + F.col("p_size"), F.lit(2))).otherwise(F.array(1980 + F.col("p_size"))))})})
+    message = _s(DOI=F.concat(F.lit("10.1/"), F.col("p_partkey")), title=F.array("p_name"), author=F.array(_s(given="Ada", family=F.col("p_brand"), ORCID="http://orcid.org/1", affiliation=F.array(_s(name=F.col("p_type"))))), **{"container-title": F.array(F.lit("Organic Letters")), "type": F.when(_odd(), "journal-article").otherwise("book"), "published-online": _s(**{"date-parts": F.array(F.when(_odd(), F.array(1980 + F.col("p_size"), F.lit(2))).otherwise(F.array(1980 + F.col("p_size"))))})})
     return V.crossref(_answers(spark, d, message))
 
 
@@ -72,7 +79,7 @@ def s06_match(spark, d):
 @query("s10_europepmc", f"select p_partkey as id, 'europepmc:' || case when p_partkey % 2 = 1 then 'MED' else 'EPMC' end || ':' || {_K} as paper_key, p_name as title, case when p_partkey % 2 = 1 then p_brand else 'Other' end as venue, 1990 + p_size as pub_year, 'A B@|C@' as authors, 'http://pdf' as pdf_url, case when p_partkey % 2 = 1 then 'MED' else 'EPMC' end || '/' || {_K} as known_as, '(' || p_name || ') AND (OPEN_ACCESS:Y)' as q from part where {_KEPT}")
 def s10(spark, d):
     urls = F.array(_s(documentStyle="html", availability="Open access", url="http://page"), _s(documentStyle="PDF", availability="Subscription", url="http://paid"), _s(documentStyle="pdf", availability="Open access", url="http://pdf"))
-    found = V.europepmc(_answers(spark, d, _s(source=F.when(_ODD, "MED"), id=F.col("p_partkey").cast("string"), authorString="A B, C, ", title=F.concat(F.lit(" "), "p_name"), journalTitle=F.when(_ODD, F.col("p_brand")), journalInfo=_s(journal=_s(title="Other")), pubYear=(1990 + F.col("p_size")).cast("string"), fullTextUrlList=_s(fullTextUrl=urls))))
+    found = V.europepmc(_answers(spark, d, _s(source=F.when(_odd(), "MED"), id=F.col("p_partkey").cast("string"), authorString="A B, C, ", title=F.concat(F.lit(" "), "p_name"), journalTitle=F.when(_odd(), F.col("p_brand")), journalInfo=_s(journal=_s(title="Other")), pubYear=(1990 + F.col("p_size")).cast("string"), fullTextUrlList=_s(fullTextUrl=urls))))
     known = V.source_id(F.col("paper_key"), F.col("pmid"), F.col("pmcid"))
     return found.select("id", "paper_key", "title", "venue", "pub_year", _who().alias("authors"), "pdf_url", F.concat_ws("/", known["source"], known["id"]).alias("known_as"), V.open_access_query(F.col("title")).alias("q"))
 
@@ -88,12 +95,12 @@ def s11(spark, d):
 
 @query("s12_semantic_scholar", f"select p_partkey as id, 'semantic_scholar:s' || {_K} as paper_key, p_name as title, case when p_partkey % 2 = 1 then p_brand else p_type end as venue, case when p_partkey % 2 = 1 then 'journal' end as source_type, '10.2/' || {_K} as doi, 'Ada@' as authors, 'http://s' as pdf_url from part where {_KEPT}")
 def s12(spark, d):
-    found = V.semantic_scholar(_answers(spark, d, _s(paperId=F.concat(F.lit("s"), F.col("p_partkey")), title=F.col("p_name"), venue=F.col("p_type"), publicationVenue=F.when(_ODD, _s(name=F.col("p_brand"))), authors=F.array(_s(name="Ada"), _s(name="")), externalIds=_s(DOI=F.concat(F.lit("10.2/"), F.col("p_partkey"))), openAccessPdf=_s(url="http://s"))))
+    found = V.semantic_scholar(_answers(spark, d, _s(paperId=F.concat(F.lit("s"), F.col("p_partkey")), title=F.col("p_name"), venue=F.col("p_type"), publicationVenue=F.when(_odd(), _s(name=F.col("p_brand"))), authors=F.array(_s(name="Ada"), _s(name="")), externalIds=_s(DOI=F.concat(F.lit("10.2/"), F.col("p_partkey"))), openAccessPdf=_s(url="http://s"))))
     return found.select("id", "paper_key", "title", "venue", "source_type", "doi", _who().alias("authors"), "pdf_url")
 
 
 def _pdfs(spark, d):
-    where = F.when(_ODD, _s(url_for_pdf=_NONE, url="http://x/A.PDF")).otherwise(_s(url_for_pdf=_NONE, url="http://x/page"))
+    where = F.when(_odd(), _s(url_for_pdf=_none(), url="http://x/A.PDF")).otherwise(_s(url_for_pdf=_none(), url="http://x/page"))
     return V.unpaywall(_answers(spark, d, _s(doi=F.concat(F.lit("10.1/"), F.col("p_partkey")), is_oa=True, oa_status="gold", best_oa_location=where)))
 
 
