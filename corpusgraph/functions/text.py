@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -90,6 +91,29 @@ def unescape(c: Column) -> Column:
     return F.coalesce(resolved(F.when(c.contains("&"), c)), c)
 
 
+def resolve_entities(c: Column) -> Column:
+    """All entities of a text as characters but those for markup: &lt; &gt; &amp; stay, numeric ones become these."""
+
+    @F.arrow_udf("string")
+    def resolved(texts: pa.Array) -> pa.Array:
+        entity = re.compile(r"&#?\w+;")
+
+        def one(m: re.Match) -> str:
+            char = html.unescape(m[0])
+            return {"<": "&lt;", ">": "&gt;", "&": "&amp;"}.get(char, char)
+
+        return pa.array([None if t is None else entity.sub(one, t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(resolved(F.when(c.contains("&"), c)), c)
+
+
+def markup_characters(c: Column) -> Column:
+    """The entities that ``resolve_entities`` leaves, as characters; also within functions over arrays, where no Python runs."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def title_key(c: Column) -> Column:
     """The key of a title for comparison across sources."""
     bare = F.lower(F.regexp_replace(unescape(F.coalesce(c, F.lit(""))), "<[^>]+>", " "))

@@ -567,7 +567,7 @@ def g02(spark, d):
     return G.merge_nodes(m).select("node_type", "normalized_name", "name", "n_mentions", F.size("papers").cast("long").alias("n_papers"), "first_seen", "last_seen", "confidence")
 
 
-@query("g03_edge_merge", "select 'supplied_by' as relation_type, l_partkey as source_node, l_suppkey as target_node, max(1 - l_discount) as confidence, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) as attributes, arg_max(l_linestatus, l_orderkey * 100 + l_linenumber) filter (l_linenumber % 2 = 0) as evidence_tier, count(distinct l_orderkey) as support from lineitem group by 2, 3")
+@query("g03_edge_merge", "select 'supplied_by' as relation_type, l_partkey as source_node, l_suppkey as target_node, max(1 - l_discount) as confidence, arg_min(l_returnflag, printf('%020d', l_orderkey * 100 + l_linenumber) || l_returnflag) as attributes, arg_max(l_linestatus, printf('%020d', l_orderkey * 100 + l_linenumber) || l_linestatus) filter (l_linenumber % 2 = 0) as evidence_tier, count(distinct l_orderkey) as support from lineitem group by 2, 3")
 def g03(spark, d):
     tier = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus"))
     e = B.table(spark, d, "lineitem").select(F.lit("supplied_by").alias("relation_type"), F.col("l_partkey").alias("source_node"), F.col("l_suppkey").alias("target_node"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_returnflag").alias("attributes"), tier.alias("evidence_tier"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("paper_key"))

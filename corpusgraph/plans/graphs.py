@@ -49,12 +49,12 @@ def g09_entities(spark, d):
     return H.entities(payloads(spark, d)).select("seq", "place", "node_type", "name", F.array_join("aliases", "|").alias("aliases"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("g09_relations", f"with {_NODES}, k as (select norm, min(node_id) as id from nodes group by 1) select p_partkey as seq, 0 as place, case when p_partkey % 3 = 0 then 'related_to' else 'promotes' end as relation_type, a.id as source_node, b.id as target_node, round(0.62, 6) as confidence, p_partkey % 3 <> 0 as candidate from part join k a on a.norm = lower(p_name) join k b on b.norm = lower(p_type)")
+@query("g09_relations", f"with {_NODES}, k as (select norm, min(node_id) as id from nodes group by 1) select p_partkey as seq, 0 as place, case when p_partkey % 3 = 0 then 'related_to' else 'promotes' end as relation_type, a.id as source_node, b.id as target_node, cast(0.62 as double) as confidence, p_partkey % 3 <> 0 as candidate from part join k a on a.norm = lower(p_name) join k b on b.norm = lower(p_type)")
 def g09_relations(spark, d):
     return H.relations(payloads(spark, d), named_nodes(spark, d), ["promotes"]).select("seq", "place", "relation_type", "source_node", "target_node", F.round("confidence", 6).alias("confidence"), "candidate")
 
 
-@query("g16_event_assertions", "select p_partkey as seq, 0 as place, 'Event' as event_type, 'heated ' || p_name as trigger, p_name as participants, '5' as time_text, 0.9 as confidence from part")
+@query("g16_event_assertions", "select p_partkey as seq, 0 as place, 'Event' as event_type, 'heated ' || p_name as trigger, p_name as participants, '5' as time_text, cast(0.9 as double) as confidence from part")
 def g16(spark, d):
     return H.event_assertions(payloads(spark, d)).select("seq", "place", "event_type", "trigger", F.array_join("participants", "|").alias("participants"), "time_text", "confidence")
 
@@ -115,7 +115,7 @@ def g06(spark, d):
     return out.fillna(0, ["measurements"]).select("first_seq", "n_payloads", "confidence", "hyperedge_type", "evidence_tier", "members", "conditions", "evidence", "measurements")
 
 
-@query("g06_conditions", "select min(l_orderkey * 100 + l_linenumber) as first_seq, key, value_text, case when key = 'temperature' then 80.0 end as value_num from (select *, unnest(['flag', 'temperature']) as key, unnest([l_returnflag, '80']) as value_text from lineitem) group by l_partkey, l_returnflag, l_linestatus, key, value_text")
+@query("g06_conditions", "select min(l_orderkey * 100 + l_linenumber) as first_seq, key, value_text, case when key = 'temperature' then cast(80 as double) end as value_num from (select *, unnest(['flag', 'temperature']) as key, unnest([l_returnflag, '80']) as value_text from lineitem) group by l_partkey, l_returnflag, l_linestatus, key, value_text")
 def g06_conditions(spark, d):
     t = H.upsert(_rows(spark, d))
     return t["conditions"].join(t["hyperedges"].select("fingerprint", "first_seq"), "fingerprint").select("first_seq", "key", "value_text", "value_num")

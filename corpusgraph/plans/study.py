@@ -124,7 +124,7 @@ def _evidence(spark, d):
     return D.evidence_reviews(items, known)
 
 
-@query("q05_evidence_review", f"with {_EVIDENCE} select draft_id, invalid, unattributed, round(greatest(0, score), 3) as score, hard_fail from ev")
+@query("q05_evidence_review", f"with {_EVIDENCE} select draft_id, invalid, unattributed, cast(round(greatest(0, score), 3) as double) as score, hard_fail from ev")
 def q05(spark, d):
     return _evidence(spark, d)
 

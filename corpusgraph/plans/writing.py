@@ -29,7 +29,7 @@ def _states(spark, d):
     return W.mechanism_states(_items(spark, d), _RULES, ["c-n"], ["large"], ["gear"], "grp")
 
 
-@query("g20_mechanism_states", f"with {_STATES} select grp, printf('MS-%04d', n) as state_id, hyperedge_id, activation, intermediate, case when intermediate <> '' then 0.5 else 0.35 end as confidence, score from r where n <= 12")
+@query("g20_mechanism_states", f"with {_STATES} select grp, printf('MS-%04d', n) as state_id, hyperedge_id, activation, intermediate, cast(case when intermediate <> '' then 0.5 else 0.35 end as double) as confidence, score from r where n <= 12")
 def g20(spark, d):
     return _states(spark, d).select("grp", "state_id", "hyperedge_id", "activation", "intermediate", "confidence", "score")
 

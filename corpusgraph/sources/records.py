@@ -62,8 +62,8 @@ def abstract_of(index: Column) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    """An element's text: without tags, entities resolved, white space collapsed; null where nothing is left."""
-    return F.nullif(T.squeeze(T.unescape(F.regexp_replace(c, "<[^>]+>", ""))), F.lit(""))
+    """An element's text: without tags, the entities that ``resolve_entities`` left as characters, white space collapsed; null where nothing is left."""
+    return F.nullif(T.squeeze(T.markup_characters(F.regexp_replace(c, "<[^>]+>", ""))), F.lit(""))
 
 
 def _element(c: Column, tag: str, attribute: str = "") -> Column:
@@ -97,7 +97,7 @@ def pubmed(answers: DataFrame, xml: str = "xml") -> DataFrame:
     homes = lambda e: F.array_distinct(F.array_compact(F.transform(_elements(e, "Affiliation"), _plain)))
     group = lambda e: _element(e, "CollectiveName")
     author = lambda e: F.struct(F.coalesce(group(e), person(e)).alias("name"), F.when(group(e).isNotNull(), F.array().cast("array<string>")).otherwise(homes(e)).alias("affiliations"))
-    cut = answers.filter(x.rlike(r"<PubmedArticle[\s>]")).withColumn("_a", F.coalesce(F.nullif(article, F.lit("")), x)).withColumn("_d", issue)
+    cut = answers.withColumn(xml, T.resolve_entities(x)).filter(x.rlike(r"<PubmedArticle[\s>]")).withColumn("_a", F.coalesce(F.nullif(article, F.lit("")), x)).withColumn("_d", issue)
     out = cut.select(
         F.concat(F.lit("pubmed:"), _element(x, "PMID")).alias("paper_key"),
         F.lit("pubmed").alias("source"),
@@ -117,10 +117,12 @@ def pubmed(answers: DataFrame, xml: str = "xml") -> DataFrame:
 def jats_text(xml: Column) -> Column:
     """Paragraphs, titles and captions of more than two characters, in order, without what repeats the one before it in any case."""
     tag = r"(?:[a-z]+:)?(p|title|caption)"
-    found = F.transform(F.regexp_extract_all(xml, F.lit(rf"(?is)<{tag}(?=[\s>])[^>]*>.*?</(?:[a-z]+:)?\1>"), F.lit(0)), _plain)
-    long = F.filter(found, lambda x: F.length(x) > 2)
+    bare = lambda c: T.squeeze(F.regexp_replace(c, "<[^>]+>", ""))
+    found = F.transform(F.regexp_extract_all(xml, F.lit(rf"(?is)<{tag}(?=[\s>])[^>]*>.*?</(?:[a-z]+:)?\1>"), F.lit(0)), bare)
+    # an entity is one character
+    long = F.filter(found, lambda x: F.length(F.regexp_replace(x, r"&#?\w+;", "x")) > 2)
     kept = F.filter(long, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(long, i - 1))))
-    return F.array_join(kept, "\n\n")
+    return T.unescape(F.array_join(kept, "\n\n"))
 
 
 def ncpssd(rows: DataFrame) -> DataFrame:

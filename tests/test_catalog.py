@@ -2,6 +2,7 @@
 
 import glob
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -12,8 +13,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the tes
 
 
 def plain(value):
-    if isinstance(value, float):
-        return f"{value:.6g}"
+    if isinstance(value, (float, Decimal)):
+        return f"{float(value):.6g}"
     if hasattr(value, "isoformat"):
         return value.isoformat()[:19]
     return str(value)
