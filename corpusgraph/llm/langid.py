@@ -41,7 +41,6 @@ _CLEAN = np.full(256, 32, dtype=np.uint8)
 _CLEAN[97:123] = np.arange(97, 123)
 _CLEAN[65:91] = np.arange(97, 123)
 _CLEAN[128:] = np.arange(128, 256)
-_NO_GAP = np.zeros(256, dtype=bool)
 
 
 def family_of(lang: str) -> str:
@@ -74,7 +73,7 @@ def featurize(texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
     for i in range(len(texts)):
         own = at[i : i + 2]
-        for lo, hi in slices(raw, own, _NO_GAP):
+        for lo, hi in slices(raw, own, None):
             for code, ok in _codes(raw, own, lo, hi):
                 out[i] += np.bincount(code[ok], minlength=1 << BITS)
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
@@ -84,7 +83,7 @@ def margins(texts: pa.Array, weights: np.ndarray, bias: np.ndarray) -> np.ndarra
     """The decision values of all machines (rows of ``weights``) for each text."""
     raw, at = buffer_of(texts)
     total, count = np.zeros((len(texts), len(weights))), np.zeros(len(texts))
-    for lo, hi in slices(raw, at, _NO_GAP):
+    for lo, hi in slices(raw, at, None):
         a, b = np.searchsorted(at, lo, side="right") - 1, np.searchsorted(at, hi)
         cuts = np.maximum(at[a:b], lo) - lo
         full = np.flatnonzero(np.diff(np.append(cuts, hi - lo)))

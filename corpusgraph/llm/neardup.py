@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import link_components as components
 from .scratch import stash
 from .text import mix, ngrams, word_hashes
 
@@ -254,28 +255,6 @@ def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, ke
     return stash(pairs.join(full, "digest").groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of each node's component, for all nodes of ``links`` (a, b).
-
-    Large-star and small-star steps alternate until every node points at the
-    least of its component; each step is a sum by node and a join with it.
-    """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    before = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stash(small.filter("u != v").distinct(), "stars")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
-
-
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs``: key, _hash (of the text), n_shingles, component_id, kept.
 

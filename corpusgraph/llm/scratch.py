@@ -1,47 +1,12 @@
-"""Intermediate tables on the storage that driver and executors share."""
+"""Intermediate tables and free names, as the core has them, and the table that the queries read."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import scratch_dir, stash, unused
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent a folder of our own is made, which only a
-    local master may do: on a cluster executors could not see it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "checkpoints", "corpusgraph")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet under the scratch folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, or where ``df`` has such a column already, the name behind as many underscores as it takes."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+__all__ = ["documents", "scratch_dir", "stash", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

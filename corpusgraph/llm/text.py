@@ -54,8 +54,11 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def slices(raw: np.ndarray, at: np.ndarray, sep: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of at most SLICE bytes that end where a text ends or behind a separator; longer only where a single word is."""
+def slices(raw: np.ndarray, at: np.ndarray, sep: np.ndarray | None) -> list[tuple[int, int]]:
+    """Byte ranges of at most SLICE bytes that end where a text ends or behind a separator; longer only where a single word is.
+
+    Without separators a text is cut anywhere.
+    """
     out, lo, end = [], int(at[0]), int(at[-1])
     while lo < end:
         hi = min(lo + SLICE, end)
@@ -63,7 +66,7 @@ def slices(raw: np.ndarray, at: np.ndarray, sep: np.ndarray) -> list[tuple[int,
             k = int(at[np.searchsorted(at, hi, side="right") - 1])
             if k > lo:
                 hi = k
-            else:
+            elif sep is not None:
                 stop = int(at[np.searchsorted(at, hi, side="left")])
                 gaps = np.flatnonzero(sep[raw[lo:hi]])
                 while not len(gaps) and hi < stop:

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from corpusgraph.llm import licenses
@@ -48,6 +50,39 @@ def test_every_template_of_a_long_file(spark):
         assert t[0] in got[i], t
 
 
+def test_labels_by_brute_force(spark):
+    """Every template at every place: its phrase whole, and enough of its words where they should be, by IDF over all files."""
+    rng = random.Random(8)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t[1].split()})
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(0, 5)):
+            words = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                words[rng.randrange(len(words))] = rng.choice([*vocabulary, "x", "y"])
+            parts.append(" ".join(words))
+            parts.append(" ".join(rng.choice([*vocabulary, "z"]) for _ in range(rng.randrange(0, 6))))
+        texts.append(" ".join(parts))
+    words = [t.split() for t in texts]
+    idf = {w: math.log((len(texts) + 1) / (sum(w in t for t in words) + 1)) + 1e-3 for w in vocabulary}
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, own in enumerate(words):
+        found = {}
+        for label, whole, phrase in licenses.TEMPLATES:
+            t, p = whole.split(), phrase.split()
+            at = next(k for k in range(len(t)) if t[k : k + len(p)] == p)
+            for place in range(len(own) - len(p) + 1):
+                if own[place : place + len(p)] == p:
+                    start = place - at
+                    agree = sum(idf[w] for k, w in enumerate(t) if 0 <= start + k < len(own) and own[start + k] == w) / sum(idf[w] for w in t)
+                    if agree >= licenses.AGREE:
+                        found[label] = max(found.get(label, 0), agree)
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(own)} "}
+        assert set(filter(None, got[i].labels.split(","))) == set(found) | base, texts[i]
+        assert abs(got[i].score - max([*found.values(), 0.5 * bool(base)])) < 1e-9
+
+
 def test_edges(clashing, docs, empty, same):
     same(licenses.scan(clashing), licenses.scan(docs))
     assert licenses.scan(empty).count() == 0

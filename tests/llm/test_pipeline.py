@@ -1,13 +1,18 @@
 import os
+import zlib
+from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corpusgraph.llm import neardup
+from corpusgraph.llm import linededup, neardup
 
 from .test_linededup import brute as repeated
 from .test_neardup import brute as classes
+from .test_packing import reference_ids
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +35,17 @@ def test_stages(spark, docs, clashing, folder):
 def test_language_stage_drops_what_has_no_letter(spark, docs, rows, folder):
     kept = corpus_pipeline.language_id(spark, docs, folder).collect()
     want = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, want))
+    bare = lambda r: str((r[0], r[1], r[3], r[4]))
+    assert sorted(map(bare, kept)) == sorted(map(bare, want))
+    told = {(r[0], r[1], r[2]) for r in want if r[2] is not None}
+    assert told <= {(r.doc_id, r.text, r.lang) for r in kept} and all(r.lang for r in kept)
+
+
+def test_language_stage_without_a_language_to_learn(spark, docs, rows, folder):
+    """Nothing to learn from: what has a letter stays as it is."""
+    bare = docs.drop("lang").withColumn("lang", F.lit(None).cast("string")).select(docs.columns)
+    kept = corpus_pipeline.language_id(spark, bare, folder).collect()
+    assert len(kept) == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
 
 
 def test_near_dedup_stage_keeps_one_of_each_class(spark, docs, rows, folder):
@@ -53,10 +68,26 @@ def test_decontaminate_stage(spark, docs, rows, folder):
     assert kept == {r[0] for r in rows} - {3}
 
 
-def test_whole_run(spark, folder):
-    out = corpus_pipeline.run(spark, folder).collect()
-    assert out and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out[0].asDict())
-    assert 3 not in {r.doc_id for r in out}
+def test_whole_run(spark, rows, folder):
+    """The pieces of all documents that five brute-force stages leave, by their checksums."""
+    kept = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    stay = {k for k, _, c in classes(kept, 80) if k == c}
+    kept = [r for r in kept if r[0] in stay]
+    spans = defaultdict(list)
+    for k, a, b in repeated(kept):
+        spans[k].append((a, b))
+    texts = [(r[0], linededup.cut_out(r[1], spans[r[0]]) if spans[r[0]] else r[1]) for r in kept if r[0] != 3]
+    want = defaultdict(list)
+    for (k, _), ids in zip(texts, reference_ids([t for _, t in texts]), strict=True):
+        want[k].append(np.array(ids, dtype="<u4"))
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == set(want) and 3 not in got
+    for k, pieces in got.items():
+        assert sum(r.length for r in pieces) == sum(map(len, want[k]))
+        for r in pieces:
+            assert any(len(ids) == r.doc_tokens and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for ids in want[k])
 
 
 def test_registered():
