@@ -107,22 +107,27 @@ def similar_titles(titles: DataFrame, key: str, title: str, least: float = 0.7)
     digits of ASCII; those of less than ten characters match nothing.
     Candidates lose no match: a smaller set shares one of the rarest words
     that it cannot spare; a title within another has all words but its first
-    and last whole in it, so the rarest of them is looked up; a title of one or
-    two words is looked up by its first ten characters.
+    and last whole in it, so the rarest of them is looked up, or for a title of
+    three words the middle one with the beginning of the last; a title of one
+    or two words is looked up by its first ten characters.
     """
     norm = titles.select(F.col(key).alias("_k"), F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")).alias("_t")).filter(F.length("_t") >= 10)
     words = norm.withColumn("_o", F.split("_t", " ")).withColumn("_w", F.array_distinct("_o"))
     each = words.select("_k", "_t", "_w", "_o", F.explode("_w").alias("word"))
     ranked = each.join(each.groupBy("word").agg(F.count("*").alias("_f")), "word").withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_t").orderBy("_f", "word")))
     spared = F.col("_n") <= F.size("_w") - F.ceil(F.size("_w") * least) + 1
-    inner = F.array_contains(F.slice("_o", 2, F.greatest(F.lit(1), F.size("_o") - 2)), F.col("word")) & (F.size("_o") >= 3)
+    inner = F.array_contains(F.slice("_o", 2, F.greatest(F.lit(1), F.size("_o") - 2)), F.col("word")) & (F.size("_o") >= 4)
     first = F.min(F.when(inner, F.col("_n"))).over(Window.partitionBy("_k", "_t"))
     probe = ranked.withColumn("_in", F.coalesce(F.col("_n") == first, F.lit(False))).filter(spared | F.col("_in"))
     side = lambda df, n, *more: df.select(F.col("_k").alias(n), F.col("_t").alias(f"_t{n}"), F.col("_w").alias(f"_w{n}"), *more)
     by_word = side(probe, "a", "word").join(side(each, "b", "word"), "word").filter((F.size("_wa") <= F.size("_wb")) | F.contains(F.col("_tb"), F.col("_ta")))
     grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - 9), lambda i: F.substring(F.col("_t"), i, F.lit(10)))).alias("word")
     by_gram = side(words.filter(F.size("_o") < 3), "a", F.substring("_t", 1, 10).alias("word")).join(side(words, "b", grams).distinct(), "word")
-    pairs = by_word.unionByName(by_gram).filter("a != b")
+    begin = lambda i, k: F.concat_ws(" ", F.get(F.col("_o"), i), F.substring(F.get(F.col("_o"), i + 1), F.lit(1), k))
+    three = words.filter(F.size("_o") == 3).withColumn("word", begin(F.lit(1), F.least(F.lit(4), F.length(F.get(F.col("_o"), F.lit(2))))))
+    starts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_o") - 2), lambda i: F.array(*[begin(i, F.lit(k)) for k in range(1, 5)])))
+    by_start = side(three, "a", "word").join(side(words.filter(F.size("_o") >= 2), "b", F.explode(F.array_distinct(starts)).alias("word")), "word")
+    pairs = by_word.unionByName(by_start).unionByName(by_gram).filter("a != b")
     overlap = F.size(F.array_intersect("_wa", "_wb")) / F.least(F.size("_wa"), F.size("_wb"))
     near = F.contains(F.col("_ta"), F.col("_tb")) | F.contains(F.col("_tb"), F.col("_ta")) | (overlap >= least)
     return pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
