@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, quality, urlfilter
+from . import chatrepair, linededup, quality, urlfilter
 
 
 _GAP = r"[\x20\x09-\x0D]"
@@ -75,3 +75,51 @@ def quality_rules() -> str:
  cuts as (select stratum, rule, min(cutoff) as cutoff from ok where good_so_far = 1 group by 1, 2),
  bad as (select distinct doc_id from val join cuts using (stratum, rule) where score > cutoff)
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from bad) as kept from a"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters."""
+    table = "list_reduce(list_prepend(xor(c, b), range(8)::bigint[]), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: {table}), 4294967295::bigint)"
+
+
+def chat_repair() -> str:
+    r = chatrepair
+    inserts = [(q, j, (r.AFTER[q] if j == 1 else r.AFTER[r.AFTER[q]] if j == 2 else r.AFTER[r.AFTER[r.AFTER[q]]]) if j else q) for q in range(4) for j in range(4)]
+    arcs = sorted({(q, "'-'", "D", r.DELETE, q) for q in range(4)} | {(q, f"'{c}'", "K", r.KEEP, to) for (q, c), to in r.STEP.items()} | {(q, "'-'", "R", r.REROLE, r.AFTER[q]) for q in range(4)})
+    values = lambda rows: ", ".join("(" + ", ".join(str(x) for x in row) + ")" for row in rows)
+    order = "turn nulls first, role, digest, copy"
+    return f"""with recursive
+ raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+ hit as (select *, {_crc32("name")} % 20 as h from raw),
+ hurt as (select conv_id, turn, case h when 4 then 'user' else role end as role, case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case h when 0 then [] when 3 then [1, 2] else [1] end) as copy from hit),
+ marked as (select *, sha256(text) as digest from hurt),
+ placed as (select *, row_number() over (partition by conv_id order by {order}) as i, row_number() over (partition by conv_id, role, digest order by {order}) as nth, role[1] as c from marked),
+ r as materialized (select *, not regexp_matches(text, '[^{r.SPACE}]') as blank, nth > 1 as again, regexp_matches(text, '[^{r.SPACE}.!?][{r.SPACE}]*$') as opened, coalesce(lag(c) over (partition by conv_id order by i) || c not in ('su', 'ua', 'au'), false) as bad from placed),
+ counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank)::bigint as blank, count(*) filter (not blank and again)::bigint as duplicate, count(*) filter (not blank and not again and opened)::bigint as truncated, count(*) filter (bad)::bigint as illegal, max(i) as m from r group by conv_id),
+ ins(q, j, into_q) as (values {values(inserts)}),
+ arc(q, c, letter, cost, into_q) as (values {values((q, c, f"'{x}'", cost, to) for q, c, x, cost, to in arcs)}),
+ walk as (
+  select conv_id, 0::bigint as i, 0 as q, 0::bigint as cost, '' as audit from counts
+  union all
+  select b.conv_id, b.i, b.q, b.best.cost, b.best.audit from (
+   select w.conv_id, r.i, arc.into_q as q, min({{'cost': (w.cost + {r.INSERT} * j + arc.cost + case when letter <> 'D' and opened then {r.TRUNCATED} else 0 end)::bigint, 'audit': w.audit || repeat('I', j) || letter}}) as best
+   from walk w join r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1 join ins on ins.q = w.q join arc on arc.q = ins.into_q and arc.c in ('-', r.c)
+   where letter = 'D' or not (blank or again) group by w.conv_id, r.i, arc.into_q) b),
+ tails(q, tail) as (values {values((q, f"'{t}'") for q, t in r.TAIL.items())}),
+ ends as (select w.conv_id, min({{'cost': (w.cost + {r.INSERT} * length(tail))::bigint, 'audit': w.audit || tail}}) as best from walk w join counts on counts.conv_id is not distinct from w.conv_id and w.i = m join tails using (q) group by w.conv_id),
+ letters as (select conv_id, unnest(string_split(best.audit, '')) as letter, generate_subscripts(string_split(best.audit, ''), 1) as k from ends where best.audit <> ''),
+ spots as (select *, sum((letter <> 'D')::int) over w as place, sum((letter <> 'I')::int) over w as i from letters window w as (partition by conv_id order by k)),
+ kept as (select s.conv_id, place, case letter when 'K' then r.role end as own, case letter when 'I' then '' else r.text end as text from spots s left join r on r.conv_id is not distinct from s.conv_id and r.i = s.i where letter <> 'D'),
+ named as (select *, place - max(case when place = 1 and own[1] = 's' then 1 else 0 end) over (partition by conv_id) as pair from kept),
+ sums as (select conv_id, sha256(string_agg(coalesce(own, case pair % 2 when 1 then 'user' else 'assistant' end) || ':' || text, chr(10) order by place)) as repaired_sha256 from named group by conv_id)
+ select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.cost, 0) as cost, coalesce(best.audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+ from (select distinct conv_id from conversations) a left join counts on counts.conv_id is not distinct from a.conv_id left join ends on ends.conv_id is not distinct from a.conv_id left join sums on sums.conv_id is not distinct from a.conv_id"""
+
+
+def warc() -> str:
+    return """with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+ d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
+ n as (select *, row_number() over (partition by payload_digest order by page_id nulls last) as nth, first_value(page_id) over (partition by payload_digest order by page_id nulls last) as head from d)
+ select page_id, payload_bytes, payload_digest, case when nth > 1 and payload_bytes >= 100 then 'revisit' else 'response' end as record_type, case when nth > 1 and payload_bytes >= 100 then head end as refers_to from n"""
