@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatrepair, decontam, langid, licenses, linededup, lm, neardup, packing, quality, sharding, sql, urlfilter
+from . import chatrepair, decontam, langid, licenses, linededup, lm, neardup, packing, quality, sharding, sql, urlfilter, warc
 from .scratch import documents
 
 
@@ -67,10 +67,15 @@ def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatrepair.audit(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record, written, normalised and read back. Null html is empty, a null page_id stays null and comes last; of equal pages one is the response."""
+    return warc.roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_jump_sharding, op3_mixture_packing, op4_host_trust, op5_hyperminhash, op6_deleted_interpolation, op7_license_scan, op8_decontamination, op9_line_dedup, op10_quality_rules, op11_chat_repair)}
+    return {f.__name__: f for f in (op1_language_id, op2_jump_sharding, op3_mixture_packing, op4_host_trust, op5_hyperminhash, op6_deleted_interpolation, op7_license_scan, op8_decontamination, op9_line_dedup, op10_quality_rules, op11_chat_repair, op12_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others run Python models or hashes that SQL lacks; tests compare those with brute force."""
-    return {"op4_host_trust": sql.host_trust(), "op9_line_dedup": sql.line_dedup(), "op10_quality_rules": sql.quality_rules(), "op11_chat_repair": sql.chat_repair()}
+    return {"op4_host_trust": sql.host_trust(), "op9_line_dedup": sql.line_dedup(), "op10_quality_rules": sql.quality_rules(), "op11_chat_repair": sql.chat_repair(), "op12_warc": sql.warc()}
