@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatrepair, decontam, langid, licenses, linededup, lm, neardup, packing, quality, sharding, sql, urlfilter, warc
+from . import chatrepair, decontam, langid, licenses, linededup, lm, neardup, packing, quality, sharding, sql, urlfilter, warc, whitening
 from .scratch import documents
 
 
@@ -72,8 +72,13 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding. Null vectors and such with null or non-finite entries are left out; repeated rows and null keys are rows each."""
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_jump_sharding, op3_mixture_packing, op4_host_trust, op5_hyperminhash, op6_deleted_interpolation, op7_license_scan, op8_decontamination, op9_line_dedup, op10_quality_rules, op11_chat_repair, op12_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_jump_sharding, op3_mixture_packing, op4_host_trust, op5_hyperminhash, op6_deleted_interpolation, op7_license_scan, op8_decontamination, op9_line_dedup, op10_quality_rules, op11_chat_repair, op12_warc, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
