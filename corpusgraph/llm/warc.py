@@ -37,10 +37,12 @@ LEAST = 100
 PIECE = 1 << 20
 #: Bytes of a record's header beyond which an archive counts as damaged.
 HEADER = 1 << 20
+#: Bytes of keys and urls of repeated payloads that are broadcast.
+BROADCAST = 1 << 23
 END = b"\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ENTRY = "archive string, offset long, length long, type string, id string, uri string, refers_to string, digest string"
+ENTRY = "offset long, length long, type string, id string, uri string, refers_to string, digest string"
 
 
 @lru_cache(maxsize=8)
@@ -193,7 +195,7 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 6) ->
                             length = sum(map(len, pieces))
                             for p in pieces:
                                 out.write(p)
-                            entry = {"archive": f"{target}/{archive}", "offset": at, "length": length, "type": named.get("warc-type"), "id": named.get("warc-record-id"), "uri": named.get("warc-target-uri"), "refers_to": named.get("warc-refers-to"), "digest": named.get("warc-payload-digest")}
+                            entry = {"offset": at, "length": length, "type": named.get("warc-type"), "id": named.get("warc-record-id"), "uri": named.get("warc-target-uri"), "refers_to": named.get("warc-refers-to"), "digest": named.get("warc-payload-digest")}
                             index.write(json.dumps(entry).encode() + b"\n")
                             at, count, size = at + length, count + 1, stream.at
                     except (EOFError, ValueError, KeyError, zlib.error) as e:
@@ -208,7 +210,9 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 6) ->
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
     """The sidecars under a folder: archive, offset, length, type, id, uri, refers_to, digest of every record."""
-    return spark.read.schema(ENTRY).option("pathGlobFilter", "*.idx").json(folder)
+    entries = spark.read.schema(ENTRY).option("pathGlobFilter", "*.idx").json(folder)
+    beside = F.concat(F.lit(f"{folder}/"), F.regexp_replace("_metadata.file_name", r"\.idx$", ""))
+    return entries.select(beside.alias("archive"), *entries.columns)
 
 
 def _payload(store: pafs.FileSystem, held: dict, path: str, offset: int, length: int, keep: bool) -> tuple[int, str, bytes | None]:
@@ -287,26 +291,32 @@ def key_of(urn: Column, kind: str) -> Column:
     return F.url_decode(F.when(name != "", name)).cast(kind)
 
 
-def deduplicated(pages: DataFrame, key: str, url: str, payload: str, least: int = LEAST) -> DataFrame:
+def deduplicated(pages: DataFrame, key: str, url: str, payload: str, least: int = LEAST, most: int = BROADCAST) -> DataFrame:
     """_key, _url, _body, _bytes, _digest, _first: the key whose equal payload a row revisits; ``_revisit`` says whether it does.
 
     A null payload is empty, a null key comes last.  Of rows equal in key and
     payload the one of the least url stays a response, null last, and of equal
-    rows one.  Such rows are counted before they are shuffled, and a payload
-    that very many pages have is a skewed join, which AQE splits.
+    rows one.  Such rows are counted before they are shuffled.  The payloads
+    that occur again are looked up by a broadcast where their keys and urls
+    have at most ``most`` bytes, so that no payload moves, and by a shuffle
+    beyond, where AQE splits a payload that very many pages have.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), body.alias("_body"))
-    rows = rows.withColumns({"_bytes": F.octet_length("_body").cast("long"), "_digest": F.sha2(F.col("_body").cast("binary"), 256)})
+    rows = rows.withColumns({"_bytes": F.octet_length("_body").cast("long"), "_digest": F.unhex(F.sha2(F.col("_body").cast("binary"), 256))})
     rank = F.struct(F.col("_key").isNull(), "_key", F.col("_url").isNull(), "_url", "_n")
     heads = rows.filter(F.col("_bytes") >= least).groupBy("_digest", "_key", "_url").agg(F.count("*").alias("_n"))
     heads = heads.groupBy("_digest").agg(F.min(rank).alias("_head"), F.sum("_n").alias("_all")).filter("_all > 1")
-    heads = heads.select(F.col("_digest").alias("_d"), F.col("_head._key").alias("_first"), F.col("_head._url").alias("_at"), F.col("_head._n").alias("_same"))
-    joined = rows.join(heads.hint("merge"), F.col("_digest") == F.col("_d"), "left")
+    heads = stash(heads.select(F.col("_digest").alias("_d"), F.col("_head._key").alias("_first"), F.col("_head._url").alias("_at"), F.col("_head._n").alias("_same")), "repeated")
+    size = F.lit(64) + F.octet_length(F.coalesce(F.col("_at"), F.lit(""))) + F.octet_length(F.coalesce(F.col("_first").cast("string"), F.lit("")))
+    told = heads.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.coalesce(F.max("_same"), F.lit(0)).alias("same")).first()
+    joined = rows.join(heads.hint("broadcast" if told.bytes <= most else "merge"), F.col("_digest") == F.col("_d"), "left")
     head = F.col("_d").isNotNull() & F.col("_key").eqNullSafe(F.col("_first")) & F.col("_url").eqNullSafe(F.col("_at"))
     names = ["_key", "_url", "_body", "_bytes", "_digest", "_first"]
     twins = F.coalesce(head & (F.col("_same") > 1), F.lit(False))
     single = joined.filter(~twins).select(*names, (F.col("_d").isNotNull() & ~head).alias("_revisit"))
+    if told.same <= 1:
+        return single
     several = joined.filter(twins).groupBy(*names).agg(F.count("*").alias("_n"))
     several = several.select(*names, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), lambda i: i > 1)).alias("_revisit"))
     return single.unionByName(several)
@@ -325,7 +335,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         line("WARC-Record-ID", _urn(F.col("_key"))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("_digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.lower(F.hex("_digest")))),
         F.when(F.col("_revisit"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _urn(F.col("_first"))))).otherwise(""),
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),

@@ -39,6 +39,15 @@ def test_round_trip(spark):
     assert Counter(tuple(r) for r in got) == wanted(rows)
 
 
+def test_shuffled(spark):
+    """Where too many payloads repeat for a broadcast, the result is the same."""
+    rows = pages()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    plain = lambda most: Counter((r._key, r._digest, r._first if r._revisit else None, r._revisit) for r in warc.deduplicated(df, "page_id", "url", "html", most=most).select("_key", "_digest", "_first", "_revisit").collect())
+    assert plain(0) == plain(warc.BROADCAST)
+    assert sum(n for (*_, again), n in plain(0).items() if again) == sum(n for r, n in wanted(rows).items() if r[3] == "revisit")
+
+
 def test_files(spark, tmp_path):
     """Streams are one member; archives one for each record, at the places that the sidecar names, and hold the same bytes."""
     rows = pages()
