@@ -8,9 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring as S
 from ..functions import text as T
-from .graph import edge_labels
 
 # How many hyperedges of each type evidence holds.
 QUOTA = {"event": 120, "relation": 30, "mechanism": 40, "reaction": 40}
@@ -19,16 +17,9 @@ CJK_TAIL, CJK_HEAD = tuple("。！？；，、：）》」"), "，。！？；
 LOW_VALUE = ("is_a", "cites", "published_in", "authored_by", "developed_by")
 
 
-def patterns(edges: DataFrame, nodes: DataFrame, tokens: list[str], least: float = 0.6) -> DataFrame:
-    """Confident edges with both names, support and relevance, ranked."""
-    named = edge_labels(edges.filter(F.col("confidence") >= least), nodes)
-    scored = named.withColumn("relevance", S.token_score_of(tokens, F.col("source_name"), 2) + S.token_score_of(tokens, F.col("target_name"), 2) + S.token_score_of(tokens, F.col("relation_type"), 1))
-    return scored
-
-
 def ranked(df: DataFrame, limit: int) -> DataFrame:
-    """The best patterns by relevance, support and confidence; ties by edge."""
-    keys = [F.desc("relevance"), F.desc("support"), F.desc("confidence"), F.asc("relation_type"), F.asc("source_node"), F.asc("target_node")]
+    """The best patterns by relevance, support and rounded confidence, then by confidence; ties by edge."""
+    keys = [F.desc("relevance"), F.desc("support"), F.desc(F.round("confidence", 3)), F.desc("confidence"), F.asc("relation_type"), F.asc("source_node"), F.asc("target_node")]
     return df.orderBy(*keys).limit(limit)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import audits as A
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import hyperedges as H
 from ..operators import library as L
@@ -17,7 +18,7 @@ from ..operators import surface as U
 from ..sources import records as R
 from ..streaming import monitor as W
 from . import bindings as B
-from . import citing, graphs, papers, services, study, writing  # noqa: F401
+from . import citing, evidence, graphs, papers, services, study, writing  # noqa: F401
 from .registry import QUERIES, SQL, Query, query
 
 YEAR = 2004
@@ -438,17 +439,15 @@ def w03(spark, d):
     return M.top_by_type(B.hyperedges(spark, d), "hyperedge_type", "confidence", "hyperedge_id", M.QUOTA, M.QUOTA["relation"]).select("hyperedge_type", "hyperedge_id", "confidence", "rank_in_type")
 
 
-_PATTERNS = f"""{_GRAPH}, p as (select e.*, s.name as source_name, t.name as target_name,
- case when contains(lower(s.name), 'widget') then 12 else 0 end + case when contains(lower(t.name), 'widget') then 12 else 0 end
- + case when contains(lower(s.name), 'bolt') then 10 else 0 end + case when contains(lower(t.name), 'bolt') then 10 else 0 end
- + case when contains(lower(s.name), 'nation') then 12 else 0 end + case when contains(lower(t.name), 'nation') then 12 else 0 end as relevance
- from edges e join nodes s on s.node_id = source_node join nodes t on t.node_id = target_node where confidence >= 0.6)"""
+_SCORE = lambda text, weight: " + ".join(f"case when contains(lower({text}), '{t}') then {weight * n} else 0 end" for t, n in (("widget", 6), ("bolt", 5), ("nation", 6)))
+_PATTERNS = f"""{_GRAPH}, labelled as (select e.*, s.name as source_name, t.name as target_name, s.node_type || ': ' || s.name || ' --' || relation_type || '--> ' || t.node_type || ': ' || t.name as title
+ from edges e join nodes s on s.node_id = source_node join nodes t on t.node_id = target_node where confidence >= 0.6), p as (select *, {_SCORE('title', 2)} + {_SCORE('relation_type', 1)} as relevance from labelled)"""
 
 
-@query("w04_pattern_rank", f"{_PATTERNS} select relation_type, source_node, target_node, source_name, target_name, relevance, support, confidence from p order by relevance desc, support desc, confidence desc, relation_type, source_node, target_node limit 200")
+@query("w04_pattern_rank", f"{_PATTERNS} select relation_type, source_node, target_node, title, relevance, support, confidence from p order by relevance desc, support desc, round(confidence, 3) desc, confidence desc, relation_type, source_node, target_node limit 200")
 def w04(spark, d):
-    p = M.ranked(M.patterns(B.edges(spark, d), B.nodes(spark, d), TOKENS), 200)
-    return p.select("relation_type", "source_node", "target_node", "source_name", "target_name", "relevance", "support", "confidence")
+    p = M.ranked(E.scored(B.edges(spark, d), B.nodes(spark, d), TOKENS, 0.6), 200)
+    return p.select("relation_type", "source_node", "target_node", "title", "relevance", "support", "confidence")
 
 
 @query("w07_low_support", f"{_GRAPH} select relation_type, source_node, target_node, support from edges where support < 2 and relation_type not in ('is_a', 'cites', 'published_in', 'authored_by', 'developed_by') order by support, confidence desc, source_node, target_node limit 40")
@@ -628,17 +627,9 @@ def g18(spark, d):
     return G.reach(B.edges(spark, d), spark.range(1).select(F.col("id").alias("node_id")), 3)
 
 
-@query("g19_evidence_mining", f"{_PATTERNS}, r as (select *, row_number() over (order by relevance desc, support desc, confidence desc, relation_type, source_node, target_node) as n from p) select printf('P-%04d', n) as pattern_id, relation_type, source_name, target_name, relevance, support, confidence from r where n <= 200")
-def g19(spark, d):
-    top = M.ranked(M.patterns(B.edges(spark, d), B.nodes(spark, d), TOKENS), 200)
-    order = Window.orderBy(F.desc("relevance"), F.desc("support"), F.desc("confidence"), "relation_type", "source_node", "target_node")
-    # two hundred rows by now
-    return top.withColumn("_n", F.row_number().over(order)).select(F.format_string("P-%04d", "_n").alias("pattern_id"), "relation_type", "source_name", "target_name", "relevance", "support", "confidence")
-
-
 @query("a18_coverage", f"{_PATTERNS}, h as (select count(*) as n from orders where o_orderpriority = '1-URGENT') select round(least(1.0, greatest((count(*) + any_value(h.n)) / 100000.0, avg(support) / 3.0)), 3) as coverage from p, h")
 def a18(spark, d):
-    p = M.patterns(B.edges(spark, d), B.nodes(spark, d), TOKENS).agg(F.count("*").alias("n"), F.avg("support").alias("s"))
+    p = E.scored(B.edges(spark, d), B.nodes(spark, d), TOKENS, 0.6).agg(F.count("*").alias("n"), F.avg("support").alias("s"))
     h = B.hyperedges(spark, d).filter("hyperedge_type = 'event'").agg(F.count("*").alias("m"))
     # two single rows
     return p.crossJoin(h).select(M.coverage(F.col("n"), F.col("m"), F.col("s"), 100000).alias("coverage"))
