@@ -9,9 +9,14 @@ and looked up among all items; a match is verified by its exact edit distance.
 An item is cut into pieces of PIECE characters.  Each edit spoils one piece at
 most, so as many pieces as there are more than edits stand in any match, each
 within the edits of its place: windows begin only where so many pieces agree,
-which loses none.  The number of embeddings is chosen so that simulated edits at
-the limit, with windows that begin where such pieces say, reach the target
-recall.
+which loses none.  Of such places those are taken that most pieces name, and the
+one that the item's first standing piece names, which is the match's beginning.
+
+Behind an edit two walks go apart for some steps, and many deletions can keep
+them apart for good.  Positions are therefore sampled at several scales: from
+the whole walk, its first half, quarter and eighth.  The number of embeddings is
+chosen so that each kind of edit, strewn evenly or at random at the limit,
+reaches the target recall through the same proposals.
 """
 
 from __future__ import annotations
@@ -33,8 +38,14 @@ EDITS, RECALL = 0.1, 0.99
 PIECE = 8
 #: Positions in a key, keys of an embedding, embeddings at most, keys that a match shares.
 SAMPLED, TABLES, MOST, AGREE = 4, 24, 24, 2
-#: Places of an item, among those no further apart than its edits, at which windows are embedded: where most pieces agree.
+#: Tables sample the whole walk, its first half, quarter and so on, by turns.
+SCALES = 4
+#: Places of an item, among those no further apart than its edits, at which windows are embedded: where most pieces agree; one more is where the first piece says.
 PLACES = 2
+#: Simulated edits of each kind at the least, and at the most.
+TRIALS, MOST_TRIALS = 200, 1000
+#: Characters of the grams that a match must share.
+GRAM = 3
 #: Characters of a document that are read at once, and windows that are embedded at once.
 STEP, WINDOWS = 1 << 20, 4096
 #: Characters of benchmark items that are searched for in one pass over the documents.
@@ -81,7 +92,8 @@ def keys(strings: list[str], size: int, seed: int) -> np.ndarray:
     """The hash keys of each string in each table of one embedding; positions are drawn where a string of ``size`` has not ended yet."""
     steps = max(1, int(1.6 * size))
     walked = embed(matrix(strings, size), steps, seed)
-    places = np.random.default_rng(seed + 7919).integers(0, steps, size=(TABLES, SAMPLED))
+    reach = np.maximum(1, steps >> (np.arange(TABLES) % SCALES))
+    places = (np.random.default_rng(seed + 7919).random((TABLES, SAMPLED)) * reach[:, None]).astype(np.int64)
     with np.errstate(over="ignore"):
         out = np.full((len(strings), TABLES), seed * 0x9E37 + size, dtype=np.uint64) + np.arange(TABLES, dtype=np.uint64)
         for j in range(SAMPLED):
@@ -122,6 +134,21 @@ def align(pattern: str, text: str) -> tuple[int, int, int]:
     return distance, end - back, end
 
 
+def window(text: str, begin: int, size: int) -> str:
+    """``size`` characters from ``begin`` on; what lies before the text is filled."""
+    return "\x01" * min(size, max(0, -begin)) + text[max(0, begin) : max(0, begin + size)]
+
+
+def changed(text: str, kind: str, evenly: bool, edits: int, rng: np.random.Generator) -> str:
+    """So many substitutions, insertions or deletions, at even distances or at random."""
+    at = (np.arange(edits) + 0.5) * len(text) / edits if evenly else np.sort(rng.choice(len(text), edits, replace=False))
+    parts, last = [], 0
+    for k in at.astype(np.int64).tolist():
+        parts += [text[last:k], "" if kind == "deletion" else "x"]
+        last = k + (kind != "insertion")
+    return "".join(parts) + text[last:]
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
@@ -146,6 +173,7 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, recall: float = RECALL):
         self.edits = edits
+        self.grams: dict[int, np.ndarray] = {}
         self.items = [(k, normalise(t or "")) for k, t in items]
         self.sizes = np.array([size_class(len(t)) for _, t in self.items], dtype=np.int64)
         self.slack = np.array([int(len(t) * edits) for _, t in self.items], dtype=np.int64)
@@ -182,36 +210,31 @@ class Index:
         self.keys, self.owner = self.keys[order], self.owner[order]
 
     def calibrate(self, recall: float) -> int:
-        """Embeddings needed for the recall, by random edits at the limit of every item, with windows where ``proposals`` has them."""
+        """Embeddings needed for the recall at the limit of edits, with windows where ``proposals`` has them: of each kind of edits, strewn evenly and at random, as many as the worst needs.
+
+        Items are tried from the shortest to the longest, MOST_TRIALS of them at most.
+        """
         rng = np.random.default_rng(11)
-        usable = [n for n, need in enumerate(self.need.tolist()) if need]
-        by = defaultdict(list)
-        found: list[np.ndarray] = []
-        for n in usable:
-            item = self.items[n][1]
-            for _ in range(max(1, 200 // len(usable))):
-                s = list(item)
-                for _ in range(int(self.slack[n])):
-                    at, what = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
-                    if what == 0:
-                        s[at] = "x"
-                    elif what == 1 and len(s) > 1:
-                        del s[at]
-                    else:
-                        s.insert(at, "x")
-                pad = "." * int(self.slack[n] + 1)
-                shown = pad + "".join(s) + pad
-                items, starts = self.proposals(codes(shown))
-                size = int(self.sizes[n])
-                by[size] += [(len(found), item, shown[max(b, 0) : max(b, 0) + size]) for b in starts[items == n].tolist()]
-                found.append(np.zeros(MOST, dtype=bool))
+        usable = sorted((n for n, need in enumerate(self.need.tolist()) if need and self.slack[n]), key=lambda n: len(self.items[n][1]))
+        if not usable:
+            return 1
+        tried = [usable[int(i)] for i in np.linspace(0, len(usable) - 1, min(len(usable), MOST_TRIALS))] * -(-TRIALS // len(usable))
+        by, kinds = defaultdict(list), []
+        for kind in ("substitution", "insertion", "deletion"):
+            for evenly in (True, False):
+                for n in tried:
+                    pad = "." * int(self.slack[n] + 1)
+                    shown = pad + changed(self.items[n][1], kind, evenly, int(self.slack[n]), rng) + pad
+                    items, starts = self.proposals(codes(shown))
+                    size = int(self.sizes[n])
+                    by[size] += [(len(kinds), self.items[n][1], window(shown, b, size)) for b in starts[items == n].tolist()]
+                    kinds.append((kind, evenly))
+        found = np.zeros((len(kinds), MOST), dtype=bool)
         for size, trials in by.items():
             same = [(keys([t[1] for t in trials], size, e) == keys([t[2] for t in trials], size, e)).sum(axis=1) for e in range(MOST)]
             for (trial, _, _), hit in zip(trials, np.cumsum(np.stack(same, axis=1), axis=1) >= AGREE, strict=True):
                 found[trial] |= hit
-        if not found:
-            return 1
-        share = np.array(found).mean(axis=0)
+        share = found.reshape(6, len(tried), MOST).mean(axis=1).min(axis=0)
         enough = np.flatnonzero(share >= recall)
         if not len(enough):
             raise ValueError(f"{MOST} embeddings reach a recall of {share[-1]:.3f}, below {recall}")
@@ -219,7 +242,7 @@ class Index:
 
     def proposals(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and places in ``points`` at which enough of an item's pieces let it begin."""
-        item, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        item, start, piece = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size, (quick, hashes, owner, offset) in self.by_size.items():
             found = grams(points, size)
             at = np.flatnonzero(quick[(found >> np.uint64(44)).astype(np.int64)])
@@ -228,9 +251,10 @@ class Index:
             which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
             item.append(owner[which])
             start.append(np.repeat(at, many) - offset[which])
-        item, start = np.concatenate(item), np.concatenate(start)
+            piece.append(offset[which])
+        item, start, piece = np.concatenate(item), np.concatenate(start), np.concatenate(piece)
         order = np.lexsort((start, item))
-        item, start = item[order], start[order]
+        item, start, piece = item[order], start[order], piece[order]
         # in a match, places differ by twice the edits at most
         ahead = self.need[item] - 1
         last = np.minimum(np.arange(len(item)) + ahead, max(0, len(item) - 1))
@@ -239,18 +263,26 @@ class Index:
         np.add.at(marks, np.flatnonzero(whole), 1)
         np.add.at(marks, last[whole] + 1, -1)
         keep = np.cumsum(marks[:-1]) > 0
-        item, start = item[keep], start[keep]
+        item, start, piece = item[keep], start[keep], piece[keep]
         if not len(item):
             return item, start
         first = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (start[1:] != start[:-1])))
         votes = np.diff(np.append(first, len(item)))
-        item, start = item[first], start[first]
+        item, start, piece = item[first], start[first], np.minimum.reduceat(piece, first)
         cell = start // (self.slack[item] + 1)
-        order = np.lexsort((start, -votes, cell, item))
-        item, start, cell = item[order], start[order], cell[order]
         head = np.append(True, (item[1:] != item[:-1]) | (cell[1:] != cell[:-1]))
         place = np.arange(len(item)) - np.maximum.accumulate(np.where(head, np.arange(len(item)), 0))
-        return item[place < PLACES], start[place < PLACES]
+        chosen = np.zeros(len(item), dtype=bool)
+        for rank, many in ((-votes, PLACES), (piece, 1)):
+            chosen[np.lexsort((start, rank, cell, item))[place < many]] = True
+        return item[chosen], start[chosen]
+
+    def possible(self, n: int, text: str) -> bool:
+        """Whether ``text`` has as many of an item's grams as a match leaves: an edit spoils GRAM of them at most."""
+        own = self.grams.get(n)
+        if own is None:
+            own = self.grams[n] = grams(codes(self.items[n][1]), GRAM)
+        return np.isin(own, grams(codes(text), GRAM)).sum() >= len(own) - GRAM * self.slack[n]
 
     def match(self, strings: list[str], sizes: list[int]) -> Iterator[tuple[int, int]]:
         """(string, item) for each pair that shares AGREE keys."""
@@ -298,14 +330,17 @@ def _search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
 
     def flush() -> None:
         chosen = sorted({(row, b, int(index.sizes[n])) for row, b, n in offered})
-        matched = sorted({(*chosen[i][:2], n) for i, n in index.match([low[row][b : b + size] for row, b, size in chosen], [size for _, _, size in chosen])})
+        matched = sorted({(*chosen[i][:2], n) for i, n in index.match([window(low[row], b, size) for row, b, size in chosen], [size for _, _, size in chosen])})
         for row, b, n in matched:
             item, slack, old = index.items[n][1], int(index.slack[n]), best[row, n]
             # what no count of pieces lets begin here is beyond the edit limit; what begins near a match is that match
             if (row, b, n) not in offered or any(abs(f[1] - b) <= slack for f in old):
                 continue
             first = max(0, b - 2 * slack - 1)
-            distance, x, y = align(item, low[row][first : b + len(item) + 3 * slack + 1])
+            area = low[row][first : max(0, b) + len(item) + 3 * slack + 1]
+            if not index.possible(n, area):
+                continue
+            distance, x, y = align(item, area)
             if distance <= len(item) * index.edits and y > x:
                 found = (distance, first + x, first + y)
                 if not any(f[1] < found[2] and found[1] < f[2] and f[0] <= distance for f in old):
@@ -319,7 +354,7 @@ def _search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
             items, starts = index.proposals(points[lo : lo + STEP + 2 * reach])
             for a in range(0, len(items), WINDOWS):
                 low[row] = whole
-                begin = np.maximum(starts[a : a + WINDOWS] + lo, 0).tolist()
+                begin = (starts[a : a + WINDOWS] + lo).tolist()
                 offered.update((row, b, n) for b, n in zip(begin, items[a : a + WINDOWS].tolist(), strict=True))
                 held += len(whole)
                 if len(offered) >= WINDOWS or held >= 8 * STEP:

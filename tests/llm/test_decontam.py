@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from corpusgraph.llm import decontam
 
@@ -133,6 +134,43 @@ def test_recall_at_the_limit():
     assert recall(capitals, lambda t, i: edited(t.upper() if i % 2 else t, 0.03, i)) == 1
 
 
+@pytest.mark.parametrize("kind", ["substitution", "insertion", "deletion"])
+@pytest.mark.parametrize("evenly", [True, False])
+@pytest.mark.parametrize("share", [0.1, 0.07])
+def test_recall_of_each_kind_of_edit(kind, evenly, share):
+    items = [sentence(RNG.randrange(20, 70)) for _ in range(60)]
+    rng = np.random.default_rng(5)
+    assert recall(items, lambda t, i: decontam.changed(t, kind, evenly, int(len(t) * share), rng).replace("x", "z")) >= 0.95
+
+
+def test_find_against_the_exact_distance_at_every_place():
+    """Which items are in which texts, for edits of every number around the limit, at the beginnings and ends of texts too."""
+    import pyarrow as pa
+
+    items = [sentence(RNG.randrange(9, 50)) for _ in range(40)]
+    index = decontam.Index(list(enumerate(items)))
+    rng = np.random.default_rng(8)
+    texts = []
+    for i, t in enumerate(items):
+        for k, kind in enumerate(("substitution", "insertion", "deletion")):
+            body = decontam.changed(t, kind, bool((i + k) % 2), max(1, int(len(t) * (0.04 + 0.02 * (i % 5)))), rng)
+            texts.append(decontam.normalise(f"{sentence(i % 3 * 8)} {body} {sentence(k * 8)}"))
+    found = {(r, n): d for r, n, _, _, d in decontam._search(index, pa.array(texts))}
+    want = {(r, n): d for r, text in enumerate(texts) for n, item in enumerate(items) if (d := decontam.best_end(decontam.normalise(item), text)[0]) <= len(decontam.normalise(item)) * decontam.EDITS}
+    assert len(want) > 60 and not set(found) - set(want)
+    assert len(set(want) - set(found)) <= 0.02 * len(want)
+    assert all(found[k] == want[k] for k in found)
+
+
+def test_possible_loses_nothing():
+    items = [sentence(RNG.randrange(3, 20)) for _ in range(50)]
+    index = decontam.Index(list(enumerate(items)))
+    for i, t in enumerate(items):
+        text = edited(index.items[i][1], 0.1, i)
+        if decontam.best_end(index.items[i][1], text)[0] <= index.slack[i]:
+            assert index.possible(i, f"zzz{text}zzz")
+
+
 def test_pieces_lose_nothing():
     """Every place within the edit limit is proposed: against the exact distance at all places."""
     items = [sentence(RNG.randrange(3, 12)) for _ in range(30)]
