@@ -9,61 +9,11 @@ from ..functions import text as T
 from ..storage import stash
 
 
-def merge_nodes(mentions: DataFrame) -> DataFrame:
-    """Mentions (node_type, name, confidence, paper_key, seq) folded by type and normalised name.
-
-    The name is the first seen; aliases and papers are distinct and sorted;
-    confidence is the largest, clamped to 0..1.
-    """
-    keyed = mentions.withColumn("normalized_name", T.name_key(F.col("name"))).filter("normalized_name != ''")
-    clamp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
-    return keyed.groupBy("node_type", "normalized_name").agg(
-        F.min_by("name", F.struct("seq", "name")).alias("name"),
-        F.array_sort(F.collect_set("name")).alias("aliases"),
-        F.max(clamp).alias("confidence"),
-        F.array_sort(F.collect_set("paper_key")).alias("papers"),
-        F.min("seq").alias("first_seen"),
-        F.max("seq").alias("last_seen"),
-        F.count("*").alias("n_mentions"),
-    )
-
-
-def merge_edges(edges: DataFrame) -> DataFrame:
-    """Edges folded by relation and endpoints; largest confidence, the first attributes, the last tier that is not null, distinct papers."""
-    return edges.groupBy("relation_type", "source_node", "target_node").agg(
-        F.max("confidence").alias("confidence"),
-        F.min_by("attributes", F.struct("seq", "attributes")).alias("attributes"),
-        F.max_by("evidence_tier", F.when(F.col("evidence_tier").isNotNull(), F.struct("seq", "evidence_tier"))).alias("evidence_tier"),
-        F.count_distinct("paper_key").alias("support"),
-    )
-
-
-def merge_attributes(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, name, value) folded: one value stays itself, several become a sorted list; empty ones go."""
-    some = pairs.filter(F.trim(F.coalesce("value", F.lit(""))) != "")
-    return some.groupBy(key, "name").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("value"), F.count_distinct("value").alias("n_values"))
-
-
-def fingerprint(kind: Column, label: Column, paper: Column, members: Column, conditions: Column, measurements: Column) -> Column:
-    """A hyperedge's identity; the order of its parts is of no account."""
-    text = lambda xs: F.array_join(F.array_sort(F.transform(xs, lambda x: F.to_json(x))), ";")
-    return F.sha1(F.concat_ws("|", F.coalesce(kind, F.lit("")), F.coalesce(label, F.lit("")), F.coalesce(paper.cast("string"), F.lit("")), text(members), text(conditions), text(measurements)))
-
-
 def distinct_rows(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
     """The row with the least id of each key; nulls are equal."""
     return df.join(df.groupBy(*keys).agg(F.min(ident).alias(ident)).select(ident), ident, "left_semi")
 
 
-def repoint(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges with dropped nodes replaced by kept ones (mapping drop, keep); loops that arise go, equal edges fold."""
-    to = mapping.select(F.col("drop").alias("_d"), F.col("keep").alias("_k"))
-    out = edges
-    for end in ("source_node", "target_node"):
-        out = out.join(to, F.col(end) == F.col("_d"), "left").withColumn(end, F.coalesce("_k", end)).drop("_d", "_k")
-    return merge_edges(out.filter("source_node != target_node"))
-
-
 def keepers(nodes: DataFrame, group: list[str]) -> DataFrame:
     """Drop, keep for each group: most papers, then confidence, then the highest id stays."""
     order = Window.partitionBy(*group).orderBy(F.desc("support"), F.desc("confidence"), F.desc("node_id"))

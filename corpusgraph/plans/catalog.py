@@ -18,7 +18,7 @@ from ..operators import surface as U
 from ..sources import records as R
 from ..streaming import monitor as W
 from . import bindings as B
-from . import citing, evidence, graphs, papers, services, study, writing  # noqa: F401
+from . import citing, evidence, graphs, merging, papers, services, study, writing  # noqa: F401
 from .registry import QUERIES, SQL, Query, query
 
 YEAR = 2004
@@ -491,13 +491,6 @@ def u04(spark, d):
     return B.table(spark, d, "customer").join(known, "c_custkey", "left").select("c_custkey", F.coalesce("k", F.lit(False)).alias("valid"))
 
 
-@query("n03_attr_merge", "select l_orderkey as key, name, array_to_string(list_sort(list_distinct(list(value))), '|') as value, count(distinct value) as n_values from (select l_orderkey, 'flag' as name, l_returnflag as value from lineitem union all select l_orderkey, 'status', l_linestatus from lineitem) group by 1, 2")
-def n03(spark, d):
-    line = B.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "key")
-    pairs = line.select("key", F.lit("flag").alias("name"), F.col("l_returnflag").alias("value")).unionByName(line.select("key", F.lit("status").alias("name"), F.col("l_linestatus").alias("value")))
-    return G.merge_attributes(pairs, "key")
-
-
 @query("n02_json_props", "select event_type, count(*) as n, sum(cast(json_extract(props, '$.k') as bigint)) as total from events group by 1")
 def n02(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("long")
@@ -560,19 +553,6 @@ def g01(spark, d):
     return line.join(synonyms, T.squeeze(F.lower("l_returnflag")) == F.col("key"), "left").select("l_shipdate", "l_orderkey", "l_linenumber", F.coalesce("canonical", "l_returnflag").alias("relation"))
 
 
-@query("g02_node_merge", "select 'material' as node_type, lower(p_name) as normalized_name, arg_min(p_name, p_partkey) as name, count(*) as n_mentions, count(distinct p_brand) as n_papers, min(p_partkey) as first_seen, max(p_partkey) as last_seen, max(least(1.0, p_size / 50.0)) as confidence from part group by 2")
-def g02(spark, d):
-    m = B.table(spark, d, "part").select(F.lit("material").alias("node_type"), F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("confidence"), F.col("p_brand").alias("paper_key"), F.col("p_partkey").alias("seq"))
-    return G.merge_nodes(m).select("node_type", "normalized_name", "name", "n_mentions", F.size("papers").cast("long").alias("n_papers"), "first_seen", "last_seen", "confidence")
-
-
-@query("g03_edge_merge", "select 'supplied_by' as relation_type, l_partkey as source_node, l_suppkey as target_node, max(1 - l_discount) as confidence, arg_min(l_returnflag, printf('%020d', l_orderkey * 100 + l_linenumber) || l_returnflag) as attributes, arg_max(l_linestatus, printf('%020d', l_orderkey * 100 + l_linenumber) || l_linestatus) filter (l_linenumber % 2 = 0) as evidence_tier, count(distinct l_orderkey) as support from lineitem group by 2, 3")
-def g03(spark, d):
-    tier = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus"))
-    e = B.table(spark, d, "lineitem").select(F.lit("supplied_by").alias("relation_type"), F.col("l_partkey").alias("source_node"), F.col("l_suppkey").alias("target_node"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_returnflag").alias("attributes"), tier.alias("evidence_tier"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("paper_key"))
-    return G.merge_edges(e)
-
-
 @query("g05_fingerprint", "with m as (select l_orderkey, list_sort(list(l_partkey % 5 || ':' || l_returnflag)) as m from lineitem group by 1) select l_orderkey, min(l_orderkey) over (partition by m) as first_order from m")
 def g05(spark, d):
     none = F.array().cast("array<struct<key:string>>")
@@ -588,14 +568,6 @@ def g07(spark, d):
     return G.distinct_rows(e, ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type")
 
 
-@query("g10_repoint", f"{_GRAPH}, k as (select lower(name) as n, min(node_id) as keep from nodes where node_type = 'material' group by 1), m as (select node_id, keep from nodes join k on lower(name) = n where node_type = 'material'), r as (select relation_type, coalesce(a.keep, source_node) as source_node, coalesce(b.keep, target_node) as target_node, confidence from edges left join m a on a.node_id = source_node left join m b on b.node_id = target_node) select relation_type, source_node, target_node, max(confidence) as confidence from r where source_node <> target_node group by 1, 2, 3")
-def g10(spark, d):
-    n = B.nodes(spark, d).filter("node_type = 'material'").withColumn("k", F.lower("name"))
-    mapping = n.join(n.groupBy("k").agg(F.min("node_id").alias("keep")), "k").filter("node_id != keep").select(F.col("node_id").alias("drop"), "keep")
-    e = B.edges(spark, d).select("relation_type", "source_node", "target_node", "confidence", F.lit("").alias("attributes"), F.lit(None).cast("string").alias("evidence_tier"), F.lit(0).alias("seq"), F.lit("").alias("paper_key"))
-    return G.repoint(e, mapping).select("relation_type", "source_node", "target_node", "confidence")
-
-
 @query("g11_keepers", "select p_partkey as \"drop\", first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey desc) as keep from part qualify p_partkey <> first_value(p_partkey) over (partition by p_name order by p_size desc, p_retailprice desc, p_partkey desc)")
 def g11(spark, d):
     n = B.table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), "p_name", F.col("p_size").alias("support"), F.col("p_retailprice").alias("confidence"))
