@@ -13,6 +13,8 @@ UMBRELLA_NAMES = ("biomaterial", "inorganic biomaterial", "polymeric biomaterial
 STRONG_RELATIONS = ("promotes", "regulates", "activates", "inhibits", "causes", "differentiates_into", "treats", "targets")
 GRADING = r"(?i)^(good|excellent|superior|enhanced|high|great)\s+"
 QUANTITY = r"\d+(\.\d+)?\s*(%|kPa|MPa|Pa|fold|µg|mg|ng|mm|µm|nm|day|°C|℃|mM|μM|pg)"
+# the units that are looked for in attributes
+ATTRIBUTE_QUANTITY = r"\d+(\.\d+)?\s*(%|kPa|MPa|fold|µg|mg|day|°C|℃|mM|μM)"
 WEAK, ALIASES, HUB, LONG = 0.72, 5, 8, 80
 COMMENTS, REVIEW_HEAD = ("comment", "corrigendum", "erratum", "editorial"), 60
 NO_DOI_SOURCE = "ncpssd"
@@ -98,6 +100,7 @@ def audit(nodes: DataFrame, edges: DataFrame, papers: DataFrame) -> DataFrame:
     """
     name, predicate = F.coalesce("name", F.lit("")), F.coalesce("predicate", F.lit(""))
     is_ = lambda kind: F.col("node_type") == kind
+    exact = F.col("confidence").cast("decimal(20,10)")  # whose sum does not depend on the order of rows
     rows = lambda df, **m: df.agg(*[c.cast("double").alias(k) for k, c in m.items()]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.round(F.col(k), 6).alias("value")) for k in m])).alias("x")).select("x.*")
     of_nodes = rows(
         nodes,
@@ -107,14 +110,14 @@ def audit(nodes: DataFrame, edges: DataFrame, papers: DataFrame) -> DataFrame:
         umbrella_names=F.count_if(F.lower(F.trim(name)).isin(*UMBRELLA_NAMES)),
         graded_names=F.count_if(name.rlike(GRADING)),
         node_confidence_least=F.min("confidence"),
-        node_confidence_mean=F.avg("confidence"),
+        node_confidence_mean=F.avg(exact),
         node_confidence_most=F.max("confidence"),
         seen_once=F.count_if(F.col("first_seen") == F.col("last_seen")),
         rna_as_chemical=F.count_if(is_("Chemical") & name.rlike(r"(?i)\bmrna\b|\bmiR-\d+|microRNA")),
         vesicle_as_material=F.count_if(is_("Material") & name.rlike("(?i)exosome|extracellular vesicle|secretome")),
         cell_type_as_line=F.count_if(is_("CellLine") & name.rlike(r"(?i)mesenchymal|stem cell|osteoblast|macrophage|huv\b|huv?ec|hADSC|BMSC|primary")),
         many_aliases=F.count_if(F.size("aliases") >= ALIASES),
-        quantities_in_attributes=F.count_if(F.coalesce("attributes", F.lit("")).rlike(QUANTITY)),
+        quantities_in_attributes=F.count_if(F.coalesce("attributes", F.lit("")).rlike(ATTRIBUTE_QUANTITY)),
         hubs=F.count_if(F.size(F.array_distinct("papers")) >= HUB),
     )
     of_edges = rows(
@@ -124,7 +127,7 @@ def audit(nodes: DataFrame, edges: DataFrame, papers: DataFrame) -> DataFrame:
         cjk_predicates=F.count_if(predicate.rlike("[一-鿿]")),
         long_predicates=F.count_if(F.length(predicate) > LONG),
         edge_confidence_least=F.min("confidence"),
-        edge_confidence_mean=F.avg("confidence"),
+        edge_confidence_mean=F.avg(exact),
         edge_confidence_most=F.max("confidence"),
         weak_strong_edges=F.count_if((F.col("confidence") < WEAK) & F.col("relation_type").isin(*STRONG_RELATIONS)),
         quantities_in_predicates=F.count_if(predicate.rlike(QUANTITY)),
@@ -138,27 +141,3 @@ def audit(nodes: DataFrame, edges: DataFrame, papers: DataFrame) -> DataFrame:
     traced = rows(named, from_comments=F.count_if(comment), from_reviews=F.count_if(~comment & F.substring("t", 1, REVIEW_HEAD).contains("review")))
     relations = edges.groupBy("relation_type").agg(F.count("*").cast("double").alias("value")).select(F.concat(F.lit("relation:"), "relation_type").alias("rule"), "value")
     return reduce(DataFrame.unionByName, [of_nodes, of_edges, traced, relations, count("names_of_several_types", types), count("reused_sentences", sentences), count("repeated_predicates", repeats)])
-
-
-def attribute_audit(nodes: DataFrame, most: int = 20) -> DataFrame:
-    """(metric, name, n) of nodes' attributes (JSON objects): empty ones by type, leaves by kind of value, the most frequent keys.
-
-    An object with value and unit is a number; other objects are entered, to three levels.
-    """
-    parsed = nodes.select("node_type", F.from_json("attributes", "map<string,string>").alias("_a"))
-    bare = F.coalesce(F.size("_a"), F.lit(0)) <= 0
-    kinds = parsed.groupBy("node_type").agg(F.count_if(bare).alias("n")).select(F.lit("empty").alias("metric"), F.col("node_type").alias("name"), "n")
-    level = parsed.filter(~bare).select(F.explode("_a").alias("k", "v"))
-    leaves = None
-    for depth in range(3):
-        inner = F.from_json(F.when(F.col("v").startswith("{"), F.col("v")), "map<string,string>")
-        told = level.withColumn("_m", inner)
-        nested = F.col("_m").isNotNull() & ~(F.map_contains_key("_m", "value") & F.map_contains_key("_m", "unit")) if depth < 2 else F.lit(False)
-        done = told.select("k", "v", "_m")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        level = told.filter(nested).select(F.col("k").alias("_k"), F.explode("_m").alias("_n", "v")).select(F.concat("_k", F.lit("."), "_n").alias("k"), "v")
-    quantity = F.col("_m").isNotNull() & F.map_contains_key("_m", "value") & F.map_contains_key("_m", "unit")
-    kind = F.when(F.col("v").isNull(), "None").when(quantity, "num{value,unit}").when(F.col("_m").isNotNull(), "object").when(F.col("v").startswith("["), "list").when(F.col("v").isin("true", "false"), "bool").when(F.col("v").try_cast("long").isNotNull(), "int").when(F.col("v").try_cast("double").isNotNull(), "float").otherwise("str")
-    values = leaves.withColumn("name", kind).filter("name != 'object'").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("value").alias("metric"), "name", "n")
-    keys = leaves.groupBy(F.col("k").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most).select(F.lit("key").alias("metric"), "name", "n")
-    return kinds.unionByName(values).unionByName(keys)

@@ -90,28 +90,6 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def channels(hyperedges: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hyperedges grouped by type and the multiset of their members' roles and types.
-
-    A confidence of 0 counts as 0.5, as a missing one does.
-    """
-    typed = members.join(nodes.select("node_id", "node_type"), "node_id")
-    shape = typed.groupBy("hyperedge_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("role", F.lit(":"), "node_type"))), ",").alias("role_profile"))
-    return hyperedges.join(shape, "hyperedge_id").groupBy("hyperedge_type", "role_profile").agg(
-        F.count("*").alias("support_count"),
-        F.count_distinct("paper_key").alias("paper_count"),
-        F.avg(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))).alias("confidence"),
-    )
-
-
-def domains(nodes: DataFrame, edges: DataFrame, rules: list[tuple[str, str]], hierarchy: tuple[str, ...] = ("is_a", "part_of")) -> DataFrame:
-    """(domain, node_id): parents over hierarchy edges, and the domains whose keyword the name contains."""
-    parents = edges.filter(F.col("relation_type").isin(*hierarchy)).join(nodes.select(F.col("node_id").alias("target_node"), F.col("name").alias("domain")), "target_node").select("domain", F.col("source_node").alias("node_id"))
-    low = F.lower("name")
-    by_rule = nodes.select(F.explode(F.array_compact(F.array(*[F.when(low.contains(word), domain) for word, domain in rules]))).alias("domain"), "node_id")
-    return parents.unionByName(by_rule).distinct()
-
-
 def orphans(hyperedges: DataFrame, members: DataFrame) -> DataFrame:
     """Hyperedges without members."""
     return hyperedges.join(members.select("hyperedge_id"), "hyperedge_id", "left_anti")

@@ -68,7 +68,8 @@ def canonical_operator(c: Column, labels: dict[str, str], aliases: dict[str, str
     within = F.lit(None).cast("string")
     for name, label in reversed(labels.items()):
         within = F.when(slug.contains(name) | low.contains(label.lower()), name).otherwise(within)
-    for alias, name in sorted(aliases.items(), key=lambda kv: len(kv[0])):
+    # the longest is looked for first, of equally long ones the first
+    for alias, name in reversed(sorted(aliases.items(), key=lambda kv: -len(kv[0]))):
         within = F.when(low.contains(alias), name).otherwise(within) if alias else within
     found = F.coalesce(names[text], names[low], known[text], known[low], names[slug], within)
     return F.when(text == "", "").otherwise(F.coalesce(found, F.lit("")))

@@ -15,15 +15,15 @@ from ..operators import library as L
 from ..operators import mining as M
 from ..operators import study as D
 from ..operators import surface as U
+from ..operators import walks
 from ..sources import records as R
 from ..streaming import monitor as W
 from . import bindings as B
-from . import citing, evidence, graphs, merging, papers, services, study, writing  # noqa: F401
+from . import citing, evidence, graphs, merging, papers, services, study, views, writing  # noqa: F401
 from .registry import QUERIES, SQL, Query, query
 
 YEAR = 2004
 TOKENS = ["widget", "bolts", "nation"]
-RULES = [("red", "colour"), ("blue", "colour"), ("small", "size"), ("large", "size"), ("ring", "shape")]
 
 
 def queries() -> dict[str, Query]:
@@ -339,13 +339,6 @@ def a13(spark, d):
     return A.unmatched_venues(B.works(spark, d), _quartiles(spark), 20, 5)
 
 
-@query("a15_channels", f"with {B.NODES}, {B.HYPEREDGES}, {B.MEMBERS}, shape as (select hyperedge_id, string_agg(role || ':' || node_type, ',' order by role || ':' || node_type) as role_profile from members join nodes using (node_id) group by 1) select hyperedge_type, role_profile, count(*) as support_count, count(distinct paper_key) as paper_count, round(avg(coalesce(nullif(confidence, 0.0), 0.5)) * count(*), 3) as confidence_sum from hyperedges join shape using (hyperedge_id) group by 1, 2")
-def a15(spark, d):
-    found = G.channels(B.hyperedges(spark, d), B.members(spark, d), B.nodes(spark, d))
-    # a mean may end in a tie at its last decimal; the sum of thousandths does not
-    return found.withColumn("confidence_sum", F.round(F.col("confidence") * F.col("support_count"), 3)).drop("confidence")
-
-
 @query("a17_support", f"{_GRAPH} select relation_type, sum(support) as support, max(support) as largest, count(*) as n from edges group by 1")
 def a17(spark, d):
     return A.support_by_relation(B.edges(spark, d))
@@ -371,9 +364,9 @@ def _rule(rule: str, what: str, of: str) -> str:
 
 _RULES = [
     ("nodes", "count(*)", "n"), ("events", "0", "(select 1)"), ("events_cut_short", "0", "(select 1)"), ("umbrella_names", "count(*)", "n where trim(lower(name)) = 'biomaterial'"), ("graded_names", "count(*)", "n where name like 'Excellent %'"),
-    ("node_confidence_least", "round(min(confidence), 6)", "n"), ("node_confidence_mean", "round(avg(confidence), 6)", "n"), ("node_confidence_most", "round(max(confidence), 6)", "n"), ("seen_once", "count(*)", "n where once"), ("rna_as_chemical", "count(*)", "n where node_type = 'Chemical'"),
+    ("node_confidence_least", "round(min(confidence), 6)", "n"), ("node_confidence_mean", "round(avg(confidence::decimal(20, 10)), 6)", "n"), ("node_confidence_most", "round(max(confidence), 6)", "n"), ("seen_once", "count(*)", "n where once"), ("rna_as_chemical", "count(*)", "n where node_type = 'Chemical'"),
     ("vesicle_as_material", "0", "(select 1)"), ("cell_type_as_line", "0", "(select 1)"), ("many_aliases", "count(*)", "n where n_aliases >= 5"), ("quantities_in_attributes", "count(*)", "n where attributes = '5 kPa'"), ("hubs", "count(*)", "n where n_papers >= 8"),
-    ("edges", "count(*)", "e"), ("predicates", "count(predicate)", "e"), ("cjk_predicates", "0", "(select 1)"), ("long_predicates", "0", "(select 1)"), ("edge_confidence_least", "round(min(confidence), 6)", "e"), ("edge_confidence_mean", "round(avg(confidence), 6)", "e"), ("edge_confidence_most", "round(max(confidence), 6)", "e"),
+    ("edges", "count(*)", "e"), ("predicates", "count(predicate)", "e"), ("cjk_predicates", "0", "(select 1)"), ("long_predicates", "0", "(select 1)"), ("edge_confidence_least", "round(min(confidence), 6)", "e"), ("edge_confidence_mean", "round(avg(confidence::decimal(20, 10)), 6)", "e"), ("edge_confidence_most", "round(max(confidence), 6)", "e"),
     ("weak_strong_edges", "count(*)", "e where confidence < 0.72 and relation_type = 'promotes'"), ("quantities_in_predicates", "count(predicate)", "e"), ("from_comments", "sum(case when n_papers > 0 then 1 else 0 end)", "n"), ("from_reviews", "sum(case when n_papers > 1 then 1 else 0 end)", "n"), ("relation:promotes", "count(*)", "e where relation_type = 'promotes'"), ("relation:uses", "count(*)", "e where relation_type = 'uses'"),
     ("names_of_several_types", "count(*)", "(select trim(lower(name)) from n group by 1 having count(distinct node_type) > 1)"), ("reused_sentences", "count(*)", "(select evidence from e where evidence is not null group by 1 having count(*) > 1)"), ("repeated_predicates", "count(*)", "(select relation_type, predicate from e where predicate is not null group by 1, 2 having count(*) > 1)"),
 ]
@@ -396,7 +389,7 @@ def a20(spark, d):
     s = F.col("p_size")
     text = F.concat(F.lit('{"a": '), s.cast("string"), F.lit(', "b": {"value": 5, "unit": "K"}, "c": {"d": "x", "f": 1.5}, "e": [1, 2]}'))
     nodes = B.table(spark, d, "part").select(F.col("p_type").alias("node_type"), F.when(s % 4 != 0, text).when(s % 8 == 0, "{}").otherwise("broken").alias("attributes"))
-    return A.attribute_audit(nodes)
+    return walks.attribute_audit(nodes)
 
 
 @query("a26_candidate_clusters", "select p_name, p_partkey, p_size, duplicates from (select *, row_number() over (partition by p_name order by p_size desc, p_partkey) as rn, count(*) over (partition by p_name) - 1 as duplicates from part) where rn = 1")
@@ -579,11 +572,6 @@ def g13(spark, d):
     return G.orphans(B.hyperedges(spark, d), B.members(spark, d)).select("hyperedge_id", "hyperedge_type")
 
 
-@query("g14_domains", f"{_GRAPH}, w as (select node_id, name, unnest(['red', 'blue', 'small', 'large', 'ring']) as word, unnest(['colour', 'colour', 'size', 'size', 'shape']) as domain from nodes) select distinct domain, node_id from w where contains(lower(name), word) union select n.name, source_node from edges join nodes n on n.node_id = target_node where relation_type in ('is_a', 'part_of')")
-def g14(spark, d):
-    return G.domains(B.nodes(spark, d), B.edges(spark, d), RULES)
-
-
 def _spread(i: int) -> str:
     """A round of labels for the oracle: the least one among a node and its neighbours."""
     return f"l{i} as materialized (select node_id, min(label) as label from (select * from l{i - 1} union all select b, label from both_ways join l{i - 1} on a = node_id) group by 1)"

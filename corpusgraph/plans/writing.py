@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
 from ..operators import library as L
 from ..operators import study as D
 from ..operators import surface as U
+from ..operators import views
 from ..operators import writing as W
 from . import bindings as B
 from .registry import query
@@ -125,7 +125,8 @@ def k09(spark, d):
 
 @query("a14_channels", f"with {B.NODES}, {B.HYPEREDGES}, {B.MEMBERS}, shape as (select hyperedge_id, string_agg(role || ':' || node_type, ',' order by role || ':' || node_type) as role_profile from members join nodes using (node_id) group by 1) select hyperedge_type, role_profile, support_count from (select hyperedge_type, role_profile, count(*) as support_count from hyperedges join shape using (hyperedge_id) group by 1, 2) order by support_count desc, hyperedge_type, role_profile limit 30")
 def a14_channels(spark, d):
-    found = G.channels(B.hyperedges(spark, d), B.members(spark, d), B.nodes(spark, d)).withColumn("confidence", F.lit(0.5))
+    held = views.channel_members(B.hyperedges(spark, d), B.members(spark, d), B.nodes(spark, d)).filter("size(signature) > 0")
+    found = held.groupBy(F.col("relation_family").alias("hyperedge_type"), F.array_join("signature", ",").alias("role_profile")).agg(F.count("*").alias("support_count"), F.count_distinct("paper_key").alias("paper_count")).withColumn("confidence", F.lit(0.5))
     return U.top_channels(found, 30).select("hyperedge_type", "role_profile", "support_count")
 
 
