@@ -136,7 +136,7 @@ def labelled(spark, d):
 
 _LABELS = f"""with {B.NODES}, {B.EDGES}, {B.MEMBERS}, f as (select *, min(case when p_partkey % 4 = 3 then p_partkey end) over (partition by p_name) as owner, min(case when p_partkey % 4 = 1 then p_partkey end) over (partition by p_name) as taker, min(case when p_partkey % 4 = 2 then p_partkey end) over (partition by p_name) as coded from part),
  v as (select p_partkey * 4 as node_id, case p_partkey % 4 when 0 then 'drop' when 1 then case when owner is null and taker = p_partkey then 'rename' else 'merge' end when 2 then case when coded = p_partkey then 'rename' else 'merge' end else 'stay' end as action,
-  4 * case p_partkey % 4 when 1 then coalesce(owner, taker) when 2 then coded else p_partkey end as root, case p_partkey % 4 when 2 then p_name || ' entry' when 3 then case when p_partkey = owner then p_name else p_name || ' grade ' || p_partkey end else p_name end as name, case when p_partkey % 4 = 3 then 'a step|A step' else '' end as aliases from f)"""
+  4 * case p_partkey % 4 when 1 then coalesce(owner, taker) when 2 then coded else p_partkey end as root, case p_partkey % 4 when 2 then p_name || ' entry' when 3 then case when p_partkey = owner then p_name else p_name || ' grade ' || p_partkey end else p_name end as name, case p_partkey % 4 when 3 then 'a step|A step' when 1 then p_name || ' 7b' else '' end as aliases from f)"""
 
 
 @query("g13_cleanup", f"{_LABELS} select node_id, name, aliases from v where action in ('stay', 'rename') union all select node_id, name, '' from nodes where node_type <> 'material'")
