@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
-import re
+import json
+from collections.abc import Callable
+from html.entities import html5
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,34 +82,57 @@ def name_key(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"(?U){NAME_SEPARATORS}", " ")))
 
 
-def unescape(c: Column) -> Column:
-    """All HTML entities as characters; only texts with an ampersand reach Python."""
+#: Numbers of characters that a reference does not stand for, with what it stands for instead.
+_ODD = {n: html.unescape(f"&#{n};") for n in (*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | low for p in range(17) for low in (0xFFFE, 0xFFFF))) if html.unescape(f"&#{n};") != chr(n)}
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
-    @F.arrow_udf("string")
-    def resolved(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
-    return F.coalesce(resolved(F.when(c.contains("&"), c)), c)
+def _table(entries: dict[str, str]) -> Column:
+    """A literal map; the planner reads it once."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
-def resolve_entities(c: Column) -> Column:
-    """All entities of a text as characters but those for markup: &lt; &gt; &amp; stay, numeric ones become these."""
+def _resolved(reference: Column) -> Column:
+    """What a character reference with its ampersand stands for; itself where it is none."""
+    body = F.substring(reference, 2, 1 << 30)
+    hexadecimal = F.lower(body).startswith("#x")
+    digits = F.regexp_replace(F.regexp_replace(body, "^#[xX]?0*", ""), ";$", "")
+    number = F.when(F.length(digits) > 8, F.lit(1 << 40)).when(hexadecimal, F.coalesce(F.conv(digits, 16, 10).try_cast("long"), F.lit(0))).otherwise(F.coalesce(digits.try_cast("long"), F.lit(0)))
+    beyond = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    odd = F.try_element_at(_table({str(n): x for n, x in _ODD.items()}), number.cast("string"))
+    by_number = F.when(beyond, "\ufffd").otherwise(F.coalesce(odd, char))
+    names = _table(html5)
+    begins = F.transform(F.sequence(F.length(body) - 1, F.lit(2), F.lit(-1)), lambda n: F.concat(F.try_element_at(names, F.substring(body, F.lit(1), n)), F.substring(body, n + 1, F.lit(1 << 30))))
+    longest = F.when(F.length(body) > 2, F.get(F.filter(begins, lambda x: x.isNotNull()), F.lit(0)))
+    by_name = F.coalesce(F.try_element_at(names, body), longest, reference)
+    return F.when(body.startswith("#"), by_number).otherwise(by_name)
+
+
+def _replaced(c: Column, pattern: str, replace: Callable[[Column], Column]) -> Column:
+    """A text with each match of a pattern replaced by a function of it."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    parts = F.transform(F.split(c, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(replace(F.get(found, i)), F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
 
-    @F.arrow_udf("string")
-    def resolved(texts: pa.Array) -> pa.Array:
-        entity = re.compile(r"&#?\w+;")
 
-        def one(m: re.Match) -> str:
-            char = html.unescape(m[0])
-            return {"<": "&lt;", ">": "&gt;", "&": "&amp;"}.get(char, char)
+def unescape(c: Column) -> Column:
+    """All HTML character references as characters, as browsers read them: without a semicolon too, and by the longest name that one begins with."""
+    return _replaced(c, REFERENCE, _resolved)
+
+
+def resolve_entities(c: Column) -> Column:
+    """All references that end in a semicolon as characters but those for markup: &lt; &gt; &amp; stay, numeric ones become these."""
 
-        return pa.array([None if t is None else entity.sub(one, t) for t in texts.to_pylist()], pa.string())
+    def kept(m: Column) -> Column:
+        char = _resolved(m)
+        return F.when(char == "<", "&lt;").when(char == ">", "&gt;").when(char == "&", "&amp;").otherwise(char)
 
-    return F.coalesce(resolved(F.when(c.contains("&"), c)), c)
+    return _replaced(c, r"(?U)&#?\w+;", kept)
 
 
 def markup_characters(c: Column) -> Column:
-    """The entities that ``resolve_entities`` leaves, as characters; also within functions over arrays, where no Python runs."""
+    """The entities that ``resolve_entities`` leaves, as characters."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
