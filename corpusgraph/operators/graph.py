@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stash
+from ..storage import discard, stash
 
 
 def distinct_rows(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
@@ -58,7 +58,7 @@ def link_components(links: DataFrame) -> DataFrame:
     graph, not with its diameter; each step is a sum by node and a join with it.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    before = None
+    before, last = None, None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
@@ -67,9 +67,11 @@ def link_components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = stash(small.filter("u != v").distinct(), "stars")
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if last is not None:
+            discard(last)
         if state == before:
             break
-        before = state
+        before, last = state, edges
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 

@@ -33,7 +33,24 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables that ``stash`` wrote for these frames; others are left alone.
+
+    Only for tables that no frame in use is still to be computed from: what
+    has been written from them stands by itself.
+    """
+    for df in frames:
+        path = getattr(df, "_stashed", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            df._stashed = None
 
 
 def unused(df: DataFrame, name: str) -> str:
