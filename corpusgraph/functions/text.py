@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 # Words and patterns that decide results.
 STOP_WORDS = (
-    "the and for with from into that this these those study studies using used based novel new "
-    "review research results analysis method methods effect effects role roles via toward towards"
-).split()
+    "the", "and", "for", "with", "from", "into", "that", "this", "these", "those", "study", "studies", "using", "used", "based", "novel", "new", "review", "research",
+    "results", "analysis", "method", "methods", "effect", "effects", "role", "roles", "via", "toward", "towards",
+)
 DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http://dx.doi.org/", "doi:")
 STEM_SUFFIXES = ("izations", "ization", "isations", "isation", "ations", "ation", "ings", "ing")
 TIER_RULES = (
@@ -41,6 +41,7 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+# Labels and codes of one paper, openings and verbs of reports, words of requirements, counts of citations.
 LOCAL_LABEL = r"(?i)^\s*(?:compound|compd|product|intermediate|entry|item|stage|step|substrate|analyte)\s*[A-Za-z]{0,4}\d+[A-Za-z]{0,4}\s*$"
 PURE_CODE = r"^\s*\(?[A-Za-z]{0,4}\d+[A-Za-z]{0,4}\)?\s*$"
 LOCAL_CODE = r"(?i)\b(compound|compd|product|intermediate|entry|item|stage|step|substrate|analyte)\s*[A-Za-z]{0,4}\d+[A-Za-z]{0,4}\b"
@@ -57,12 +58,17 @@ REPORT_VERBS = (
     r"propose(s|d)?|highlight(s|ed)?|aim(s|ed)?|was found|were found|were developed|was investigated)\b"
 )
 REQUIREMENT_STOP_WORDS = (
-    "the a an of and or for with to in on by this that these those is are be as at from write section paragraph paper please summarise summarize "
-    "review describe discuss should must need using use cite citing cited citation citations least source sources reference references highlight "
-    "emphasise emphasize focus include including provide given only 请 写 段落 本节 这一节 要求 必须 需要 以及 并且 使用 基于 关于 内容 部分 引用 强调 突出 重点"
-).split()
-INSTRUCTION_MARKERS = "只写 仅写 只要写 强调 突出 引用 不少于 不少 至少 不超过 最多 尽量 注意 避免 重点 围绕 结合 给出 列出 说明 阐述 梳理 对比 要求 请".split()
-BOILERPLATE = "学术论文 论文主题 检索规划 检索 规划 一节 小节 本节 该节 写作要求 用户在节点上的指令 节点指令 只围绕 不要规划 整篇 材料 证据做 做检索 论文的".split()
+    "the", "a", "an", "of", "and", "or", "for", "with", "to", "in", "on", "by", "this", "that", "these", "those", "is", "are", "be", "as", "at", "from", "write",
+    "section", "paragraph", "paper", "please", "summarise", "summarize", "review", "describe", "discuss", "should", "must", "need", "using", "use", "cite", "citing",
+    "cited", "citation", "citations", "least", "source", "sources", "reference", "references", "highlight", "emphasise", "emphasize", "focus", "include", "including",
+    "provide", "given", "only", "请", "写", "段落", "本节", "这一节", "要求", "必须", "需要", "以及", "并且", "使用", "基于", "关于", "内容", "部分", "引用", "强调", "突出", "重点",
+)
+INSTRUCTION_MARKERS = (
+    "只写", "仅写", "只要写", "强调", "突出", "引用", "不少于", "不少", "至少", "不超过", "最多", "尽量", "注意", "避免", "重点", "围绕", "结合", "给出", "列出", "说明", "阐述", "梳理", "对比", "要求", "请",
+)
+BOILERPLATE = (
+    "学术论文", "论文主题", "检索规划", "检索", "规划", "一节", "小节", "本节", "该节", "写作要求", "用户在节点上的指令", "节点指令", "只围绕", "不要规划", "整篇", "材料", "证据做", "做检索", "论文的",
+)
 REQUIREMENT_PUNCTUATION = r"[，。；：、！？,.;:!?()（）\[\]【】\"'“”‘’/\\|<>《》—\-]+"
 CITE_COUNTS = (
     r"引[用靠]?\s*(?:不[少低]于|至少|不少|≥|>=)?\s*(\d{1,3})",
@@ -204,7 +210,7 @@ def cut_references(c: Column) -> Column:
 def topic_tokens(c: Column) -> Column:
     """Topic words in lower case, distinct, in order of appearance."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"([a-z]{{4,}}|[A-Z]{{2,5}}(?![a-z])|{CJK}{{2,}})"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: ~x.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: ~x.isin(*STOP_WORDS)))
 
 
 def evidence_tokens(c: Column) -> Column:

@@ -23,7 +23,7 @@ SOURCE_SETS = {
     "fulltext": ["europepmc", "arxiv", "semantic_scholar", "openalex"],
     "all": ["europepmc", "pubmed", "arxiv", "semantic_scholar", "openalex"],
 }
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def sources_of(name: str | None) -> list[str]:
