@@ -19,7 +19,7 @@ from ..operators import walks
 from ..sources import records as R
 from ..streaming import monitor as W
 from . import bindings as B
-from . import arrivals, citing, evidence, graphs, merging, papers, services, study, views, writing  # noqa: F401
+from . import arrivals, citing, evidence, graphs, merging, papers, services, study, sufficiency, views, writing  # noqa: F401
 from .registry import QUERIES, SQL, Query, query
 
 YEAR = 2004
