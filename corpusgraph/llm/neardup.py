@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import link_components as components
-from .scratch import stash
+from .scratch import discard, stash
 from .text import mix, ngrams, word_hashes
 
 SHINGLE = 5
@@ -208,7 +208,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     near = stash(near, "candidates")
     sets = stash(full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes, "digest").select("_key", "_hash"), key, text), "sets")
     tested = near.join(sets.toDF("b", "_sb"), "b").join(sets.toDF("a", "_sa"), "a").filter(confirmed("_sa", "_sb"))
-    return stash(tested.select("a", "b"), "links")
+    links = stash(tested.select("a", "b"), "links")
+    discard(near, sets)
+    return links
 
 
 def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
@@ -252,7 +254,9 @@ def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, ke
                         found.append((min(names[r], names[q]), max(names[r], names[q])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return stash(pairs.join(full, "digest").groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary"), "links")
+    links = stash(pairs.join(full, "digest").groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary"), "links")
+    discard(sets)
+    return links
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -276,7 +280,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     stars = buckets.join(leader, "key").filter(F.col("digest") != F.col("_lead")).filter(_close(F.col("n"), F.col("_n"), threshold))
     stars = stash(stars.select(F.least("digest", "_lead").alias("a"), F.greatest("digest", "_lead").alias("b")).distinct(), "pairs")
     links = verified(stars, nodes, docs, key, text, threshold)
-    found = stash(components(links), "components")
+    found = first_found = stash(components(links), "components")
 
     marked = buckets.join(found, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "size", F.coalesce("label", "digest").alias("label"))
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("most"))
@@ -300,4 +304,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     by = named.join(least, "label").select("digest", "component_id")
     linked = rows.join(by.withColumnRenamed("digest", "_node"), (F.col("digest") == F.col("_node")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_key"))
-    return linked.select(F.col("_key").alias(key), "_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"))
+    told = stash(linked.select(F.col("_key").alias(key), "_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept")), "classes")
+    # a few bytes a row stand for sketches and sets from here on
+    discard(rows, nodes, buckets, stars, links, more, found, hot, first_found)
+    return told

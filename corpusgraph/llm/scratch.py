@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import scratch_dir, stash, unused
+from ..storage import discard, scratch_dir, stash, unused
 
-__all__ = ["documents", "scratch_dir", "stash", "unused"]
+__all__ = ["discard", "documents", "scratch_dir", "stash", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
