@@ -26,7 +26,7 @@ TIER_RULES = (
 )
 REFERENCE_HEADINGS = (r"(?m)^\s*References\s*$", r"(?m)^\s*Bibliography\s*$", r"(?m)^\s*REFERENCES\s*$", r"(?m)^\s*参考\s*文\s*献\s*$", r"(?m)^\s*References\s*[\[\(].*")
 CJK = "[一-鿿]"
-REFERENCE_ID = r"^(P|E|H|MS|OP|GAP|OC|FC)-\d{1,6}(-\d{1,4})?$"
+REFERENCE_ID = r"^(P|E|H|MS|OP|GAP|OC|FC)-\d+(-\d{1,4})?$"
 SECRETS = r"\b(sk-[A-Za-z0-9_\-]{8,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})\b"
 SECRET_KEYS = ("api_key", "apikey", "token", "password", "secret", "authorization", "key")
 NAME_SEPARATORS = r"[\s_\-/\\.,;:'\"()\[\]{}]+"
