@@ -90,6 +90,7 @@ def name_key(c: Column) -> Column:
 
 #: Numbers of characters that a reference does not stand for, with what it stands for instead.
 _ODD = {n: html.unescape(f"&#{n};") for n in (*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | low for p in range(17) for low in (0xFFFE, 0xFFFF))) if html.unescape(f"&#{n};") != chr(n)}
+CLOSED_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
@@ -195,9 +196,11 @@ def sentences(c: Column) -> Column:
     return F.get(F.transform(F.array(marked), lambda m: F.get(F.transform(F.array(starts(m)), lambda at: build(m, at)), F.lit(0))), F.lit(0))
 
 
-def html_text(c: Column) -> Column:
-    """Text of an HTML fragment."""
-    return squeeze(F.regexp_replace(unescape(F.coalesce(c, F.lit(""))), "<[^>]+>", " "))
+def html_text(c: Column, closed: bool = False) -> Column:
+    """Text of an HTML fragment; ``closed`` leaves references without a semicolon, such as a cut text ends in, as they are."""
+    whole = F.coalesce(c, F.lit(""))
+    plain = _replaced(whole, CLOSED_REFERENCE, _resolved) if closed else unescape(whole)
+    return squeeze(F.regexp_replace(plain, "<[^>]+>", " "))
 
 
 def cut_references(c: Column) -> Column:
