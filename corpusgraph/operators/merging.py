@@ -195,7 +195,7 @@ def resolve(mapping: DataFrame) -> DataFrame:
     span = 1
     while True:
         ahead = state.select(F.col("drop").alias("to"), F.col("to").alias("_t"), F.col("low").alias("_l"))
-        joined = state.join(ahead, "to", "left")
+        joined = state.join(ahead.hint("merge"), "to", "left")
         state = stash(joined.select("drop", F.coalesce("_t", "to").alias("to"), F.least("low", "_l", F.coalesce("_t", "to")).alias("low"), F.col("_t").isNotNull().alias("_open")), "pointers")
         span *= 2
         if not state.filter("_open").limit(1).count():
@@ -204,12 +204,12 @@ def resolve(mapping: DataFrame) -> DataFrame:
             break
     # what is still open leads into a circle, whose least node is the least among the steps behind its own pointer
     circle = state.select(F.col("drop").alias("to"), F.col("low").alias("_l"))
-    return state.join(circle, "to", "left").select("drop", F.coalesce("_l", "to").alias("root")).filter("drop != root")
+    return state.join(circle.hint("merge"), "to", "left").select("drop", F.coalesce("_l", "to").alias("root")).filter("drop != root")
 
 
 def _moved(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     to = roots.select(F.col("drop").alias("_d"), F.col("root").alias("_r"))
-    return df.join(to, F.col(column) == F.col("_d"), "left").withColumn(column, F.coalesce("_r", column)).drop("_d", "_r")
+    return df.join(to.hint("merge"), F.col(column) == F.col("_d"), "left").withColumn(column, F.coalesce("_r", column)).drop("_d", "_r")
 
 
 def redirect_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -239,23 +239,29 @@ def redirect_refs(events: DataFrame, roots: DataFrame, gone: DataFrame | None =
     if gone is not None:
         swap = swap.unionByName(gone.select(F.col("node_id").alias("_d"), F.lit(None).cast("long").alias("_r")))
     each = events.select("id", F.posexplode("entity_refs").alias("_i", "_n"))
-    hit = each.join(swap.select(F.col("_d").alias("_n")), "_n", "left_semi").select("id").distinct()
-    some = each.join(hit, "id", "left_semi").join(swap, F.col("_n") == F.col("_d"), "left").withColumn("_n", F.when(F.col("_d").isNotNull(), F.col("_r")).otherwise(F.col("_n")))
+    hit = each.join(swap.select(F.col("_d").alias("_n")).hint("merge"), "_n", "left_semi").select("id").distinct()
+    some = each.join(hit.hint("merge"), "id", "left_semi").join(swap.hint("merge"), F.col("_n") == F.col("_d"), "left").withColumn("_n", F.when(F.col("_d").isNotNull(), F.col("_r")).otherwise(F.col("_n")))
     lists = some.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("_i", "_n")))), lambda x: x["_n"]).alias("_refs"))
-    return events.join(lists, "id", "left").withColumn("entity_refs", F.coalesce(F.array_distinct("_refs"), "entity_refs")).drop("_refs").select(*events.columns)
+    return events.join(lists.hint("merge"), "id", "left").withColumn("entity_refs", F.coalesce(F.array_distinct("_refs"), "entity_refs")).drop("_refs").select(*events.columns)
+
+
+def _folded(rows: DataFrame, key: str, c: str, *by: str) -> DataFrame:
+    """key, c: the items of the arrays of each key in order, the first of those that agree in ``by``; made distinct before they are gathered."""
+    each = rows.select(key, F.explode(c).alias("_x"))
+    once = each.groupBy(key, *[F.col(f"_x.{b}").alias(f"_by_{b}") for b in by]).agg(F.min("_x").alias("_x"))
+    return once.groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias(c))
 
 
 def absorbed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that stay, with aliases, attributes, provenance and the largest confidence of those merged into them; a dropped node's own name does not become an alias."""
-    drops = nodes.join(roots, F.col("node_id") == F.col("drop"))
-    shown = F.filter("names", lambda x: T.name_key(x["value"]) != F.col("normalized_name"))
-    other = drops.select(F.col("root").alias("node_id"), F.transform(shown, lambda x: F.struct(x["seq"].alias("seq"), x["pos"].alias("pos"), x["value"].alias("value"), F.lit(False).alias("own"))).alias("names"), "attributes", "provenance", "confidence", "last_seen", "mentions")
-    lists = other.groupBy("node_id").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("names", "attributes", "provenance")], F.max("confidence").alias("_conf"), F.max("last_seen").alias("_last"), F.sum("mentions").alias("_n"))
-    stay = nodes.join(roots.select(F.col("drop").alias("node_id")), "node_id", "left_anti").join(lists, "node_id", "left")
-    first = lambda c, *by: F.filter(c, lambda x, i: ~F.exists(F.slice(c, 1, i), lambda y: F.reduce(F.array(*[y[b].eqNullSafe(x[b]) for b in by]), F.lit(True), lambda a, z: a & z)))
-    both = lambda c: F.array_sort(F.concat(c, F.coalesce(f"_{c}", F.array().cast(nodes.schema[c].dataType))))
-    out = stay.withColumns({"names": first(both("names"), "value", "own"), "attributes": first(both("attributes"), "name", "value"), "provenance": first(both("provenance"), "paper", "evidence")})
-    out = out.withColumns({"confidence": F.greatest("confidence", "_conf"), "last_seen": F.greatest("last_seen", "_last"), "mentions": F.col("mentions") + F.coalesce("_n", F.lit(0))})
+    shown = F.transform(F.filter("names", lambda x: T.name_key(x["value"]) != F.col("normalized_name")), lambda x: F.struct(x["seq"].alias("seq"), x["pos"].alias("pos"), x["value"].alias("value"), F.lit(False).alias("own")))
+    moved = nodes.join(roots.hint("merge"), F.col("node_id") == F.col("drop"), "left").withColumn("_to", F.coalesce("root", "node_id"))
+    moved = moved.withColumn("names", F.when(F.col("root").isNull(), F.col("names")).otherwise(shown))
+    head = F.struct("node_type", "name", "normalized_name", "first_seen")
+    out = moved.groupBy("_to").agg(F.max(F.when(F.col("root").isNull(), head)).alias("_h"), F.max("confidence").alias("confidence"), F.max("last_seen").alias("last_seen"), F.sum("mentions").alias("mentions"))
+    out = out.filter("_h is not null").select("_to", F.col("_to").alias("node_id"), "_h.*", "confidence", "last_seen", "mentions")
+    for c, by in (("names", ("value", "own")), ("attributes", ("name", "value")), ("provenance", ("paper", "evidence"))):
+        out = out.join(_folded(moved, "_to", c, *by).hint("merge"), "_to", "left").withColumn(c, F.coalesce(c, F.array().cast(nodes.schema[c].dataType)))
     return out.select(*nodes.columns)
 
 
@@ -267,12 +273,12 @@ def merge(graph: dict[str, DataFrame], mapping: DataFrame, level: str, operator:
     journal has a row for each as it was asked for, with that node.
     """
     roots = stash(resolve(mapping), "roots")
-    journal = mapping.join(roots, "drop", "left").select(F.array("drop").alias("from_ids"), F.col("keep").alias("to_id"), F.coalesce("root", "drop").alias("final_id"), F.lit(level).alias("rule_level"), "reason", F.lit(operator).alias("operator"))
-    nodes = absorbed(graph["nodes"], roots) if absorb else graph["nodes"].join(roots.select(F.col("drop").alias("node_id")), "node_id", "left_anti")
+    journal = mapping.join(roots.hint("merge"), "drop", "left").select(F.array("drop").alias("from_ids"), F.col("keep").alias("to_id"), F.coalesce("root", "drop").alias("final_id"), F.lit(level).alias("rule_level"), "reason", F.lit(operator).alias("operator"))
+    nodes = absorbed(graph["nodes"], roots) if absorb else graph["nodes"].join(roots.select(F.col("drop").alias("node_id")).hint("merge"), "node_id", "left_anti")
     return graph | {
         "nodes": nodes.select(*graph["nodes"].columns),
         "edges": redirect_edges(graph["edges"], roots),
-        "members": repoint_members(graph["members"], roots.withColumnRenamed("root", "keep")),
+        "members": repoint_members(graph["members"], roots.withColumnRenamed("root", "keep").hint("merge")),
         "measurements": _moved(graph["measurements"], "subject_node", roots),
         "events": redirect_refs(graph["events"], roots),
         "journal": journal,

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
+from corpusgraph.operators import merging as M
+from corpusgraph.operators import walks
 from corpusgraph.plans import catalog
+from corpusgraph.sources import readers
 
 from . import test_catalog
 
@@ -45,3 +48,24 @@ def wide(tmp_path_factory):
 def test_wide_keys(spark, wide, monkeypatch, name):
     monkeypatch.setattr(test_catalog, "FOLDER", wide)
     test_catalog.agree(spark, name, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_absorbing_many_nodes(spark):
+    """A node that takes in thousands folds their lists in proportion to their items."""
+    n = 20_000
+    ids = spark.range(n)
+    item = lambda *cols: F.array(F.struct(F.col("id").alias("seq"), F.lit(0).alias("pos"), *cols))
+    nodes = ids.select(
+        F.col("id").alias("node_id"), F.lit("t").alias("node_type"), F.lit("x").alias("name"), F.lit("x").alias("normalized_name"),
+        item(F.concat(F.lit("alias "), F.col("id").cast("string")).alias("value"), F.lit(False).alias("own")).alias("names"),
+        item(F.lit("a").alias("name"), F.col("id").cast("string").alias("value")).alias("attributes"),
+        item((F.col("id") % 7).cast("string").alias("paper"), F.lit("e").alias("evidence")).alias("provenance"),
+        F.lit(0.5).alias("confidence"), F.col("id").alias("first_seen"), F.col("id").alias("last_seen"), F.lit(1).cast("long").alias("mentions"),
+    )
+    roots = ids.filter("id > 0").select(F.col("id").alias("drop"), F.lit(0).cast("long").alias("root"))
+    out = M.absorbed(nodes, roots)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(slice" not in plan and "flatten(collect_list" not in plan
+    (got,) = out.collect()
+    assert (got.node_id, got.mentions, len(got.names), len(got.attributes)) == (0, n, n, n)
+    assert [p.paper for p in got.provenance] == [str(i) for i in range(7)] and got.names[1].value == "alias 1"
