@@ -12,6 +12,8 @@ from ..storage import stash
 
 # Fixed value: keys whose lists of texts are references.
 REFERENCE_KEY = r"(?i)(^|_)(ids?|evidence|references?|hyperedges?)$"
+# Fixed value: more rows of a value than this are looked up by a broadcast, of which there are no more than rows / OFTEN.
+OFTEN = 100_000
 _COLUMNS = ["key", "node", "parent", "depth", "pos", "field", "name", "path", "kind", "v"]
 
 
@@ -72,6 +74,21 @@ def attribute_audit(nodes: DataFrame, most: int = 20) -> DataFrame:
     return empty.unionByName(values).unionByName(keys)
 
 
+def _known(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with whether their _value is an id, else null.
+
+    Rows without a value need no look-up, and those of the few values that very
+    many have are told by a broadcast, so that no key fills a task by itself.
+    """
+    asked = rows.filter("_value is not null")
+    often = asked.groupBy("_value").agg(F.count("*").alias("_n")).filter(F.col("_n") > OFTEN).select(F.col("_value").alias("_id"))
+    often = often.join(ids, "_id", "left").select(F.col("_id").alias("_value"), F.col("_known"), F.lit(True).alias("_often"))
+    told = rows.join(F.broadcast(often), "_value", "left")
+    rare = F.col("_value").isNotNull() & F.col("_often").isNull()
+    looked_up = told.filter(rare).drop("_known").join(ids.hint("merge"), F.col("_value") == F.col("_id"), "left")
+    return told.filter(~rare).select(*rows.columns, "_known").unionByName(looked_up.select(*rows.columns, "_known"))
+
+
 def sanitise(rows: DataFrame, key: str, text: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, json) with references that are known, and (key, value, verdict, place) of those that are not.
 
@@ -85,8 +102,8 @@ def sanitise(rows: DataFrame, key: str, text: str, known: DataFrame) -> tuple[Da
     children = nodes.filter("parent is not null").groupBy("key", F.col("parent").alias("node")).agg(F.bool_and(F.col("kind") == "str").alias("_texts"))
     lists = nodes.filter((F.col("kind") == "list") & F.col("name").rlike(REFERENCE_KEY)).select("key", "node").join(children.filter("_texts"), ["key", "node"]).select("key", F.col("node").alias("parent"), F.lit(True).alias("_listed"))
     ids = known.select(F.col("id").alias("_id")).distinct().withColumn("_known", F.lit(True))
-    marked = nodes.join(lists, ["key", "parent"], "left").withColumn("_value", F.when(F.col("_listed"), T.strip(F.try_variant_get("v", "$", "string"))))
-    marked = stash(marked.join(ids, F.col("_value") == F.col("_id"), "left").drop("_id"), "marked")
+    listed = nodes.join(lists.hint("merge"), ["key", "parent"], "left").withColumn("_value", F.when(F.col("_listed"), T.strip(F.try_variant_get("v", "$", "string"))))
+    marked = stash(_known(stash(listed, "listed"), ids), "marked")
     verdict = F.when(T.is_reference_id(F.col("_value")), "invalid").otherwise("misplaced")
     notes = marked.filter("_listed and _known is null and _value != ''").select("key", F.col("_value").alias("value"), verdict.alias("verdict"), F.col("node").alias("place"))
     # of equal known ids in a list the first stays
