@@ -21,7 +21,7 @@ def answers(spark, d):
         F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(',"hyperedges":[{"type":"reaction","label":"yield of '), F.col("p_name"), F.lit('","members":[{"name":"'), F.col("p_name"), F.lit('","role":"product"}],"conditions":[],"measurements":[{"metric":"yield","value":"92","unit":"%"}]}]'))).otherwise(""),
         F.lit("}\n```"),
     ]
-    return B.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("paper_key"), F.col("p_partkey").alias("seq"), F.lit(None).cast("double").alias("quality"), F.concat(*parts).alias("answer"))
+    return B.spread(B.table(spark, d, "part"), "p_partkey").select(F.concat(F.lit("p"), "p_partkey").alias("paper_key"), F.col("p_partkey").alias("seq"), F.lit(None).cast("double").alias("quality"), F.concat(*parts).alias("answer"))
 
 
 def payloads(spark, d):
