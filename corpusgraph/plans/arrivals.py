@@ -23,7 +23,8 @@ def answered(spark, d) -> str:
     lists = rows.groupBy("service", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"]), ", ").alias("_i"))
     whole = F.when((F.col("service") == "europepmc") & (F.col("page") % 5 == 2), F.concat(F.lit('{"items": ['), "_i")).otherwise(F.concat(F.lit('{"items": ['), "_i", F.lit("]}")))
     folder = f"{scratch_dir(spark)}/pages-{uuid.uuid4().hex}"
-    lists.select("service", "page", whole.alias("value")).write.partitionBy("service", "page").text(folder)
+    # each task moves its own files into place; the folder is new, and read only once it is whole
+    lists.select("service", "page", whole.alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("service", "page").text(folder)
     return folder
 
 

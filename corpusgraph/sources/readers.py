@@ -1,4 +1,4 @@
-"""Answers of literature services as a data source: a partition for each service and page, failures as rows (rows S01, S09).
+"""Answers of literature services as a data source: a partition for each service and page, or for some pages where there are many, failures as rows (rows S01, S09).
 
 ``spark.read.format("literature").option("path", folder)`` reads the pages that
 were fetched to ``folder``/service=NAME/page=N.  A page is a JSON object with a
@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .records import merged_hits, sources_of
 
 NAME = "literature"
+# Fixed value: about how many partitions there are where pages are many; fewer pages have one each.
+PARTITIONS = 500
 SCHEMA = "service string, page int, pos int, record string, error string"
 
 
@@ -29,10 +31,12 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-class Page(InputPartition):
-    def __init__(self, service: str, page: int, path: str):
-        super().__init__((service, page))
-        self.service, self.page, self.path = service, page, path
+class Batch(InputPartition):
+    """Some pages (number, path) of a service."""
+
+    def __init__(self, service: str, pages: list[tuple[int, str]]):
+        super().__init__((service, pages[0][0]))
+        self.service, self.pages = service, pages
 
 
 class Pages(DataSourceReader):
@@ -50,20 +54,26 @@ class Pages(DataSourceReader):
             else:
                 self.services = wanted if self.services is None else self.services & wanted
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Batch]:
         store, root = _opened(self.path)
-        found = []
+        found: dict[str, list[tuple[int, str]]] = {}
         for info in store.get_file_info(pafs.FileSelector(root, recursive=True)):
             parts = dict(p.split("=", 1) for p in info.path.split("/") if "=" in p)
             name = info.path.rsplit("/", 1)[-1]
             if info.type == pafs.FileType.File and {"service", "page"} <= set(parts) and name[0] not in "._" and (self.services is None or parts["service"] in self.services):
-                found.append(Page(parts["service"], int(parts["page"]), info.path))
-        return sorted(found, key=lambda p: p.value)
+                found.setdefault(parts["service"], []).append((int(parts["page"]), info.path))
+        ordered = [(service, sorted(found[service])) for service in sorted(found)]
+        size = -(-sum(len(pages) for _, pages in ordered) // PARTITIONS) or 1
+        return [Batch(service, pages[i : i + size]) for service, pages in ordered for i in range(0, len(pages), size)]
+
+    def read(self, partition: Batch) -> Iterator[pa.RecordBatch]:
+        for page, path in partition.pages:
+            yield from self._read(partition.service, page, path)
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
+    def _read(self, service: str, page: int, path: str) -> Iterator[pa.RecordBatch]:
         try:
             store, _ = _opened(self.path)
-            with store.open_input_stream(partition.path) as f:
+            with store.open_input_stream(path) as f:
                 items = json.loads(f.read())["items"]
             if not isinstance(items, list):
                 raise TypeError("items is no list")
@@ -72,7 +82,7 @@ class Pages(DataSourceReader):
             rows = [(None, None, f"{type(e).__name__}: {e}")]
         if rows:
             pos, records, errors = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([partition.service] * len(rows)), pa.array([partition.page] * len(rows), pa.int32()), pa.array(pos, pa.int32()), pa.array(records, pa.string()), pa.array(errors, pa.string())], ["service", "page", "pos", "record", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array([service] * len(rows)), pa.array([page] * len(rows), pa.int32()), pa.array(pos, pa.int32()), pa.array(records, pa.string()), pa.array(errors, pa.string())], ["service", "page", "pos", "record", "error"])
 
 
 class Literature(DataSource):
