@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
+from corpusgraph.operators import library as L
 from corpusgraph.operators import merging as M
 from corpusgraph.operators import walks
 from corpusgraph.plans import catalog
@@ -69,3 +70,41 @@ def test_absorbing_many_nodes(spark):
     (got,) = out.collect()
     assert (got.node_id, got.mentions, len(got.names), len(got.attributes)) == (0, n, n, n)
     assert [p.paper for p in got.provenance] == [str(i) for i in range(7)] and got.names[1].value == "alias 1"
+
+
+def test_pages_share_partitions(tmp_path):
+    n = 3 * readers.PARTITIONS
+    for page in range(n):
+        folder = tmp_path / "service=arxiv" / f"page={page}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text('{"items": [{"k": %d}]}' % page if page % 10 else '{"items": [')
+    reader = readers.Pages(str(tmp_path))
+    parts = reader.partitions()
+    assert len(parts) == readers.PARTITIONS
+    rows = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert sorted(r["page"] for r in rows) == list(range(n)) and sum(r["error"] is not None for r in rows) == n // 10
+
+
+def test_known_values_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(walks, "OFTEN", 3)
+    values = [None] * 20 + ["often"] * 5 + ["known"] * 5 + ["b", "c", "c"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, _value string")
+    ids = spark.createDataFrame([("known", True), ("c", True), ("z", True)], "_id string, _known boolean")
+    marked = walks._known(rows, ids)
+    got = {r["i"]: r["_known"] for r in marked.collect()}
+    assert got == {i: True if v in ("known", "c") else None for i, v in enumerate(values)}
+    # what a task gets of the shuffle is rows of rare values alone
+    assert "_often" in marked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_of_titles_are_compared_once(spark):
+    """Thousands of copies make members of a class; each different text is linked once."""
+    n = 5_000
+    copies = spark.range(n).select("id", F.lit("Large Ring, of steel").alias("title"))
+    others = spark.createDataFrame([(n, "a large ring of steel 5"), (n + 1, "copper wire, thin"), (n + 2, "THIN wire copper")], "id long, title string")
+    members, links = L.title_classes(copies.unionByName(others), "id", "title")
+    assert sorted(tuple(r) for r in links.collect()) == [(0, n), (n + 1, n + 2)]
+    assert {r["class"]: r["n"] for r in members.groupBy("class").agg(F.count("*").alias("n")).collect()} == {0: n, n: 1, n + 1: 1, n + 2: 1}
+    few = copies.filter("id < 3").unionByName(others)
+    pairs = sorted(tuple(r) for r in L.similar_titles(few, "id", "title").collect())
+    assert pairs == [(0, 1), (0, 2), (0, n), (1, 2), (1, n), (2, n), (n + 1, n + 2)]
