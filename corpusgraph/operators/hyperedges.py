@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..storage import stash, tasks
 
 # The defaults of what extraction leaves out, and how much of a sentence is kept.
 CONFIDENCE, ENTITY, RELATION, EVENT, HYPEREDGE, ROLE, TIER = 0.5, "Concept", "related_to", "Event", "claim", "participant", "unclassified"
@@ -61,25 +62,30 @@ def measurement_rows(c: Column) -> Column:
     return F.transform(F.coalesce(c, F.from_json(F.lit("[]"), _ROW)), lambda x: _row(x, F.coalesce(F.nullif(x["metric"], F.lit("")), x["name"], F.lit(""))))
 
 
+def _number(value: Column) -> Column:
+    """The number that a text is; one without a digit or the name of a number is not tried, since each failure raises inside the cast."""
+    return F.when(F.rlike(value, F.lit("(?i)[0-9]|inf|nan")), value.try_cast("double"))
+
+
 def _row(x: Column, key: Column) -> Column:
     value = F.coalesce(x["value"], x["value_text"])
-    return F.struct(key.alias("key"), x["operator"].alias("operator"), value.alias("value_text"), F.coalesce(x["value_num"], value.try_cast("double")).alias("value_num"), x["unit"].alias("unit"), x["qualifier"].alias("qualifier"))
+    return F.struct(key.alias("key"), x["operator"].alias("operator"), value.alias("value_text"), F.coalesce(x["value_num"], _number(value)).alias("value_num"), x["unit"].alias("unit"), x["qualifier"].alias("qualifier"))
 
 
 def conditions_of_map(c: Column) -> Column:
     """Conditions that come as a map from key to value."""
-    rows = F.transform(F.map_entries(F.coalesce(c, F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("operator"), e["value"].alias("value_text"), e["value"].try_cast("double").alias("value_num"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("qualifier")))
-    return F.array_sort(rows)
+    rows = F.transform(F.map_entries(F.coalesce(c, F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("operator"), e["value"].alias("value_text"), _number(e["value"]).alias("value_num"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("qualifier")))
+    return F.sort_array(rows)
 
 
 def identity(kind: Column, label: Column, paper: Column, members: Column, conditions: Column, measurements: Column, evidence: Column) -> Column:
     """The fingerprint of a hyperedge; the order of its parts is of no account, the place of a member neither."""
-    text = lambda xs: F.array_join(F.array_sort(F.transform(xs, lambda x: F.to_json(x))), ";")
+    text = lambda xs: F.array_join(F.sort_array(F.transform(xs, lambda x: F.to_json(x))), ";")
     own = F.transform(members, lambda m: F.struct(m["node_id"].alias("node_id"), F.coalesce(m["role"], F.lit("")).alias("role")))
     return F.sha1(F.concat_ws("|", kind, F.coalesce(label, F.lit("")), F.coalesce(paper.cast("string"), F.lit("")), text(own), text(conditions), text(measurements), text(evidence)))
 
 
-def upsert(payloads: DataFrame) -> dict[str, DataFrame]:
+def upsert(payloads: DataFrame, rows: int | None = None) -> dict[str, DataFrame]:
     """The tables hyperedges, members, conditions, measurements, evidence that payloads fold to.
 
     ``payloads`` has seq, hyperedge_type, label, paper_key, confidence,
@@ -87,17 +93,27 @@ def upsert(payloads: DataFrame) -> dict[str, DataFrame]:
     measurements and evidence (array of paper_key, section, span_text).
     Those of equal identity are one hyperedge: label, paper and tier of the
     first, the largest confidence.  Children are distinct, nulls being equal.
+
+    Each payload is read and marked once: those that agree in all parts are
+    written as one row, from which the tables are taken.  ``rows`` is about how
+    many payloads there are, where that is known; they are counted otherwise.
     """
     kind = F.coalesce(F.nullif(F.trim("hyperedge_type"), F.lit("")), F.lit(HYPEREDGE))
     tidy = payloads.withColumn("hyperedge_type", kind).withColumn("members", F.transform("members", lambda m, i: F.struct(m["node_id"].alias("node_id"), F.coalesce(F.nullif(m["role"], F.lit("")), F.lit(ROLE)).alias("role"), F.coalesce(F.nullif(m["position"], F.lit(0)), i).alias("position"))))
     marked = tidy.withColumn("fingerprint", identity(F.col("hyperedge_type"), F.col("label"), F.col("paper_key"), F.col("members"), F.col("conditions"), F.col("measurements"), F.col("evidence")))
     clamp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(CONFIDENCE))))
-    first = F.min_by(F.struct("hyperedge_type", "label", "paper_key", F.coalesce("evidence_tier", F.lit(TIER)).alias("evidence_tier")), "seq").alias("f")
-    table = marked.groupBy("fingerprint").agg(first, F.max(clamp).alias("confidence"), F.min("seq").alias("first_seq"), F.count("*").alias("n_payloads"))
-    child = lambda c: marked.select("fingerprint", F.explode(c).alias("x")).select("fingerprint", "x.*").distinct()
+    n = tasks(payloads.sparkSession, payloads.count() if rows is None else rows)
+    dealt = marked.withColumn("evidence_tier", F.coalesce("evidence_tier", F.lit(TIER))).repartition(n, "fingerprint")
+    alike = dealt.groupBy("fingerprint", "hyperedge_type", "label", "paper_key", "evidence_tier", "members", "conditions", "measurements", "evidence")
+    once = stash(alike.agg(F.max(clamp).alias("confidence"), F.min("seq").alias("first_seq"), F.count("*").alias("n_payloads")), "payloads")
+    part = lambda *c: once.select("fingerprint", *c).repartition(n, "fingerprint")
+    first = F.min_by(F.struct("hyperedge_type", "label", "paper_key", "evidence_tier"), "first_seq").alias("f")
+    table = part("hyperedge_type", "label", "paper_key", "evidence_tier", "confidence", "first_seq", "n_payloads").groupBy("fingerprint")
+    table = table.agg(first, F.max("confidence").alias("confidence"), F.min("first_seq").alias("first_seq"), F.sum("n_payloads").alias("n_payloads"))
+    child = lambda c: part(c).select("fingerprint", F.explode(c).alias("x")).select("fingerprint", "x.*").distinct()
     return {
         "hyperedges": table.select("fingerprint", "f.hyperedge_type", "f.label", "f.paper_key", "f.evidence_tier", "confidence", "first_seq", "n_payloads"),
-        "members": marked.select("fingerprint", F.explode("members").alias("m")).groupBy("fingerprint", "m.node_id", "m.role").agg(F.min("m.position").alias("position")),
+        "members": part("members").select("fingerprint", F.explode("members").alias("m")).groupBy("fingerprint", "m.node_id", "m.role").agg(F.min("m.position").alias("position")),
         "conditions": child("conditions"),
         "measurements": child("measurements"),
         "evidence": child("evidence"),
@@ -187,7 +203,7 @@ def hyperedge_payloads(payloads: DataFrame) -> DataFrame:
     p = F.col("payload")
     told = F.transform(p["hyperedges"], lambda h: whole(F.trim(F.coalesce(F.nullif(h["hyperedge_type"], F.lit("")), F.nullif(h["type"], F.lit("")), F.lit(HYPEREDGE))), F.trim(F.coalesce(F.nullif(h["label"], F.lit("")), h["hyperedge_type"], h["type"], F.lit(HYPEREDGE))), h["members"], h, condition_rows(h["conditions"])))
     linked = F.transform(p["relations"], lambda r: whole(F.lit("relation"), F.coalesce(F.nullif(r["predicate"], F.lit("")), F.nullif(r["type"], F.lit("")), F.lit("relation")), F.array(member(r["subject"], "subject"), member(r["object"], "object")), r, condition_rows(r["conditions"])))
-    at = lambda v: F.struct(F.lit("time").alias("key"), F.lit("described_as").alias("operator"), v["time"].alias("value_text"), v["time"].try_cast("double").alias("value_num"), none.cast("string").alias("unit"), none.cast("string").alias("qualifier"))
+    at = lambda v: F.struct(F.lit("time").alias("key"), F.lit("described_as").alias("operator"), v["time"].alias("value_text"), _number(v["time"]).alias("value_num"), none.cast("string").alias("unit"), none.cast("string").alias("qualifier"))
     timed = lambda v: F.when(v["time"].isNotNull() & ~F.exists(condition_rows(v["conditions"]), lambda c: c["key"] == "time"), F.concat(condition_rows(v["conditions"]), F.array(at(v)))).otherwise(condition_rows(v["conditions"]))
     happened = F.transform(p["events"], lambda v: whole(F.lit("event"), F.coalesce(F.nullif(v["trigger"], F.lit("")), F.lit("event")), F.transform(F.coalesce(v["participants"], F.array().cast("array<string>")), lambda n: member(n, ROLE)), v, timed(v)))
     older = F.concat(F.coalesce(linked, F.slice(happened, 1, 0)), F.coalesce(happened, F.slice(linked, 1, 0)))

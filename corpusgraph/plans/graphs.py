@@ -107,7 +107,7 @@ def _rows(spark, d):
 
 @query("g06_upsert_hyperedges", "select min(l_orderkey * 100 + l_linenumber) as first_seq, count(*) as n_payloads, max(1 - l_discount) as confidence, 'reaction' as hyperedge_type, 'unclassified' as evidence_tier, 2 as members, 2 as conditions, 1 as evidence, 0 as measurements from lineitem group by l_partkey, l_returnflag, l_linestatus")
 def g06(spark, d):
-    t = H.upsert(_rows(spark, d))
+    t = H.upsert(_rows(spark, d), B.table(spark, d, "lineitem").count())
     count = lambda name: t[name].groupBy("fingerprint").agg(F.count("*").alias(name))
     out = t["hyperedges"]
     for name in ("members", "conditions", "evidence", "measurements"):
@@ -117,7 +117,7 @@ def g06(spark, d):
 
 @query("g06_conditions", "select min(l_orderkey * 100 + l_linenumber) as first_seq, key, value_text, case when key = 'temperature' then cast(80 as double) end as value_num from (select *, unnest(['flag', 'temperature']) as key, unnest([l_returnflag, '80']) as value_text from lineitem) group by l_partkey, l_returnflag, l_linestatus, key, value_text")
 def g06_conditions(spark, d):
-    t = H.upsert(_rows(spark, d))
+    t = H.upsert(_rows(spark, d), B.table(spark, d, "lineitem").count())
     return t["conditions"].join(t["hyperedges"].select("fingerprint", "first_seq"), "fingerprint").select("first_seq", "key", "value_text", "value_num")
 
 
@@ -157,7 +157,7 @@ def g15(spark, d):
     e = B.edges(spark, d).select((F.col("source_node") * 100000000 + F.col("target_node")).alias("edge_id"), "relation_type", "source_node", "target_node", "confidence", F.lit("x").alias("evidence_tier"), (F.col("source_node") % 50).cast("string").alias("paper_key"))
     k = F.col("event_id")
     v = B.table(spark, d, "events").select(k.alias("id"), "event_type", F.when(k % 3 == 0, "heated").alias("trigger"), F.array("user_id").alias("entity_refs"), F.when(k % 2 == 0, "noon").otherwise("").alias("time_text"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("evidence_tier"), F.lit(None).cast("string").alias("paper_key"))
-    t = H.upsert(H.from_edges(e).unionByName(H.from_events(v)))
+    t = H.upsert(H.from_edges(e).unionByName(H.from_events(v)), B.table(spark, d, "lineitem").count() + B.table(spark, d, "events").count())
     count = lambda name: t[name].groupBy("fingerprint").agg(F.count("*").alias(name))
     out = t["hyperedges"].join(count("members"), "fingerprint").join(count("conditions"), "fingerprint", "left").fillna(0, ["conditions"])
     return out.select("hyperedge_type", "label", "paper_key", "confidence", "members", "conditions", F.col("n_payloads").alias("n"))

@@ -6,7 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgraph import storage
 from corpusgraph.functions import text as T
+from corpusgraph.operators import hyperedges as H
 from corpusgraph.operators import library as L
 from corpusgraph.operators import merging as M
 from corpusgraph.operators import walks
@@ -108,3 +110,37 @@ def test_copies_of_titles_are_compared_once(spark):
     few = copies.filter("id < 3").unionByName(others)
     pairs = sorted(tuple(r) for r in L.similar_titles(few, "id", "title").collect())
     assert pairs == [(0, 1), (0, 2), (0, n), (1, 2), (1, n), (2, n), (n + 1, n + 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(test_catalog.FOLDER), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["g06_conditions", "g06_upsert_hyperedges", "g15_backfill"])
+def test_many_tasks(spark, monkeypatch, name):
+    """The same results where tables are dealt over more tasks than a shuffle has."""
+    monkeypatch.setattr(storage, "ROWS", 1000)
+    test_catalog.agree(spark, name, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_tasks_grow_with_rows(spark):
+    assert storage.tasks(spark, 1) == 4 and storage.tasks(spark, 50 * storage.ROWS + 1) == 51
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payloads_are_marked_once(spark):
+    """Tables of hyperedges come from rows that were written with their fingerprints; odd numbers, nulls and order make no difference to them."""
+    row = lambda seq, members, value: (seq, "x", "l", "p", 0.5, None, members, [("k", None, value, None, None, None)], [], [])
+    a, b = (1, "r", None), (2, "s", None)
+    schema = "seq long, hyperedge_type string, label string, paper_key string, confidence double, evidence_tier string, members array<struct<node_id:long,role:string,position:int>>, conditions array<struct<key:string,operator:string,value_text:string,value_num:double,unit:string,qualifier:string>>, measurements array<struct<key:string>>, evidence array<struct<paper_key:string,section:string,span_text:string>>"
+    tables = H.upsert(spark.createDataFrame([row(3, [a, b], "v"), row(2, [b, a], "v"), row(1, [a, b], "w")], schema))
+    assert not any("sha1" in plan(df) for df in tables.values())
+    assert sorted((r.first_seq, r.n_payloads) for r in tables["hyperedges"].collect()) == [(1, 1), (2, 2)]
+    assert sorted((r.node_id, r.position) for r in tables["members"].collect()) == [(1, 0), (1, 0), (2, 0), (2, 1)]
+    assert sorted(r.value_text for r in tables["conditions"].collect()) == ["v", "w"] and tables["evidence"].count() == 0
+
+
+def test_numbers_of_texts(spark):
+    got = values(spark, H._number, "80", " -1e3 ", "R", "NaN", "-Infinity", "inf", "1x", ".5", "", None)
+    want = values(spark, lambda c: c.try_cast("double"), "80", " -1e3 ", "R", "NaN", "-Infinity", "inf", "1x", ".5", "", None)
+    assert [str(x) for x in got] == [str(x) for x in want]
\ No newline at end of file
