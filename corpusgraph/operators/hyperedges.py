@@ -148,10 +148,30 @@ def with_both(members: DataFrame, mapping: DataFrame) -> DataFrame:
     return drop.join(members.select("hyperedge_id", F.col("node_id").alias("keep")).distinct(), ["hyperedge_id", "keep"], "left_semi").select("hyperedge_id", "drop", "keep")
 
 
-def repoint_members(members: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Members of dropped nodes become those of kept ones; what then is there twice folds to the earliest place."""
+def swaps(mapping: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """_d, _k, _gone: the node kept for each dropped one of ``mapping`` (drop, keep); nodes of ``gone`` (node_id), and what was merged into them, go."""
     to = mapping.select(F.col("drop").alias("_d"), F.col("keep").alias("_k"))
-    moved = members.join(to, F.col("node_id") == F.col("_d"), "left").withColumn("node_id", F.coalesce("_k", "node_id"))
+    if gone is None:
+        return to.withColumn("_gone", F.lit(False))
+    left = gone.select(F.col("node_id").alias("_k"), F.lit(True).alias("_gone"))
+    lost = left.select(F.col("_k").alias("_d"), F.lit(None).cast("long").alias("_k"), "_gone")
+    return to.join(left.hint("merge"), "_k", "left").select("_d", "_k", F.coalesce("_gone", F.lit(False)).alias("_gone")).unionByName(lost)
+
+
+def swapped(df: DataFrame, column: str, to: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows with the nodes of ``column`` replaced as ``swaps`` says, over ``n`` tasks; those of nodes that go are left out."""
+    df = df if n is None else df.repartition(n, column)
+    moved = df.join(to.hint("merge"), F.col(column) == F.col("_d"), "left").filter(~F.coalesce("_gone", F.lit(False)))
+    return moved.withColumn(column, F.coalesce("_k", column)).drop("_d", "_k", "_gone")
+
+
+def repoint_members(members: DataFrame, mapping: DataFrame, n: int | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """Members of dropped nodes become those of kept ones; what then is there twice folds to the earliest place.
+
+    ``n`` deals them over as many tasks; members of nodes of ``gone`` go.
+    """
+    moved = swapped(members, "node_id", swaps(mapping, gone), n)
+    moved = moved if n is None else moved.repartition(n, "hyperedge_id")
     return moved.groupBy("hyperedge_id", "node_id", "role").agg(F.min("position").alias("position"))
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stash
+from ..storage import stash, tasks
 from .graph import link_components
-from .hyperedges import repoint_members
+from .hyperedges import repoint_members, swapped, swaps
 
 # General words that a name without its code may be left with, and the least characters of a name that replaces another.
 GENERIC = ("compound", "compd", "product", "intermediate", "entry", "item", "stage", "step", "substrate", "analyte", "derivative", "analog")
@@ -212,15 +212,18 @@ def _moved(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     return df.join(to.hint("merge"), F.col(column) == F.col("_d"), "left").withColumn(column, F.coalesce("_r", column)).drop("_d", "_r")
 
 
-def redirect_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def redirect_edges(edges: DataFrame, roots: DataFrame, n: int | None = None, gone: DataFrame | None = None) -> DataFrame:
     """Edges of dropped nodes at the nodes that stand for them: loops that arise go, edges that become equal fold.
 
     An edge that did not move stays before one that did, then the least id:
     its tier counts unless it is empty.  Attributes and provenance are united.
+    ``n`` deals the edges over as many tasks; those of nodes of ``gone`` go.
     """
     key = ["relation_type", "source_node", "target_node"]
+    to = swaps(roots.withColumnRenamed("root", "keep"), gone)
     was = edges.withColumns({"_s": F.col("source_node"), "_t": F.col("target_node")})
-    moved = _moved(_moved(was, "source_node", roots), "target_node", roots)
+    moved = swapped(swapped(was, "source_node", to, n), "target_node", to, n)
+    moved = moved if n is None else moved.repartition(n, *key)
     moved = moved.withColumn("_moved", (F.col("_s") != F.col("source_node")) | (F.col("_t") != F.col("target_node")))
     moved = moved.filter((F.col("source_node") != F.col("target_node")) | ~F.col("_moved")).drop("_s", "_t")
     order = F.struct("_moved", "edge_id")
@@ -265,20 +268,24 @@ def absorbed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select(*nodes.columns)
 
 
-def merge(graph: dict[str, DataFrame], mapping: DataFrame, level: str, operator: str, absorb: bool = True) -> dict[str, DataFrame]:
+def merge(graph: dict[str, DataFrame], mapping: DataFrame, level: str, operator: str, absorb: bool = True, gone: DataFrame | None = None, rows: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """The graph with nodes merged as ``mapping`` (drop, keep, reason) says, and its journal.
 
     ``graph`` has nodes, edges, members, measurements (with subject_node) and
     events (id, entity_refs).  Merges are followed to the node that stays; the
-    journal has a row for each as it was asked for, with that node.
+    journal has a row for each as it was asked for, with that node.  Edges and
+    members of nodes of ``gone`` (node_id), or merged into those, go.  ``rows``
+    is about how many edges and members there are, where that is known: they
+    are dealt over tasks by it, so that a task holds no more of a larger graph.
     """
+    n = {c: tasks(mapping.sparkSession, k) for c, k in (rows or {}).items()}
     roots = stash(resolve(mapping), "roots")
     journal = mapping.join(roots.hint("merge"), "drop", "left").select(F.array("drop").alias("from_ids"), F.col("keep").alias("to_id"), F.coalesce("root", "drop").alias("final_id"), F.lit(level).alias("rule_level"), "reason", F.lit(operator).alias("operator"))
     nodes = absorbed(graph["nodes"], roots) if absorb else graph["nodes"].join(roots.select(F.col("drop").alias("node_id")).hint("merge"), "node_id", "left_anti")
     return graph | {
         "nodes": nodes.select(*graph["nodes"].columns),
-        "edges": redirect_edges(graph["edges"], roots),
-        "members": repoint_members(graph["members"], roots.withColumnRenamed("root", "keep").hint("merge")),
+        "edges": redirect_edges(graph["edges"], roots, n.get("edges"), gone),
+        "members": repoint_members(graph["members"], roots.withColumnRenamed("root", "keep"), n.get("members"), gone),
         "measurements": _moved(graph["measurements"], "subject_node", roots),
         "events": redirect_refs(graph["events"], roots),
         "journal": journal,
@@ -327,24 +334,22 @@ def clean_aliases(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("names", F.array_sort(F.concat(own, once)))
 
 
-def cleanup(graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def cleanup(graph: dict[str, DataFrame], rows: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """The graph without local labels: renamed, merged or dropped nodes, clean aliases, no hyperedges without members; journal and counts.
 
     ``graph`` is as for ``merge``, with hyperedges, and conditions and evidence
     if it has them.  What a dropped node had, or what was merged into it, goes
     with it; measurements lose it as their subject, events as an entity.
+    ``rows`` is as for ``merge``.
     """
     verdicts = stash(label_verdicts(graph["nodes"]), "verdicts")
     merges = verdicts.filter("action = 'merge'").select(F.col("node_id").alias("drop"), "keep", F.concat("name", F.lit(" -> "), "target").alias("reason"))
-    out = merge(graph, merges, "local_label", "cleanup", absorb=False)
     gone = verdicts.filter("action = 'drop'").select("node_id")
+    out = merge(graph, merges, "local_label", "cleanup", absorb=False, gone=gone, rows=rows)
     names = verdicts.filter("action = 'rename'").select("node_id", F.col("target").alias("_new"))
     nodes = out["nodes"].join(gone, "node_id", "left_anti").join(names, "node_id", "left")
     nodes = nodes.withColumn("name", F.coalesce("_new", "name")).withColumn("normalized_name", F.when(F.col("_new").isNotNull(), T.name_key(F.col("_new"))).otherwise(F.col("normalized_name"))).drop("_new")
-    ends = out["edges"]
-    for end in ("source_node", "target_node"):
-        ends = ends.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
-    members = stash(out["members"].join(gone, "node_id", "left_anti").select(*out["members"].columns), "members")
+    members = stash(out["members"], "members")
     held = members.select("hyperedge_id").distinct()
     children = {c: out[c].join(held, "hyperedge_id", "left_semi") for c in ("hyperedges", "conditions", "evidence") if c in out}
     left = gone.select(F.col("node_id").alias("_g"))
@@ -353,7 +358,6 @@ def cleanup(graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
     orphans = graph["hyperedges"].join(held, "hyperedge_id", "left_anti").agg(F.count("*").alias("dropped_hyperedges"))
     return out | children | {
         "nodes": clean_aliases(nodes).select(*graph["nodes"].columns),
-        "edges": ends.select(*graph["edges"].columns),
         "members": members,
         "measurements": measurements.select(*graph["measurements"].columns),
         "events": redirect_refs(out["events"], merges.limit(0).select("drop", F.col("keep").alias("root")), gone),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import payloads as N
 from ..functions import text as T
 from ..operators import hyperedges as H
+from ..storage import tasks
 from . import bindings as B
 from .registry import query
 
@@ -148,7 +149,7 @@ def _mapping(spark, d):
 
 @query("g10_repoint_members", f"with {B.MEMBERS}, {_FOLD} select hyperedge_id, coalesce(keep, node_id) as node_id, role, min(node_id) as position from members left join mapping on node_id = \"drop\" group by 1, 2, 3")
 def g10_members(spark, d):
-    return H.repoint_members(B.members(spark, d).withColumn("position", F.col("node_id")), _mapping(spark, d))
+    return H.repoint_members(B.members(spark, d).withColumn("position", F.col("node_id")), _mapping(spark, d), tasks(spark, B.sizes(spark, d)["members"]))
 
 
 @query("g15_backfill", f"""with {B.NODES}, {B.EDGES}, e as (select 'relation' as hyperedge_type, relation_type as label, cast(source_node % 50 as varchar) as paper_key, max(case when confidence = 0 then 0.5 else confidence end) as confidence, 2 as members, 0 as conditions, count(*) as n from edges group by 2, 3, source_node, target_node),

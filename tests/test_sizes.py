@@ -113,7 +113,7 @@ def test_copies_of_titles_are_compared_once(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(test_catalog.FOLDER), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["g06_conditions", "g06_upsert_hyperedges", "g15_backfill"])
+@pytest.mark.parametrize("name", ["g06_conditions", "g06_upsert_hyperedges", "g15_backfill", "g10_repoint", "g10_repoint_members", "g13_cleanup", "g13_counts", "g13_edges", "g13_members"])
 def test_many_tasks(spark, monkeypatch, name):
     """The same results where tables are dealt over more tasks than a shuffle has."""
     monkeypatch.setattr(storage, "ROWS", 1000)
@@ -143,4 +143,12 @@ def test_payloads_are_marked_once(spark):
 def test_numbers_of_texts(spark):
     got = values(spark, H._number, "80", " -1e3 ", "R", "NaN", "-Infinity", "inf", "1x", ".5", "", None)
     want = values(spark, lambda c: c.try_cast("double"), "80", " -1e3 ", "R", "NaN", "-Infinity", "inf", "1x", ".5", "", None)
-    assert [str(x) for x in got] == [str(x) for x in want]
\ No newline at end of file
+    assert [str(x) for x in got] == [str(x) for x in want]
+
+
+def test_members_are_dealt(spark):
+    members = spark.createDataFrame([(1, 5, "r", 3), (1, 6, "r", 2), (2, 7, "r", 1), (2, 8, "r", 0), (3, 9, "r", 0)], "hyperedge_id long, node_id long, role string, position int")
+    mapping = spark.createDataFrame([(5, 6), (7, 8)], "drop long, keep long")
+    out = H.repoint_members(members, mapping, 7, spark.createDataFrame([(8,)], "node_id long"))
+    assert out.rdd.getNumPartitions() == 7
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 6, "r", 2), (3, 9, "r", 0)]
\ No newline at end of file
