@@ -158,12 +158,13 @@ def merge_attributes(pairs: DataFrame, key: str) -> DataFrame:
     return once.groupBy(key, "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("value"))
 
 
-def upsert_edges(edges: DataFrame, arriving: DataFrame) -> DataFrame:
+def upsert_edges(edges: DataFrame, arriving: DataFrame, rows: int | None = None) -> DataFrame:
     """Edges with arriving ones (seq, relation_type, source_node, target_node, attributes, confidence, evidence_tier, provenance) folded in.
 
     The largest confidence, clamped; the attributes of the first; the last tier
     that is not empty; provenance distinct in order of first appearance.  An
-    edge's id is the seq of the first.
+    edge's id is the seq of the first.  ``rows`` is about how many edges and
+    arriving ones there are, where that is known; they are counted otherwise.
     """
     key = ["relation_type", "source_node", "target_node"]
     tier = F.nullif("evidence_tier", F.lit(""))
@@ -172,14 +173,14 @@ def upsert_edges(edges: DataFrame, arriving: DataFrame) -> DataFrame:
         F.col("seq").alias("edge_id"), *key, F.filter(typed, lambda x: _filled(x["value"])).alias("attributes"), clamp(F.col("confidence")).alias("confidence"), tier.alias("evidence_tier"), F.when(tier.isNotNull(), F.col("seq")).alias("tier_seq"),
         _placed(F.col("provenance"), {"paper": lambda x: x["paper"], "evidence": lambda x: x["evidence"]}).alias("provenance"),
     )
-    rows = edges.unionByName(fresh)
+    n = tasks(edges.sparkSession, edges.count() + arriving.count() if rows is None else rows)
+    each = edges.unionByName(fresh).repartition(n, *key).withColumn("_x", F.explode_outer("provenance"))
     # provenance is made distinct before it is gathered, so that a popular edge's list is no longer than its result
-    said = rows.select(*key, F.explode("provenance").alias("x")).groupBy(*key, "x.paper", "x.evidence").agg(F.min(F.struct("x.seq", "x.pos")).alias("_at"))
-    lists = said.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at.seq", "_at.pos", "paper", "evidence"))).alias("provenance"))
-    base = rows.groupBy(*key).agg(F.min("edge_id").alias("edge_id"), F.min_by("attributes", "edge_id").alias("attributes"), F.max("confidence").alias("confidence"), F.max(F.when(F.col("tier_seq").isNotNull(), F.struct("tier_seq", "evidence_tier"))).alias("_t"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-    out = base.alias("b").join(lists.alias("l"), same, "left")
-    return out.select("edge_id", *[f"b.{k}" for k in key], F.coalesce("attributes", F.array()).alias("attributes"), "confidence", "_t.evidence_tier", "_t.tier_seq", F.coalesce("provenance", F.array()).alias("provenance"))
+    tiered = F.when(F.col("tier_seq").isNotNull(), F.struct("tier_seq", "evidence_tier"))
+    said = each.groupBy(*key, F.col("_x").isNotNull().alias("_said"), "_x.paper", "_x.evidence").agg(F.min(F.struct("_x.seq", "_x.pos")).alias("_at"), F.min("edge_id").alias("edge_id"), F.min_by("attributes", "edge_id").alias("attributes"), F.max("confidence").alias("confidence"), F.max(tiered).alias("_t"))
+    item = F.when(F.col("_said"), F.struct("_at.seq", "_at.pos", "paper", "evidence"))
+    out = said.groupBy(*key).agg(F.min("edge_id").alias("edge_id"), F.min_by("attributes", "edge_id").alias("attributes"), F.max("confidence").alias("confidence"), F.max("_t").alias("_t"), F.sort_array(F.collect_list(item)).alias("provenance"))
+    return out.select("edge_id", *key, F.coalesce("attributes", F.array()).alias("attributes"), "confidence", "_t.evidence_tier", "_t.tier_seq", "provenance")
 
 
 def resolve(mapping: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def test_copies_of_titles_are_compared_once(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(test_catalog.FOLDER), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["g06_conditions", "g06_upsert_hyperedges", "g15_backfill", "g10_repoint", "g10_repoint_members", "g13_cleanup", "g13_counts", "g13_edges", "g13_members"])
+@pytest.mark.parametrize("name", ["g03_edge_merge", "g06_conditions", "g06_upsert_hyperedges", "g10_repoint", "g10_repoint_members", "g13_cleanup", "g13_counts", "g13_edges", "g13_members", "g15_backfill"])
 def test_many_tasks(spark, monkeypatch, name):
     """The same results where tables are dealt over more tasks than a shuffle has."""
     monkeypatch.setattr(storage, "ROWS", 1000)
@@ -151,4 +151,14 @@ def test_members_are_dealt(spark):
     mapping = spark.createDataFrame([(5, 6), (7, 8)], "drop long, keep long")
     out = H.repoint_members(members, mapping, 7, spark.createDataFrame([(8,)], "node_id long"))
     assert out.rdd.getNumPartitions() == 7
-    assert sorted(tuple(r) for r in out.collect()) == [(1, 6, "r", 2), (3, 9, "r", 0)]
\ No newline at end of file
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 6, "r", 2), (3, 9, "r", 0)]
+
+
+def test_edges_are_folded_in_one_pass(spark):
+    schema = "seq long, relation_type string, source_node long, target_node long, attributes map<string,string>, confidence double, evidence_tier string, provenance array<struct<paper:string,evidence:string>>"
+    rows = [(1, "r", 1, 2, {"a": "x"}, 0.2, "t", []), (2, "r", 1, 2, {"a": "y"}, 0.4, "", [("p", "e"), ("q", None)]), (3, "r", 1, 2, None, 0.3, None, [("p", "e"), (None, None)]), (4, None, 1, 2, None, None, None, None)]
+    out = M.upsert_edges(spark.createDataFrame([], M.EDGE), spark.createDataFrame(rows, schema))
+    assert "Join" not in plan(out)
+    one, other = sorted(out.collect(), key=lambda r: r.edge_id)
+    assert (one.edge_id, one.confidence, one.evidence_tier, one.attributes[0].value, [(p.seq, p.paper, p.evidence) for p in one.provenance]) == (1, 0.4, "t", "x", [(2, "p", "e"), (2, "q", None), (3, None, None)])
+    assert (other.edge_id, other.relation_type, other.confidence, other.attributes, other.provenance) == (4, None, 0.0, [], [])
\ No newline at end of file
