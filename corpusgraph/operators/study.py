@@ -83,26 +83,30 @@ def chains(steps: DataFrame, levels: dict[str, str], labels: dict[str, str], ali
     empty ends break nothing.
     """
     named = steps.withColumn("_op", canonical_operator(F.col("operator"), labels, aliases))
-    by = Window.partitionBy("chain_id").orderBy("position")
-    known = named.filter("_op != ''").withColumn("_b", F.lag("_op").over(by)).filter(F.col("_b").isNull() | (F.col("_b") != F.col("_op")))
+    by = Window.partitionBy("chain_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, kept: F.last(F.when(kept, F.struct(c)), ignorenulls=True).over(by)[c]
+    known = F.col("_op") != ""
+    counted = named.withColumn("_b", before("_op", known)).withColumn("_kept", known & (F.col("_b").isNull() | (F.col("_b") != F.col("_op"))))
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z一-鿿]{2,})"), F.lit(1))
-    ends = known.withColumn("_out", words(F.lag("output").over(by))).withColumn("_in", words(F.col("input")))
-    same = F.lower(F.trim(F.lag("output").over(by))) == F.lower(F.trim("input"))
-    broken = (F.size("_out") > 0) & (F.size("_in") > 0) & ~F.arrays_overlap("_out", "_in") & ~F.coalesce(same, F.lit(False))
+    ends = counted.withColumn("_o", before("output", F.col("_kept"))).withColumns({"_out": words(F.col("_o")), "_in": words(F.col("input"))})
+    same = F.lower(F.trim("_o")) == F.lower(F.trim("input"))
+    broken = F.col("_kept") & (F.size("_out") > 0) & (F.size("_in") > 0) & ~F.arrays_overlap("_out", "_in") & ~F.coalesce(same, F.lit(False))
     rank = F.element_at(F.create_map(*[F.lit(x) for n, v in levels.items() for x in (n, LEVELS.index(v))]), F.col("_op"))
-    one = ends.withColumn("_broken", broken).withColumn("_rank", rank).groupBy("chain_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "_op"))), lambda x: x["_op"]).alias("operators"),
+    # what a chain keeps and what it does not know are counted in one pass, sorted by chain once
+    ranked = ends.withColumns({"_broken": broken, "_rank": F.when(F.col("_kept"), rank), "_op": F.when(F.col("_kept"), F.col("_op")), "_unknown": ~known & (F.trim(F.coalesce("operator", F.lit(""))) != "")})
+    out = ranked.groupBy("chain_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("_kept"), F.struct("position", "_op")))), lambda x: x["_op"]).alias("operators"),
+        F.count_if("_unknown").alias("unknown"),
         F.count_if("_broken").alias("breaks"),
         F.count_if(F.col("_rank") >= LEVELS.index(MECHANISTIC[0])).alias("mechanistic"),
         F.max("_rank").alias("_max"),
         F.bool_or(F.col("_op").isin(*COMBINING)).alias("_combines"),
         F.bool_and(F.col("_op").isin(*LOW_LEVEL, "unclassified_transform")).alias("low_level_only"),
     )
-    unknown = named.groupBy("chain_id").agg(F.count_if((F.col("_op") == "") & (F.trim(F.coalesce("operator", F.lit(""))) != "")).alias("unknown"))
     level = F.when(F.col("mechanistic") >= 2, "L4").when(F.col("mechanistic") == 1, "L3").when(F.col("_combines"), "L2").when(F.col("_max").isNotNull(), "L1").otherwise("L0")
     most = F.coalesce(F.get(F.array(*[F.lit(x) for x in LEVELS]), F.col("_max")), F.lit("L0"))
-    out = unknown.join(one, "chain_id", "left").withColumn("level", level).withColumn("max_level", most)
-    return out.fillna(0, ["breaks", "mechanistic"]).select("chain_id", F.coalesce("operators", F.array().cast("array<string>")).alias("operators"), "unknown", "breaks", "mechanistic", "max_level", "level", F.coalesce("low_level_only", F.lit(False)).alias("low_level_only"))
+    out = out.withColumn("level", level).withColumn("max_level", most)
+    return out.select("chain_id", "operators", "unknown", "breaks", "mechanistic", "max_level", "level", F.coalesce("low_level_only", F.lit(False)).alias("low_level_only"))
 
 
 def meets_floor(level: Column, floor: Column) -> Column:

@@ -11,7 +11,7 @@ from corpusgraph.functions import text as T
 from corpusgraph.operators import hyperedges as H
 from corpusgraph.operators import library as L
 from corpusgraph.operators import merging as M
-from corpusgraph.operators import walks
+from corpusgraph.operators import study, walks
 from corpusgraph.plans import catalog
 from corpusgraph.sources import readers
 
@@ -161,4 +161,13 @@ def test_edges_are_folded_in_one_pass(spark):
     assert "Join" not in plan(out)
     one, other = sorted(out.collect(), key=lambda r: r.edge_id)
     assert (one.edge_id, one.confidence, one.evidence_tier, one.attributes[0].value, [(p.seq, p.paper, p.evidence) for p in one.provenance]) == (1, 0.4, "t", "x", [(2, "p", "e"), (2, "q", None), (3, None, None)])
-    assert (other.edge_id, other.relation_type, other.confidence, other.attributes, other.provenance) == (4, None, 0.0, [], [])
\ No newline at end of file
+    assert (other.edge_id, other.relation_type, other.confidence, other.attributes, other.provenance) == (4, None, 0.0, [], [])
+
+
+def test_chains_are_read_once(spark):
+    steps = [(1, 1, "combine", "x", None), (1, 2, "combine", "x", "aa bb"), (1, 3, "what", "cc", "cc"), (1, 4, "swap", "cc", "aa"), (1, 5, "combine", "aa", ""), (2, 1, " ", None, None), (2, 2, "what", None, None)]
+    got = study.chains(spark.createDataFrame(steps, "chain_id int, position int, operator string, input string, output string"), {"combine": "L2", "substitute": "L1"}, {"combine": "c", "substitute": "s"}, {"swap": "substitute"})
+    assert "Join" not in plan(got)
+    rows = {r.chain_id: r for r in got.collect()}
+    assert (rows[1].operators, rows[1].unknown, rows[1].breaks, rows[1].level, rows[1].low_level_only) == (["combine", "substitute", "combine"], 1, 0, "L2", rows[1].low_level_only)
+    assert (rows[2].operators, rows[2].unknown, rows[2].breaks, rows[2].mechanistic, rows[2].max_level, rows[2].level, rows[2].low_level_only) == ([], 1, 0, 0, "L0", "L0", False)
