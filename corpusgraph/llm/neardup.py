@@ -11,6 +11,9 @@ band all nodes are compared with one leader, the node that shares most buckets
 with others; what these links leave apart inside a bucket is then compared
 across, so a large group of copies costs one comparison for each member and no
 link between two components is lost.
+
+All joins are shuffles: tables grow with the documents, and what is exploded
+from a small file is many times the size that a plan expects of it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import link_components as components
@@ -38,6 +41,8 @@ ROWS, BANDS = 5, 25
 ERRORS = 5
 #: Nodes of a bucket that are compared in a plain join; larger buckets are compared in blocks of so many nodes.
 HOT, BLOCK = 40, 256
+#: Nodes of large buckets that are compared in blocks without a look at their rarest shingles.
+FEW = 1 << 13
 
 
 def _levels(threshold: int) -> list[tuple[int, int]]:
@@ -204,15 +209,39 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
         return pa.array([linked(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), threshold) for x, y in zip(a, b, strict=True)], pa.bool_())
 
     slim = nodes.select("digest", "registers")
-    near = pairs.join(slim.toDF("a", "_ra"), "a").join(slim.toDF("b", "_rb"), "b").filter(near_enough("_ra", "_rb")).select("a", "b")
+    near = pairs.join(slim.toDF("a", "_ra").hint("merge"), "a").join(slim.toDF("b", "_rb").hint("merge"), "b").filter(near_enough("_ra", "_rb")).select("a", "b")
     near = stash(near, "candidates")
-    sets = stash(full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes, "digest").select("_key", "_hash"), key, text), "sets")
-    tested = near.join(sets.toDF("b", "_sb"), "b").join(sets.toDF("a", "_sa"), "a").filter(confirmed("_sa", "_sb"))
+    sets = stash(full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.hint("merge"), "digest").select("_key", "_hash"), key, text), "sets")
+    tested = near.join(sets.toDF("b", "_sb").hint("merge"), "b").join(sets.toDF("a", "_sa").hint("merge"), "a").filter(confirmed("_sa", "_sb"))
     links = stash(tested.select("a", "b"), "links")
     discard(near, sets)
     return links
 
 
+def rarest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """digest, key, n: of each set of ``members``, those of its rarest shingles that another one has too, and its size.
+
+    As many are looked at as it takes for two sets that reach the threshold to
+    share one, whatever the order, as long as it is the same for both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                own = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+                sizes = np.array([len(x) for x in own], dtype=np.int64)
+                rows = np.repeat(np.arange(len(own)), sizes)
+                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(rows)), pa.array(np.concatenate(own)), pa.array(sizes[rows])], ["digest", "key", "n"])
+
+    each = stash(sets.join(members.select("digest").distinct().hint("merge"), "digest", "left_semi").mapInArrow(run, "digest binary, key long, n long"), "shingles")
+    counted = each.join(each.groupBy("key").agg(F.count("*").alias("_f")).hint("merge"), "key")
+    ranked = counted.withColumn("_r", F.row_number().over(Window.partitionBy("digest").orderBy("_f", "key")))
+    out = stash(ranked.filter((F.col("_r") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1) & (F.col("_f") > 1)).select("digest", "key", "n"), "rarest")
+    discard(each)
+    return out
+
+
 def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
     """The links (a, b) that join different labels within the clusters of ``members`` (cluster, digest, label).
 
@@ -222,10 +251,10 @@ def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, ke
     """
     counted = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    dealt = members.join(counted, "cluster").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(counted.hint("merge"), "cluster").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("cluster", "digest", "label", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-    sets = stash(full_sets(docs, members.select("digest").distinct().join(nodes, "digest").select("_key", "_hash"), key, text), "sets")
-    full = sets.join(nodes.select("digest", "registers"), "digest")
+    sets = stash(full_sets(docs, members.select("digest").distinct().join(nodes.hint("merge"), "digest").select("_key", "_hash"), key, text), "sets")
+    full = sets.join(nodes.select("digest", "registers").hint("merge"), "digest")
 
     def compare(table: pa.Table) -> pa.Table:
         names, labels, own = (table.column(c).to_pylist() for c in ("digest", "label", "_own"))
@@ -254,11 +283,48 @@ def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, ke
                         found.append((min(names[r], names[q]), max(names[r], names[q])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    links = stash(pairs.join(full, "digest").groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary"), "links")
+    # a row for each member and block, which no plan foresees
+    links = stash(pairs.join(full.hint("merge"), "digest").groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary"), "links")
     discard(sets)
     return links
 
 
+def compared_in_clusters(hot: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
+    """The links (a, b) that join different labels among the nodes of ``hot`` (key, digest, label): buckets that share nodes are compared as one."""
+    heads = hot.groupBy("key").agg(F.min("digest").alias("b"))
+    clusters = components(hot.join(heads.hint("merge"), "key").select(F.col("digest").alias("a"), "b"))
+    members = hot.select("digest", F.col("label").alias("_own")).distinct().join(clusters.hint("merge"), F.col("digest") == F.col("node"))
+    members = stash(members.select(F.col("label").alias("cluster"), "digest", F.col("_own").alias("label")), "members")
+    links = compared_in_blocks(members, nodes, docs, key, text, threshold)
+    discard(members)
+    return links
+
+
+def compared_by_rarest(hot: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
+    """The links (a, b) that join different labels among the nodes of ``hot`` (key, digest, label).
+
+    Nodes of a large bucket mostly share text that is common and nothing else.
+    Linked ones also share one of their rarest shingles, and few have that; those
+    of what is still a large bucket are compared in blocks.
+    """
+    own = stash(hot.select("digest", "label").distinct(), "members")
+    sets = stash(full_sets(docs, own.join(nodes.hint("merge"), "digest").select("_key", "_hash"), key, text), "sets")
+    keyed = rarest(own, sets, threshold)
+    named = keyed.join(own.hint("merge"), "digest")
+    mixed = named.groupBy("key").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
+    rare = stash(named.join(mixed.hint("merge"), "key"), "buckets")
+    few = rare.filter(F.col("size") <= HOT)
+    across = few.join(few.select("key", F.col("digest").alias("_d"), F.col("n").alias("_n"), F.col("label").alias("_l")).hint("merge"), "key")
+    across = across.filter((F.col("digest") < F.col("_d")) & (F.col("label") != F.col("_l")) & _close(F.col("n"), F.col("_n"), threshold))
+    pairs = stash(across.select(F.col("digest").alias("a"), F.col("_d").alias("b")).distinct(), "pairs")
+    links = verified(pairs, nodes, docs, key, text, threshold)
+    many = stash(rare.filter(F.col("size") > HOT).select("key", "digest", "label"), "hot")
+    if many.take(1):
+        links = links.unionByName(compared_in_clusters(many, nodes, docs, key, text, threshold))
+    discard(own, sets, keyed, rare, pairs, many)
+    return links
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """A row for each row of ``docs``: key, _hash (of the text), n_shingles, component_id, kept.
 
@@ -274,35 +340,34 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     nodes = stash(grouped.select("digest", "n", "f._key", "f._hash", "registers", "keys"), "nodes")
     keyed = nodes.select("digest", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stash(keyed.join(shared, "key"), "buckets")
+    buckets = stash(keyed.join(shared.hint("merge"), "key"), "buckets")
     fame = buckets.groupBy("digest").agg(F.sum("size").alias("fame"))
-    leader = buckets.join(fame, "digest").groupBy("key").agg(F.max(F.struct("fame", "digest", "n")).alias("l")).select("key", F.col("l.digest").alias("_lead"), F.col("l.n").alias("_n"))
-    stars = buckets.join(leader, "key").filter(F.col("digest") != F.col("_lead")).filter(_close(F.col("n"), F.col("_n"), threshold))
+    leader = buckets.join(fame.hint("merge"), "digest").groupBy("key").agg(F.max(F.struct("fame", "digest", "n")).alias("l")).select("key", F.col("l.digest").alias("_lead"), F.col("l.n").alias("_n"))
+    stars = buckets.join(leader.hint("merge"), "key").filter(F.col("digest") != F.col("_lead")).filter(_close(F.col("n"), F.col("_n"), threshold))
     stars = stash(stars.select(F.least("digest", "_lead").alias("a"), F.greatest("digest", "_lead").alias("b")).distinct(), "pairs")
     links = verified(stars, nodes, docs, key, text, threshold)
     found = first_found = stash(components(links), "components")
 
-    marked = buckets.join(found, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "size", F.coalesce("label", "digest").alias("label"))
+    marked = buckets.join(found.hint("merge"), F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "size", F.coalesce("label", "digest").alias("label"))
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("most"))
-    mixed = marked.join(parts.filter("parts > 1").select("key", F.col("most.label").alias("_most")), "key")
+    mixed = marked.join(parts.filter("parts > 1").select("key", F.col("most.label").alias("_most")).hint("merge"), "key")
     minor = mixed.filter("label != _most").select("key", F.col("digest").alias("_d"), F.col("n").alias("_n"), F.col("label").alias("_l"))
-    across = minor.join(mixed.filter(F.col("size") <= HOT), "key").filter((F.col("label") != F.col("_l")) & _close(F.col("n"), F.col("_n"), threshold))
-    rest = across.select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    across = minor.join(mixed.filter(F.col("size") <= HOT).hint("merge"), "key").filter((F.col("label") != F.col("_l")) & _close(F.col("n"), F.col("_n"), threshold))
+    rest = across.select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b")).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
     more = verified(stash(rest, "pairs"), nodes, docs, key, text, threshold)
     hot = stash(mixed.filter(F.col("size") > HOT).select("key", "digest", "label"), "hot")
     if hot.take(1):
-        heads = hot.groupBy("key").agg(F.min("digest").alias("b"))
-        clusters = components(hot.join(heads, "key").select(F.col("digest").alias("a"), "b"))
-        members = hot.select("digest", F.col("label").alias("_own")).distinct().join(clusters, F.col("digest") == F.col("node")).select(F.col("label").alias("cluster"), "digest", F.col("_own").alias("label"))
-        more = more.unionByName(compared_in_blocks(stash(members, "members"), nodes, docs, key, text, threshold))
+        # up to FEW nodes all pairs are soon compared; beyond, they would grow with the square of the documents
+        compare = compared_by_rarest if hot.select("digest").distinct().count() > FEW else compared_in_clusters
+        more = more.unionByName(compare(hot, nodes, docs, key, text, threshold))
     if more.take(1):
         found = stash(components(links.unionByName(more)), "components")
 
     label = F.coalesce("label", "digest")
-    named = nodes.join(found, F.col("digest") == F.col("node"), "left").select("digest", "_key", label.alias("label"))
+    named = nodes.join(found.hint("merge"), F.col("digest") == F.col("node"), "left").select("digest", "_key", label.alias("label"))
     least = named.groupBy("label").agg(F.min("_key").alias("component_id"))
-    by = named.join(least, "label").select("digest", "component_id")
-    linked = rows.join(by.withColumnRenamed("digest", "_node"), (F.col("digest") == F.col("_node")) & (F.col("n") > 0), "left")
+    by = named.join(least.hint("merge"), "label").select("digest", "component_id")
+    linked = rows.join(by.withColumnRenamed("digest", "_node").hint("merge"), (F.col("digest") == F.col("_node")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_key"))
     told = stash(linked.select(F.col("_key").alias(key), "_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept")), "classes")
     # a few bytes a row stand for sketches and sets from here on

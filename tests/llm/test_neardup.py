@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from corpusgraph.llm import neardup
+from corpusgraph.operators import graph
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,6 +61,39 @@ def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(made, 85)
 
 
+def common_line(n):
+    """Texts of twenty common words and some of their own, and one more of each tenth with a word appended."""
+    made = [(i, f"{' '.join(f'c{j}' for j in range(20))} {' '.join(f'v{i}x{j}' for j in range(5 + i % 4))}") for i in range(n)]
+    return made + [(n + i, f"{made[i][1]} end") for i in range(0, n, 10)]
+
+
+def test_common_text_is_not_compared_in_blocks(spark, monkeypatch):
+    """Texts that share a common line alone, and no rare shingle, are not compared with each other."""
+    seen = []
+    monkeypatch.setattr(neardup, "HOT", 4)
+    monkeypatch.setattr(neardup, "FEW", 0)
+    monkeypatch.setattr(neardup, "stash", lambda df, name, stash=neardup.stash: (seen.append((name, out := stash(df, name))), out)[1])
+    monkeypatch.setattr(neardup, "compared_in_blocks", lambda *a: pytest.fail("compared in blocks"))
+    monkeypatch.setattr(neardup, "discard", lambda *a: None)
+    made = common_line(80)
+    got = neardup.classes(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(made, 85)
+    hot = [df.count() for name, df in seen if name == "hot"]
+    assert len(hot) == 2 and hot[0] > 20 and hot[1] == 0
+
+
+def test_no_table_is_broadcast(spark, docs, monkeypatch):
+    """All joins are shuffles, as a plan knows nothing of how many rows an exploded table has."""
+    plans = []
+    for module in (neardup, graph):
+        monkeypatch.setattr(module, "stash", lambda df, name, stash=module.stash: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), stash(df, name))[1])
+    monkeypatch.setattr(neardup, "HOT", 4)
+    monkeypatch.setattr(neardup, "FEW", 0)
+    neardup.classes(docs, threshold=80).count()
+    assert {"buckets", "pairs", "candidates", "sets", "links", "stars", "hot", "rarest", "classes"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
 @pytest.mark.parametrize("threshold", [85, 80])
 def test_linked_sets_of_every_size_share_a_key(threshold):
     """Any two sets of up to 130 shingles at the threshold, and ones that one contains; 20 draws of each."""
