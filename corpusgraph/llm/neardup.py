@@ -12,8 +12,8 @@ with others; what these links leave apart inside a bucket is then compared
 across, so a large group of copies costs one comparison for each member and no
 link between two components is lost.
 
-All joins are shuffles: tables grow with the documents, and what is exploded
-from a small file is many times the size that a plan expects of it.
+Rows that are exploded are joined by a shuffle: a plan takes them for the size
+of the file that they come from, and would send them whole through the driver.
 """
 
 from __future__ import annotations
@@ -209,10 +209,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
         return pa.array([linked(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), threshold) for x, y in zip(a, b, strict=True)], pa.bool_())
 
     slim = nodes.select("digest", "registers")
-    near = pairs.join(slim.toDF("a", "_ra").hint("merge"), "a").join(slim.toDF("b", "_rb").hint("merge"), "b").filter(near_enough("_ra", "_rb")).select("a", "b")
+    near = pairs.join(slim.toDF("a", "_ra"), "a").join(slim.toDF("b", "_rb"), "b").filter(near_enough("_ra", "_rb")).select("a", "b")
     near = stash(near, "candidates")
-    sets = stash(full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.hint("merge"), "digest").select("_key", "_hash"), key, text), "sets")
-    tested = near.join(sets.toDF("b", "_sb").hint("merge"), "b").join(sets.toDF("a", "_sa").hint("merge"), "a").filter(confirmed("_sa", "_sb"))
+    sets = stash(full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes, "digest").select("_key", "_hash"), key, text), "sets")
+    tested = near.join(sets.toDF("b", "_sb"), "b").join(sets.toDF("a", "_sa"), "a").filter(confirmed("_sa", "_sb"))
     links = stash(tested.select("a", "b"), "links")
     discard(near, sets)
     return links
@@ -251,10 +251,10 @@ def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, ke
     """
     counted = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    dealt = members.join(counted.hint("merge"), "cluster").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(counted, "cluster").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("cluster", "digest", "label", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-    sets = stash(full_sets(docs, members.select("digest").distinct().join(nodes.hint("merge"), "digest").select("_key", "_hash"), key, text), "sets")
-    full = sets.join(nodes.select("digest", "registers").hint("merge"), "digest")
+    sets = stash(full_sets(docs, members.select("digest").distinct().join(nodes, "digest").select("_key", "_hash"), key, text), "sets")
+    full = sets.join(nodes.select("digest", "registers"), "digest")
 
     def compare(table: pa.Table) -> pa.Table:
         names, labels, own = (table.column(c).to_pylist() for c in ("digest", "label", "_own"))
@@ -292,8 +292,8 @@ def compared_in_blocks(members: DataFrame, nodes: DataFrame, docs: DataFrame, ke
 def compared_in_clusters(hot: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
     """The links (a, b) that join different labels among the nodes of ``hot`` (key, digest, label): buckets that share nodes are compared as one."""
     heads = hot.groupBy("key").agg(F.min("digest").alias("b"))
-    clusters = components(hot.join(heads.hint("merge"), "key").select(F.col("digest").alias("a"), "b"))
-    members = hot.select("digest", F.col("label").alias("_own")).distinct().join(clusters.hint("merge"), F.col("digest") == F.col("node"))
+    clusters = components(hot.join(heads, "key").select(F.col("digest").alias("a"), "b"))
+    members = hot.select("digest", F.col("label").alias("_own")).distinct().join(clusters, F.col("digest") == F.col("node"))
     members = stash(members.select(F.col("label").alias("cluster"), "digest", F.col("_own").alias("label")), "members")
     links = compared_in_blocks(members, nodes, docs, key, text, threshold)
     discard(members)
@@ -342,18 +342,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = stash(keyed.join(shared.hint("merge"), "key"), "buckets")
     fame = buckets.groupBy("digest").agg(F.sum("size").alias("fame"))
-    leader = buckets.join(fame.hint("merge"), "digest").groupBy("key").agg(F.max(F.struct("fame", "digest", "n")).alias("l")).select("key", F.col("l.digest").alias("_lead"), F.col("l.n").alias("_n"))
-    stars = buckets.join(leader.hint("merge"), "key").filter(F.col("digest") != F.col("_lead")).filter(_close(F.col("n"), F.col("_n"), threshold))
+    leader = buckets.join(fame, "digest").groupBy("key").agg(F.max(F.struct("fame", "digest", "n")).alias("l")).select("key", F.col("l.digest").alias("_lead"), F.col("l.n").alias("_n"))
+    stars = buckets.join(leader, "key").filter(F.col("digest") != F.col("_lead")).filter(_close(F.col("n"), F.col("_n"), threshold))
     stars = stash(stars.select(F.least("digest", "_lead").alias("a"), F.greatest("digest", "_lead").alias("b")).distinct(), "pairs")
     links = verified(stars, nodes, docs, key, text, threshold)
     found = first_found = stash(components(links), "components")
 
-    marked = buckets.join(found.hint("merge"), F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "size", F.coalesce("label", "digest").alias("label"))
+    marked = buckets.join(found, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "size", F.coalesce("label", "digest").alias("label"))
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("most"))
-    mixed = marked.join(parts.filter("parts > 1").select("key", F.col("most.label").alias("_most")).hint("merge"), "key")
+    mixed = marked.join(parts.filter("parts > 1").select("key", F.col("most.label").alias("_most")), "key")
     minor = mixed.filter("label != _most").select("key", F.col("digest").alias("_d"), F.col("n").alias("_n"), F.col("label").alias("_l"))
-    across = minor.join(mixed.filter(F.col("size") <= HOT).hint("merge"), "key").filter((F.col("label") != F.col("_l")) & _close(F.col("n"), F.col("_n"), threshold))
-    rest = across.select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b")).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
+    across = minor.join(mixed.filter(F.col("size") <= HOT), "key").filter((F.col("label") != F.col("_l")) & _close(F.col("n"), F.col("_n"), threshold))
+    rest = across.select(F.least("digest", "_d").alias("a"), F.greatest("digest", "_d").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(stash(rest, "pairs"), nodes, docs, key, text, threshold)
     hot = stash(mixed.filter(F.col("size") > HOT).select("key", "digest", "label"), "hot")
     if hot.take(1):
@@ -364,10 +364,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         found = stash(components(links.unionByName(more)), "components")
 
     label = F.coalesce("label", "digest")
-    named = nodes.join(found.hint("merge"), F.col("digest") == F.col("node"), "left").select("digest", "_key", label.alias("label"))
+    named = nodes.join(found, F.col("digest") == F.col("node"), "left").select("digest", "_key", label.alias("label"))
     least = named.groupBy("label").agg(F.min("_key").alias("component_id"))
-    by = named.join(least.hint("merge"), "label").select("digest", "component_id")
-    linked = rows.join(by.withColumnRenamed("digest", "_node").hint("merge"), (F.col("digest") == F.col("_node")) & (F.col("n") > 0), "left")
+    by = named.join(least, "label").select("digest", "component_id")
+    linked = rows.join(by.withColumnRenamed("digest", "_node"), (F.col("digest") == F.col("_node")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_key"))
     told = stash(linked.select(F.col("_key").alias(key), "_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept")), "classes")
     # a few bytes a row stand for sketches and sets from here on
