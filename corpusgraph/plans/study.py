@@ -204,8 +204,8 @@ def x12(spark, d):
 
 @query("x17_revision_actions", "select l_orderkey, array_to_string(list_slice(list_transform(list_sort(list_transform(list_distinct(a), lambda x: {'p': list_position(a, x), 'x': x})), lambda y: y.x), 1, 12), '|') as actions from (select l_orderkey, list_concat(list(l_returnflag order by l_linenumber, l_partkey), list(cast(l_partkey as varchar) order by l_linenumber, l_partkey)) as a from lineitem group by 1)")
 def x17(spark, d):
-    each = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col(c).cast("string").alias("v")))), lambda x: x["v"])
-    one = B.table(spark, d, "lineitem").groupBy("l_orderkey").agg(each("l_returnflag").alias("a"), each("l_partkey").alias("b"))
+    each = lambda c, *tie: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", *tie, F.col(c).cast("string").alias("v")))), lambda x: x["v"])
+    one = B.placed(spark, d, "lineitem").groupBy("l_orderkey").agg(each("l_returnflag", "_at").alias("a"), each("l_partkey").alias("b"))
     return one.select("l_orderkey", F.array_join(D.revision_actions(F.array(F.lit("")), F.col("a"), F.col("b")), "|").alias("actions"))
 
 

@@ -12,7 +12,7 @@ from corpusgraph.operators import hyperedges as H
 from corpusgraph.operators import library as L
 from corpusgraph.operators import merging as M
 from corpusgraph.operators import study, walks
-from corpusgraph.plans import catalog
+from corpusgraph.plans import bindings, catalog
 from corpusgraph.sources import readers
 
 from . import test_catalog
@@ -53,6 +53,43 @@ def test_wide_keys(spark, wide, monkeypatch, name):
     test_catalog.agree(spark, name, catalog.queries()[name], catalog.oracle_sql()[name])
 
 
+@pytest.fixture(scope="module")
+def tied(tmp_path_factory):
+    """The smallest tables with lines that an order by line and part leaves open, by equal keys and by sums that come out equal."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("tied")
+    con = duckdb.connect()
+    changed = {
+        "part": "select * exclude (j) replace (p_partkey + j * 1000000 as p_partkey, p_name || j as p_name) from '{}', range(2) r(j)",
+        "lineitem": "select * replace (l_partkey % 16 + l_suppkey % 2 * 1000000 as l_partkey) from '{}'",
+    }
+    for path in glob.glob(f"{test_catalog.FOLDER}/*.parquet"):
+        name = os.path.basename(path)
+        con.execute(f"copy ({changed.get(name[:-8], "select * from '{}'").format(path)}) to '{folder}/{name}' (format parquet)")
+    return str(folder)
+
+
+@pytest.mark.skipif(not os.path.isdir(test_catalog.FOLDER), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["x17_revision_actions"])
+def test_ties(spark, tied, monkeypatch, name):
+    """What the SQL's order leaves open goes by the order of the table's rows, as the engine that runs it on one thread takes them; on several it takes them as they come."""
+    import duckdb
+
+    monkeypatch.setattr(test_catalog, "FOLDER", tied)
+    monkeypatch.setattr(duckdb, "connect", lambda connect=duckdb.connect: connect(config={"threads": 1}))
+    test_catalog.agree(spark, name, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_places_of_rows(spark, tmp_path):
+    """Files by name, then rows, whatever the size of a file and the number of tasks."""
+    path = f"{tmp_path}/t.parquet"
+    for n in (3, 4000, 20):
+        spark.range(n).select(F.lit(n).alias("n"), F.col("id").alias("row")).coalesce(1).write.mode("append").parquet(path)
+    at = bindings.placed(spark, str(tmp_path), "t").repartition(7).orderBy("_at").collect()
+    assert [r["row"] for r in at] == [x for n in dict.fromkeys(r.n for r in at) for x in range(n)]
+
+
 def test_absorbing_many_nodes(spark):
     """A node that takes in thousands folds their lists in proportion to their items."""
     n = 20_000
