@@ -208,3 +208,17 @@ def test_chains_are_read_once(spark):
     rows = {r.chain_id: r for r in got.collect()}
     assert (rows[1].operators, rows[1].unknown, rows[1].breaks, rows[1].level, rows[1].low_level_only) == (["combine", "substitute", "combine"], 1, 0, "L2", rows[1].low_level_only)
     assert (rows[2].operators, rows[2].unknown, rows[2].breaks, rows[2].mechanistic, rows[2].max_level, rows[2].level, rows[2].low_level_only) == ([], 1, 0, 0, "L0", "L0", False)
+
+
+@pytest.mark.skipif(not os.path.isdir(test_catalog.FOLDER), reason="needs the test tables")
+def test_titles_that_share_seven_tenths_are_linked(spark):
+    """All customers whose titles share 70 % of the words of the smaller one, most of which share no 95 %."""
+    least, words = {}, {}
+    for r in spark.read.parquet(f"{test_catalog.FOLDER}/customer.parquet").orderBy("c_custkey").collect():
+        title = f"{r.c_mktsegment} customer {r.c_custkey % 97} of nation {r.c_nationkey}".lower()
+        if least.setdefault(title, r.c_custkey) == r.c_custkey:
+            words[r.c_custkey] = set(title.split())
+    share = {(a, b): len(words[a] & words[b]) / min(len(words[a]), len(words[b])) for a in words for b in words if a < b}
+    want = {pair for pair, s in share.items() if s >= 0.7}
+    links = catalog.queries()["j12_fuzzy_title"](spark, test_catalog.FOLDER).filter("kind = 'link' and b < 10000000")
+    assert want == {(r.a, r.b) for r in links.collect()} and sum(share[p] < 0.95 for p in want) > len(want) / 2
